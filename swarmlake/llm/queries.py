@@ -22,6 +22,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import scratch, warc
+
+    path = scratch.new_path(spark, "op1")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path)
+
+
+@query
+def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rans, scratch
@@ -40,6 +56,13 @@ def op8_monoid_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query
+def op9_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk
+
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
@@ -47,4 +70,65 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_boundary_chain": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), f AS (
+  SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) END AS first_id FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+FROM f
+""",
+    "op3_quality_cascade": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), m AS (
+  SELECT doc_id, text, w, len(w) AS n_words, len(lines) AS n_lines,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper,
+         length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower,
+         len(string_split(text, '!!')) - 1 AS n_exclaim
+  FROM t
+), u AS (
+  SELECT row_number() OVER () AS r, * FROM m
+), win AS (
+  SELECT r, i, w[i:i + 4] AS g FROM (SELECT r, w, unnest(range(1, n_words - 3)) AS i FROM u WHERE n_words >= 5)
+), again AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM again, range(0, 5) AS o(k) GROUP BY r
+), stutter AS (
+  SELECT r, count(*) FILTER (WHERE w[i] = w[i + 1]) AS n_stutter FROM (SELECT r, w, unnest(range(1, n_words)) AS i FROM u) GROUP BY r
+), a AS (
+  SELECT u.*, coalesce(c.n_repeat_words, 0) AS n_repeat_words, coalesce(s.n_stutter, 0) AS n_stutter,
+         n_words < 10 OR 100 * coalesce(c.n_repeat_words, 0) > 20 * n_words AS base_failed
+  FROM u LEFT JOIN covered c USING (r) LEFT JOIN stutter s USING (r)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT 4 * n_symbols > n_words AND NOT 2 * n_dup_lines > n_lines AND NOT n_upper > n_lower
+       AND NOT 4 * n_exclaim > n_words AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND NOT 10 * n_stutter > 3 * n_words AS kept
+FROM a
+""",
+    "op9_pivot_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}
