@@ -31,6 +31,16 @@ def op1_warc_boundary_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path)
 
 
+@query
+def op2_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from . import simhash
+
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality_rules
@@ -46,6 +56,13 @@ def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import importance
+
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op8_monoid_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
