@@ -56,6 +56,13 @@ def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op6_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import backoff
+
+    return backoff.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import importance
