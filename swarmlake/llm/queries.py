@@ -48,6 +48,13 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import main_text
+
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import rans, scratch
