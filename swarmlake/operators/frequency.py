@@ -30,14 +30,20 @@ def likelihoods(seen: list[str], q: np.ndarray, states: list[str]) -> np.ndarray
     return np.where(equal, 1 - p, p / 3).prod(axis=2)
 
 
-def solve(rcc: np.ndarray, n: np.ndarray, start: np.ndarray, iterations: int = 10_000, tolerance: float = 1e-12) -> np.ndarray:
+def solve(rcc: np.ndarray, n: np.ndarray, start: np.ndarray, iterations: int = 500, tolerance: float = 1e-9) -> np.ndarray:
+    """Frequencies of the states; those that have sunk to nothing are left out of further rounds."""
     x = (1 - START) * start + START / len(start)
-    for _ in range(iterations):
-        new = x * (rcc @ (n / (x @ rcc))) / n.sum()
-        if np.abs(new - x).max() < tolerance:
-            return new
-        x = new
-    return x
+    active = np.arange(len(x))
+    for i in range(iterations):
+        part = x[active]
+        new = part * (rcc[active] @ (n / (part @ rcc[active]))) / n.sum()
+        x[active] = new
+        if np.abs(new - part).max() < tolerance:
+            break
+        if i % 10 == 9:
+            active = active[new > 1e-10]
+            x = np.where(np.isin(np.arange(len(x)), active), x, 0)
+    return x / x.sum()
 
 
 def residual(rcc: np.ndarray, n: np.ndarray, x: np.ndarray) -> float:
@@ -48,7 +54,7 @@ def residual(rcc: np.ndarray, n: np.ndarray, x: np.ndarray) -> float:
     return float(stationary.max() / np.linalg.norm(g))
 
 
-def estimated(counts: DataFrame, states: list[str] | None = None, iterations: int = 10_000) -> DataFrame:
+def estimated(counts: DataFrame, states: list[str] | None = None, iterations: int = 500) -> DataFrame:
     """ref_id, position, codon, freq and coverage from rows (ref_id, position, codon, q1.., n); zeros are left out.
 
     A position without complete observations gets no rows.
