@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -32,3 +34,14 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
+def numbered(df: DataFrame, *also: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns under numbered names, which clash with none, and the columns ``also`` under their own."""
+    names = [f"__{i}" for i in range(len(df.columns))]
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], *also), names
+
+
+def renamed(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """The columns ``names`` under the names ``columns``."""
+    return df.select(*[F.col(n).alias(c) for n, c in zip(names, columns)])

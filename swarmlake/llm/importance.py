@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import numbered, renamed, slices
 from .quality_rules import split_words
 from .scratch import drop, materialize
 
@@ -116,7 +116,7 @@ def weighed(docs: DataFrame, weights: np.ndarray, columns: list[str]) -> DataFra
             once = np.unique(text[used] * buckets + bucket[used])
             text, bucket = once // buckets, once % buckets
             sums = np.stack([np.bincount(text, weights=w[bucket], minlength=batch.num_rows) for w in shared.value])
-            weight = sums.min(axis=0)
+            weight = sums.min(axis=0).astype(float)  # sums over nothing are whole numbers
             noisy = np.floor((weight + batch.column("__gumbel").to_numpy(zero_copy_only=False)) * GRAIN).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(weight), pa.array(noisy)], [*columns, "log_weight", "noisy"])
 
@@ -163,4 +163,5 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     drop(table)
     if least is None:
         return docs.limit(0)
-    return weighed(docs, weights, docs.columns).filter(F.col("noisy") >= least).select(*docs.columns)
+    plain, names = numbered(docs, "doc_id", "text")
+    return renamed(weighed(plain, weights, names).filter(F.col("noisy") >= least), names, docs.columns)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import byte_values, slices
+from .batches import byte_values, numbered, renamed, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -193,4 +193,5 @@ def judge(docs: DataFrame, rules=None, columns: list[str] | None = None) -> Data
 
 def keep(docs: DataFrame, rules=None) -> DataFrame:
     """The rows of ``docs`` whose texts pass, with their columns as they are."""
-    return judge(docs, rules, docs.columns).filter("kept").select(*docs.columns)
+    plain, names = numbered(docs, "text")
+    return renamed(judge(plain, rules, names).filter("kept"), names, docs.columns)
