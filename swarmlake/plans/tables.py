@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+_LOCAL: dict[str, str] = {}  # folders of local sessions, by application
+
 
 def materialized(df: DataFrame) -> DataFrame:
     """``df`` written under ``spark.checkpoint.dir`` and read back; a local session without it gets a folder of its own."""
@@ -16,8 +18,10 @@ def materialized(df: DataFrame) -> DataFrame:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        root = _LOCAL[app]
     path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
