@@ -20,9 +20,10 @@ def codon_table(spark: SparkSession) -> DataFrame:
 
 
 def sequence_codons(sequence: Column) -> Column:
-    """Codons at every offset; none for fewer than three bases."""
-    n = F.length(sequence)
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substring(sequence, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """Codons at every offset; none for fewer than three bases. Letters are split once, so long texts stay linear."""
+    letters = F.split(sequence, "")
+    triples = F.zip_with(F.zip_with(letters, F.slice(letters, F.lit(2), F.length(sequence)), F.concat), F.slice(letters, F.lit(3), F.length(sequence)), F.concat)
+    return F.when(F.length(sequence) >= 3, F.slice(triples, F.lit(1), F.length(sequence) - 2)).otherwise(F.array().cast("array<string>"))
 
 
 def translated(df: DataFrame, codon: str, name: str = "amino_acid") -> DataFrame:
