@@ -22,7 +22,8 @@ def codon_table(spark: SparkSession) -> DataFrame:
 def sequence_codons(sequence: Column) -> Column:
     """Codons at every offset; none for fewer than three bases. Letters are split once, so long texts stay linear."""
     letters = F.split(sequence, "")
-    triples = F.zip_with(F.zip_with(letters, F.slice(letters, F.lit(2), F.length(sequence)), F.concat), F.slice(letters, F.lit(3), F.length(sequence)), F.concat)
+    join = lambda x, y: F.concat(x, y)
+    triples = F.zip_with(F.zip_with(letters, F.slice(letters, F.lit(2), F.length(sequence)), join), F.slice(letters, F.lit(3), F.length(sequence)), join)
     return F.when(F.length(sequence) >= 3, F.slice(triples, F.lit(1), F.length(sequence) - 2)).otherwise(F.array().cast("array<string>"))
 
 
