@@ -114,6 +114,30 @@ def isotonic(y: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(n, v) for v, n in blocks]) if blocks else np.empty(0)
 
 
+def nonmetric_scaling(d: np.ndarray, x: np.ndarray, rounds: int = 1000, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Points whose distances keep the order of ``d``: isotonic fit and majorisation in turn; with the stress."""
+    i, j = np.triu_indices(len(d), 1)
+    order = np.argsort(d[i, j], kind="stable")
+    before = np.inf
+    for _ in range(rounds):
+        x = x - x.mean(axis=0)
+        x /= np.sqrt((x * x).sum(axis=1).mean())
+        now = np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1))
+        fit = np.empty_like(now)
+        fit[order] = isotonic(now[order])
+        stress = float(np.sqrt(((now - fit) ** 2).sum() / (now**2).sum()))
+        if before - stress < tolerance * max(stress, 1e-12):
+            break
+        before = stress
+        b = np.zeros_like(d, dtype=float)
+        b[i, j] = b[j, i] = -np.where(now > 0, fit / np.maximum(now, 1e-300), 0)
+        np.fill_diagonal(b, -b.sum(axis=1))
+        x = b @ x / len(d)
+    _, _, axes = np.linalg.svd(x, full_matrices=False)
+    x = x @ axes.T
+    return x * np.where(x[np.abs(x).argmax(axis=0), np.arange(x.shape[1])] < 0, -1, 1), stress
+
+
 def covariance(points: DataFrame, column: str = "x") -> np.ndarray:
     """Covariance of the components, summed by Spark; as large as the dimension squared."""
     at = points.select(F.posexplode(column).alias("i", "v"), F.col(column).alias("row"))

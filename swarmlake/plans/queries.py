@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..functions import sequences as S
-from ..operators import annotation, consensus, frequency, landmarks, metadata, models, pileup, series, swarm
+from ..operators import annotation, consensus, frequency, landmarks, metadata, mixture, models, pileup, series, swarm
 from . import adapters as A
 
 QUERIES = {}
@@ -192,6 +192,17 @@ def log_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(swarm.log_transformed(_swarm(spark, sf_dir), limits).drop("freq"), "value")
 
 
+@query
+def sample_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(mixture.estimated(_swarm(spark, sf_dir), annotation.reference_codons(A.reference(spark))), "proportion", digits=4)
+
+
+@query
+def purity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples with over half of one reference; the adapters' reads are no real mixtures."""
+    return mixture.pure(sample_mix(spark, sf_dir), least=0.5)
+
+
 # Annotation and sequences
 
 
@@ -346,6 +357,28 @@ def isomap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landmarks.as_rows(spark, names, x, "name int, x double, y double")
 
 
+@query
+def kruskal_isomap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = landmarks.distances(_landmarks(spark, sf_dir))
+    names, full = landmarks.to_matrix(pairs)
+    _, near = landmarks.to_matrix(landmarks.nearest_graph(pairs, 3))
+    paths = landmarks.all_paths(landmarks.connected(near, full))
+    x, stress = landmarks.nonmetric_scaling(paths, landmarks.classical_scaling(paths, 2))
+    return landmarks.as_rows(spark, names, x, "name int, x double, y double").withColumn("stress", F.lit(stress))
+
+
+@query
+def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point on the two leading axes of all; the axes are as long as a point."""
+    import numpy as np
+
+    points = A.points(spark, sf_dir)
+    _, vectors = np.linalg.eigh(landmarks.covariance(points))
+    axes = [v * (1 if v[np.abs(v).argmax()] > 0 else -1) for v in vectors[:, :-3:-1].T]
+    on = lambda axis: F.aggregate(F.zip_with("x", F.array(*[F.lit(float(a)) for a in axis]), lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return points.select("vec_id", on(axes[0]).alias("first"), on(axes[1]).alias("second"))
+
+
 @query
 def hclust(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, d = landmarks.to_matrix(landmarks.distances(_landmarks(spark, sf_dir)))

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from swarmlake.functions.sequences import CODONS
-from swarmlake.operators import annotation, consensus, frequency, landmarks, metadata, models, pileup, series, swarm
+from swarmlake.operators import annotation, consensus, frequency, landmarks, metadata, mixture, models, pileup, series, swarm
 
 READ = "ref_id long, pos int, mapq int, flag int, has_sa boolean, cigar string, seq string, qual array<int>"
 
@@ -117,3 +117,20 @@ def test_metadata(spark):
     assert got == {"a": 20.0, "b": 10.0, "c": 30.0, "d": None}
     r = spark.createDataFrame([(None, 2.0, 4.0), (None, None, None)], "a double, b double, c double").select(metadata.mean_of_known("a", "b", "c").alias("m")).collect()
     assert [x["m"] for x in r] == [3.0, None]
+
+
+def test_mixture(spark):
+    codons = [(0, 1, "AAA"), (1, 1, "CCC"), (0, 2, "GGG"), (1, 2, "GGG"), (0, 3, "AAC"), (1, 3, "TTT"), (0, 4, "ACA"), (1, 4, "TGT")]
+    refs = spark.createDataFrame(codons, "ref_id long, position int, ref_codon string")
+    cells = [(7, p, c, f) for r, p, c in codons if p != 2 for f in [0.8 if r == 0 else 0.2]] + [(7, 2, "GGG", 1.0), (8, 1, "CCC", 0.5), (8, 1, "TTA", 0.5)]
+    swarms = spark.createDataFrame(cells, "sample_id long, position int, codon string, freq double")
+    got = {(r["sample_id"], r["ref_id"]): r["proportion"] for r in mixture.estimated(swarms, refs).collect()}
+    assert {k: round(v, 6) for k, v in got.items()} == {(7, 0): 0.8, (7, 1): 0.2, (8, 0): 0.0, (8, 1): 1.0}
+    assert [r["sample_id"] for r in mixture.pure(mixture.estimated(swarms, refs)).collect()] == [8]
+
+
+def test_nonmetric_scaling():
+    x = np.random.default_rng(3).normal(size=(12, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    y, stress = landmarks.nonmetric_scaling(d**3, landmarks.classical_scaling(d, 2))
+    assert stress < 0.02 and y.shape == (12, 2)
