@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.reads import ALIGNED, read_filter
+from ..functions.sequences import hamming, weighted_levenshtein
 from .pileup import walk
 
 
@@ -66,3 +67,21 @@ def sequences(counts: DataFrame, reference: DataFrame, min_support: int = 1, ind
         return pd.DataFrame({"ref_id": [group["ref_id"].iloc[0]], "sequence": ["".join(out)]})
 
     return rows.groupBy("ref_id").applyInPandas(scan, "ref_id long, sequence string")
+
+
+def closest_references(samples: DataFrame, references: DataFrame, gap: float = 10.0) -> DataFrame:
+    """Each sample's assigned and closest reference, and whether the assigned one differs by insertions or deletions.
+
+    Substitutions cost one, gaps ``gap``. ``references`` (ref_id, sequence) are few and go to all tasks; ties keep the
+    assigned reference, then the smallest name.
+    """
+    known = references.select(F.col("ref_id").alias("near"), F.col("sequence").alias("near_sequence"))
+    pairs = samples.join(F.broadcast(known)).withColumn("distance", weighted_levenshtein(F.col("sequence"), F.col("near_sequence"), gap, gap, 1.0))
+    own = F.col("near") == F.col("ref_id")
+    flat = hamming(F.col("sequence"), F.col("near_sequence"))
+    best = pairs.groupBy("sample_id", "ref_id").agg(
+        F.min_by("near", F.struct("distance", (~own).cast("int"), "near")).alias("closest"),
+        F.min("distance").alias("distance"),
+        F.max(F.when(own, F.coalesce(flat != F.col("distance"), F.lit(True)))).alias("has_indels"),
+    )
+    return best.select("sample_id", "ref_id", "closest", "distance", "has_indels", (F.col("closest") != F.col("ref_id")).alias("warning"))

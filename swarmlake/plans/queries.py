@@ -120,6 +120,14 @@ def consensus_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus.sequences(consensus.events(A.reads(spark, sf_dir)), A.reference(spark))
 
 
+@query
+def reference_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consensus of each reference's reads against all references."""
+    found = consensus_sequence(spark, sf_dir).select(F.col("ref_id").alias("sample_id"), "ref_id", "sequence")
+    rows = A.reference(spark).groupBy("ref_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", "base"))), lambda p: p["base"]), "").alias("sequence"))
+    return consensus.closest_references(found, rows)
+
+
 @query
 def codon_freq_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pileup.naive_frequencies(pileup.codon_counts(A.reads(spark, sf_dir), threshold=30)), "freq")

@@ -134,3 +134,10 @@ def test_nonmetric_scaling():
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     y, stress = landmarks.nonmetric_scaling(d**3, landmarks.classical_scaling(d, 2))
     assert stress < 0.02 and y.shape == (12, 2)
+
+
+def test_closest_reference(spark):
+    refs = spark.createDataFrame([(1, "ACGTACGT"), (2, "ACGTTTTT")], "ref_id long, sequence string")
+    rows = [("same", 1, "ACGTACGT"), ("other", 1, "ACGTTTTA"), ("gap", 2, "ACGTTTT")]
+    got = {r["sample_id"]: tuple(r)[2:] for r in consensus.closest_references(spark.createDataFrame(rows, "sample_id string, ref_id long, sequence string"), refs).collect()}
+    assert got == {"same": (1, 0.0, False, False), "other": (2, 1.0, False, True), "gap": (2, 10.0, True, False)}
