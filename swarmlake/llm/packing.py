@@ -32,6 +32,8 @@ from .tokens import encoder
 #: Pieces of capacity / SMALL or less are short: they are packed last.
 SMALL = 8
 GROUPS = 64
+#: Tokens that a sequence of a solved configuration may leave free and yet stay as it is.
+FREE = 8
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -109,24 +111,23 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
 
 
 def _knapsack(sizes: list[int], price: np.ndarray, capacity: int) -> np.ndarray:
-    """The dearest multiset of sizes that fits."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.array(sizes)
-    for room in range(int(order.min()), capacity + 1):
-        fits = order <= room
-        value = np.where(fits, best[np.where(fits, room - order, 0)] + price, -1.0)
-        j = int(np.argmax(value))
-        if value[j] > best[room - 1]:
-            best[room], take[room] = value[j], j
-        else:
-            best[room] = best[room - 1]
+    """The dearest multiset of sizes that fits: by how many are taken, all rooms at once."""
+    best, chosen = [np.zeros(capacity + 1)], []
+    for _ in range(capacity // min(sizes)):
+        now, take = best[-1].copy(), np.full(capacity + 1, -1)
+        for j, (size, worth) in enumerate(zip(sizes, price)):
+            value = best[-1][: capacity + 1 - size] + worth
+            better = value > now[size:]
+            now[size:][better] = value[better]
+            take[size:][better] = j
+        best.append(now)
+        chosen.append(take)
     pattern, room = np.zeros(len(sizes)), capacity
-    while room > 0:
-        if take[room] < 0:
-            room -= 1
-        else:
-            pattern[take[room]] += 1
-            room -= sizes[take[room]]
+    for take in reversed(chosen):
+        j = take[room]
+        if j >= 0:
+            pattern[j] += 1
+            room -= sizes[j]
     return pattern
 
 
@@ -170,8 +171,8 @@ def plan_runs(histogram: dict[int, int], capacity: int, small: int = SMALL, grou
                 items = tuple((s, 1) for s in lengths if s)
                 if items:
                     _add(bundles, capacity - sum(s for s, _ in items), count, items)
-    _best_fit(bundles, {s: n for s, n in histogram.items() if s <= capacity // small and s < capacity}, capacity)
-    bundles = _refit(bundles, capacity)
+    short = {s: n for s, n in histogram.items() if s <= capacity // small and s < capacity}
+    bundles = _refit(bundles, short, capacity)
     runs, used, sequence = [], dict.fromkeys(histogram, 0), 0
     for room in sorted(bundles):
         for count, items in bundles[room]:
@@ -213,17 +214,16 @@ def _best_fit(bundles: Bundles, histogram: dict[int, int], capacity: int) -> Non
                     _add(bundles, room, rest, items)
 
 
-def _refit(bundles: Bundles, capacity: int, free: int = 2) -> Bundles:
-    """Empties the sequences with more than ``free`` tokens left and fits their pieces anew, if that takes fewer."""
+def _refit(bundles: Bundles, short: dict[int, int], capacity: int, free: int = FREE) -> Bundles:
+    """Adds the short pieces: sequences with at most ``free`` tokens left stay, the others' pieces are fitted with them."""
     kept: Bundles = {r: list(b) for r, b in bundles.items() if r <= free}
-    again: dict[int, int] = {}
+    again = dict(short)
     for room, some in bundles.items():
         for count, items in some if room > free else ():
             for size, each in items:
                 again[size] = again.get(size, 0) + each * count
     _best_fit(kept, again, capacity)
-    count = lambda b: sum(n for some in b.values() for n, _ in some)
-    return kept if count(kept) < count(bundles) else bundles
+    return kept
 
 
 def _draw(supply: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
