@@ -38,8 +38,8 @@ BUCKETS = 1 << 20
 LABELLED = 20_000
 SEED = 2011
 PRIOR = 1.0  # added to each count and to what is expected of it
-CLEAR = 8.0  # standard deviations from its share
-STRONG = 1.0  # log ratio, at least
+CLEAR = 5.0  # standard deviations from its share
+STRONG = 2.5  # log ratio, at least
 GRAIN = 1 << 20  # steps to one unit of a noisy weight, for the cut
 
 _SIGNS = r"([^\pL\pN\s]+)"
