@@ -22,6 +22,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 8 <<
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+        del batch
+        pa.default_memory_pool().release_unused()  # workers live on after a task
 
 
 def byte_values(column: pa.Array) -> list[bytes]:

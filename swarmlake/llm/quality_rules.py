@@ -176,7 +176,7 @@ def judge(docs: DataFrame, rules=None, columns: list[str] | None = None) -> Data
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema[:-1]), *(f"{m} long" for m in MEASURES), "base_failed boolean, kept boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, "__text", 4 << 20):
             data = byte_values(batch.column("__text"))
             m = measure(batch.column("__text"), data)
             failed = base_failed(m)

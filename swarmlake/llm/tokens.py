@@ -28,7 +28,7 @@ _SIGN = r"(\pL)([^\s\pL\pN'])"
 class PartEncoder:
     """Ids of texts; ``limit`` bounds the parts remembered, not the parts encoded."""
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
