@@ -38,10 +38,10 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-def numbered(df: DataFrame, *also: str) -> tuple[DataFrame, list[str]]:
-    """``df`` with its columns under numbered names, which clash with none, and the columns ``also`` under their own."""
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns under numbered names, which clash with none."""
     names = [f"__{i}" for i in range(len(df.columns))]
-    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)], *also), names
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names)]), names
 
 
 def renamed(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:

@@ -101,21 +101,22 @@ def fit(sample: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
     return weights, math.log(max(1, n.get(0, 0)) / max(1, raw))
 
 
-def weighed(docs: DataFrame, weights: np.ndarray, columns: list[str]) -> DataFrame:
+def weighed(docs: DataFrame, weights: np.ndarray, columns: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``columns`` of ``docs``, its log weight, and the weight with Gumbel noise in steps of 1 / GRAIN."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    u = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    carried = docs.select(*columns, F.col("text").alias("__text"), (-F.log(-F.log(u))).alias("__gumbel"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema[:-2]), "log_weight double, noisy long"])
+    u = (F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    carried = docs.select(*columns, *([] if text in columns else [text]), (-F.log(-F.log(u))).alias("__gumbel"))  # a text travels once
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema if f.name in columns), "log_weight double, noisy long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = shared.value.shape[1]
-        for batch in slices(batches, "__text"):
-            bucket, _, text = features(batch.column("__text"), buckets)
-            used = np.flatnonzero((shared.value != 0).any(axis=0)[bucket])
-            once = np.unique(text[used] * buckets + bucket[used])
-            text, bucket = once // buckets, once % buckets
-            sums = np.stack([np.bincount(text, weights=w[bucket], minlength=batch.num_rows) for w in shared.value])
+        used = (shared.value != 0).any(axis=0)
+        for batch in slices(batches, text, 4 << 20):
+            bucket, _, row = features(batch.column(text), buckets)
+            at = np.flatnonzero(used[bucket])
+            once = np.unique(row[at] * buckets + bucket[at])
+            row, bucket = once // buckets, once % buckets
+            sums = np.stack([np.bincount(row, weights=w[bucket], minlength=batch.num_rows) for w in shared.value])
             weight = sums.min(axis=0).astype(float)  # sums over nothing are whole numbers
             noisy = np.floor((weight + batch.column("__gumbel").to_numpy(zero_copy_only=False)) * GRAIN).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(weight), pa.array(noisy)], [*columns, "log_weight", "noisy"])
@@ -163,5 +164,6 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     drop(table)
     if least is None:
         return docs.limit(0)
-    plain, names = numbered(docs, "doc_id", "text")
-    return renamed(weighed(plain, weights, names).filter(F.col("noisy") >= least), names, docs.columns)
+    plain, names = numbered(docs)
+    of = lambda c: names[docs.columns.index(c)]
+    return renamed(weighed(plain, weights, names, of("doc_id"), of("text")).filter(F.col("noisy") >= least), names, docs.columns)

@@ -168,17 +168,17 @@ def ordered(docs: DataFrame, rules=None) -> list[Callable[[Text], bool]]:
     return sorted(rules, key=lambda r: -worth[r.__name__])
 
 
-def judge(docs: DataFrame, rules=None, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (default doc_id) with the measures, ``base_failed`` and ``kept``."""
+def judge(docs: DataFrame, rules=None, columns: list[str] | None = None, text: str = "text") -> DataFrame:
+    """``columns`` of ``docs`` (default doc_id) with the measures of ``text``, ``base_failed`` and ``kept``."""
     columns = columns or ["doc_id"]
-    cascade = ordered(docs, rules)
-    carried = docs.select(*columns, F.col("text").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema[:-1]), *(f"{m} long" for m in MEASURES), "base_failed boolean, kept boolean"])
+    cascade = ordered(docs.select(F.col(text).alias("text")), rules)
+    carried = docs.select(*columns, *([] if text in columns else [text]))  # a text travels once
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema if f.name in columns), *(f"{m} long" for m in MEASURES), "base_failed boolean, kept boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__text", 4 << 20):
-            data = byte_values(batch.column("__text"))
-            m = measure(batch.column("__text"), data)
+        for batch in slices(batches, text, 4 << 20):
+            data = byte_values(batch.column(text))
+            m = measure(batch.column(text), data)
             failed = base_failed(m)
             kept = ~failed
             texts = _texts(data, m)
@@ -193,5 +193,5 @@ def judge(docs: DataFrame, rules=None, columns: list[str] | None = None) -> Data
 
 def keep(docs: DataFrame, rules=None) -> DataFrame:
     """The rows of ``docs`` whose texts pass, with their columns as they are."""
-    plain, names = numbered(docs, "text")
-    return renamed(judge(plain, rules, names).filter("kept"), names, docs.columns)
+    plain, names = numbered(docs)
+    return renamed(judge(plain, rules, names, names[docs.columns.index("text")]).filter("kept"), names, docs.columns)
