@@ -35,6 +35,7 @@ BLOCK = 1 << 19  # ids in a block, about
 LANES = 1 << 11
 
 TOKENS = "range int, doc_id long, n_tokens long, ids binary"
+PLACED = TOKENS + ", place long, ids_before long"
 BLOCKS = "range int, block int, doc_ids array<long>, counts array<long>, n_ids long, lanes int, states binary, words binary, words_crc32 long, ids_crc32 long, ids_before long"
 
 
@@ -116,6 +117,27 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -
     return docs.mapInArrow(run, TOKENS)
 
 
+def placed(tokens: DataFrame) -> DataFrame:
+    """Adds the numbers of documents and of ids before each in its range, where whole ranges lie in order in one task each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng, n_docs, n_ids = None, 0, 0
+        for batch in slices(batches, "ids"):
+            own = batch.column("range").to_numpy()
+            n = batch.column("n_tokens").to_numpy()
+            place, before = np.empty(len(n), dtype=np.int64), np.empty(len(n), dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(n)]
+            for a, b in zip(cuts, cuts[1:]):
+                if own[a] != rng:
+                    rng, n_docs, n_ids = own[a], 0, 0
+                place[a:b] = n_docs + np.arange(b - a)
+                before[a:b] = n_ids + np.cumsum(n[a:b]) - n[a:b]
+                n_docs, n_ids = n_docs + b - a, n_ids + int(n[a:b].sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place), pa.array(before)], [*batch.schema.names, "place", "ids_before"])
+
+    return tokens.mapInArrow(run, PLACED)
+
+
 def _width(tokenizer: str) -> str:
     return "<u2" if len(encoder(tokenizer).token_bytes) <= 1 << 16 else "<u4"
 
@@ -140,7 +162,7 @@ def frequencies(tokens: DataFrame, tokenizer: str) -> np.ndarray:
 
 
 def blocks(tokens: DataFrame, tokenizer: str, freq: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """Coded blocks of tokens that each task holds in doc_id order."""
+    """Coded blocks of placed tokens, of which each task holds runs in order; a block is named by the place of its first document."""
     shared = tokens.sparkSession.sparkContext.broadcast(freq)  # as long as the vocabulary
 
     schema = pa.schema(
@@ -163,20 +185,20 @@ def blocks(tokens: DataFrame, tokenizer: str, freq: np.ndarray, block: int = BLO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, unpack, width = Coder(shared.value), zstandard.ZstdDecompressor(), _width(tokenizer)
-        rng, number, before, held = None, 0, 0, 0
+        rng, number, before, held, due = None, 0, 0, 0, 0
         docs: list = []
         parts: list[np.ndarray] = []
         for batch in slices(batches, "ids"):
-            for r, doc, blob in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "ids"))):
+            for r, doc, blob, place, start in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "ids", "place", "ids_before"))):
                 ids = np.frombuffer(unpack.decompress(blob), dtype=width)
-                if docs and (r != rng or held + len(ids) > block):
+                if docs and (r != rng or place != due or held + len(ids) > block):
                     yield code(coder, rng, number, before, docs, parts)
-                    number, before, held, docs, parts = number + 1, before + held, 0, [], []
-                if r != rng:
-                    rng, number, before = r, 0, 0
+                    docs, parts = [], []
+                if not docs:
+                    rng, number, before, held = r, place, start, 0
                 docs.append(doc)
                 parts.append(ids)
-                held += len(ids)
+                held, due = held + len(ids), place + 1
         if docs:
             yield code(coder, rng, number, before, docs, parts)
 
@@ -189,10 +211,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> str:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bounds = ranges(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = tokenized(docs, tokenizer, end_id, bounds).repartitionById(len(bounds) + 1, F.col("range"))
-    tokens = materialize(dealt.sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), F.crc32("ids")), "tokens", "uncompressed")
+    ordered = dealt.sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), F.crc32("ids"))
+    tokens = materialize(placed(ordered), "tokens", "uncompressed")
     table = scaled(frequencies(tokens, tokenizer))
     spark.createDataFrame([(table.astype("<i8").tobytes(),)], "freq binary").coalesce(1).write.parquet(f"{path}/table")
-    # the files of a range are read back by range and doc_id, whatever splits the scan makes
+    # a range's file may be read back by several tasks; each document has brought its place along
     blocks(tokens, tokenizer, table).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     drop(tokens)
     return path

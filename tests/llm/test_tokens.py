@@ -88,6 +88,25 @@ def test_token_files(spark, docs, edge, tokenizers_at):
     assert rans.read(spark, rans.write(docs([]), path, scratch.new_path(spark, "test-rans"))).count() == 0
 
 
+def test_token_files_of_split_ranges(spark, docs, tokenizers_at):
+    """A range whose rows many tasks read back still gives each document a place of its own."""
+    path = tokenizers_at.path("byte_bpe_50k.json")
+    rng = random.Random(5)
+    rows = [(7 if i % 3 else i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40))) for i in range(1500)]
+    small = {"parquet.block.size": "8192", "spark.sql.files.maxPartitionBytes": "8192", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        out = rans.write(docs(rows), path, scratch.new_path(spark, "test-rans"))
+        assert spark.read.parquet(f"{out}/blocks").count() > 8
+        got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in rans.read(spark, out).collect())
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert [s for s, _, _ in got] == np.cumsum([0, *(n for _, n, _ in got[:-1])]).tolist()
+    assert [i for _, _, i in got] == sorted(i for i, _ in rows)
+
+
 def test_coder_round_trip():
     rng = np.random.default_rng(0)
     for n, lanes in ((1, 4), (5, 4), (10_000, 64), (4096, 64)):
