@@ -1,14 +1,17 @@
 """Weighted backoff automaton for language-model scoring (operator 6).
 
-Every training text counts. Words over a share of ``HEAD`` of all tokens, and
-bigrams over a share of ``ARC``, become states and arcs of an automaton: their
-number is bounded by the inverse share, whatever the corpus, so the automaton is
-broadcast. An arc's weight is the discounted log probability; a state's failure
-arc leads to the root and carries what the discount set free. The root's arcs
-are the smoothed unigrams of all words: those of the many rarer words do not
-travel with the automaton but are joined to the texts by word, so every count is
-exact. Texts are traversed from left to right, all of a batch at once, as the
-state before a token depends on one token only.
+Every training text counts, and so does every bigram seen ``LEAST`` times in
+them, whatever the corpus. An arc's weight is the discounted log probability; a
+state's failure arc leads to the root and carries what the discount set free.
+The root's arcs are the smoothed unigrams of all words. The automaton lies in
+tables. Words over a share of ``HEAD`` of all tokens and bigrams over a share of
+``ARC`` are broadcast, as they could not be dealt by key: their number is bounded
+by the inverse share. All others are joined to the texts' own words and bigrams.
+A text's score is the sum of its words' root and failure arcs, corrected at each
+bigram that has an arc.
+
+Words are told apart by 64-bit hashes where bigrams are counted, bigrams by
+64-bit hashes of these where texts meet arcs.
 
 A text without a doc_id is held out. Null and empty texts are their end token.
 Repeated rows count and are scored each. Other columns are ignored; an empty
@@ -19,23 +22,50 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
 from .quality_rules import split_words
-from .scratch import materialize
+from .scratch import drop, materialize
 
 ADD = 0.1
 HEAD = 3e-7
 ARC = 2e-6
 LEAST = 2  # a bigram seen less often is no arc
 DISCOUNT = 0.75
+SEED = 42  # of Spark's xxhash64
+PARTS = 4  # of the rarer bigrams by key, dealt one after another, so that less lies on disk at once
+
+
+def _digest(word: bytes) -> int:
+    """Spark's xxhash64 of a string."""
+    h = xxhash.xxh64_intdigest(word, SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
+START, END = _digest(b" start"), _digest(b" end")  # no word has a blank
+
+
+def _hash_long(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = turned((seed + p5 + np.uint64(8)) ^ turned(values * p2, 31) * p1, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return h ^ h >> np.uint64(32)
+
+
+def pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of two longs."""
+    return _hash_long(v.view(np.uint64), _hash_long(u.view(np.uint64), np.full(len(u), SEED, dtype=np.uint64))).view(np.int64)
 
 
 def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -50,75 +80,73 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.crc32(key.cast("binary")) % 10 == 0).alias("held_out"))
 
 
-def unigrams(training: DataFrame) -> DataFrame:
-    """word and c for every word of the training texts."""
+def unigrams(texts: DataFrame) -> DataFrame:
+    """word, its hash h, c (in training texts) and m (in all) of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 16 << 20):
-            coded, _ = tokens(batch.column("text"))
-            n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary))
-            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n.astype(np.int64))], ["word", "n"])
+        for batch in slices(batches, "text"):
+            coded, counts = tokens(batch.column("text"))
+            at, size = coded.indices.to_numpy(), len(coded.dictionary)
+            train = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), counts)
+            yield pa.RecordBatch.from_arrays(
+                [coded.dictionary, pa.array(np.bincount(at[train], minlength=size).astype(np.int64)), pa.array(np.bincount(at, minlength=size).astype(np.int64))], ["word", "c", "m"]
+            )
 
-    return training.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    found = texts.select("text", "held_out").mapInArrow(run, "word string, c long, m long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
+    return found.select("word", F.xxhash64("word").alias("h"), "c", "m")
 
 
-@dataclass
-class Automaton:
-    """States are the head words, then the text's start; a token is a head word, the end, or (-1) a rarer word."""
+def _hashes(dictionary: pa.Array) -> np.ndarray:
+    return np.fromiter((_digest(w) for w in dictionary.cast(pa.binary()).to_pylist()), dtype=np.int64, count=len(dictionary))
 
-    words: dict[str, int]
-    root: np.ndarray  # log10 probability of a head word or the end
-    keys: np.ndarray  # arcs: state * width + token, ascending
-    weights: np.ndarray  # log10 probability along an arc
-    failure: np.ndarray  # log10 weight of a state's failure arc to the root
 
-    @property
-    def end(self) -> int:
-        return len(self.words)
+def _sequence(coded: pa.DictionaryArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words with an end (the dictionary's size) after each text, and the states before (one more: a text's start)."""
+    end = len(coded.dictionary)
+    token = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(counts), end)
+    state = np.concatenate([[end + 1], token[:-1]])
+    state[state == end] = end + 1
+    return token, state
 
-    @property
-    def width(self) -> int:
-        return len(self.words) + 2
 
-    def ids(self, dictionary: pa.Array) -> np.ndarray:
-        return np.fromiter((self.words.get(w, -1) for w in dictionary.to_pylist()), dtype=np.int64, count=len(dictionary))
+def bigrams(texts: DataFrame) -> DataFrame:
+    """Hashes u and v, n (in training texts) and m (in all) of all bigrams, texts' starts and ends included."""
 
-    def traverse(self, token: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 weight at each token, without the root's arc of rarer words; ``first`` marks where texts start."""
-        state = np.concatenate([[-1], token[:-1]])
-        state[first] = self.end + 1
-        state[state == self.end] = -1
-        key = np.where((state >= 0) & (token >= 0), state * self.width + token, -1)
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        arc = self.keys[at] == key if len(self.keys) else np.zeros(len(key), dtype=bool)
-        fallen = np.where(state >= 0, self.failure[state], 0.0) + np.where(token >= 0, self.root[token], 0.0)
-        return np.where(arc, self.weights[at] if len(self.weights) else 0.0, fallen)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            coded, counts = tokens(batch.column("text"))
+            token, state = _sequence(coded, counts)
+            hashes = np.append(_hashes(coded.dictionary), [END, START])
+            key = pa.array(state * len(hashes) + token).dictionary_encode()
+            at, pair = key.indices.to_numpy(), key.dictionary.to_numpy()
+            train = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), counts + 1)
+            n, m = (np.bincount(x, minlength=len(pair)).astype(np.int64) for x in (at[train], at))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[pair // len(hashes)]), pa.array(hashes[pair % len(hashes)]), pa.array(n), pa.array(m)], ["u", "v", "n", "m"])
 
+    return texts.select("text", "held_out").mapInArrow(run, "u long, v long, n long, m long").groupBy("u", "v").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
-def _sequence(coded: pa.DictionaryArray, counts: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids with an end after each text, and where texts start."""
-    token = np.insert(ids[coded.indices.to_numpy()], np.cumsum(counts), end)
-    total = counts + 1
-    return token, np.cumsum(total) - total
 
+@dataclass
+class Automaton:
+    """What is broadcast: frequent words and bigrams, each by ascending hash."""
 
-def bigrams(training: DataFrame, words: dict[str, int]) -> DataFrame:
-    """key (state * width + token) and n of all bigrams of frequent words, texts' starts and ends included."""
-    shared = training.sparkSession.sparkContext.broadcast(words)
+    words: np.ndarray
+    trained: np.ndarray  # whether a training text has the word
+    root: np.ndarray  # log10 probability
+    failure: np.ndarray  # log10 weight of its failure arc to the root
+    pairs: np.ndarray
+    gains: np.ndarray  # log10 weight of an arc over that of falling; 0 without an arc
+    end_root: float
+    end_known: bool
+    start_failure: float
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Automaton(shared.value, *(np.empty(0),) * 4)
-        for batch in slices(batches, "text", 12 << 20):
-            coded, counts = tokens(batch.column("text"))
-            token, first = _sequence(coded, counts, model.ids(coded.dictionary), model.end)
-            state = np.concatenate([[-1], token[:-1]])
-            state[first] = model.end + 1
-            some = (state >= 0) & (token >= 0)
-            key = pa.array(state[some] * model.width + token[some]).dictionary_encode()
-            n = np.bincount(key.indices.to_numpy(), minlength=len(key.dictionary)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([key.dictionary, pa.array(n)], ["key", "n"])
 
-    return training.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of the keys, -1 for those that are not there."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
 
 
 @dataclass
@@ -126,76 +154,100 @@ class Facts:
     texts: int
     tokens: int  # N
     kinds: int  # V
+    everywhere: int  # tokens of all texts
 
     @property
     def norm(self) -> float:
         return self.tokens + ADD * (self.kinds + 1)
 
-
-def train(training: DataFrame, vocabulary: DataFrame) -> tuple[Automaton, Facts]:
-    """The automaton and totals; ``vocabulary`` holds all words with their counts."""
-    n_texts = training.count()
-    sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    facts = Facts(n_texts, sums["n"] + n_texts, sums["v"] + (n_texts > 0))
-    head = vocabulary.filter(F.col("c") >= HEAD * facts.tokens).toPandas().sort_values("word")  # at most 1 / HEAD words
-    words = dict(zip(head["word"], range(len(head))))
-    c = np.concatenate([head["c"].to_numpy(dtype=np.int64), [n_texts]])
-    root = np.log10((c + ADD) / facts.norm)
-    least = max(LEAST, ARC * facts.tokens)
-    # no bigram is more frequent than either of its words
-    often = {w: i for i, (w, n) in enumerate(sorted((w, n) for w, n in zip(head["word"], c) if n >= least))}
-    width, renamed = len(often) + 2, np.array([*(words[w] for w in often), len(words), len(words) + 1], dtype=np.int64)
-    counted = bigrams(training, often).filter(F.col("n") >= least).toPandas()  # at most 1 / ARC bigrams
-    key, n = counted["key"].to_numpy(dtype=np.int64), counted["n"].to_numpy(dtype=np.int64)
-    state, token = renamed[key // width], renamed[key % width]
-    seen = np.append(c[:-1], [0, n_texts])  # how often a state is left; none leaves the end
-    weight = (n - DISCOUNT) / seen[state]
-    size = len(words) + 2
-    kept = np.bincount(state, weights=weight, minlength=size)
-    covered = np.bincount(state, weights=10 ** root[token], minlength=size)
-    failure = np.log10(np.maximum(1 - kept, 1e-12) / np.maximum(1 - covered, 1e-12))
-    order = np.argsort(state * size + token)
-    return Automaton(words, root, (state * size + token)[order], np.log10(weight[order]), failure), facts
-
-
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>, times array<long>"
-
-
-def scored(docs: DataFrame, model: Automaton, facts: Facts) -> DataFrame:
-    """Sums over each text but for its rarer words, and these words with their counts."""
+    def probability(self, c):
+        return (c + ADD) / F.lit(self.norm)
+
+
+def _attach(arcs: DataFrame, states: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Adds columns of the states ``key`` to arcs; frequent words have many arcs, so they are broadcast, the others have few."""
+    named = states.select(F.col("h").alias(key), "often", *columns)
+    head, rest = (named.filter(x).drop("often") for x in (F.col("often"), ~F.col("often")))
+    near = arcs.join(F.broadcast(head), key)
+    return near.unionByName(arcs.join(F.broadcast(head.select(key)), key, "left_anti").join(rest, key))
+
+
+def train(texts: DataFrame, vocabulary: DataFrame) -> tuple[Automaton, Facts, DataFrame, DataFrame]:
+    """The broadcast part, totals, words (word, c, failure) and arcs of rarer bigrams (key, gain); ``vocabulary`` holds all words."""
+    spark = texts.sparkSession
+    seen = texts.agg(F.count("*").alias("all"), F.count(F.when(~F.col("held_out"), 1)).alias("n")).first()
+    sums = vocabulary.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "cm"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
+    facts = Facts(seen["n"], sums["c"] + seen["n"], sums["v"] + (seen["n"] > 0), sums["m"] + seen["all"])
+    marks = spark.createDataFrame([(None, h, facts.texts, facts.everywhere) for h in (START, END)], "word string, h long, c long, m long")
+    states = vocabulary.unionByName(marks).withColumn("often", F.col("m") >= HEAD * facts.everywhere)
+    hot = F.col("m") >= ARC * facts.everywhere
+    counted = materialize(bigrams(texts).filter((F.col("n") >= LEAST) | hot), "bigrams")
+    arcs = materialize(_attach(counted.filter(F.col("n") >= LEAST), states.withColumnRenamed("c", "cv"), "v", ["cv"]), "arcs")
+    left = arcs.groupBy("u").agg(F.sum(F.col("n") - DISCOUNT).alias("kept"), F.sum(facts.probability(F.col("cv"))).alias("covered"))
+    free = lambda x: F.greatest(1 - x, F.lit(1e-12))
+    failure = F.when(F.col("kept").isNull(), 0.0).otherwise(F.log10(free(F.col("kept") / F.col("c")) / free(F.col("covered"))))
+    words = materialize(states.join(left.withColumnRenamed("u", "h"), "h", "left").select("word", "h", "c", "often", failure.alias("failure")), "words")
+    gain = F.log10((F.col("n") - DISCOUNT) / F.col("c")) - F.col("failure") - F.log10(facts.probability(F.col("cv")))
+    weighed = materialize(_attach(arcs, words, "u", ["c", "failure"]).select(F.xxhash64("u", "v").alias("key"), "m", gain.alias("gain")), "weights")
+    drop(arcs)
+    head = words.filter("often").toPandas().sort_values("h")  # at most 1 / HEAD words, start and end
+    root = np.log10((head["c"].to_numpy(dtype=np.int64) + ADD) / facts.norm)
+    # at most 1 / ARC bigrams; those without an arc are there so that none is dealt by key
+    pairs = np.sort(counted.filter(hot).select(F.xxhash64("u", "v").alias("key")).toPandas()["key"].to_numpy(dtype=np.int64))
+    heavy = weighed.filter(hot).select("key", "gain").toPandas()
+    gains = np.zeros(len(pairs))
+    gains[_find(pairs, heavy["key"].to_numpy(dtype=np.int64))] = heavy["gain"].to_numpy(dtype=np.float64)
+    drop(counted)
+    h, known, failures = head["h"].to_numpy(dtype=np.int64), head["c"].to_numpy(dtype=np.int64) > 0, head["failure"].to_numpy(dtype=np.float64)
+    end, start = _find(h, np.array([END, START]))
+    model = Automaton(h, known, root, failures, pairs, gains, root[end], bool(known[end]), failures[start])
+    return model, facts, words.filter("word is not null").select("word", "c", "failure"), weighed.filter(~hot).select("key", "gain")
+
+
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>, times array<long>, " + ", ".join(f"pairs{i} array<long>" for i in range(PARTS))
+
+
+def _lists(values: pa.Array, text: np.ndarray, n: int) -> pa.ListArray:
+    """A list for each of ``n`` texts; ``text`` (ascending) is the text of each value."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), values)
+
+
+def scored(docs: DataFrame, model: Automaton) -> DataFrame:
+    """Sums over each text but for its rarer words and bigrams; these words with their counts, and these bigrams."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, row = shared.value, TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 4 << 20):
             n = batch.num_rows
             coded, counts = tokens(batch.column("text"))
-            token, first = _sequence(coded, counts, model.ids(coded.dictionary), model.end)
-            text = np.repeat(np.arange(n), counts + 1)
-            known = token >= 0
-            base = np.where(known, model.root[token], 0.0)
-            spoken = np.bincount(text, weights=model.traverse(token, first), minlength=n)
-            # the end token is known where there was a training text
-            n_known = np.bincount(text[known], minlength=n) - (facts.texts == 0)
-            rare = np.flatnonzero(~known[np.delete(np.arange(len(token)), first + counts)])
-            word_text = np.repeat(np.arange(n), counts)
-            pair, times = np.unique(word_text[rare] * len(coded.dictionary) + coded.indices.to_numpy()[rare], return_counts=True)
-            at = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(coded.dictionary)), minlength=n))])
-            offsets = pa.array(at, pa.int32())
-            names = coded.dictionary.take(pa.array(pair % max(1, len(coded.dictionary))))
+            size, codes = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
+            hashes = np.append(_hashes(coded.dictionary), [END, START])
+            place = _find(model.words, hashes[:size])[codes]
+            near, text = place >= 0, np.repeat(np.arange(n), counts)
+            sums = lambda values: np.bincount(text[near], weights=values[place[near]], minlength=n)
+            base = sums(model.root) + model.end_root
+            token, state = _sequence(coded, counts)
+            key, text_of = pair_keys(hashes[state], hashes[token]), np.repeat(np.arange(n), counts + 1)
+            at = _find(model.pairs, key)
+            hot = at >= 0
+            lots = [np.flatnonzero(~hot & (key % PARTS == i)) for i in range(PARTS)]
+            gained = np.bincount(text_of[hot], weights=model.gains[at[hot]], minlength=n)
+            pair, times = np.unique(text[~near] * max(1, size) + codes[~near], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row + np.arange(n)),
                     batch.column("doc_id"),
                     batch.column("held_out"),
-                    pa.array(counts + 1),
-                    pa.array(n_known),
-                    pa.array(np.bincount(text, weights=base, minlength=n)),
-                    pa.array(spoken),
-                    pa.ListArray.from_arrays(offsets, names),
-                    pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int64))),
+                    pa.array(counts + 1, pa.int64()),
+                    pa.array(sums(model.trained.astype(np.float64)).astype(np.int64) + model.end_known),
+                    pa.array(base),
+                    pa.array(base + sums(model.failure) + model.start_failure + gained),
+                    _lists(coded.dictionary.take(pa.array(pair % max(1, size))), pair // max(1, size), n),
+                    _lists(pa.array(times.astype(np.int64)), pair // max(1, size), n),
+                    *(_lists(pa.array(key[x]), text_of[x], n) for x in lots),
                 ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times"],
+                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times", *(f"pairs{i}" for i in range(PARTS))],
             )
             row += n
 
@@ -205,16 +257,24 @@ def scored(docs: DataFrame, model: Automaton, facts: Facts) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
     texts = split(docs)
-    training = texts.filter(~F.col("held_out"))
-    vocabulary = materialize(unigrams(training), "vocabulary")
-    model, facts = train(training, vocabulary)
-    sums = materialize(scored(texts, model, facts), "scores")
+    vocabulary = materialize(unigrams(texts), "vocabulary")
+    model, facts, words, arcs = train(texts, vocabulary)
+    drop(vocabulary)
+    sums = materialize(scored(texts, model), "scores")
+    gains = []
+    for i in range(PARTS):
+        # arcs are fewer than what they meet, and as many as the input has: hashed by partition, nothing is sorted
+        met = sums.select("row", F.explode(f"pairs{i}").alias("key")).join(arcs.filter(F.pmod("key", F.lit(PARTS)) == i).hint("shuffle_hash"), "key")
+        gains.append(materialize(met.groupBy("row").agg(F.sum("gain").alias("gain")), "gains"))
+    gained = reduce(DataFrame.unionByName, gains).groupBy("row").agg(F.sum("gain").alias("gain"))
     rare = sums.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    found = rare.join(vocabulary, "word", "left")
-    each = F.log10((F.coalesce("c", F.lit(0)) + ADD) / F.lit(facts.norm))
-    added = found.groupBy("row").agg(F.sum(F.col("times") * each).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known"))
-    more = F.coalesce("more", F.lit(0.0))
-    return sums.join(added, "row", "left").select(
+    each = F.log10(facts.probability(F.col("c")))
+    added = rare.join(words, "word").groupBy("row").agg(
+        F.sum(F.col("times") * each).alias("more"), F.sum(F.col("times") * F.col("failure")).alias("fallen"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return sums.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score").join(added, "row", "left").join(gained, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(facts.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"),
+        F.lit(facts.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + zero("more")).alias("base_score"),
+        (F.col("score") + zero("more") + zero("fallen") + zero("gain")).alias("score"),
     )

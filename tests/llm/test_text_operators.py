@@ -163,6 +163,27 @@ def test_backoff_automaton(docs, edge):
     assert backoff.score(docs([])).count() == 0
 
 
+def test_backoff_keeps_every_bigram(docs, edge, monkeypatch):
+    """Shares steer only what is broadcast; a bigram seen twice is an arc in any corpus."""
+    rows = edge + [(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 40)) + f" The end of x{i // 2}") for i in range(100, 160)]
+    key = lambda r: tuple((x is None, x or 0) for x in tuple(r)[:4]) + (round(r["base_score"], 6),)
+    found = []
+    for head, arc in ((0, 0), (1e-3, 1e-3), (1e-2, 1.0)):
+        monkeypatch.setattr(backoff, "HEAD", head)
+        monkeypatch.setattr(backoff, "ARC", arc)
+        found.append(sorted(backoff.score(docs(rows)).collect(), key=key))
+    for other in found[1:]:
+        for a, b in zip(found[0], other, strict=True):
+            assert tuple(a)[:5] == tuple(b)[:5] and np.allclose(tuple(a)[5:], tuple(b)[5:], rtol=1e-9)
+
+
+def test_pair_keys_are_sparks(spark):
+    pairs = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, (50, 2), dtype=np.int64)
+    rows = spark.createDataFrame(pairs.tolist(), "u long, v long").selectExpr("u", "v", "xxhash64(u, v) as k", "xxhash64('é日') as w").collect()
+    assert backoff.pair_keys(*np.array([(r["u"], r["v"]) for r in rows]).T.copy()).tolist() == [r["k"] for r in rows]
+    assert backoff._digest("é日".encode()) == rows[0]["w"]
+
+
 def test_importance(spark, docs, edge):
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(300)]
