@@ -1,28 +1,33 @@
 """Weighted backoff automaton for language-model scoring (operator 6).
 
-Every training text counts, and so does every bigram seen ``LEAST`` times in
-them, whatever the corpus. An arc's weight is the discounted log probability; a
-state's failure arc leads to the root and carries what the discount set free.
-The root's arcs are the smoothed unigrams of all words. The automaton lies in
-tables. Words over a share of ``HEAD`` of all tokens and bigrams over a share of
-``ARC`` are broadcast, as they could not be dealt by key: their number is bounded
-by the inverse share. All others are joined to the texts' own words and bigrams.
-A text's score is the sum of its words' root and failure arcs, corrected at each
-bigram that has an arc.
-
-Words are told apart by 64-bit hashes where bigrams are counted, bigrams by
-64-bit hashes of these where texts meet arcs.
-
-A text without a doc_id is held out. Null and empty texts are their end token.
-Repeated rows count and are scored each. Other columns are ignored; an empty
-table gives an empty result.
+States are histories of at most two words that training texts hold. An arc reads
+a word: its weight is the smoothed log10 probability of the n-gram, its target the
+longest known history that ends in the word. A state without an arc for a word
+has a failure arc to the history without its first word; its weight is the mass
+that smoothing leaves to shorter histories. The root reads every word. A text is
+traversed once, from left to right: the traversal carries its state, follows
+failure arcs one after the other, and adds the weights it meets.
+
+Smoothing takes the shorter history as a Dirichlet prior of fixed mass, so the
+probabilities after any history sum to one: (c(hv) + m p(v | h')) / (c(h) + m).
+Every n-gram of every training text counts; nothing is pruned, whatever the size.
+
+The automaton is never in one place. Texts are bundled; a bundle sends its distinct
+n-grams, with their counts, to the parts of a hashed key range; a part sums the
+counts of all bundles and answers each with the totals of its own n-grams, from
+which the bundle's piece of the automaton is made. So n-grams travel once, hot
+ones once a bundle, and no task holds more than a part or a bundle. A text longer
+than a bundle is one of its own.
+
+N-grams are told apart by 62-bit hashes. A text without a doc_id is held out. Null
+and empty texts are their end token. Repeated rows count and are scored each.
+Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,38 +39,33 @@ from pyspark.sql import functions as F
 
 from .batches import slices
 from .quality_rules import split_words
-from .scratch import drop, materialize
+from .scratch import materialize
 
 ADD = 0.1
-HEAD = 3e-7
-ARC = 2e-6
-LEAST = 2  # a bigram seen less often is no arc
-DISCOUNT = 0.75
-SEED = 42  # of Spark's xxhash64
-PARTS = 4  # of the rarer bigrams by key, dealt one after another, so that less lies on disk at once
+#: Prior mass of the shorter history after one word and after two.
+MASS_1, MASS_2 = 200.0, 5.0
+BUNDLE = 2 << 20  # bytes of text in a bundle, about
+PART = 2 << 20  # n-grams that meet in a part, about
+SEED = 42
+CHUNK = 1 << 16  # positions that a traversal unpacks at once
 
 
 def _digest(word: bytes) -> int:
-    """Spark's xxhash64 of a string."""
-    h = xxhash.xxh64_intdigest(word, SEED)
-    return h - (1 << 64) if h >> 63 else h
+    return xxhash.xxh64_intdigest(word, SEED)
 
 
 START, END = _digest(b" start"), _digest(b" end")  # no word has a blank
 
 
-def _hash_long(values: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turned = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
-    h = turned((seed + p5 + np.uint64(8)) ^ turned(values * p2, 31) * p1, 27) * p1 + p4
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    return h ^ h >> np.uint64(32)
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
 
-def pair_keys(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of two longs."""
-    return _hash_long(v.view(np.uint64), _hash_long(u.view(np.uint64), np.full(len(u), SEED, dtype=np.uint64))).view(np.int64)
+def _tagged(key: np.ndarray, order: int) -> np.ndarray:
+    return key & ~np.uint64(3) | np.uint64(order)
 
 
 def tokens(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
@@ -80,201 +80,222 @@ def split(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.crc32(key.cast("binary")) % 10 == 0).alias("held_out"))
 
 
-def unigrams(texts: DataFrame) -> DataFrame:
-    """word, its hash h, c (in training texts) and m (in all) of every word."""
+BUNDLES = "bundle long, doc_ids array<long>, held array<boolean>, counts binary, codes binary, hashes binary, n_all long, n_train long, train_texts long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            coded, counts = tokens(batch.column("text"))
-            at, size = coded.indices.to_numpy(), len(coded.dictionary)
-            train = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), counts)
-            yield pa.RecordBatch.from_arrays(
-                [coded.dictionary, pa.array(np.bincount(at[train], minlength=size).astype(np.int64)), pa.array(np.bincount(at, minlength=size).astype(np.int64))], ["word", "c", "m"]
-            )
-
-    found = texts.select("text", "held_out").mapInArrow(run, "word string, c long, m long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("m").alias("m"))
-    return found.select("word", F.xxhash64("word").alias("h"), "c", "m")
-
-
-def _hashes(dictionary: pa.Array) -> np.ndarray:
-    return np.fromiter((_digest(w) for w in dictionary.cast(pa.binary()).to_pylist()), dtype=np.int64, count=len(dictionary))
 
-
-def _sequence(coded: pa.DictionaryArray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the words with an end (the dictionary's size) after each text, and the states before (one more: a text's start)."""
-    end = len(coded.dictionary)
-    token = np.insert(coded.indices.to_numpy().astype(np.int64), np.cumsum(counts), end)
-    state = np.concatenate([[end + 1], token[:-1]])
-    state[state == end] = end + 1
-    return token, state
-
-
-def bigrams(texts: DataFrame) -> DataFrame:
-    """Hashes u and v, n (in training texts) and m (in all) of all bigrams, texts' starts and ends included."""
+def bundles(texts: DataFrame) -> DataFrame:
+    """Texts as coded words, one row a bundle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        number = TaskContext.get().partitionId() << 32
+        for batch in slices(batches, "text", BUNDLE):
             coded, counts = tokens(batch.column("text"))
-            token, state = _sequence(coded, counts)
-            hashes = np.append(_hashes(coded.dictionary), [END, START])
-            key = pa.array(state * len(hashes) + token).dictionary_encode()
-            at, pair = key.indices.to_numpy(), key.dictionary.to_numpy()
-            train = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), counts + 1)
-            n, m = (np.bincount(x, minlength=len(pair)).astype(np.int64) for x in (at[train], at))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[pair // len(hashes)]), pa.array(hashes[pair % len(hashes)]), pa.array(n), pa.array(m)], ["u", "v", "n", "m"])
-
-    return texts.select("text", "held_out").mapInArrow(run, "u long, v long, n long, m long").groupBy("u", "v").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+            held = batch.column("held_out").to_numpy(zero_copy_only=False)
+            hashes = np.fromiter(map(_digest, coded.dictionary.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+            row = {
+                "bundle": [number],
+                "doc_ids": pa.array([batch.column("doc_id")], pa.list_(pa.int64())),
+                "held": pa.array([batch.column("held_out")], pa.list_(pa.bool_())),
+                "counts": [counts.astype("<i4").tobytes()],
+                "codes": [coded.indices.to_numpy().astype("<i4").tobytes()],
+                "hashes": [hashes.tobytes()],
+                "n_all": [int((counts + 1).sum())],
+                "n_train": [int((counts[~held] + 1).sum())],
+                "train_texts": [int((~held).sum())],
+            }
+            yield pa.RecordBatch.from_pydict(row)
+            number += 1
+
+    return texts.mapInArrow(run, BUNDLES)
+
+
+class Bundle:
+    """N-grams at each position of a bundle's texts, ends included, and their distinct keys in ascending order."""
+
+    def __init__(self, row: dict):
+        counts = np.frombuffer(row["counts"], dtype="<i4").astype(np.int64)
+        codes = np.frombuffer(row["codes"], dtype="<i4").astype(np.int64)
+        hashes = np.append(np.frombuffer(row["hashes"], dtype=np.uint64), np.array([END, START], dtype=np.uint64))
+        end, start = len(hashes) - 2, len(hashes) - 1
+        self.lengths = counts + 1
+        self.ends = np.cumsum(self.lengths)
+        token = np.insert(codes, np.cumsum(counts), end)
+        before = np.concatenate([[start], token[:-1]])
+        before[before == end] = start
+        self.first = before == start  # of their texts
+        word = hashes[token]
+        pair = _mixed(hashes[before], word)
+        self.inner = np.flatnonzero(~self.first)  # positions that two words stand before, or a start and a word
+        triple = _mixed(pair[self.inner - 1], word[self.inner])
+        every = np.concatenate([_tagged(word, 1), _tagged(pair, 2), _tagged(triple, 3)])
+        self.keys, self.at = np.unique(every, return_inverse=True)
+        self.trained = np.repeat(~np.array(row["held"], dtype=bool), self.lengths)
+
+    def counts(self) -> np.ndarray:
+        """How often the bundle's training texts hold each key."""
+        weights = np.concatenate([self.trained, self.trained, self.trained[self.inner]])
+        return np.bincount(self.at, weights=weights, minlength=len(self.keys)).astype("<u4")
+
+    def totals(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Totals of the word, the pair and the triple that end at each position."""
+        n = len(self.first)
+        each = found[self.at].astype(np.int64)
+        triple = np.zeros(n, dtype=np.int64)
+        triple[self.inner] = each[2 * n :]
+        return each[:n], each[n : 2 * n], triple
+
+
+def _shares(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where the ascending keys of each part begin, and the end."""
+    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+def _squeezed(keys: np.ndarray) -> bytes:
+    """Gaps of ascending keys, byte plane by byte plane, of which the upper ones compress."""
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unsqueezed(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def asked(table: DataFrame, parts: int) -> DataFrame:
+    """part, bundle, and the bundle's keys of this part with their counts."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                b = Bundle(row)
+                n, cuts = b.counts(), _shares(b.keys, parts)
+                full = np.flatnonzero(np.diff(cuts))
+                some = [slice(cuts[p], cuts[p + 1]) for p in full]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int32()), pa.array([row["bundle"]] * len(full), pa.int64()), pa.array([_squeezed(b.keys[s]) for s in some], pa.binary()), pa.array([n[s].tobytes() for s in some], pa.binary())],
+                    ["part", "bundle", "keys", "n"],
+                )
 
-@dataclass
-class Automaton:
-    """What is broadcast: frequent words and bigrams, each by ascending hash."""
+    return table.mapInArrow(run, "part int, bundle long, keys binary, n binary")
 
-    words: np.ndarray
-    trained: np.ndarray  # whether a training text has the word
-    root: np.ndarray  # log10 probability
-    failure: np.ndarray  # log10 weight of its failure arc to the root
-    pairs: np.ndarray
-    gains: np.ndarray  # log10 weight of an arc over that of falling; 0 without an arc
-    end_root: float
-    end_known: bool
-    start_failure: float
 
+def answered(questions: DataFrame, parts: int) -> DataFrame:
+    """For each bundle and part the totals of its keys; a row without a bundle holds how many words of the part are trained."""
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Places of the keys, -1 for those that are not there."""
-    if not len(sorted_keys):
-        return np.full(len(keys), -1)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return np.where(sorted_keys[at] == keys, at, -1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in batch.to_pylist()]  # one part
+        if not rows:
+            return
+        sizes = [len(r["n"]) // 4 for r in rows]
+        keys, at = np.unique(np.concatenate([_unsqueezed(r["keys"]) for r in rows]), return_inverse=True)
+        total = np.bincount(at, weights=np.frombuffer(b"".join(r["n"] for r in rows), dtype="<u4"), minlength=len(keys)).astype("<u4")
+        words = int(((keys & np.uint64(3) == 1) & (total > 0)).sum())
+        found, cuts = total[at], np.cumsum([0, *sizes])
+        answers = [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([None, *(r["bundle"] for r in rows)], pa.int64()), pa.array([rows[0]["part"]] * (len(rows) + 1), pa.int32()), pa.array([None, *answers], pa.binary()), pa.array([words] + [0] * len(rows), pa.int64())],
+            ["bundle", "part", "total", "words"],
+        )
+
+    return questions.repartitionById(parts, F.col("part")).mapInArrow(run, "bundle long, part int, total binary, words long")
 
 
 @dataclass
 class Facts:
-    texts: int
     tokens: int  # N
     kinds: int  # V
-    everywhere: int  # tokens of all texts
+    texts: int  # training texts
 
     @property
     def norm(self) -> float:
         return self.tokens + ADD * (self.kinds + 1)
 
-    def probability(self, c):
-        return (c + ADD) / F.lit(self.norm)
-
-
-def _attach(arcs: DataFrame, states: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Adds columns of the states ``key`` to arcs; frequent words have many arcs, so they are broadcast, the others have few."""
-    named = states.select(F.col("h").alias(key), "often", *columns)
-    head, rest = (named.filter(x).drop("often") for x in (F.col("often"), ~F.col("often")))
-    near = arcs.join(F.broadcast(head), key)
-    return near.unionByName(arcs.join(F.broadcast(head.select(key)), key, "left_anti").join(rest, key))
-
-
-def train(texts: DataFrame, vocabulary: DataFrame) -> tuple[Automaton, Facts, DataFrame, DataFrame]:
-    """The broadcast part, totals, words (word, c, failure) and arcs of rarer bigrams (key, gain); ``vocabulary`` holds all words."""
-    spark = texts.sparkSession
-    seen = texts.agg(F.count("*").alias("all"), F.count(F.when(~F.col("held_out"), 1)).alias("n")).first()
-    sums = vocabulary.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in "cm"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
-    facts = Facts(seen["n"], sums["c"] + seen["n"], sums["v"] + (seen["n"] > 0), sums["m"] + seen["all"])
-    marks = spark.createDataFrame([(None, h, facts.texts, facts.everywhere) for h in (START, END)], "word string, h long, c long, m long")
-    states = vocabulary.unionByName(marks).withColumn("often", F.col("m") >= HEAD * facts.everywhere)
-    hot = F.col("m") >= ARC * facts.everywhere
-    counted = materialize(bigrams(texts).filter((F.col("n") >= LEAST) | hot), "bigrams")
-    arcs = materialize(_attach(counted.filter(F.col("n") >= LEAST), states.withColumnRenamed("c", "cv"), "v", ["cv"]), "arcs")
-    left = arcs.groupBy("u").agg(F.sum(F.col("n") - DISCOUNT).alias("kept"), F.sum(facts.probability(F.col("cv"))).alias("covered"))
-    free = lambda x: F.greatest(1 - x, F.lit(1e-12))
-    failure = F.when(F.col("kept").isNull(), 0.0).otherwise(F.log10(free(F.col("kept") / F.col("c")) / free(F.col("covered"))))
-    words = materialize(states.join(left.withColumnRenamed("u", "h"), "h", "left").select("word", "h", "c", "often", failure.alias("failure")), "words")
-    gain = F.log10((F.col("n") - DISCOUNT) / F.col("c")) - F.col("failure") - F.log10(facts.probability(F.col("cv")))
-    weighed = materialize(_attach(arcs, words, "u", ["c", "failure"]).select(F.xxhash64("u", "v").alias("key"), "m", gain.alias("gain")), "weights")
-    drop(arcs)
-    head = words.filter("often").toPandas().sort_values("h")  # at most 1 / HEAD words, start and end
-    root = np.log10((head["c"].to_numpy(dtype=np.int64) + ADD) / facts.norm)
-    # at most 1 / ARC bigrams; those without an arc are there so that none is dealt by key
-    pairs = np.sort(counted.filter(hot).select(F.xxhash64("u", "v").alias("key")).toPandas()["key"].to_numpy(dtype=np.int64))
-    heavy = weighed.filter(hot).select("key", "gain").toPandas()
-    gains = np.zeros(len(pairs))
-    gains[_find(pairs, heavy["key"].to_numpy(dtype=np.int64))] = heavy["gain"].to_numpy(dtype=np.float64)
-    drop(counted)
-    h, known, failures = head["h"].to_numpy(dtype=np.int64), head["c"].to_numpy(dtype=np.int64) > 0, head["failure"].to_numpy(dtype=np.float64)
-    end, start = _find(h, np.array([END, START]))
-    model = Automaton(h, known, root, failures, pairs, gains, root[end], bool(known[end]), failures[start])
-    return model, facts, words.filter("word is not null").select("word", "c", "failure"), weighed.filter(~hot).select("key", "gain")
-
-
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<string>, times array<long>, " + ", ".join(f"pairs{i} array<long>" for i in range(PARTS))
-
-
-def _lists(values: pa.Array, text: np.ndarray, n: int) -> pa.ListArray:
-    """A list for each of ``n`` texts; ``text`` (ascending) is the text of each value."""
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32()), values)
-
-
-def scored(docs: DataFrame, model: Automaton) -> DataFrame:
-    """Sums over each text but for its rarer words and bigrams; these words with their counts, and these bigrams."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+@dataclass
+class Automaton:
+    """The arcs that the positions of a bundle can take, as log10 weights (NaN: no such arc), and where they lead."""
+
+    root: np.ndarray  # from the root
+    one: np.ndarray  # from the word before
+    two: np.ndarray  # from the two words before
+    fall_one: np.ndarray  # failure arc of the word before, to the root
+    fall_two: np.ndarray  # failure arc of the two words before, to the word before
+    target: np.ndarray  # words of the longest known history behind the position
+    known: np.ndarray  # whether a training text has the word
+
+    @classmethod
+    def of(cls, bundle: Bundle, found: np.ndarray, facts: Facts, mass_1: float = MASS_1, mass_2: float = MASS_2) -> Automaton:
+        c1, c2, c3 = bundle.totals(found)
+        h1 = np.where(bundle.first, facts.texts, np.roll(c1, 1))  # how often the history of one word stands in training texts
+        h2 = np.where(bundle.first, 0, np.roll(c2, 1))
+        p1 = (c1 + ADD) / facts.norm
+        p2 = (c2 + mass_1 * p1) / (h1 + mass_1)
+        p3 = (c3 + mass_2 * p2) / (h2 + mass_2)
+        arcs = lambda p, c: np.where(c > 0, np.log10(p), np.nan)
+        return cls(np.log10(p1), arcs(p2, c2), arcs(p3, c3), np.log10(mass_1 / (h1 + mass_1)), np.log10(mass_2 / (h2 + mass_2)), np.where(c2 > 0, 2, np.where(c1 > 0, 1, 0)), c1 > 0)
+
+    def traverse(self, lengths: np.ndarray) -> list[float]:
+        """The score of each text, from the state of its start."""
+        scores, left, n = [], 0, iter(lengths.tolist())
+        for a in range(0, len(self.root), CHUNK):
+            steps = (x[a : a + CHUNK].tolist() for x in (self.two, self.one, self.root, self.fall_two, self.fall_one, self.target))
+            for two, one, root, fall_two, fall_one, target in zip(*steps):
+                if not left:
+                    left, state, total = next(n), 1, 0.0
+                if state == 2:
+                    if two == two:
+                        weight = two
+                    else:
+                        total += fall_two
+                        state = 1
+                if state == 1:
+                    if one == one:
+                        weight = one
+                    else:
+                        total += fall_one
+                        state = 0
+                if state == 0:
+                    weight = root
+                total += weight
+                state = target
+                left -= 1
+                if not left:
+                    scores.append(total)
+        return scores
+
+
+def scored(table: DataFrame, answers: DataFrame, facts: Facts) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, base_score and score of the bundles' texts."""
+    found = answers.filter("bundle is not null").groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("part", "total"))).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, row = shared.value, TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text", 4 << 20):
-            n = batch.num_rows
-            coded, counts = tokens(batch.column("text"))
-            size, codes = len(coded.dictionary), coded.indices.to_numpy().astype(np.int64)
-            hashes = np.append(_hashes(coded.dictionary), [END, START])
-            place = _find(model.words, hashes[:size])[codes]
-            near, text = place >= 0, np.repeat(np.arange(n), counts)
-            sums = lambda values: np.bincount(text[near], weights=values[place[near]], minlength=n)
-            base = sums(model.root) + model.end_root
-            token, state = _sequence(coded, counts)
-            key, text_of = pair_keys(hashes[state], hashes[token]), np.repeat(np.arange(n), counts + 1)
-            at = _find(model.pairs, key)
-            hot = at >= 0
-            lots = [np.flatnonzero(~hot & (key % PARTS == i)) for i in range(PARTS)]
-            gained = np.bincount(text_of[hot], weights=model.gains[at[hot]], minlength=n)
-            pair, times = np.unique(text[~near] * max(1, size) + codes[~near], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(row + np.arange(n)),
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(counts + 1, pa.int64()),
-                    pa.array(sums(model.trained.astype(np.float64)).astype(np.int64) + model.end_known),
-                    pa.array(base),
-                    pa.array(base + sums(model.failure) + model.start_failure + gained),
-                    _lists(coded.dictionary.take(pa.array(pair % max(1, size))), pair // max(1, size), n),
-                    _lists(pa.array(times.astype(np.int64)), pair // max(1, size), n),
-                    *(_lists(pa.array(key[x]), text_of[x], n) for x in lots),
-                ],
-                ["row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "times", *(f"pairs{i}" for i in range(PARTS))],
-            )
-            row += n
-
-    return docs.mapInArrow(run, SCORED)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                b = Bundle(row)
+                automaton = Automaton.of(b, np.frombuffer(b"".join(x["total"] for x in row["found"]), dtype="<u4"), facts)
+                starts = b.ends - b.lengths
+                known = np.add.reduceat(automaton.known.astype(np.int64), starts)
+                columns = [
+                    pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(b.lengths), pa.array(known),
+                    pa.array(np.add.reduceat(automaton.root, starts)), pa.array(automaton.traverse(b.lengths)),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    met = table.join(found, "bundle")
+    return met.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text."""
-    texts = split(docs)
-    vocabulary = materialize(unigrams(texts), "vocabulary")
-    model, facts, words, arcs = train(texts, vocabulary)
-    drop(vocabulary)
-    sums = materialize(scored(texts, model), "scores")
-    gains = []
-    for i in range(PARTS):
-        # arcs are fewer than what they meet, and as many as the input has: hashed by partition, nothing is sorted
-        met = sums.select("row", F.explode(f"pairs{i}").alias("key")).join(arcs.filter(F.pmod("key", F.lit(PARTS)) == i).hint("shuffle_hash"), "key")
-        gains.append(materialize(met.groupBy("row").agg(F.sum("gain").alias("gain")), "gains"))
-    gained = reduce(DataFrame.unionByName, gains).groupBy("row").agg(F.sum("gain").alias("gain"))
-    rare = sums.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("word"), F.col("r.times").alias("times"))
-    each = F.log10(facts.probability(F.col("c")))
-    added = rare.join(words, "word").groupBy("row").agg(
-        F.sum(F.col("times") * each).alias("more"), F.sum(F.col("times") * F.col("failure")).alias("fallen"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("known")
-    )
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    return sums.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score").join(added, "row", "left").join(gained, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-        F.lit(facts.tokens).cast("long").alias("train_tokens"), (F.col("base_score") + zero("more")).alias("base_score"),
-        (F.col("score") + zero("more") + zero("fallen") + zero("gain")).alias("score"),
-    )
+    table = materialize(bundles(split(docs)), "bundles")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    seen = table.agg(zero("n_all"), zero("n_train"), zero("train_texts")).first()
+    parts = max(1, -(-3 * seen["n_all"] // PART))  # three orders
+    answers = materialize(answered(asked(table, parts), parts), "totals")
+    kinds = answers.agg(zero("words")).first()["words"]
+    facts = Facts(seen["n_train"], kinds, seen["train_texts"])
+    found = scored(table, answers, facts)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(facts.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from swarmlake.llm import backoff, components, importance, quality_rules, simhash
@@ -132,56 +133,51 @@ def test_cascade_order_does_not_change_verdicts(docs):
         assert {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs(rows), rules).collect()} == {0: False, 1: True, 2: False}
 
 
-def test_backoff_automaton(docs, edge):
-    rows = edge + [(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 40)) + " The end") for i in range(100, 160)]
-    got = backoff.score(docs(rows)).collect()
+def brute_scores(rows):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
-    texts = [(i, WORD.findall(lower(t))) for i, t in rows]
+    texts = [(i, ["<s>", *WORD.findall(lower(t)), None]) for i, t in rows]
     train = [w for i, w in texts if not held(i)]
-    c = Counter(x for w in train for x in w)
-    n_tokens, kinds = sum(c.values()) + len(train), len(c) + 1
-    norm = n_tokens + 0.1 * (kinds + 1)
-    p = lambda w: ((len(train) if w is None else c[w]) + 0.1) / norm
-    pairs = Counter(x for w in train for x in zip(["<s>", *w], [*w, None]))
-    least = max(backoff.LEAST, backoff.ARC * n_tokens)
-    arcs = {}
-    for (u, v), n in pairs.items():
-        if n >= least:
-            arcs.setdefault(u, {})[v] = (n - backoff.DISCOUNT) / (len(train) if u == "<s>" else c[u])
-    want = []
+    grams = Counter(tuple(w[k - n : k]) for w in train for k in range(2, len(w) + 1) for n in (1, 2, 3) if n <= k and w[k - 1 : k] != ["<s>"])
+    starts = len(train)
+    n_tokens = sum(len(w) - 1 for w in train)
+    kinds = sum(len(g) == 1 for g in grams)
+    seen = lambda h: starts if h == ("<s>",) else grams[h]
+
+    def p(h, v):
+        if not h:
+            return (grams[v,] + 0.1) / (n_tokens + 0.1 * (kinds + 1))
+        mass = backoff.MASS_1 if len(h) == 1 else backoff.MASS_2
+        return (grams[(*h, v)] + mass * p(h[1:], v)) / (seen(h) + mass)
+
     for i, w in texts:
-        score, u = 0.0, "<s>"
-        for v in [*w, None]:
-            a = arcs.get(u, {})
-            free = math.log10(max(1 - sum(a.values()), 1e-12) / max(1 - sum(map(p, a)), 1e-12)) if a else 0.0
-            score += math.log10(a[v]) if v in a else free + math.log10(p(v))
-            u = v
-        want.append((i, held(i), len(w) + 1, sum(c[x] > 0 for x in w) + 1, n_tokens, sum(math.log10(p(v)) for v in [*w, None]), score))
+        steps = [(tuple(w[max(0, k - 2) : k]), w[k]) for k in range(1, len(w))]
+        base = sum(math.log10(p((), v)) for _, v in steps)
+        yield i, held(i), len(steps), sum(grams[v,] > 0 for _, v in steps), n_tokens, base, sum(math.log10(p(h, v)) for h, v in steps)
+
+
+@pytest.mark.parametrize(("bundle", "part"), [(1 << 20, 1 << 20), (300, 64)])
+def test_backoff_automaton(docs, edge, monkeypatch, bundle, part):
+    """Whatever the size of bundles and parts, scores are those of the whole model."""
+    monkeypatch.setattr(backoff, "BUNDLE", bundle)
+    monkeypatch.setattr(backoff, "PART", part)
+    rows = [(i, t if i != 9 else t[:4000]) for i, t in edge] + [(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 40)) + f" The end of x{i // 2}") for i in range(100, 130)]
     key = lambda r: tuple((x is None, x or 0) for x in tuple(r)[:4]) + (round(tuple(r)[5], 3),)
-    for a, b in zip(sorted(map(tuple, got), key=key), sorted(want, key=key), strict=True):
+    for a, b in zip(sorted(map(tuple, backoff.score(docs(rows)).collect()), key=key), sorted(brute_scores(rows), key=key), strict=True):
         assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-9)
+
+
+def test_backoff_of_nothing(docs):
     assert backoff.score(docs([])).count() == 0
 
 
-def test_backoff_keeps_every_bigram(docs, edge, monkeypatch):
-    """Shares steer only what is broadcast; a bigram seen twice is an arc in any corpus."""
-    rows = edge + [(i, " ".join(f"w{(i * k) % 17}" for k in range(1, 40)) + f" The end of x{i // 2}") for i in range(100, 160)]
-    key = lambda r: tuple((x is None, x or 0) for x in tuple(r)[:4]) + (round(r["base_score"], 6),)
-    found = []
-    for head, arc in ((0, 0), (1e-3, 1e-3), (1e-2, 1.0)):
-        monkeypatch.setattr(backoff, "HEAD", head)
-        monkeypatch.setattr(backoff, "ARC", arc)
-        found.append(sorted(backoff.score(docs(rows)).collect(), key=key))
-    for other in found[1:]:
-        for a, b in zip(found[0], other, strict=True):
-            assert tuple(a)[:5] == tuple(b)[:5] and np.allclose(tuple(a)[5:], tuple(b)[5:], rtol=1e-9)
-
-
-def test_pair_keys_are_sparks(spark):
-    pairs = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, (50, 2), dtype=np.int64)
-    rows = spark.createDataFrame(pairs.tolist(), "u long, v long").selectExpr("u", "v", "xxhash64(u, v) as k", "xxhash64('é日') as w").collect()
-    assert backoff.pair_keys(*np.array([(r["u"], r["v"]) for r in rows]).T.copy()).tolist() == [r["k"] for r in rows]
-    assert backoff._digest("é日".encode()) == rows[0]["w"]
+def test_backoff_probabilities_sum_to_one():
+    """After any history, over all words and the unknown one."""
+    facts = backoff.Facts(tokens=50, kinds=4, texts=3)
+    c1, c2, c3 = np.array([20, 15, 10, 5, 0]), np.array([6, 1, 0, 3, 0]), np.array([2, 0, 0, 1, 0])
+    p1 = (c1 + backoff.ADD) / facts.norm
+    p2 = (c2 + backoff.MASS_1 * p1) / (c2.sum() + backoff.MASS_1)
+    p3 = (c3 + backoff.MASS_2 * p2) / (c3.sum() + backoff.MASS_2)
+    assert np.allclose([p1.sum(), p2.sum(), p3.sum()], 1)
 
 
 def test_importance(spark, docs, edge):
