@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,7 @@ ADD = 0.1
 MASS_1, MASS_2 = 200.0, 5.0
 BUNDLE = 2 << 20  # bytes of text in a bundle, about
 PART = 2 << 20  # n-grams that meet in a part, about
+ROUNDS = 4  # in which parts are dealt one after another, so that less lies on disk at once
 SEED = 42
 CHUNK = 1 << 16  # positions that a traversal unpacks at once
 
@@ -110,7 +112,7 @@ def bundles(texts: DataFrame) -> DataFrame:
 
 
 class Bundle:
-    """N-grams at each position of a bundle's texts, ends included, and their distinct keys in ascending order."""
+    """N-grams at each position of a bundle's texts, ends included."""
 
     def __init__(self, row: dict):
         counts = np.frombuffer(row["counts"], dtype="<i4").astype(np.int64)
@@ -127,28 +129,30 @@ class Bundle:
         pair = _mixed(hashes[before], word)
         self.inner = np.flatnonzero(~self.first)  # positions that two words stand before, or a start and a word
         triple = _mixed(pair[self.inner - 1], word[self.inner])
-        every = np.concatenate([_tagged(word, 1), _tagged(pair, 2), _tagged(triple, 3)])
-        self.keys, self.at = np.unique(every, return_inverse=True)
-        self.trained = np.repeat(~np.array(row["held"], dtype=bool), self.lengths)
-
-    def counts(self) -> np.ndarray:
-        """How often the bundle's training texts hold each key."""
-        weights = np.concatenate([self.trained, self.trained, self.trained[self.inner]])
-        return np.bincount(self.at, weights=weights, minlength=len(self.keys)).astype("<u4")
+        self.every = np.concatenate([_tagged(word, 1), _tagged(pair, 2), _tagged(triple, 3)])
+        self.held = np.array(row["held"], dtype=bool)
+
+    def counts(self, low: int, high: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys of the parts from ``low`` to ``high``, ascending, and how often the bundle's training texts hold each."""
+        part = _part(self.every, parts)
+        some = (part >= low) & (part < high)
+        keys, at = np.unique(self.every[some], return_inverse=True)
+        trained = np.repeat(~self.held, self.lengths)
+        weights = np.concatenate([trained, trained, trained[self.inner]])[some]
+        return keys, np.bincount(at, weights=weights, minlength=len(keys)).astype("<u4")
 
     def totals(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Totals of the word, the pair and the triple that end at each position."""
+        """Totals of the word, the pair and the triple that end at each position, from those of the ascending keys."""
         n = len(self.first)
-        each = found[self.at].astype(np.int64)
+        each = found[np.unique(self.every, return_inverse=True)[1]].astype(np.int64)
         triple = np.zeros(n, dtype=np.int64)
         triple[self.inner] = each[2 * n :]
         return each[:n], each[n : 2 * n], triple
 
 
-def _shares(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where the ascending keys of each part begin, and the end."""
-    part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key, ascending with the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _squeezed(keys: np.ndarray) -> bytes:
@@ -162,26 +166,26 @@ def _unsqueezed(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def asked(table: DataFrame, parts: int) -> DataFrame:
-    """part, bundle, and the bundle's keys of this part with their counts."""
+def asked(table: DataFrame, low: int, high: int, parts: int) -> DataFrame:
+    """part, bundle, and the bundle's keys of this part with their counts, for the parts from ``low`` to ``high``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                b = Bundle(row)
-                n, cuts = b.counts(), _shares(b.keys, parts)
+                keys, n = Bundle(row).counts(low, high, parts)
+                cuts = np.searchsorted(_part(keys, parts), np.arange(low, high + 1))
                 full = np.flatnonzero(np.diff(cuts))
                 some = [slice(cuts[p], cuts[p + 1]) for p in full]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([row["bundle"]] * len(full), pa.int64()), pa.array([_squeezed(b.keys[s]) for s in some], pa.binary()), pa.array([n[s].tobytes() for s in some], pa.binary())],
+                    [pa.array(low + full, pa.int32()), pa.array([row["bundle"]] * len(full), pa.int64()), pa.array([_squeezed(keys[s]) for s in some], pa.binary()), pa.array([n[s].tobytes() for s in some], pa.binary())],
                     ["part", "bundle", "keys", "n"],
                 )
 
     return table.mapInArrow(run, "part int, bundle long, keys binary, n binary")
 
 
-def answered(questions: DataFrame, parts: int) -> DataFrame:
+def answered(questions: DataFrame, low: int, high: int) -> DataFrame:
     """For each bundle and part the totals of its keys; a row without a bundle holds how many words of the part are trained."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +203,7 @@ def answered(questions: DataFrame, parts: int) -> DataFrame:
             ["bundle", "part", "total", "words"],
         )
 
-    return questions.repartitionById(parts, F.col("part")).mapInArrow(run, "bundle long, part int, total binary, words long")
+    return questions.repartitionById(high - low, F.col("part") - low).mapInArrow(run, "bundle long, part int, total binary, words long")
 
 
 @dataclass
@@ -294,7 +298,9 @@ def score(docs: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     seen = table.agg(zero("n_all"), zero("n_train"), zero("train_texts")).first()
     parts = max(1, -(-3 * seen["n_all"] // PART))  # three orders
-    answers = materialize(answered(asked(table, parts), parts), "totals")
+    bounds = [parts * i // ROUNDS for i in range(ROUNDS + 1)]
+    rounds = [(low, high) for low, high in zip(bounds, bounds[1:]) if high > low]
+    answers = reduce(DataFrame.unionByName, [materialize(answered(asked(table, *some, parts), *some), "totals") for some in rounds])
     kinds = answers.agg(zero("words")).first()["words"]
     facts = Facts(seen["n_train"], kinds, seen["train_texts"])
     found = scored(table, answers, facts)
