@@ -98,8 +98,8 @@ def bundles(texts: DataFrame) -> DataFrame:
                 "bundle": [number],
                 "doc_ids": pa.array([batch.column("doc_id")], pa.list_(pa.int64())),
                 "held": pa.array([batch.column("held_out")], pa.list_(pa.bool_())),
-                "counts": [counts.astype("<i4").tobytes()],
-                "codes": [coded.indices.to_numpy().astype("<i4").tobytes()],
+                "counts": [_planes(counts.astype(np.int32))],
+                "codes": [_planes(coded.indices.to_numpy().astype(np.int32))],
                 "hashes": [hashes.tobytes()],
                 "n_all": [int((counts + 1).sum())],
                 "n_train": [int((counts[~held] + 1).sum())],
@@ -115,8 +115,8 @@ class Bundle:
     """N-grams at each position of a bundle's texts, ends included."""
 
     def __init__(self, row: dict):
-        counts = np.frombuffer(row["counts"], dtype="<i4").astype(np.int64)
-        codes = np.frombuffer(row["codes"], dtype="<i4").astype(np.int64)
+        counts = _numbers(row["counts"], np.int32).astype(np.int64)
+        codes = _numbers(row["codes"], np.int32).astype(np.int64)
         hashes = np.append(np.frombuffer(row["hashes"], dtype=np.uint64), np.array([END, START], dtype=np.uint64))
         end, start = len(hashes) - 2, len(hashes) - 1
         self.lengths = counts + 1
@@ -139,7 +139,7 @@ class Bundle:
         keys, at = np.unique(self.every[some], return_inverse=True)
         trained = np.repeat(~self.held, self.lengths)
         weights = np.concatenate([trained, trained, trained[self.inner]])[some]
-        return keys, np.bincount(at, weights=weights, minlength=len(keys)).astype("<u4")
+        return keys, np.bincount(at, weights=weights, minlength=len(keys)).astype(np.uint32)
 
     def totals(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Totals of the word, the pair and the triple that end at each position, from those of the ascending keys."""
@@ -155,15 +155,23 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: the upper planes of small ones compress to nothing."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _squeezed(keys: np.ndarray) -> bytes:
-    """Gaps of ascending keys, byte plane by byte plane, of which the upper ones compress."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Gaps of ascending keys."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def _unsqueezed(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
 
 
 def asked(table: DataFrame, low: int, high: int, parts: int) -> DataFrame:
@@ -178,7 +186,7 @@ def asked(table: DataFrame, low: int, high: int, parts: int) -> DataFrame:
                 full = np.flatnonzero(np.diff(cuts))
                 some = [slice(cuts[p], cuts[p + 1]) for p in full]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(low + full, pa.int32()), pa.array([row["bundle"]] * len(full), pa.int64()), pa.array([_squeezed(keys[s]) for s in some], pa.binary()), pa.array([n[s].tobytes() for s in some], pa.binary())],
+                    [pa.array(low + full, pa.int32()), pa.array([row["bundle"]] * len(full), pa.int64()), pa.array([_squeezed(keys[s]) for s in some], pa.binary()), pa.array([_planes(n[s]) for s in some], pa.binary())],
                     ["part", "bundle", "keys", "n"],
                 )
 
@@ -194,10 +202,10 @@ def answered(questions: DataFrame, low: int, high: int) -> DataFrame:
             return
         sizes = [len(r["n"]) // 4 for r in rows]
         keys, at = np.unique(np.concatenate([_unsqueezed(r["keys"]) for r in rows]), return_inverse=True)
-        total = np.bincount(at, weights=np.frombuffer(b"".join(r["n"] for r in rows), dtype="<u4"), minlength=len(keys)).astype("<u4")
+        total = np.bincount(at, weights=np.concatenate([_numbers(r["n"], np.uint32) for r in rows]), minlength=len(keys)).astype(np.uint32)
         words = int(((keys & np.uint64(3) == 1) & (total > 0)).sum())
         found, cuts = total[at], np.cumsum([0, *sizes])
-        answers = [found[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        answers = [_planes(found[a:b]) for a, b in zip(cuts, cuts[1:])]
         yield pa.RecordBatch.from_arrays(
             [pa.array([None, *(r["bundle"] for r in rows)], pa.int64()), pa.array([rows[0]["part"]] * (len(rows) + 1), pa.int32()), pa.array([None, *answers], pa.binary()), pa.array([words] + [0] * len(rows), pa.int64())],
             ["bundle", "part", "total", "words"],
@@ -279,7 +287,7 @@ def scored(table: DataFrame, answers: DataFrame, facts: Facts) -> DataFrame:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 b = Bundle(row)
-                automaton = Automaton.of(b, np.frombuffer(b"".join(x["total"] for x in row["found"]), dtype="<u4"), facts)
+                automaton = Automaton.of(b, np.concatenate([_numbers(x["total"], np.uint32) for x in row["found"]]), facts)
                 starts = b.ends - b.lengths
                 known = np.add.reduceat(automaton.known.astype(np.int64), starts)
                 columns = [
