@@ -33,12 +33,11 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import mixed, slices, word_hash
 from .quality_rules import split_words
 from .scratch import materialize
 
@@ -48,22 +47,10 @@ MASS_1, MASS_2 = 200.0, 5.0
 BUNDLE = 2 << 20  # bytes of text in a bundle, about
 PART = 2 << 20  # n-grams that meet in a part, about
 ROUNDS = 4  # in which parts are dealt one after another, so that less lies on disk at once
-SEED = 42
 CHUNK = 1 << 16  # positions that a traversal unpacks at once
 
 
-def _digest(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, SEED)
-
-
-START, END = _digest(b" start"), _digest(b" end")  # no word has a blank
-
-
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = a * np.uint64(0x9E3779B97F4A7C15) + b
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
+START, END = word_hash(b" start"), word_hash(b" end")  # no word has a blank
 
 
 def _tagged(key: np.ndarray, order: int) -> np.ndarray:
@@ -93,7 +80,7 @@ def bundles(texts: DataFrame) -> DataFrame:
         for batch in slices(batches, "text", BUNDLE):
             coded, counts = tokens(batch.column("text"))
             held = batch.column("held_out").to_numpy(zero_copy_only=False)
-            hashes = np.fromiter(map(_digest, coded.dictionary.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+            hashes = np.fromiter(map(word_hash, coded.dictionary.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
             row = {
                 "bundle": [number],
                 "doc_ids": pa.array([batch.column("doc_id")], pa.list_(pa.int64())),
@@ -126,9 +113,9 @@ class Bundle:
         before[before == end] = start
         self.first = before == start  # of their texts
         word = hashes[token]
-        pair = _mixed(hashes[before], word)
+        pair = mixed(hashes[before], word)
         self.inner = np.flatnonzero(~self.first)  # positions that two words stand before, or a start and a word
-        triple = _mixed(pair[self.inner - 1], word[self.inner])
+        triple = mixed(pair[self.inner - 1], word[self.inner])
         self.every = np.concatenate([_tagged(word, 1), _tagged(pair, 2), _tagged(triple, 3)])
         self.held = np.array(row["held"], dtype=bool)
 

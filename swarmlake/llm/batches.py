@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,3 +48,15 @@ def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
 def renamed(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
     """The columns ``names`` under the names ``columns``."""
     return df.select(*[F.col(n).alias(c) for n, c in zip(names, columns)])
+
+
+def word_hash(word: bytes, seed: int = 42) -> int:
+    return xxhash.xxh64_intdigest(word, seed)
+
+
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each pair of hashes, by order."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)

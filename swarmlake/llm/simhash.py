@@ -1,23 +1,31 @@
 """SimHash near-duplicates through sharded BK-trees (operator 2).
 
 Fingerprints that differ in at most ``radius`` bits agree in one of radius + 1
-equal parts, so each part's value names a shard in which every such pair meets.
-A shard's distinct fingerprints form BK-trees, whose children are keyed by the
-integer distance to their parent; a query follows only the keys within the
-radius. A shard of over ``SHARD`` fingerprints is cut in chunks, each with a tree
-that is sent to every other chunk of the shard, so that no task holds more than
-two. A task emits a spanning forest of its links, not all pairs; components of
-the forests are those of the links.
+groups of bits, so the bits of each group name a shard in which every such pair
+meets. A shard of over ``SHARD`` fingerprints is cut again, by groups of the bits
+that its name leaves open: each cut deals a fingerprint out radius + 1 times, never
+to all others. What ``CUTS`` cuts leave too large is a dense cluster, of which
+chunks meet two by two. So a tree fits in a task, and the sum of the trees may grow
+with the corpus: a tree is not sent to all tasks but meets, in one task, the
+fingerprints whose bits lead to it.
+
+A shard's fingerprints form a BK-tree, whose children are keyed by the integer
+distance to their parent; each fingerprint first looks for those before it,
+following only the keys within the radius, and then becomes a node. A task emits
+a spanning forest of the links that it finds, not all pairs; components of the
+forests are those of the links.
 
 Null, empty and blank texts have fingerprint zero, linked like any other. Rows
 without a doc_id link nothing and have no component. Repeated doc_ids and texts
-are rows of their own with one component. Other columns are ignored; an empty
-table gives an empty result.
+are rows of their own: links are between fingerprints, and a repeated doc_id is
+in the component of each of its texts. Other columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +42,7 @@ RADIUS = 3
 SHINGLE = 3
 SEED = 42
 SHARD = 2048
-LEAF = 64
+CUTS = 3
 
 
 def shingle_hashes(text: bytes, width: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -73,171 +81,160 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
 
 class BKTree:
-    """Children keyed by integer Hamming distance to the parent; few points stay together in a leaf."""
-
-    def __init__(self, points: np.ndarray, at: np.ndarray | None = None, leaf: int = LEAF):
-        self.points = points
-        at = np.arange(len(points)) if at is None else at
-        self.leaf = at if len(at) <= leaf else None
-        if self.leaf is None:
-            self.pivot = at[0]
-            rest = at[1:]
-            distance = np.bitwise_count(points[rest] ^ points[self.pivot])
-            self.children = {int(d): BKTree(points, rest[distance == d], leaf) for d in np.unique(distance)}
-
-    def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, point) index pairs within the radius, many at a time."""
-        stack: list[tuple[BKTree, np.ndarray]] = [(self, np.arange(len(queries)))]
-        while stack:
-            node, some = stack.pop()
-            if node.leaf is not None:
-                for a in range(0, len(some), 4096):
-                    part = some[a : a + 4096]
-                    close = np.bitwise_count(queries[part][:, None] ^ self.points[node.leaf]) <= radius
-                    q, p = np.nonzero(close)
-                    yield part[q], node.leaf[p]
-                continue
-            distance = np.bitwise_count(queries[some] ^ self.points[node.pivot]).astype(np.int64)
-            hit = some[distance <= radius]
-            yield hit, np.full(len(hit), node.pivot)
-            for key, child in node.children.items():
-                follow = some[np.abs(distance - key) <= radius]
-                if len(follow):
-                    stack.append((child, follow))
-
-
-def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Smallest index reachable from each of n points."""
-    label = np.arange(n)
-    if not pairs:
-        return label
-    a, b = (np.concatenate(x) for x in zip(*pairs))
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        if (label == before).all() and (label[a] == label[b]).all():
-            break
-    return label
-
-
-def _tree_edges(rep: np.ndarray, label: np.ndarray, fan: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that join each class in a tree of bounded degree."""
-    order = np.lexsort((rep, label))
-    first = np.flatnonzero(np.diff(label[order], prepend=-1))
-    place = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order))))
-    parent = np.arange(len(order)) - place + (place - 1) // fan
-    child = np.flatnonzero(place > 0)
-    return rep[order[child]], rep[order[parent[child]]]
-
-
-def _small_groups(fp: np.ndarray, group: np.ndarray, size: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within groups of at most LEAF points, which are leaves of their own: each point with those after it."""
-    a, b = [], []
-    for step in range(1, LEAF):
-        at = np.flatnonzero(size[:-step] > step) if step < len(fp) else np.empty(0, dtype=np.int64)
-        at = at[group[at] == group[at + step]]
-        if not len(at):
-            break
-        at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= radius]
-        a.append(at)
-        b.append(at + step)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, dtype=np.int64),) * 2
+    """Points of a metric; a node's children are keyed by their integer Hamming distance to it."""
 
+    def __init__(self) -> None:
+        self.points: list[int] = []
+        self.children: list[dict[int, int]] = []
 
-def _group_edges(fp: np.ndarray, rep: np.ndarray, side: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A shard's links, or those between its two chunks (side 0 and 1)."""
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1)
-    tree, asked = (left, right) if len(right) else (left, left)
-    if not len(tree):
-        return rep[:0], rep[:0]
-    points, queries = fp[tree], fp[asked]
-    pairs = [(asked[q], tree[p]) for q, p in BKTree(points).near(queries, radius)]
-    pairs = [(q[q != p], p[q != p]) for q, p in pairs]
-    return _tree_edges(rep, _forest(len(fp), [x for x in pairs if len(x[0])]))
+    def near(self, point: int, radius: int) -> Iterator[int]:
+        """Numbers of the nodes within the radius, by the edges that may lead to one."""
+        stack = [0] if self.points else []
+        while stack:
+            node = stack.pop()
+            distance = (point ^ self.points[node]).bit_count()
+            if distance <= radius:
+                yield node
+            stack += [child for key, child in self.children[node].items() if distance - radius <= key <= distance + radius]
+
+    def add(self, point: int) -> None:
+        node, new = 0, len(self.points)
+        self.points.append(point)
+        self.children.append({})
+        while node != new:
+            node = self.children[node].setdefault((point ^ self.points[node]).bit_count(), new)
+
+
+class Forest:
+    """Disjoint sets of numbers."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = i = self.parent[self.parent[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether they were apart."""
+        i, j = self.root(i), self.root(j)
+        self.parent[max(i, j)] = min(i, j)
+        return i != j
+
+
+def shard_links(points: list[int], radius: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between distinct points, as pairs of their places."""
+    tree, forest, found = BKTree(), Forest(len(points)), []
+    for i, point in enumerate(points):
+        found += [(j, i) for j in tree.near(point, radius) if forest.join(i, j)]
+        tree.add(point)
+    return found
+
+
+def bit_groups(mask: int, radius: int) -> list[int]:
+    """``mask`` with each of radius + 1 groups of the bits that it leaves open."""
+    free = [b for b in range(BITS) if not mask >> b & 1]
+    cuts = [len(free) * i // (radius + 1) for i in range(radius + 2)]
+    return [mask | sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:])]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _dealt(rows: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """(mask, value, fp): each fingerprint for each finer mask of its own."""
+    finer = F.create_map(*[x for m in masks for x in (F.lit(_signed(m)), F.array(*[F.lit(_signed(g)) for g in bit_groups(m, radius)]))])
+    each = rows.select("fp", F.explode(finer[F.col("mask")]).alias("mask"))
+    return each.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"), "fp")
+
+
+def chunk_pairs(rows: DataFrame, n: str, by: str, size: int) -> DataFrame:
+    """Adds ``low`` and ``high``, two chunks that meet, to rows of groups of ``n`` rows: chunks hold about ``size``."""
+    chunks = F.ceil(F.col(n) / size).cast("int")
+    own = F.pmod(F.xxhash64(by), chunks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(own, j).alias("low"), F.greatest(own, j).alias("high")))
+    return rows.withColumn("pair", F.explode(pairs)).withColumn("low", F.col("pair.low")).withColumn("high", F.col("pair.high")).drop("pair", n)
+
+
+def shards(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(mask, value, low, high, fp): every fingerprint in groups of bounded size, such that those within the radius meet in one."""
+    masks, settled, whole = [0], [], F.lit(0)
+    rows = points.select("fp", F.lit(0).cast("long").alias("mask"))
+    for _ in range(CUTS):
+        dealt = _dealt(rows, masks, radius)
+        full = materialize(dealt.groupBy("mask", "value").agg(F.count("*").alias("n")).filter(F.col("n") > shard), "full-shards")
+        masks = [m % (1 << 64) for (m,) in full.select("mask").distinct().collect()]  # (radius + 1) ** CUTS at most
+        small = dealt.join(full, ["mask", "value"], "left_anti") if masks else dealt
+        settled.append(small.withColumn("low", whole).withColumn("high", whole))
+        if not masks:
+            break
+        met = dealt.join(full, ["mask", "value"])
+        rows = met.select("fp", "mask")
+    else:
+        settled.append(chunk_pairs(met, "n", "fp", shard))
+    return reduce(DataFrame.unionByName, settled).select("mask", "value", "low", "high", "fp")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted rows, cut only between different values of the first ``keys`` columns."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns)]
+        if not len(columns[0]):
+            continue
+        last = np.ones(len(columns[0]), dtype=bool)
+        for k in columns[:keys]:
+            last &= k == k[-1]
+        cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        held = [c[cut:] for c in columns]
+        if cut:
+            yield [c[:cut] for c in columns]
+    if held is not None and len(held[0]):
+        yield held
+
+
+def groups(columns: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Where groups of two rows and more of equal keys begin and end."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in columns], axis=0)
+    starts = np.flatnonzero(new)
+    ends = np.append(starts[1:], len(new))
+    some = ends - starts > 1
+    return list(zip(starts[some].tolist(), ends[some].tolist()))
 
 
 def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b) between the ``rep`` of distinct fingerprints ``fp`` that span each class of links."""
-    parts = radius + 1
-    bounds = [BITS * i // parts for i in range(parts + 1)]
-    values = [F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(bounds, bounds[1:])]
-    spread = points.select("fp", "rep", F.posexplode(F.array(*values)).alias("part", "value"))
-    full = spread.groupBy("part", "value").agg(F.count("*").alias("n")).filter(F.col("n") > shard)
-    full = materialize(full.select("part", "value", F.ceil(F.col("n") / shard).cast("int").alias("chunks")), "full-shards")
-    chunked = spread.join(full, ["part", "value"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("own", j).alias("low"), F.greatest("own", j).alias("high")))
-    met = chunked.withColumn("own", own).withColumn("pair", F.explode(pairs))
-    met = met.select("part", "value", "pair.low", "pair.high", (F.col("own") != F.col("pair.low")).cast("int").alias("side"), "fp", "rep")
-    keys = ["part", "value", "low", "high"]
+    """Edges (a, b) between distinct fingerprints ``fp`` that span each class of links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-
-        def solve(columns: list[np.ndarray]) -> pa.RecordBatch:
-            *key, side, fp, rep = columns
-            fp = fp.view(np.uint64)
-            new = np.zeros(len(fp), dtype=bool)
-            new[:1] = True
-            for k in key:
-                new[1:] |= k[1:] != k[:-1]
-            group = np.cumsum(new) - 1
-            sizes = np.bincount(group)
-            alone = (key[2] == key[3])[new]
-            small = (sizes <= LEAF) & alone
-            rows = np.flatnonzero(small[group])
-            a, b = _small_groups(fp[rows], group[rows], sizes[group[rows]], radius)
-            found = [(rep[rows][a], rep[rows][b])]
-            starts = np.flatnonzero(new)
-            for g in np.flatnonzero(~small):
-                at = slice(starts[g], starts[g] + sizes[g])
-                found.append(_group_edges(fp[at], rep[at], side[at], radius))
-            a, b = (np.concatenate(x) for x in zip(*found))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns)]
-            if not len(columns[0]):
-                continue
-            last = np.ones(len(columns[0]), dtype=bool)
-            for k in columns[:4]:
-                last &= k == k[-1]
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            held = [c[cut:] for c in columns]  # the last group may go on in the next batch; it has two chunks at most
-            if cut:
-                yield solve([c[:cut] for c in columns])
-        if held is not None and len(held[0]):
-            yield solve(held)
-
-    dealt = met.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
+        for *key, fp in runs(batches, 4):
+            places, found = fp.view(np.uint64).tolist(), []
+            for a, z in groups(key):
+                found += [(a + i, a + j) for i, j in shard_links(places[a:z], radius)]
+            ends = np.array(found, dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[ends[:, 0]]), pa.array(fp[ends[:, 1]])], ["a", "b"])
+
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["mask", "value", "low", "high"]
+    dealt = shards(points, radius, shard).repartition(n, *keys).sortWithinPartitions(*keys)
     return dealt.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every document."""
     table = materialize(fingerprinted(docs), "fingerprints")
-    points = materialize(table.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "points")
-    found = components(links(points, radius))
-    classes = points.join(found, F.col("rep") == F.col("node"), "left")
-    classes = materialize(classes.select(F.col("fp").alias("of"), F.coalesce("label", "rep").alias("class_id")), "classes")
+    points = materialize(table.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    labels = components(links(points, radius))
+    linked = materialize(points.join(labels, F.col("fp") == F.col("node")).select("fp", "least", "label"), "linked")
+    firsts = linked.groupBy("label").agg(F.min("least").alias("first"))
+    of_linked = linked.join(firsts, "label").select(F.col("fp").alias("of"), "first")
+    # a fingerprint without links is a class of its own
+    classes = materialize(of_linked.unionByName(points.join(linked, "fp", "left_anti").select(F.col("fp").alias("of"), F.col("least").alias("first"))), "classes")
     drop(points)
-    own = F.when(F.col("doc_id").isNotNull(), F.col("class_id"))
+    drop(linked)
+    own = F.when(F.col("doc_id").isNotNull(), F.col("first"))
     return table.join(classes, F.col("fp") == F.col("of"), "left").select("doc_id", "fp", own.alias("component_id"))
-
-
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each component, that of the smallest doc_id; rows without a doc_id stay."""
-    found = near_duplicates(docs, radius)
-    gone = materialize(found.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct(), "duplicates")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not again:
-        return kept
-    # the same doc_id on several rows
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from swarmlake.llm import backoff, components, importance, quality_rules, simhash
+from swarmlake.llm import backoff, components, importance, quality_rules, simhash, similar
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -60,14 +60,17 @@ def test_simhash(docs, edge):
     assert simhash.near_duplicates(docs([])).count() == 0
 
 
-def test_chunked_shards_lose_no_link(spark):
+@pytest.mark.parametrize("shard", [16, 1000])
+def test_shards_cut_again_lose_no_link(spark, shard):
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 1 << 62, 12)
     fp = {int(c) ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for c in centre for _ in range(40)}
-    signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fp)]
-    points = spark.createDataFrame([(x, i) for i, x in enumerate(signed)], "fp long, rep long")
-    label = {r["node"]: r["label"] for r in components.components(simhash.links(points, shard=16)).collect()}
-    full = np.array(sorted(fp), dtype=np.uint64)
+    signed = sorted(x - (1 << 64) if x >> 63 else x for x in fp)
+    points = spark.createDataFrame([(x,) for x in signed], "fp long")
+    largest = simhash.shards(points, shard=shard).groupBy("mask", "value", "low", "high").count().agg({"count": "max"}).first()[0]
+    assert largest <= 4 * shard
+    label = {r["node"]: r["label"] for r in components.components(simhash.links(points, shard=shard)).collect()}
+    full = np.array(signed).view(np.uint64)
     brute = np.arange(len(full))
     close = np.bitwise_count(full[:, None] ^ full[None, :]) <= 3
     for _ in range(len(full)):
@@ -75,24 +78,61 @@ def test_chunked_shards_lose_no_link(spark):
         if (new == brute).all():
             break
         brute = new
-    assert [label.get(i, i) for i in range(len(full))] == brute.tolist()
+    assert [label.get(x, x) for x in signed] == [signed[i] for i in brute]
 
 
 def test_bk_tree_finds_all():
     rng = np.random.default_rng(4)
-    points = np.unique(rng.integers(0, 1 << 20, 700).astype(np.uint64))
-    tree = simhash.BKTree(points, leaf=8)
-    found = {(int(q), int(p)) for a, b in tree.near(points, 3) for q, p in zip(a, b)}
-    close = np.bitwise_count(points[:, None] ^ points[None, :]) <= 3
-    assert found == set(zip(*(x.tolist() for x in np.nonzero(close))))
+    points = np.unique(rng.integers(0, 1 << 20, 700)).tolist()
+    tree = simhash.BKTree()
+    for p in points:
+        tree.add(p)
+    assert all(key == (tree.points[child] ^ tree.points[node]).bit_count() for node, some in enumerate(tree.children) for key, child in some.items())
+    for q in points[::7]:
+        assert sorted(tree.near(q, 3)) == [i for i, p in enumerate(points) if (p ^ q).bit_count() <= 3]
 
 
-def test_keep_one(docs, edge):
-    kept = simhash.keep_one(docs(edge + variants(1, 20)))
+def test_repeated_doc_ids_join_no_texts(docs):
+    """Two texts of one doc_id are two rows."""
+    a, b, c = "alpha beta gamma delta", "one two three four five", "red green blue white black"
+    got = Counter((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(docs([(5, a), (7, a), (7, b), (9, c), (7, c)])).collect())
+    assert got == Counter([(5, 5), (7, 5), (7, 7), (9, 7), (7, 7)])
+
+
+def shingles(t, width=5):
+    w = WORD.findall(lower(t))
+    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def brute_kept(rows):
+    sets = [shingles(t) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            union = len(sets[i] | sets[j])
+            if not union or len(sets[i] & sets[j]) >= 0.8 * union:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    best = {}
+    for k, (i, _) in enumerate(rows):
+        best[label[k]] = min(best.get(label[k], (True, 0)), (i is None, i or 0))
+    return Counter(None if none else i for none, i in best.values())
+
+
+@pytest.mark.parametrize("shard", [4, 2048])
+def test_keep_one_of_similar_texts(docs, edge, monkeypatch, shard):
+    monkeypatch.setattr(similar.shards, "__defaults__", (shard,))
+    monkeypatch.setattr(similar.links, "__defaults__", (*similar.links.__defaults__[:2], shard))
+    rng = np.random.default_rng(6)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = edge + variants(1, 30) + [(7, "another text that has the number of seven"), (None, "a text without a number of its own")]
+    rows += [(300 + i, f"{passage} " + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 60))) for i in range(20)]
+    kept = similar.keep_one(docs(rows))
     assert kept.columns == docs([]).columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    want = {(i, c) for i, _, c in brute_components(edge + variants(1, 20)) if i is None or i == c}
-    assert Counter(ids) == Counter(i for i, _ in want)
+    got, want = Counter(r["doc_id"] for r in kept.collect()), brute_kept(rows)
+    # shards that are cut ask for more hashes in common: a few of the links at the very limit may be lost there
+    assert got == want if shard > 4 else not want - got and (got - want).total() <= 2
+    assert similar.keep_one(docs([])).count() == 0
 
 
 def test_components_of_a_path(spark):
