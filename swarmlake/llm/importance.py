@@ -1,129 +1,166 @@
 """Importance resampling of documents towards a target (operator 7).
 
-Words and signs are hashed n-grams. Labelled text is counted in three kinds: the
-target (quality 1, not toxic) and two of raw text (quality 0; toxic). A bucket
-counts the different left neighbours of its n-grams (bigrams, told apart by
-hash), so copies of a text count once. Where a kind's count departs clearly from
-its share of both, the log ratio of the two generative models is the bucket's
-weight. A document's log weight sums its different buckets, for the raw kind
-nearest to it. Gumbel noise drawn from the doc_id is added, and the k largest
-sums are kept, k being how many weights, with the labels' prior odds, make the
-target the likelier source.
-
-The models are fitted on at most ``LABELLED`` labelled rows, those of the smallest
-hashed doc_ids; every document is weighed. Null and empty texts weigh zero.
-Repeated doc_ids get the same noise and are judged one by one; equal sums at the
-cut are kept together. Labels that are null or contradict each other do not
-count; without labels of both sides nothing is rejected. Other columns are
-ignored, an empty table gives an empty result.
+Two generative models of hashed words, runs of signs, and pairs of neighbours: the
+target's, counted in labelled texts (quality 1, not toxic), and the raw one, counted
+in all documents. A text counts once in each of its buckets, and copies of a text
+once in all. Counts are brought to one scale, on which a bucket of the bulk (the
+median) has the same count in both, and smoothed by ``PRIOR``; a bucket's weight is
+the log ratio of the models, shrunk by how far it stands out from chance:
+z^2 / (z^2 + SURE^2) for z standard errors. A document's log weight is the sum over
+its buckets. Gumbel noise drawn from the doc_id is added, and the k largest sums are
+kept: a sample without replacement by the weights.
+
+Unless it is given, k is the number of documents above the log weight that best
+tells target from other labelled texts, a lost target text costing ``COST`` times a
+kept other one; to choose it, half of them are kept out of the models. The models see at most ``LABELLED`` labelled rows, those of the smallest
+hashed doc_ids; the raw one, and the weights, all documents.
+
+Null and empty texts weigh zero. Repeated doc_ids get the same noise and are judged
+one by one; equal sums at the cut are kept together. Labels that are null or
+contradict each other do not count; without labels of both sides nothing is
+rejected. Other columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import numbered, renamed, slices
+from .batches import mixed, numbered, renamed, slices, word_hash
 from .quality_rules import split_words
 from .scratch import drop, materialize
 
 BUCKETS = 1 << 20
 LABELLED = 20_000
 SEED = 2011
-PRIOR = 1.0  # added to each count and to what is expected of it
-CLEAR = 5.0  # standard deviations from its share
-STRONG = 2.5  # log ratio, at least
+PRIOR = 2.0  # added to each count
+SURE = 5.0  # standard errors at which half of a log ratio counts
+COST = 4.0  # of a share of the target lost, against the same share of other texts kept
 GRAIN = 1 << 20  # steps to one unit of a noisy weight, for the cut
+RANGES = 64  # of buckets, that are summed apart
 
 _SIGNS = r"([^\pL\pN\s]+)"
 
 
-def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket, hashed left neighbour and text of every word and run of signs."""
+def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Text and bucket of every word, run of signs and pair of neighbours, each once a text, in this order."""
     spaced = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), _SIGNS, r" \1 ")
     words, n_words = split_words(spaced)
     coded = words.dictionary_encode()
-    known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+    known = np.fromiter((word_hash(w, SEED) for w in coded.dictionary.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
     word = known[coded.indices.to_numpy()] if len(words) else known
     text_of = np.repeat(np.arange(len(n_words)), n_words)
-    left = np.concatenate([np.zeros(1, dtype=np.uint64), word[:-1]])[: len(word)]
-    left[np.flatnonzero(np.diff(text_of, prepend=-1))] = 0
-    return ((word >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64), (left >> np.uint64(33)).astype(np.int64), text_of
+    pair = np.flatnonzero(text_of[1:] == text_of[:-1]) + 1
+    hashed = np.concatenate([word, mixed(word[pair - 1], word[pair])])
+    once = np.unique(np.concatenate([text_of, text_of[pair]]) * buckets + ((hashed >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64))
+    return once // buckets, once % buckets
+
+
+def counted(texts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """How many texts of the column ``text`` each bucket has; as many numbers as buckets reach the driver."""
+    width = -(-buckets // RANGES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width * RANGES, dtype=np.int64)
+        for batch in slices(batches, "text", 4 << 20):
+            total += np.bincount(features(batch.column("text"), buckets)[1], minlength=len(total))
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(RANGES), pa.int32()), pa.array([x.tobytes() for x in total.reshape(RANGES, width)], pa.binary())], ["range", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for r, n in zip(batch.column("range").to_pylist(), batch.column("n")):
+                total[r] = total.get(r, 0) + np.frombuffer(n.as_buffer(), dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["range", "n"])
+
+    schema = "range int, n binary"
+    sums = texts.select("text").mapInArrow(run, schema).repartitionById(RANGES, F.col("range")).mapInArrow(add, schema)
+    found = np.zeros((RANGES, width), dtype=np.int64)
+    for r in sums.collect():
+        found[r["range"]] = np.frombuffer(r["n"], dtype=np.int64)
+    return found.ravel()[:buckets]
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) but for copies, of which those of the smallest doc_id stay."""
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"))
+    copied = hashed.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that its size decides whether the join moves the texts
+    copied = materialize(copied.select("hash", "first"), "copied-texts")
+    return hashed.join(copied, "hash", "left").filter("first is null or doc_id = first").select("text")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> DataFrame:
-    """text and kind (0 target, 1 low quality, 2 toxic) of at most ``limit`` labelled documents."""
+    """text, target and fitted (else kept out of the models) of at most ``limit`` labelled documents."""
     one = labels.filter("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id")
     spread = one.agg(*[f(c).alias(f"{n}_{c}") for c in ("quality", "toxic") for n, f in (("low", F.min), ("high", F.max))])
     clear = spread.filter("low_quality = high_quality and low_toxic = high_toxic")
-    kind = F.when(F.col("low_toxic") != 0, 2).when(F.col("low_quality") == 0, 1).otherwise(0).cast("long")
-    some = clear.select("doc_id", kind.alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "kind")
+    target = (F.col("low_toxic") == 0) & (F.col("low_quality") != 0)
+    some = clear.select("doc_id", target.alias("target"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("fitted")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "target", "fitted")
 
 
-def fit(sample: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
-    """Weights by raw kind and bucket, and the log prior odds of the target, from rows of text and kind."""
+def log_ratios(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR, sure: float = SURE) -> np.ndarray:
+    """The weight of each bucket from its counts of texts in the target and in all."""
+    both = target[raw > 0] / raw[raw > 0]
+    weight = raw[raw > 0].astype(float)
+    if not len(both) or not target.any():
+        return np.zeros(len(raw))
+    order = np.argsort(both)
+    bulk = both[order][np.searchsorted(np.cumsum(weight[order]), weight.sum() / 2)]
+    expected = raw * (bulk or target.sum() / raw.sum())
+    z2 = (target - expected) ** 2 / (expected + 1)
+    return np.log((target + prior) / (expected + prior)) * z2 / (z2 + sure**2)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            bucket, left, text = features(batch.column("text"), buckets)
-            kind = batch.column("kind").to_numpy(zero_copy_only=False)[text] if len(text) else text
-            rows = np.unique(np.stack([kind, bucket, left]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in rows], ["kind", "bucket", "left"])
-
-    pairs = sample.mapInArrow(run, "kind long, bucket long, left long").distinct()
-    sums = [F.count(F.when(F.col("kind") == k, 1)).cast("double").alias(f"c{k}") for k in range(3)]
-    counts = materialize(pairs.groupBy("bucket").agg(*sums), "feature-counts")
-    totals = counts.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0.0)).alias(f"c{k}") for k in range(3)]).first()
-    weights = np.zeros((2, buckets))
-    for k in (1, 2):
-        both = totals["c0"] + totals[f"c{k}"]
-        if not totals["c0"] or not totals[f"c{k}"]:
-            continue
-        share = totals[f"c{k}"] / both
-        pool = F.col("c0") + F.col(f"c{k}")
-        z = (F.col(f"c{k}") - pool * share) / F.sqrt(pool * (share * (1 - share)) + 1)
-        model = lambda c, part: F.log((F.col(c) + PRIOR) / (pool * part + PRIOR))
-        ratio = model("c0", 1 - share) - model(f"c{k}", share)
-        clear = counts.select("bucket", ratio.alias("w"), z.alias("z")).filter((F.abs("z") >= CLEAR) & (F.abs("w") >= STRONG))
-        rows = clear.toPandas()  # at most one row a bucket
-        weights[k - 1, rows["bucket"].to_numpy(dtype=np.int64)] = rows["w"].to_numpy(dtype=float)
-    drop(counts)
-    n = {r["kind"]: r["count"] for r in sample.groupBy("kind").count().collect()}
-    raw = max(n.get(1, 0), n.get(2, 0))
-    return weights, math.log(max(1, n.get(0, 0)) / max(1, raw))
-
-
-def weighed(docs: DataFrame, weights: np.ndarray, columns: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+
+def fit(docs: DataFrame, sample: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
+    """Weights by bucket from all ``docs`` and the fitted half of the labelled ``sample``."""
+    target = counted(sample.filter("target and fitted"), buckets)
+    if not target.any():
+        return np.zeros(buckets)
+    return log_ratios(target, counted(distinct_texts(docs), buckets))
+
+
+def weighed(docs: DataFrame, weights: np.ndarray, columns: list[str], doc_id: str | None = "doc_id", text: str = "text") -> DataFrame:
     """``columns`` of ``docs``, its log weight, and the weight with Gumbel noise in steps of 1 / GRAIN."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    u = (F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    key = F.coalesce(F.col(doc_id).cast("string"), F.lit("")) if doc_id else F.lit("")
+    u = (F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     carried = docs.select(*columns, *([] if text in columns else [text]), (-F.log(-F.log(u))).alias("__gumbel"))  # a text travels once
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in carried.schema if f.name in columns), "log_weight double, noisy long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = shared.value.shape[1]
-        used = (shared.value != 0).any(axis=0)
+        weights = shared.value
         for batch in slices(batches, text, 4 << 20):
-            bucket, _, row = features(batch.column(text), buckets)
-            at = np.flatnonzero(used[bucket])
-            once = np.unique(row[at] * buckets + bucket[at])
-            row, bucket = once // buckets, once % buckets
-            sums = np.stack([np.bincount(row, weights=w[bucket], minlength=batch.num_rows) for w in shared.value])
-            weight = sums.min(axis=0).astype(float)  # sums over nothing are whole numbers
+            row, bucket = features(batch.column(text), len(weights))
+            weight = np.bincount(row, weights=weights[bucket], minlength=batch.num_rows).astype(float)  # a sum over nothing is a whole number
             noisy = np.floor((weight + batch.column("__gumbel").to_numpy(zero_copy_only=False)) * GRAIN).astype(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(weight), pa.array(noisy)], [*columns, "log_weight", "noisy"])
 
     return carried.mapInArrow(run, schema)
 
 
+def threshold(sample: DataFrame, weights: np.ndarray) -> float | None:
+    """The log weight that best tells labelled targets from others among those kept out of the models."""
+    rows = weighed(sample.filter("not fitted"), weights, ["target"], None).select("target", "log_weight").toPandas()  # at most LABELLED
+    target = rows["target"].to_numpy(dtype=bool)
+    if target.all() or not target.any():
+        return None
+    order = np.argsort(rows["log_weight"].to_numpy(), kind="stable")
+    value, own = rows["log_weight"].to_numpy()[order], target[order]
+    # below each value: the share of others that goes, less the share of targets that goes with it at its cost
+    gain = np.concatenate([[0], np.cumsum(~own) / (~own).sum() - COST * np.cumsum(own) / own.sum()])
+    first = np.concatenate([[True], np.diff(value) > 0])
+    at = int(np.argmax(np.where(first, gain[:-1], -1)))
+    return float(value[at]) if gain[at] > 0 else None
+
+
 def kth_largest(table: DataFrame, column: str, k: int, fan: int = 4096) -> int | None:
     """The k-th largest of a long column; each pass brings at most ``fan`` counts to the driver."""
     ends = table.agg(F.min(column).alias("low"), F.max(column).alias("high"), F.count(column).alias("n")).first()
@@ -142,28 +179,32 @@ def kth_largest(table: DataFrame, column: str, k: int, fan: int = 4096) -> int |
     return low
 
 
-def cut(docs: DataFrame, weights: np.ndarray, odds: float) -> tuple[DataFrame, int | None]:
-    """Weights of all documents, and the smallest noisy weight that is kept."""
+def cut(docs: DataFrame, labels: DataFrame, k: int | None = None) -> tuple[DataFrame, np.ndarray, int | None]:
+    """Weights of all documents, those of the buckets, and the smallest noisy weight that is kept (none: all are)."""
+    sample = materialize(labelled(docs, labels), "labelled")
+    weights = fit(docs, sample)
+    least = threshold(sample, weights)
     table = materialize(weighed(docs, weights, ["doc_id"]), "weights")
-    k = table.filter(F.col("log_weight") + odds > 0).count() if odds > 0 else table.filter(F.col("log_weight") >= 0).count()
-    return table, kth_largest(table, "noisy", k)
+    drop(sample)
+    if k is None and least is None:
+        return table, weights, None
+    k = table.filter(F.col("log_weight") >= least).count() if k is None else min(k, table.count())
+    return table, weights, kth_largest(table, "noisy", k)
 
 
-def resample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """doc_id, log_weight, noisy_weight and kept of every document."""
-    weights, odds = fit(labelled(docs, labels))
-    table, least = cut(docs, weights, odds)
-    kept = F.col("noisy") >= least if least is not None else F.lit(False)
+    table, _, least = cut(docs, labels, k)
+    kept = F.col("noisy") >= least if least is not None else F.lit(True)
     return table.select("doc_id", "log_weight", (F.col("noisy") / GRAIN).alias("noisy_weight"), kept.alias("kept"))
 
 
-def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, k: int | None = None) -> DataFrame:
     """The kept rows of ``docs``, with their columns as they are."""
-    weights, odds = fit(labelled(docs, labels))
-    table, least = cut(docs, weights, odds)
+    table, weights, least = cut(docs, labels, k)
     drop(table)
     if least is None:
-        return docs.limit(0)
+        return docs
     plain, names = numbered(docs)
     of = lambda c: names[docs.columns.index(c)]
     return renamed(weighed(plain, weights, names, of("doc_id"), of("text")).filter(F.col("noisy") >= least), names, docs.columns)

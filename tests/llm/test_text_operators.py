@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from swarmlake.llm import backoff, components, importance, quality_rules, simhash, similar
+from swarmlake.llm import backoff, batches, components, importance, quality_rules, simhash, similar
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -220,30 +220,67 @@ def test_backoff_probabilities_sum_to_one():
     assert np.allclose([p1.sum(), p2.sum(), p3.sum()], 1)
 
 
-def test_importance(spark, docs, edge):
+def brute_features(t):
+    spaced = re.sub(r"([^\W\d_]|\d|\s)|(_|[^\w\s])+", lambda m: m[0] if m[1] else f" {m[0]} ", (t or "").lower())
+    h = [xxhash.xxh64_intdigest(x.encode(), importance.SEED) for x in WORD.findall(spaced)]
+    pairs = [int(batches.mixed(np.array([a], dtype=np.uint64), np.array([b], dtype=np.uint64))[0]) for a, b in zip(h, h[1:])]
+    return {(x >> 24) % importance.BUCKETS for x in h + pairs}
+
+
+def labelled_rows():
     rng = np.random.default_rng(3)
     words = [f"w{i}" for i in range(300)]
     rows, labels = [], []
-    for i in range(600):
+    for i in range(800):
         text = list(rng.choice(words, 60))
         kind = i % 4
         if kind == 2:
             text = [f"{w}###" for w in text]
         if kind == 3:
-            for at in rng.integers(0, 60, 4):
-                text[at] = "nasty"
+            for at in rng.choice(60, 6, replace=False):
+                text[at] = ("nasty", "mean", "vile")[at % 3]
         rows.append((i, " ".join(text)))
         labels.append((i, int(kind != 2), int(kind == 3)))
-    marks = spark.createDataFrame(labels[:400] + [(None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
+    return rows, labels
+
+
+def test_importance(spark, docs, edge):
+    rows, labels = labelled_rows()
+    marks = spark.createDataFrame(labels[:600] + [(None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r["kept"] for r in importance.resample(docs(rows), marks).collect()}
-    right = [got[i] == (i % 4 < 2) for i in range(400, 600)]
-    assert np.mean(right) > 0.97
+    right = [got[i] == (i % 4 < 2) for i in range(600, 800)]
+    assert np.mean(right) > 0.95
     kept = importance.keep(docs(rows), marks)
     assert kept.columns == docs([]).columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, k in got.items() if k}
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r["kept"] for r in importance.resample(docs(edge), none).collect())
     assert importance.resample(docs([]), marks).count() == 0
+    assert sum(r["kept"] for r in importance.resample(docs(edge[:8]), none, k=3).collect()) >= 3
+
+
+def test_importance_against_brute_force(spark, docs, edge):
+    """Weights from counts of all texts, copies once; the sample by noise and a given k."""
+    rows, labels = labelled_rows()
+    rows = [(i, t) for i, t in rows if i < 200] + [(1000 + i, rows[i][1]) for i in range(40)] + [(i + 2000 if i else i, t) for i, t in edge if i is None or i != 9]
+    marks = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    sample = importance.labelled(docs(rows), marks)
+    fitted = {r["text"] for r in sample.filter("fitted").collect()}
+    texts = dict(rows)
+    target = Counter(b for i in range(200) if i % 4 < 2 and texts[i] in fitted for b in brute_features(texts[i]))
+    first = {t: i for i, t in sorted(rows, key=lambda r: -(r[0] if r[0] is not None else 10**9))}
+    raw = Counter(b for i, t in rows if first[t] == i for b in brute_features(t))
+    at = np.array(sorted(raw))
+    t, r = (np.array([c[b] for b in at], dtype=float) for c in (target, raw))
+    order = np.argsort(t / r)
+    bulk = (t / r)[order][np.searchsorted(np.cumsum(r[order]), r.sum() / 2)] or t.sum() / r.sum()
+    z2 = (t - r * bulk) ** 2 / (r * bulk + 1)
+    weight = dict(zip(at.tolist(), np.log((t + importance.PRIOR) / (r * bulk + importance.PRIOR)) * z2 / (z2 + importance.SURE**2)))
+    want = Counter((i, round(sum(weight[b] for b in brute_features(x)), 6)) for i, x in rows)
+    got = importance.resample(docs(rows), marks, k=50).collect()
+    assert Counter((r["doc_id"], round(r["log_weight"], 6)) for r in got) == want
+    cut = sorted((r["noisy_weight"] for r in got), reverse=True)[49]
+    assert all(r["kept"] == (r["noisy_weight"] >= cut) for r in got)
 
 
 def test_kth_largest(spark):
