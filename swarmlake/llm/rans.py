@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,16 +98,16 @@ def ranges(docs: DataFrame, n: int) -> list[int]:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> DataFrame:
-    """Ids of each document with the end id, compressed one by one, and the range of its doc_id (null: the first)."""
+    """Ids of each document with the end id, and the range of its doc_id (null: the first)."""
     limits = np.array(bounds, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, width = zstandard.ZstdCompressor(level=3), _width(tokenizer)
+        width = _width(tokenizer)
         for batch in slices(batches, "text"):
             ids, counts = encoder(tokenizer).encode(batch.column("text"))
             marked = np.insert(ids.astype(width), np.cumsum(counts), end_id)
             cuts = np.concatenate([[0], np.cumsum(counts + 1)]).tolist()
-            blobs = [squeeze.compress(marked[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+            blobs = [marked[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
             doc = batch.column("doc_id")
             known = pc.fill_null(doc, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             rng = pa.array(np.searchsorted(limits, known), pa.int32())
@@ -147,9 +146,9 @@ def frequencies(tokens: DataFrame, tokenizer: str) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = len(encoder(tokenizer).token_bytes)
-        total, unpack, width = np.zeros(size, dtype=np.int64), zstandard.ZstdDecompressor(), _width(tokenizer)
+        total, width = np.zeros(size, dtype=np.int64), _width(tokenizer)
         for batch in slices(batches, "ids"):
-            data = b"".join(unpack.decompress(x) for x in batch.column("ids").to_pylist())
+            data = b"".join(batch.column("ids").to_pylist())
             total += np.bincount(np.frombuffer(data, dtype=width), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["id", "n"])
@@ -184,13 +183,13 @@ def blocks(tokens: DataFrame, tokenizer: str, freq: np.ndarray, block: int = BLO
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, unpack, width = Coder(shared.value), zstandard.ZstdDecompressor(), _width(tokenizer)
+        coder, width = Coder(shared.value), _width(tokenizer)
         rng, number, before, held, due = None, 0, 0, 0, 0
         docs: list = []
         parts: list[np.ndarray] = []
         for batch in slices(batches, "ids"):
             for r, doc, blob, place, start in zip(*(batch.column(c).to_pylist() for c in ("range", "doc_id", "ids", "place", "ids_before"))):
-                ids = np.frombuffer(unpack.decompress(blob), dtype=width)
+                ids = np.frombuffer(blob, dtype=width)
                 if docs and (r != rng or place != due or held + len(ids) > block):
                     yield code(coder, rng, number, before, docs, parts)
                     docs, parts = [], []
@@ -212,7 +211,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> str:
     bounds = ranges(docs, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = tokenized(docs, tokenizer, end_id, bounds).repartitionById(len(bounds) + 1, F.col("range"))
     ordered = dealt.sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), F.crc32("ids"))
-    tokens = materialize(placed(ordered), "tokens", "uncompressed")
+    tokens = materialize(placed(ordered), "tokens")
     table = scaled(frequencies(tokens, tokenizer))
     spark.createDataFrame([(table.astype("<i8").tobytes(),)], "freq binary").coalesce(1).write.parquet(f"{path}/table")
     # a range's file may be read back by several tasks; each document has brought its place along

@@ -1,5 +1,9 @@
 """Encoding whole texts with a byte-level BPE file of the tokenizers library.
 
+Special tokens in a text stand for themselves, as the library has it: they cut the
+text, and what lies between is encoded by itself. Files that split otherwise than
+by the byte-level pattern, or normalize, are refused.
+
 A text is cut where a space or newline follows a character that is no white
 space, and where a sign follows a letter. The vocabulary's split pattern always
 ends a match there, whatever stands around it, so the ids of the parts, joined,
@@ -9,6 +13,7 @@ new ones to the library.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -25,6 +30,15 @@ _CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
 _SIGN = r"(\pL)([^\s\pL\pN'])"
 
 
+def _special(settings: dict) -> dict[str, int]:
+    """The added tokens of a tokenizer file, where its texts are split as assumed here."""
+    splits, added = settings.get("pre_tokenizer") or {}, settings.get("added_tokens") or []
+    plain = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space", True)
+    if not plain or settings.get("normalizer") or any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("the tokenizer file is not one of plain byte-level BPE")
+    return {t["content"]: t["id"] for t in added}
+
+
 class PartEncoder:
     """Ids of texts; ``limit`` bounds the parts remembered, not the parts encoded."""
 
@@ -33,7 +47,8 @@ class PartEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as file:
+            self.special = _special(json.load(file))
         size = self.library.get_vocab_size()
         self.token_bytes = np.array([len(self.library.id_to_token(i) or "") for i in range(size)], dtype=np.int64)
         self.limit = limit
@@ -115,6 +130,28 @@ class PartEncoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after the other, and how many each text has; a null text is empty."""
         texts = pc.fill_null(texts, "")
+        if self.special:
+            marked = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
+            held = pc.match_substring_regex(texts, marked.pattern)
+            if pc.any(held).as_py():
+                return self._with_special(texts, held, marked)
+        return self._plain(texts)
+
+    def _with_special(self, texts: pa.Array, held: pa.Array, marked: re.Pattern) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of which some hold special tokens, as pieces: every other piece of those is such a token."""
+        pieces = [marked.split(t) if h else [t] for t, h in zip(texts.to_pylist(), held.to_pylist())]
+        flat = [p if p not in self.special else "" for some in pieces for p in some]
+        ids, counts = self._plain(pa.array(flat, pa.string()))
+        ends = np.cumsum(counts)
+        at = [k for k, p in enumerate(p for some in pieces for p in some) if p in self.special]
+        ids = np.insert(ids.astype(np.int64), ends[at], [self.special[p] for some in pieces for p in some if p in self.special])
+        counts[at] += 1
+        own = np.cumsum([0, *map(len, pieces)])
+        total = np.concatenate([[0], np.cumsum(counts)])
+        return ids, np.diff(total[own])
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without special tokens."""
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         if not odd.any():
             return self._simple(texts)

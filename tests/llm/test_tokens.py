@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from swarmlake.llm import monoid_bpe, packing, rans, scratch
 from swarmlake.llm.tokens import PartEncoder
@@ -13,7 +14,6 @@ def library(path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -23,12 +23,25 @@ def test_part_encoder(tokenizers_at):
     rng = random.Random(3)
     letters = "ab'srtvelm 12\n\t\r\x01\x1c\x85 　日é!,.  '"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None, "", " ", "\n", "a  b", "<|endoftext|>", "end ", " \n x"]
+    texts += ["x <|endoftext|> y", "x<|endoftext|><|endoftext|>", "<|endoftext|> a<|endoftext|", "\n<|endoftext|>\n\x01<|endoftext|>  b", "<|endoftex<|endoftext|>t|>"]
     for some in (texts, texts[::-1]):
         ids, n = parts.encode(pa.array(some))
         ends = np.cumsum(n)
         assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == [whole(t) for t in some]
 
 
+def test_other_tokenizers_are_refused(tokenizers_at, tmp_path):
+    import json
+
+    with open(tokenizers_at.path("byte_bpe_50k.json")) as f:
+        settings = json.load(f)
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "NFC"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(settings | change))
+        with pytest.raises(ValueError, match="byte-level"):
+            PartEncoder(str(path))
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
 
