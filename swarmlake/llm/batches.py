@@ -60,3 +60,11 @@ def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
     return x ^ x >> np.uint64(31)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, ascending, by sorting."""
+    ordered = np.sort(values)
+    new = np.ones(len(ordered), dtype=bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    return ordered[new]

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import mixed, numbered, renamed, slices, word_hash
+from .batches import distinct, mixed, numbered, renamed, slices, word_hash
 from .quality_rules import split_words
 from .scratch import drop, materialize
 
@@ -57,7 +57,7 @@ def features(texts: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
     text_of = np.repeat(np.arange(len(n_words)), n_words)
     pair = np.flatnonzero(text_of[1:] == text_of[:-1]) + 1
     hashed = np.concatenate([word, mixed(word[pair - 1], word[pair])])
-    once = np.unique(np.concatenate([text_of, text_of[pair]]) * buckets + ((hashed >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64))
+    once = distinct(np.concatenate([text_of, text_of[pair]]) * buckets + ((hashed >> np.uint64(24)) % np.uint64(buckets)).astype(np.int64))
     return once // buckets, once % buckets
 
 
