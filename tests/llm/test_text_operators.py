@@ -122,7 +122,6 @@ def brute_kept(rows):
 @pytest.mark.parametrize("shard", [4, 2048])
 def test_keep_one_of_similar_texts(docs, edge, monkeypatch, shard):
     monkeypatch.setattr(similar.shards, "__defaults__", (shard,))
-    monkeypatch.setattr(similar.links, "__defaults__", (*similar.links.__defaults__[:2], shard))
     rng = np.random.default_rng(6)
     passage = " ".join(f"p{k}" for k in range(40))
     rows = edge + variants(1, 30) + [(7, "another text that has the number of seven"), (None, "a text without a number of its own")]
