@@ -38,6 +38,7 @@ CANDIDATES = (
     "archive string, block long, place long, size long, span long, page_id long, record_type string, "
     "refers_to long, declared string, payload_bytes long, payload_digest string"
 )
+CHAINED = CANDIDATES + ", offset long, part_of long"
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
@@ -120,14 +121,17 @@ def _candidate(archive: str, block: int, place: int, data: bytes) -> tuple[dict,
     return row, length - len(body), digest
 
 
+def pieces(spark: SparkSession, path: str) -> DataFrame:
+    """archive, block (the split's start) and data of what lies between magic lines, in order within a split."""
+    found = spark.read.option("lineSep", MAGIC.decode()).text(path)
+    return found.select(F.col("_metadata.file_path").alias("archive"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Every piece between magic lines, with the span that its headers claim and the digest of its payload.
 
     The digest is null where the payload goes on in another split of the file.
     """
-    pieces = spark.read.option("lineSep", MAGIC.decode()).text(path)
-    pieces = pieces.select(F.col("_metadata.file_path").alias("archive"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, place, waiting, rows = None, 0, [], []
         types = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in CANDIDATES.split(", "))])
@@ -153,7 +157,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_pylist([r for r in done if id(r) not in held], schema=types)
         yield pa.RecordBatch.from_pylist(rows, schema=types)
 
-    return pieces.mapInArrow(run, CANDIDATES)
+    return pieces(spark, path).mapInArrow(run, CANDIDATES)
 
 
 def reachable(start: np.ndarray, after: np.ndarray) -> np.ndarray:
@@ -172,55 +176,57 @@ def reachable(start: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def chained(found: DataFrame) -> DataFrame:
-    """The candidates that their archive's chain reaches; an archive is as large as its writer let it grow."""
+    """The candidates that their archive's chain reaches, with their offsets; an archive is as large as its writer let it grow.
+
+    Of a record whose payload goes on in another split, the pieces follow as rows of their own, with the record's offset as ``part_of``.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["block", "place"], kind="stable")
         # the first piece stands before the first magic; every other one starts with it
         offset = (group["size"] + len(MAGIC)).cumsum().to_numpy() - group["size"].to_numpy() - 2 * len(MAGIC)
-        real = ((offset >= 0) & group["span"].notna().to_numpy())
-        group, offset = group[real], offset[real]
-        after = offset + len(MAGIC) + group["span"].to_numpy(dtype="int64")
-        group = group[reachable(offset, after)]
-        return group
+        group = group.assign(offset=offset, part_of=pd.array([None] * len(group), dtype="Int64"))[offset >= 0]
+        real = group[group["span"].notna()]
+        after = real["offset"].to_numpy() + len(MAGIC) + real["span"].to_numpy(dtype="int64")
+        here = reachable(real["offset"].to_numpy(), after)
+        records, ends = real[here], after[here]
+        cut = ((records["record_type"] == "response") & records["payload_digest"].isna()).to_numpy()
+        at = group["offset"].to_numpy()
+        parts = [group.iloc[np.searchsorted(at, o) : np.searchsorted(at, e)].assign(part_of=o) for o, e in zip(records["offset"][cut], ends[cut])]
+        return pd.concat([records, *parts])
 
-    return found.groupBy("archive").applyInPandas(run, CANDIDATES)
+    return found.groupBy("archive").applyInPandas(run, CHAINED)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Verified records: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    records = chained(candidates(spark, path))
-    found = materialize(records, "warc-records")
-    cut = found.filter("record_type = 'response' and payload_digest is null")
+    found = materialize(chained(candidates(spark, path)), "warc-records")
+    records = found.filter("part_of is null")
     digest = F.when(F.col("record_type") == "revisit", F.col("declared")).otherwise(F.col("payload_digest"))
-    whole = found.filter("not (record_type = 'response' and payload_digest is null)").withColumn("payload_digest", digest)
-    if cut.limit(1).count():
-        whole = whole.unionByName(_stitched(spark, path, cut))
-    return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    if found.filter("part_of is not null").limit(1).count():
+        records = records.join(_stitched(spark, path, found.filter("part_of is not null")), ["archive", "offset"], "left")
+        digest = F.coalesce(digest, F.col("stitched"))
+    return records.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
-def _stitched(spark: SparkSession, path: str, cut: DataFrame) -> DataFrame:
-    """Digests of the few records whose payload, with magic inside, crosses a split: their archives are read whole."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    wanted = cut.withColumn("file", F.col("archive")).groupBy("file").agg(F.collect_set("page_id").alias("pages"))
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    some = files.withColumn("name", name(F.col("file"))).join(wanted.select(name(F.col("file")).alias("name"), "pages"), "name")
+def _stitched(spark: SparkSession, path: str, parts: DataFrame) -> DataFrame:
+    """archive, offset and digest of records whose payload, with magic inside, crosses a split: their pieces are read again."""
+    parts = parts.select("archive", "block", "place", F.col("offset").alias("piece"), F.col("part_of").alias("offset"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([(n, pa.string() if t == "string" else pa.int64()) for n, t in (x.split() for x in CANDIDATES.split(", "))])
-        for batch in batches:
-            for content, pages in zip(batch.column("content").to_pylist(), batch.column("pages").to_pylist()):
-                at, rows, pages = 0, [], set(pages)
-                while content.startswith(MAGIC, at):
-                    parsed = _headers(content[at + len(MAGIC) : at + len(MAGIC) + (1 << 16)])
-                    if not parsed:
-                        break
-                    size = parsed[1] + int(parsed[0][b"content-length"])
-                    row, _, digest = _candidate("", 0, 0, content[at + len(MAGIC) : at + len(MAGIC) + size])
-                    if row["page_id"] in pages and row["record_type"] == "response":
-                        rows.append(row | {"payload_digest": digest.hexdigest()})
-                    at += len(MAGIC) + size + len(END)
-                yield pa.RecordBatch.from_pylist(rows, schema=types)
-
-    read_again = some.select("content", "pages").mapInArrow(run, CANDIDATES)
-    return read_again.join(cut.select("page_id").distinct(), "page_id", "left_semi")
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, place = None, 0
+        for batch in slices(batches, "data"):
+            places = []
+            for key in zip(batch.column("archive").to_pylist(), batch.column("block").to_pylist()):
+                place = place + 1 if key == split else 0
+                split = key
+                places.append(place)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(places, pa.int64())], ["archive", "block", "data", "place"])
+
+    def digest(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("piece", kind="stable")
+        record = _candidate("", 0, 0, MAGIC.join(group["data"]))
+        return pd.DataFrame({"archive": group["archive"].iloc[:1], "offset": group["offset"].iloc[:1], "stitched": [record[2].hexdigest()]})
+
+    numbered = pieces(spark, path).mapInArrow(number, "archive string, block long, data binary, place long")
+    return numbered.join(parts, ["archive", "block", "place"]).groupBy("archive", "offset").applyInPandas(digest, "archive string, offset long, stitched string")

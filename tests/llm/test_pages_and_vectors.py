@@ -49,6 +49,19 @@ def test_warc_across_splits(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_warc_across_splits_with_odd_ids_and_headers(spark):
+    """Nulls, repeated ids and headers longer than a split lose and double nothing."""
+    rows = [(i % 7 or None, f"http://a/{'x' * (70_000 if i % 5 == 0 else 9)}", TRAP * (i % 3) + f"body {i} " * 900 + TRAP * 40) for i in range(20)] + [(3, "u", TRAP * 300)] * 2
+    path = scratch.new_path(spark, "test-warc")
+    warc.write(pages(spark, rows).coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        assert sorted(map(tuple, warc.read(spark, path).collect()), key=KEY) == sorted(brute_records(rows), key=KEY)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_warc_empty(spark):
     path = scratch.new_path(spark, "test-warc")
     warc.write(pages(spark, []), path)
