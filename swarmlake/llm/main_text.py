@@ -1,16 +1,18 @@
 """Main text of web pages by nearest-URL differencing (operator 4).
 
 A page becomes lines, one for each block, without the elements that say
-themselves what they are (menus, footers, forms, scripts ...). Pages of a host
-are sorted by URL path; each is aligned with the page before and after it by the
-longest common subsequence of its lines, and shared lines go, unless they are
-headings or stand in what the page itself marks as its article: passages that
-articles have in common are text, not frame. Pages that share most of their text are copies of an article, not frames around
-different ones: they lose nothing by each other.
+themselves what they are (menus, footers, forms, scripts ...). Within a host, pages
+of equal lines are one; the others are sorted by URL path, and each is aligned with
+the nearest page before and after it that is no near copy, by the longest common
+subsequence of its lines. Shared lines go, unless they are headings or stand in
+what the page itself marks as its article and most of its text: passages that
+articles have in common are text, not frame. Pages that share all but a tenth of
+their text are copies of an article, not frames around different ones.
 
 Only hashes of lines travel for the alignment. The sort is by range, so a host of
 any size spreads over tasks; the pages on either side of a border between two
-ranges are aligned afterwards, from two rows a range.
+ranges are aligned afterwards, from two rows a range. An alignment takes memory in
+proportion to the lines, however often they repeat.
 
 Null and empty html gives empty text; a null url is a host of its own with an
 empty path. Repeated rows lose the same lines; nothing is cut from long pages.
@@ -21,10 +23,10 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -58,7 +60,11 @@ KEPT_WHOLE = {"html", "body", "main"}
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z0-9]+")
-COPY = 0.5  # share of a page's text in common with another from which they are copies
+COPY = 0.9  # share of a page's text in common with another from which they are copies
+# Words that say what a name with a marked word is about, or that the marked thing is elsewhere.
+CONTENT = {"content", "article", "post", "entry", "main", "story"}
+ABOUT = {"has", "no", "with", "without", "show", "hide", "is"}
+PARENTS = {"ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "select"}
 
 
 class Line:
@@ -78,7 +84,11 @@ def _removed(name: str, attributes: str, inside: bool) -> bool:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
         return True
-    words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}".lower()))
+    words: set[str] = set()
+    for token in f"{found.get('class', '')} {found.get('id', '')}".lower().split():
+        some = _WORD.findall(token)
+        if some and some[0] not in ABOUT and (not CONTENT & set(some) or COMMENT & set(some)):
+            words.update(some)
     if name == "article":
         return bool(words & COMMENT)
     if found.get("role", "").lower() in ROLES:
@@ -86,12 +96,12 @@ def _removed(name: str, attributes: str, inside: bool) -> bool:
     return bool(words & (MARKED - {"header"} if inside else MARKED))
 
 
-def lines(page: str) -> list[Line]:
-    """The blocks of a page in order, white space made single, without what is no main text."""
+def lines(page: str, forms: bool = False) -> list[Line]:
+    """The blocks of a page in order, white space made single, without what is no main text; ``forms`` are text if asked."""
     out: list[Line] = []
     parts: list[str] = []
     at, articles, heading = 0, 0, False
-    skipped, depth = "", 0  # the element left out, and how many of its name are open
+    skipped, depth, inner = "", 0, 0  # the element left out, how many of its name are open, and parents of items inside it
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
@@ -115,10 +125,13 @@ def lines(page: str) -> list[Line]:
         if skipped:
             if name == skipped:
                 depth += -1 if closing else 1
-                if skipped in ENDED_BY_BLOCK and not closing:
+                if skipped in ENDED_BY_BLOCK and not closing and not inner:
                     depth = 0
-            elif skipped in ENDED_BY_BLOCK and block and name not in VOID:
+            elif skipped == "p" and block and name not in VOID:
                 depth = 0
+            elif skipped in ENDED_BY_BLOCK and name in PARENTS:
+                depth = 0 if closing and not inner else depth
+                inner += -1 if closing else 1
             if depth > 0:
                 continue
             ended_by_itself = name == skipped and closing
@@ -137,9 +150,9 @@ def lines(page: str) -> list[Line]:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             raw_until = at = end.end() if end else len(page)
             continue
-        if name not in VOID and _removed(name, tag[3], articles > 0):
+        if name not in VOID and not (forms and name == "form") and _removed(name, tag[3], articles > 0):
             if not tag[3].rstrip().endswith("/"):
-                skipped, depth = name, 1
+                skipped, depth, inner = name, 1, 0
             continue
         if name in ("article", "main"):
             articles += 1
@@ -152,39 +165,58 @@ def lines(page: str) -> list[Line]:
 
 
 def main_lines(page: str) -> list[Line]:
-    """The lines of the marked article, or all if none is marked."""
-    found = lines(page)
+    """The lines of the marked article where it has most of the text, else all; a page that is one form is that form."""
+    found = lines(page) or lines(page, forms=True)
     inside = [x for x in found if x.inside]
-    return inside or found
+    if 2 * sum(len(x.text) for x in inside) > sum(len(x.text) for x in found):
+        return inside
+    for x in found:
+        x.inside = False
+    return found
+
+
+def _prefixes(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and each prefix of ``b``, bit by bit in one number."""
+    places: dict[int, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    every = (1 << len(b)) - 1
+    row = every
+    for x in a:
+        found = row & places.get(x, 0)
+        row = ((row + found) | (row - found)) & every
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8) or 1, "little"), dtype=np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
 def common(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """Places of a longest common subsequence in both."""
-    shared = set(a) & set(b)
-    at, bt = [i for i, x in enumerate(a) if x in shared], [j for j, y in enumerate(b) if y in shared]
-    if not at:
-        return [], []
-    # by the matches of each element of a, as a longest ascending run of places in b
-    places: dict[int, list[int]] = {}
-    for j in bt:
-        places.setdefault(b[j], []).append(j)
-    tails: list[int] = []
-    ends: list[tuple[int, int, tuple | None]] = []
-    for i in at:
-        for j in reversed(places[a[i]]):
-            k = bisect_left(tails, j)
-            node = (i, j, ends[k - 1] if k else None)
-            if k == len(tails):
-                tails.append(j)
-                ends.append(node)
-            else:
-                tails[k], ends[k] = j, node
-    left, right, node = [], [], ends[-1]
-    while node:
-        left.append(node[0])
-        right.append(node[1])
-        node = node[2]
-    return left[::-1], right[::-1]
+    """Places of a longest common subsequence in both: equal ends first, halves of what is left by where they meet best."""
+    left: list[int] = []
+    right: list[int] = []
+    stack = [(0, len(a), 0, len(b))]
+    while stack:
+        i, m, j, n = stack.pop()
+        while i < m and j < n and a[i] == b[j]:
+            left.append(i)
+            right.append(j)
+            i, j = i + 1, j + 1
+        while i < m and j < n and a[m - 1] == b[n - 1]:
+            m, n = m - 1, n - 1
+            left.append(m)
+            right.append(n)
+        if i == m or j == n:
+            continue
+        if m - i == 1:
+            if a[i] in b[j:n]:
+                left.append(i)
+                right.append(b.index(a[i], j, n))
+            continue
+        half = (i + m) // 2
+        upper = _prefixes(a[i:half], b[j:n])
+        lower = _prefixes(a[half:m][::-1], b[j:n][::-1])[::-1]
+        meet = j + int(np.argmax(upper + lower))
+        stack += [(i, half, j, meet), (half, m, meet, n)]
+    return sorted(left), sorted(right)
 
 
 def signature(found: list[Line]) -> tuple[list[int], list[int], list[bool]]:
@@ -194,14 +226,17 @@ def signature(found: list[Line]) -> tuple[list[int], list[int], list[bool]]:
     return hashes, [len(x.text) for x in found], may_go
 
 
-def shared_lines(a: tuple, b: tuple) -> tuple[list[int], list[int]]:
-    """Lines that two pages lose by each other, each given as (hashes, characters, may_go)."""
-    left, right = common(list(a[0]), list(b[0]))
-    if not left:
+def shared_lines(a: tuple, b: tuple) -> tuple[list[int], list[int]] | None:
+    """Lines that two pages lose by each other, each given as (hashes, characters, may_go); nothing for copies."""
+    both = set(a[0]) & set(b[0])
+    if not both:
         return [], []
+    at, bt = ([k for k, x in enumerate(page[0]) if x in both] for page in (a, b))
+    left, right = common([a[0][k] for k in at], [b[0][k] for k in bt])
+    left, right = [at[k] for k in left], [bt[k] for k in right]
     for places, page in ((left, a), (right, b)):
         if sum(page[1][i] for i in places) > COPY * sum(page[1]):
-            return [], []
+            return None
     return [i for i in left if a[2][i]], [j for j in right if b[2][j]]
 
 
@@ -243,7 +278,7 @@ def aligned(signs: DataFrame) -> DataFrame:
     order = ["host", "path", "key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last = TaskContext.get().partitionId(), None
+        part, last, other = TaskContext.get().partitionId(), None, None
         schema = pa.schema([("key", pa.int64()), ("cut", pa.list_(pa.int32())), ("edge", pa.int32()), ("part", pa.int32()), ("host", pa.string()), ("hashes", pa.list_(pa.int64())), ("chars", pa.list_(pa.int32())), ("may_go", pa.list_(pa.bool_()))])
 
         def row(r: dict, cut: list[int], edge: int | None) -> dict:
@@ -256,9 +291,16 @@ def aligned(signs: DataFrame) -> DataFrame:
                 sign = (r["hashes"], r["chars"], r["may_go"])
                 if last is None:
                     out.append(row(r, [], 0))
-                elif r["key"] != last["key"] and r["host"] == last["host"]:
-                    a, b = shared_lines((last["hashes"], last["chars"], last["may_go"]), sign)
-                    out += [row(x, cut, None) for x, cut in ((last, a), (r, b)) if cut]
+                else:
+                    # the page before, and where that is a copy, the one that it was aligned with
+                    for page in (last, other):
+                        if page is None or page["host"] != r["host"]:
+                            break
+                        found = shared_lines((page["hashes"], page["chars"], page["may_go"]), sign)
+                        if found is not None:
+                            out += [row(x, cut, None) for x, cut in ((page, found[0]), (r, found[1])) if cut]
+                            other = page
+                            break
                 last = r
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         if last is not None:
@@ -278,7 +320,7 @@ def borders(edges: DataFrame) -> DataFrame:
         for batch in batches:
             keys, cuts = [], []
             for r in batch.to_pylist():
-                found = shared_lines(*((r[p + "hashes"], r[p + "chars"], r[p + "may_go"]) for p in ("", "next_")))
+                found = shared_lines(*((r[p + "hashes"], r[p + "chars"], r[p + "may_go"]) for p in ("", "next_"))) or ([], [])
                 keys += [r["key"], r["next_key"]]
                 cuts += found
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cuts, pa.list_(pa.int32()))], ["key", "cut"])
@@ -289,12 +331,13 @@ def borders(edges: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
     keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
-    # equal rows align alike, so one of them stands for all
-    signs = materialize(signed(keyed.select("key", "url", "html")), "page-lines")
-    found = materialize(aligned(signs), "aligned-pages")
+    # pages of equal lines align alike, so the one of the smallest path stands for all of a host
+    signs = materialize(signed(keyed.select("key", "url", "html")).withColumn("lines", F.xxhash64("host", "hashes", "may_go")), "page-lines")
+    first = signs.groupBy("lines").agg(F.min(F.struct("path", "host", "hashes", "chars", "may_go")).alias("p"))
+    found = materialize(aligned(first.select(F.col("lines").alias("key"), "p.*")), "aligned-pages")
     every = found.select("key", "cut").unionByName(borders(found.filter("edge is not null")))
-    cuts = every.filter(F.size("cut") > 0).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
-    cuts = materialize(cuts, "shared-lines")
+    cuts = every.filter(F.size("cut") > 0).groupBy(F.col("key").alias("lines")).agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    cuts = materialize(signs.select("key", "lines").distinct().join(cuts, "lines").select("key", "cut"), "shared-lines")
     drop(signs)
     drop(found)
 

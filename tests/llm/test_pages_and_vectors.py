@@ -105,6 +105,31 @@ def test_copies_lose_nothing(spark):
     assert {r["page_id"]: r["text"] for r in main_text.extract(pages(spark, rows)).collect()}[0] == "the same long story on both pages"
 
 
+def test_frames_go_where_no_word_names_them(spark, monkeypatch):
+    """With all lists off, on pages that mark nothing, what neighbours share goes, also around runs of copies."""
+    frame = "<div>Menu one two</div><p>Our shop sells all things of the world, and has done so for years</p>"
+    story = lambda i: f"Story {i} " + f"tells of number {i * 7}. " * 3
+    rows = [(i, f"http://h/{i:03d}", f"{frame}<p>{story(i // 5)}</p><div>All rights kept</div>") for i in range(40)]
+    texts = {r["page_id"]: r["text"] for r in main_text.extract(pages(spark, rows)).collect()}
+    assert texts == {i: story(i // 5).strip() for i, _, _ in rows}
+
+
+def test_marks_name_the_block_itself():
+    text = lambda page: [x.text for x in main_text.main_lines(page)]
+    assert text("<div class='content has-sidebar'><div class='post-header'>Head</div><p>body</p></div>") == ["Head", "body"]
+    assert text("<p>a long text that makes the page</p><article class='teaser'>more</article>") == ["a long text that makes the page", "more"]
+    assert text("<form><p>all in a form</p></form>") == ["all in a form"]
+    assert text("<table><tr><td class='sidebar'><div>m</div><ul><li>a<li>b</ul></td><td>text</td></tr></table>") == ["text"]
+    assert text("<ul><li class='ad'><p>buy</p><li>item</ul>") == ["item"]
+
+
+def test_many_equal_lines():
+    """Lines that repeat take no memory by the square."""
+    a, b = [1] * 30_000 + [2] + [1] * 10_000, [1] * 20_000 + [3] + [1] * 30_000
+    left, right = main_text.common(a, b)
+    assert len(left) == len(right) == 40_000
+
+
 def test_longest_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(200):
