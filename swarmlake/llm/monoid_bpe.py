@@ -6,7 +6,8 @@ their border again: it starts and ends at places where a match of the split
 pattern begins whatever stands around it (white space after other characters, a
 change between letters, digits and signs), so the tokens outside the window are
 final. A window without such a place grows until it has one or reaches the end
-of the half. Decoding concatenates bytes up the same tree.
+of the half. A split pattern that does not begin a match at all such places, in any
+string of a few characters, is refused. Decoding concatenates bytes up the same tree.
 
 Null and empty texts have no ids. Repeated rows stand for themselves; other
 columns are ignored; an empty table gives an empty result.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .batches import slices
 
-LEAF = 4096
+LEAF = 512
 WINDOW = 64
+#: One or more characters of each kind that split patterns tell apart; a pattern is tried on all short strings of them.
+KINDS = ["a", "é", "1", "!", "'", "s", " ", "\n", "\t"]
 
 # The white space of every engine here is also \s of regex; the characters on which they differ start no place.
 _PLACE = regex.compile(
@@ -38,10 +42,22 @@ _PLACE = regex.compile(
 )
 
 
+def check_places(pattern: str, longest: int = 4) -> None:
+    """Raises where the pattern goes on over a place at which texts are cut."""
+    split = regex.compile(pattern)
+    for n in range(2, longest + 1):
+        for some in product(KINDS, repeat=n):
+            text = "".join(some)
+            starts = {m.start() for m in split.finditer(text)}
+            if any(m.start() not in starts for m in _PLACE.finditer(text)):
+                raise ValueError(f"the split pattern begins no match where {text!r} is cut")
+
+
 class TreeCodec:
     def __init__(self, path: str, pattern: str, leaf: int = LEAF, window: int = WINDOW):
         import tiktoken
 
+        check_places(pattern)
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.plain = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})

@@ -129,6 +129,16 @@ def test_coder_round_trip():
         assert (coder.decode(n, states, words) == ids).all()
 
 
+def test_patterns_that_run_over_cuts_are_refused(tokenizers_at):
+    monoid_bpe.check_places(tokenizers_at.PATTERN)
+    for pattern in (r"\S+\s*|\s+", r"[\s\S]", r"\w+!|[\s\S]+?"):
+        if pattern == r"[\s\S]":
+            monoid_bpe.check_places(pattern)  # every character is a match
+            continue
+        with pytest.raises(ValueError, match="split pattern"):
+            monoid_bpe.check_places(pattern)
+
+
 def test_monoid_bpe(docs, edge, tokenizers_at):
     path, pattern = tokenizers_at.path("byte_bpe_50k.tiktoken"), tokenizers_at.PATTERN
     small = monoid_bpe.TreeCodec(path, pattern, leaf=4, window=2)
