@@ -7,7 +7,7 @@ one call of linear algebra. Points are placed against the landmarks afterwards.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.tables import materialized
@@ -28,15 +28,18 @@ def nearest_graph(pairs: DataFrame, k: int, threshold: float = 0.0) -> DataFrame
     return both.groupBy("i", "j").agg(F.min("d").alias("d"))
 
 
-def shortest_paths(edges: DataFrame, rounds: int) -> DataFrame:
-    """Shortest paths of up to 2**rounds edges, by min-plus joins that double the length."""
-    paths = edges
-    for _ in range(rounds):
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """Shortest paths, by min-plus joins that double their length until nothing gets shorter."""
+    paths = materialized(edges)
+    while True:
         left = paths.select("i", F.col("j").alias("via"), F.col("d").alias("d1"))
         right = paths.select(F.col("i").alias("via"), "j", F.col("d").alias("d2"))
         longer = left.join(right, "via").filter("i <> j").select("i", "j", (F.col("d1") + F.col("d2")).alias("d"))
-        paths = materialized(paths.unionByName(longer).groupBy("i", "j").agg(F.min("d").alias("d")))
-    return paths
+        both = paths.select("i", "j", "d", F.col("d").alias("before")).unionByName(longer.withColumn("before", F.lit(None).cast("double")))
+        after = materialized(both.groupBy("i", "j").agg(F.min("d").alias("d"), F.min("before").alias("before")))
+        paths = after.select("i", "j", "d")
+        if after.filter("before is null or d < before").isEmpty():
+            return paths
 
 
 def to_matrix(pairs: DataFrame) -> tuple[list, np.ndarray]:
@@ -81,6 +84,48 @@ def classical_scaling(d: np.ndarray, p: int) -> np.ndarray:
     return x * np.where(x[np.abs(x).argmax(axis=0), np.arange(x.shape[1])] < 0, -1, 1)
 
 
+def _to_landmarks(x: Column, at: list) -> Column:
+    """Distances of a point to the landmarks, as an array."""
+    return F.array(*[F.sqrt(squared_distance(x, F.array(*[F.lit(float(v)) for v in landmark]))) for landmark in at])
+
+
+def _weighted(values: Column, weights: np.ndarray) -> Column:
+    total = lambda row: F.aggregate(F.zip_with(values, F.array(*[F.lit(float(w)) for w in row]), lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v)
+    return F.array(*[total(row) for row in weights])
+
+
+def placed(points: DataFrame, at: list, paths: np.ndarray, x: np.ndarray, near: int = 3) -> DataFrame:
+    """Adds ``place``: a point's coordinates by the squares of its paths to the landmarks, over the nearest of them."""
+    step = points.withColumn("__d", _to_landmarks(F.col("x"), at))
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in paths])
+    reach = F.element_at(F.sort_array("__d"), min(near, len(at)))
+    first = F.filter(F.arrays_zip(F.col("__d").alias("d"), rows.alias("row")), lambda e: e["d"] <= reach)
+    step = step.withColumn("__first", first)
+    path = F.transform(F.sequence(F.lit(1), F.lit(len(at))), lambda k: F.array_min(F.transform("__first", lambda e: e["d"] + F.element_at(e["row"], k))))
+    mean = (paths * paths).mean(axis=0)
+    beyond = F.zip_with(path, F.array(*[F.lit(float(m)) for m in mean]), lambda p, m: p * p - m)
+    return step.withColumn("__b", beyond).withColumn("place", _weighted(F.col("__b"), -np.linalg.pinv(x) / 2)).drop("__d", "__first", "__b")
+
+
+def placed_among(points: DataFrame, at: list, x: np.ndarray, near: int = 3) -> DataFrame:
+    """Adds ``place``: the mean of the nearest landmarks' coordinates, each by the inverse of its distance."""
+    step = points.withColumn("__d", _to_landmarks(F.col("x"), at))
+    reach = F.element_at(F.sort_array("__d"), min(near, len(at)))
+    step = step.withColumn("__w", F.transform("__d", lambda d: F.when(d <= reach, 1 / (d + 1e-9)).otherwise(0.0)))
+    total = F.aggregate("__w", F.lit(0.0), lambda s, w: s + w)
+    step = step.withColumn("__w", F.transform("__w", lambda w: w / total))
+    return step.withColumn("place", _weighted(F.col("__w"), x.T)).drop("__d", "__w")
+
+
+def cut_tree(merges: list[tuple[int, int, int, float]], n: int, clusters: int) -> list[int]:
+    """The smallest member of each of n points' cluster, when ``clusters`` are left."""
+    members = {k: [k - 1] for k in range(1, n + 1)}
+    for step, (a, b, *_) in enumerate(merges[: max(0, n - clusters)], 1):
+        members[n + step] = members.pop(a) + members.pop(b)
+    of = {k: min(some) for some in members.values() for k in some}
+    return [of[k] for k in range(n)]
+
+
 def average_linkage(d: np.ndarray) -> list[tuple[int, int, int, float]]:
     """Merges (a, b, size, distance); of equal distances the last pair by columns; new clusters are numbered on."""
     n = len(d)

@@ -1,14 +1,21 @@
 """Fitness models on points (id, x, group, fitness): kernels, neighbours, groups.
 
 Kernels and neighbours learn from a training set of proven size (group centres),
-so each point meets few others; groups are plain aggregates.
+so each point meets few others, or a stated set of queries meets all points, block
+by block; groups are plain aggregates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialized
+
 
 def squared_distance(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
@@ -55,6 +62,57 @@ def kernel_errors(points: DataFrame, distances: DataFrame, sigmas: list[float])
     return each.groupBy("sigma").agg(F.avg(error * error).alias("mse"))
 
 
+CHUNK, BLOCK = 512, 4096  # queries and points that meet in a task, about
+
+
+def _met(queries: DataFrame, points: DataFrame, reduce: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, digits: int = 8) -> DataFrame:
+    """``reduce`` of the squared distances of each chunk of queries to each block of points; infinite to itself."""
+    chunks, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, CHUNK), (points, BLOCK)))
+    dealt = lambda df, own, n, other, m: df.select(
+        F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), "vec_id", "x", "fitness"
+    )
+    asked, offered = dealt(queries, "chunk", chunks, "block", blocks), dealt(points, "block", blocks, "chunk", chunks)
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        a, b = (np.stack(df["x"].to_numpy()) for df in (left, right))
+        d2 = np.round(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0), digits)
+        d2[left["vec_id"].to_numpy()[:, None] == right["vec_id"].to_numpy()] = np.inf
+        return reduce(d2, left, right)
+
+    return asked.groupBy("chunk", "block").cogroup(offered.groupBy("chunk", "block")).applyInPandas(run, schema)
+
+
+def nearest_of_all(queries: DataFrame, points: DataFrame) -> DataFrame:
+    """The nearest other point of each query and its fitness; ties of the squared distance, to 8 digits: the smallest id."""
+
+    def best(d2: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(right["vec_id"].to_numpy(), kind="stable")
+        at = order[d2[:, order].argmin(1)]
+        low = d2[np.arange(len(d2)), at]
+        found = pd.DataFrame({"vec_id": left["vec_id"].to_numpy(), "nearest": right["vec_id"].to_numpy()[at], "d2": low, "predicted": right["fitness"].to_numpy()[at]})
+        return found[np.isfinite(low)]
+
+    met = _met(queries, points, best, "vec_id long, nearest long, d2 double, predicted double")
+    return met.groupBy("vec_id").agg(F.min(F.struct("d2", "nearest", "predicted")).alias("n")).select("vec_id", "n.nearest", "n.d2", "n.predicted")
+
+
+def smoothed_by_all(queries: DataFrame, points: DataFrame, sigma: float) -> DataFrame:
+    """Gaussian weights of all other points; blocks add up on the scale of the nearest."""
+
+    def sums(d2: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        low = d2.min(1)
+        weight = np.exp((np.where(np.isfinite(low), low, 0)[:, None] - d2) / (2 * sigma * sigma))
+        found = pd.DataFrame({"vec_id": left["vec_id"].to_numpy(), "low": low, "weight": weight.sum(1), "total": weight @ right["fitness"].to_numpy()})
+        return found[np.isfinite(low)]
+
+    met = materialized(_met(queries, points, sums, "vec_id long, low double, weight double, total double"))
+    least = met.groupBy("vec_id").agg(F.min("low").alias("least"))
+    scale = F.exp((F.col("least") - F.col("low")) / (2 * sigma * sigma))
+    return met.join(least, "vec_id").groupBy("vec_id").agg((F.sum(F.col("total") * scale) / F.sum(F.col("weight") * scale)).alias("predicted"))
+
+
 def group_means(points: DataFrame, leave_one_out: bool = False) -> DataFrame:
     """Mean fitness of a point's group, without its own if asked; null for a group of one."""
     sums = points.groupBy("label").agg(F.sum("fitness").alias("s"), F.count("fitness").alias("n"))

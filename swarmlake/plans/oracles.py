@@ -121,6 +121,12 @@ GRAPH = (
 ), graph AS (SELECT i, j, min(d) AS d FROM (SELECT * FROM ranked UNION ALL SELECT j, i, d FROM ranked) GROUP BY ALL)"""
 )
 
+TO_ALL = """
+met AS (
+  SELECT a.vec_id, b.vec_id AS nearest, b.fitness AS predicted, round(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 8) AS d2
+  FROM points a JOIN points b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)"""
+
 ORACLE_SQL = {
     "cigar_walk": f"""WITH {READS}
 SELECT ref_id, cigar, op, read_pos, ref_offset, count(*) AS n, CAST(sum(pos + ref_offset) AS BIGINT) AS sum_ref_pos
@@ -246,7 +252,7 @@ SELECT ref_id, coalesce(aa, '?') AS amino_acid, count(*) AS n FROM k LEFT JOIN c
     "kmer_docs": """WITH k AS (
   SELECT lang, list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)) AS g FROM documents WHERE length(text) >= 3
 )
-SELECT lang, kmer, count(*) AS n FROM (SELECT lang, unnest(g) AS kmer FROM k) GROUP BY ALL HAVING count(*) >= 50""",
+SELECT lang, kmer, count(*) AS n FROM (SELECT lang, unnest(g) AS kmer FROM k) GROUP BY ALL""",
     "lev_names": """SELECT p_partkey, CAST(levenshtein(p_type, p_brand) AS INTEGER) AS edits, CAST(hamming(p_name, reverse(p_name)) AS INTEGER) AS mismatches FROM part""",
     "ts_at": f"""WITH {SERIES}, k AS (
   SELECT *, unnest(range(CAST(ceil(t / 86400) AS BIGINT), CAST(CASE WHEN t2 IS NULL THEN floor(t / 86400) ELSE ceil(t2 / 86400) - 1 END AS BIGINT) + 1)) AS k FROM segments
@@ -294,8 +300,16 @@ SELECT round(sum(power(predicted - truth, 2)) / (var_pop(truth) * count(*)), 6)
   SELECT i, j, min(d) AS d FROM (SELECT * FROM graph UNION ALL SELECT a.i, b.j, a.d + b.d FROM graph a JOIN graph b ON a.j = b.i AND a.i <> b.j) GROUP BY ALL
 ), four AS (
   SELECT i, j, min(d) AS d FROM (SELECT * FROM two UNION ALL SELECT a.i, b.j, a.d + b.d FROM two a JOIN two b ON a.j = b.i AND a.i <> b.j) GROUP BY ALL
+), eight AS (
+  SELECT i, j, min(d) AS d FROM (SELECT * FROM four UNION ALL SELECT a.i, b.j, a.d + b.d FROM four a JOIN four b ON a.j = b.i AND a.i <> b.j) GROUP BY ALL
+), sixteen AS (
+  SELECT i, j, min(d) AS d FROM (SELECT * FROM eight UNION ALL SELECT a.i, b.j, a.d + b.d FROM eight a JOIN eight b ON a.j = b.i AND a.i <> b.j) GROUP BY ALL
 )
-SELECT i, j, round(d, 6) AS d FROM four""",
+SELECT i, j, round(d, 6) AS d FROM sixteen""",
+    "nn_samples": f"""WITH {POINTS}, {TO_ALL}
+SELECT vec_id, nearest, round(d2, 6) AS d2, round(predicted, 6) AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, nearest) AS r FROM met) WHERE r = 1""",
+    "gks_samples": f"""WITH {POINTS}, {TO_ALL}, w AS (SELECT vec_id, predicted, exp((min(d2) OVER (PARTITION BY vec_id) - d2) / (2 * CAST(0.2 AS DOUBLE) * 0.2)) AS w FROM met)
+SELECT vec_id, round(sum(w * predicted) / sum(w), 6) AS predicted FROM w GROUP BY vec_id""",
     "metadata_filter": """SELECT c_name AS sample_id, c_mktsegment AS run, c_nationkey AS reference, c_acctbal AS dose FROM customer
 WHERE c_nationkey IN (1, 3, 5, 7) AND c_acctbal > 0 AND (c_name LIKE '%1' OR c_name LIKE '%7')""",
     "sample_lookup": """WITH f AS (SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders)

@@ -241,7 +241,7 @@ def codon_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kmer_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Character triples of all documents by language."""
     docs = A.table(spark, sf_dir, "documents").filter("text is not null").select("lang", F.explode(S.sequence_codons(F.col("text"))).alias("kmer"))
-    return docs.groupBy("lang", "kmer").agg(F.count("*").alias("n")).filter("n >= 50")
+    return docs.groupBy("lang", "kmer").agg(F.count("*").alias("n"))
 
 
 @query
@@ -319,6 +319,20 @@ def gks_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.kernel_smoothed(_distances(spark, sf_dir), 0.2), "predicted")
 
 
+@query
+def nn_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitness of the nearest other point, for every fiftieth point against all."""
+    points = A.points(spark, sf_dir)
+    return rounded(models.nearest_of_all(points.filter("vec_id % 50 = 0"), points), "d2", "predicted")
+
+
+@query
+def gks_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kernel prediction from all other points, for every fiftieth point."""
+    points = A.points(spark, sf_dir)
+    return rounded(models.smoothed_by_all(points.filter("vec_id % 50 = 0"), points, 0.2), "predicted")
+
+
 @query
 def kernel_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.kernel_errors(A.points(spark, sf_dir), _distances(spark, sf_dir), [0.05, 0.1, 0.2, 0.4, 0.8]), "mse", digits=5)
@@ -353,26 +367,41 @@ def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = landmarks.nearest_graph(landmarks.distances(_landmarks(spark, sf_dir)), 3)
-    return rounded(landmarks.shortest_paths(graph, 2), "d")
+    return rounded(landmarks.shortest_paths(graph), "d")
 
 
-@query
-def isomap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = landmarks.distances(_landmarks(spark, sf_dir))
+def _landmark_paths(spark: SparkSession, sf_dir: str):
+    """Names, points and shortest paths of the landmarks, one a label."""
+    rows = _landmarks(spark, sf_dir)
+    pairs = landmarks.distances(rows)
     names, full = landmarks.to_matrix(pairs)
     _, near = landmarks.to_matrix(landmarks.nearest_graph(pairs, 3))
-    x = landmarks.classical_scaling(landmarks.all_paths(landmarks.connected(near, full)), 2)
-    return landmarks.as_rows(spark, names, x, "name int, x double, y double")
+    at = {r["name"]: r["x"] for r in rows.collect()}
+    return names, [at[n] for n in names], landmarks.all_paths(landmarks.connected(near, full))
+
+
+@query
+def isomap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point in two dimensions, by its paths to the landmarks."""
+    _, at, paths = _landmark_paths(spark, sf_dir)
+    return landmarks.placed(A.points(spark, sf_dir), at, paths, landmarks.classical_scaling(paths, 2)).select("vec_id", "label", F.col("place")[0].alias("x"), F.col("place")[1].alias("y"))
 
 
 @query
 def kruskal_isomap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = landmarks.distances(_landmarks(spark, sf_dir))
-    names, full = landmarks.to_matrix(pairs)
-    _, near = landmarks.to_matrix(landmarks.nearest_graph(pairs, 3))
-    paths = landmarks.all_paths(landmarks.connected(near, full))
+    """Every point among the landmarks of a non-metric scaling, with its stress."""
+    _, at, paths = _landmark_paths(spark, sf_dir)
     x, stress = landmarks.nonmetric_scaling(paths, landmarks.classical_scaling(paths, 2))
-    return landmarks.as_rows(spark, names, x, "name int, x double, y double").withColumn("stress", F.lit(stress))
+    return landmarks.placed_among(A.points(spark, sf_dir), at, x).select("vec_id", "label", F.col("place")[0].alias("x"), F.col("place")[1].alias("y"), F.lit(stress).alias("stress"))
+
+
+@query
+def cluster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point with the cluster of its label, of three by average linkage, named by its smallest label."""
+    names, d = landmarks.to_matrix(landmarks.distances(_landmarks(spark, sf_dir)))
+    of = landmarks.cut_tree(landmarks.average_linkage(d), len(names), 3)
+    cluster = F.create_map(*[F.lit(x) for name, c in zip(names, of) for x in (name, names[c])])
+    return A.points(spark, sf_dir).select("vec_id", "label", cluster[F.col("label")].alias("cluster"))
 
 
 @query

@@ -141,3 +141,26 @@ def test_closest_reference(spark):
     rows = [("same", 1, "ACGTACGT"), ("other", 1, "ACGTTTTA"), ("gap", 2, "ACGTTTT")]
     got = {r["sample_id"]: tuple(r)[2:] for r in consensus.closest_references(spark.createDataFrame(rows, "sample_id string, ref_id long, sequence string"), refs).collect()}
     assert got == {"same": (1, 0.0, False, False), "other": (2, 1.0, False, True), "gap": (2, 10.0, True, False)}
+
+
+def test_points_are_placed_by_landmarks(spark):
+    """On a plane, paths that are straight lines give back the distances."""
+    rng = np.random.default_rng(7)
+    at, x = rng.normal(size=(8, 2)), rng.normal(size=(30, 2))
+    paths = np.sqrt(((at[:, None] - at[None]) ** 2).sum(-1))
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([at, x]))], "vec_id long, x array<double>")
+    scaled = landmarks.classical_scaling(paths, 2)
+    got = {r["vec_id"]: np.array(r["place"]) for r in landmarks.placed(points, at.tolist(), paths, scaled, near=1).collect()}
+    assert np.allclose([got[i] for i in range(8)], scaled)
+    among = {r["vec_id"]: np.array(r["place"]) for r in landmarks.placed_among(points, at.tolist(), scaled).collect()}
+    assert np.allclose([among[i] for i in range(8)], scaled, atol=1e-6)
+    for i, p in enumerate(x):
+        d = np.sqrt(((at - p) ** 2).sum(1))
+        through = d[d.argmin()] + paths[d.argmin()]
+        assert np.allclose(got[8 + i], -np.linalg.pinv(scaled) @ (through**2 - (paths**2).mean(0)) / 2)
+
+
+def test_cut_tree():
+    d = np.array([[0, 1, 9, 9], [1, 0, 9, 9], [9, 9, 0, 2], [9, 9, 2, 0.0]])
+    assert landmarks.cut_tree(landmarks.average_linkage(d), 4, 2) == [0, 0, 2, 2]
+    assert landmarks.cut_tree(landmarks.average_linkage(d), 4, 9) == [0, 1, 2, 3]
