@@ -289,3 +289,22 @@ def test_kth_largest(spark):
     for k in (1, 7, 250, 503):
         assert importance.kth_largest(df, "v", k, fan=16) == sorted(values, reverse=True)[k - 1]
     assert importance.kth_largest(df, "v", 0) is None and importance.kth_largest(df, "v", 504) is None
+
+
+def test_bound_of_buckets_excludes_no_similar_sets():
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in (0, 1, 7, 60, 400, 40_000):
+        base = batches.distinct(rng.integers(0, 2**32, n).astype(np.uint64))
+        for cut in (0.0, 0.05, 0.1, 0.3, 0.9):
+            sets.append(np.concatenate([base[rng.random(len(base)) >= cut], rng.integers(0, 2**32, int(n * cut)).astype(np.uint64)]))
+    sets = [np.unique(s) for s in sets]
+    size = np.array([len(s) for s in sets])
+    spread = np.array([np.minimum(np.bincount((s % similar.SPREAD).astype(int), minlength=similar.SPREAD), 255) for s in sets]).astype(np.uint8)
+    others, ended = list(range(len(sets))), 0
+    for i, a in enumerate(sets):
+        left = similar.may_reach(0.8, size, spread, i, others)
+        ended += len(others) - len(left)
+        for j, b in enumerate(sets):
+            assert j in left or similar.similarity(a, b) < 0.8
+    assert ended > len(sets) ** 2 / 2
