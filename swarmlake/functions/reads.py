@@ -88,10 +88,16 @@ def region_bins(start: Column, end: Column) -> Column:
     return F.flatten(F.array(F.array(F.lit(0)), *levels))
 
 
-def sam_line() -> Column:
-    """SAM text of a read of the ``reads`` schema, tags aside."""
+def tag_texts() -> Column:
+    """The tags of a read as SAM text, in their order; whole numbers of all widths are ``i``."""
+    return F.transform(F.map_entries("tags"), lambda t: F.concat(t["key"], F.lit(":"), t["value"]))
+
+
+def sam_line(tags: bool = False) -> Column:
+    """SAM text of a read of the ``reads`` schema, with its tags if asked."""
     mate = F.when(F.col("next_ref_id") < 0, "*").when(F.col("next_ref_id") == F.col("ref_id"), "=").otherwise(F.col("next_ref_name"))
     quality = F.array_join(F.transform("qual", lambda q: F.char(q.cast("int") + 33)), "")
     star = lambda c: F.when(F.length(c) == 0, "*").otherwise(c)
     fields = ["qname", "flag", "ref_name", "pos", "mapq", star(F.col("cigar")), mate, "next_pos", "tlen", star(F.col("seq")), quality]
-    return F.concat_ws("\t", *[(F.col(f) if isinstance(f, str) else f).cast("string") for f in fields])
+    texts = [(F.col(f) if isinstance(f, str) else f).cast("string") for f in fields]
+    return F.concat_ws("\t", *texts, *([tag_texts()] if tags else []))

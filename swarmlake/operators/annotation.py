@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import translated
+from ..functions.sequences import CODONS, translated
 
 BIN = 64
 
@@ -39,6 +39,19 @@ def variant_labels(variants: DataFrame, features: DataFrame, reference: DataFram
     return named.select("ref_id", "position", "codon", F.concat("feature", F.lit("-"), "ref_aa", number.cast("string"), "amino_acid").alias("label"))
 
 
+def variant_grid(reference: DataFrame, features: DataFrame) -> DataFrame:
+    """Labels of every codon at each position that starts a codon of its feature."""
+    codons = F.explode(F.array(*[F.lit(c) for c in CODONS])).alias("codon")
+    return variant_labels(reference.select("ref_id", "position", codons), features, reference)
+
+
+def codon_number(position: Column, start: Column, end: Column) -> Column:
+    """Number of the codon that starts at a position of a feature; any other position is an error."""
+    sound = position.between(start, end) & ((position - start) % 3 == 0)
+    wrong = F.concat(F.lit("no codon of the feature starts at "), position.cast("string"))
+    return F.when(sound, ((position - start) / 3 + 1).cast("int")).otherwise(F.raise_error(wrong))
+
+
 def reference_codons(reference: DataFrame) -> DataFrame:
     """Codon that starts at each position, from one row a base."""
     shifted = [reference.select("ref_id", (F.col("position") - k).alias("position"), F.col("base").alias(f"b{k}")) for k in (0, 1, 2)]

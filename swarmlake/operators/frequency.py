@@ -54,24 +54,37 @@ def residual(rcc: np.ndarray, n: np.ndarray, x: np.ndarray) -> float:
     return float(stationary.max() / np.linalg.norm(g))
 
 
-def estimated(counts: DataFrame, states: list[str] | None = None, iterations: int = 500) -> DataFrame:
-    """ref_id, position, codon, freq and coverage from rows (ref_id, position, codon, q1.., n); zeros are left out.
+def estimated(counts: DataFrame, states: list[str] | None = None, iterations: int = 500, keys: tuple[str, ...] = ("ref_id",), seen: str = "codon", least: float = 1e-3) -> DataFrame:
+    """Frequencies of the states by ``keys`` and position, zeros left out, with coverage, residual and whether that is under ``least``.
 
-    A position without complete observations gets no rows.
+    ``counts`` has the observation in ``seen`` and its qualities in q1, q2.. or, of single bases, q.
+    A position without complete observations gets no rows: see ``at_all_sites``.
     """
     states = states or CODONS
     width = len(states[0])
-    q = [f"q{i}" for i in range(1, width + 1)]
+    q = ["q"] if "q" in counts.columns else [f"q{i}" for i in range(1, width + 1)]
+    types = dict(counts.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in (*keys, "position")), f"{seen} string, freq double, coverage long, residual double, converged boolean"])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         quality, n = group[q].to_numpy(), group["n"].to_numpy(dtype=float)
         complete = (quality > 0).all(axis=1)
         start = np.zeros(len(states))
-        np.add.at(start, [states.index(c) for c in group["codon"][complete]], n[complete])
-        if not start.sum():
-            return pd.DataFrame({"ref_id": [], "position": [], "codon": [], "freq": [], "coverage": []}).astype({"ref_id": "int64", "position": "int32", "codon": "object", "freq": "float64", "coverage": "int64"})
-        x = solve(likelihoods(list(group["codon"]), quality, states), n, start / start.sum(), iterations)
-        some = np.flatnonzero(x > 1e-9)
-        return pd.DataFrame({"ref_id": group["ref_id"].iloc[0], "position": group["position"].iloc[0], "codon": [states[i] for i in some], "freq": x[some], "coverage": int(n.sum())})
-
-    return counts.groupBy("ref_id", "position").applyInPandas(run, "ref_id long, position int, codon string, freq double, coverage long")
+        np.add.at(start, [states.index(c) for c in group[seen][complete]], n[complete])
+        some, x, off = np.array([], dtype=int), start, 0.0
+        if start.sum():
+            rcc = likelihoods(list(group[seen]), quality, states)
+            x = solve(rcc, n, start / start.sum(), iterations)
+            some, off = np.flatnonzero(x > 1e-9), residual(rcc, n, x)
+        out = pd.DataFrame({seen: np.array([states[i] for i in some], dtype=object), "freq": x[some]})
+        for i, k in enumerate((*keys, "position")):
+            out.insert(i, k, group[k].iloc[0])
+        return out.assign(coverage=int(n.sum()), residual=off, converged=off < least)
+
+    return counts.groupBy(*keys, "position").applyInPandas(run, schema)
+
+
+def at_all_sites(frequencies: DataFrame, sites: DataFrame, keys: tuple[str, ...] = ("ref_id",)) -> DataFrame:
+    """Frequencies at every row of ``sites``: one without any has a row of frequency and coverage 0, which counts as converged."""
+    dense = sites.select(*keys, "position").distinct().join(frequencies, [*keys, "position"], "left")
+    return dense.fillna(0.0, ["freq", "residual"]).fillna(0, ["coverage"]).fillna(True, ["converged"])

@@ -33,6 +33,40 @@ def matches_any(name: Column, patterns: list[str]) -> Column:
     return out
 
 
+def reference_by_pattern(samples: DataFrame, name: str, patterns: dict[str, str]) -> DataFrame:
+    """Adds the reference whose pattern the name matches; none or several are an error."""
+    met = F.filter(F.array(*[F.when(F.col(name).rlike(p), F.lit(r)) for p, r in patterns.items()]), lambda r: r.isNotNull())
+    wrong = F.concat(F.lit("not one pattern for sample "), F.coalesce(F.col(name), F.lit("null")))
+    return samples.withColumn("reference", F.when(F.size(met) == 1, F.element_at(met, 1)).otherwise(F.raise_error(wrong)))
+
+
+def level_of(columns: list[str], levels: dict[tuple, str]) -> Column:
+    """The level that a fixed table gives to the columns' values; null where it has none."""
+    out = F.lit(None).cast("string")
+    for values, level in levels.items():
+        met = F.lit(True)
+        for c, v in zip(columns, values, strict=True):
+            met = met & (F.col(c) == F.lit(v))
+        out = F.when(met, F.lit(level)).otherwise(out)
+    return out
+
+
+def in_order_of(ids: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """The first metadata row of each row of ``ids``, whose columns say the order; an id without one is an error."""
+    rest = [c for c in metadata.columns if c not in ids.columns]
+    first = metadata.groupBy(key).agg(F.first(F.struct(F.lit(True).alias("there"), *rest)).alias("first"))
+    wrong = F.concat(F.lit("no metadata for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    found = ids.join(first, key, "left").withColumn("first", F.when(F.col("first").isNotNull(), F.col("first")).otherwise(F.raise_error(wrong)))
+    return found.select(*ids.columns, *[F.col(f"first.{c}").alias(c) for c in rest])
+
+
+def check_same_sites(left: DataFrame, right: DataFrame, on: list[str]) -> None:
+    """Raises unless both tables have the same sites."""
+    a, b = left.select(*on).distinct(), right.select(*on).distinct()
+    if not (a.join(b, on, "left_anti").isEmpty() and b.join(a, on, "left_anti").isEmpty()):
+        raise ValueError(f"tables differ in {', '.join(on)}")
+
+
 def lookup(left: DataFrame, right: DataFrame, on: list[str], order: str) -> DataFrame:
     """The first row of ``right`` for each key, by ``order``, or nulls."""
     rest = [c for c in right.columns if c not in on]

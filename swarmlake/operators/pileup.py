@@ -43,10 +43,10 @@ def codon_counts(reads: DataFrame, threshold: int = 0, keys: tuple[str, ...] = (
     return seen.groupBy(*keys, "position", "codon", "q1", "q2", "q3").agg(F.count("*").alias("n"))
 
 
-def nucleotide_counts(reads: DataFrame, threshold: int = 0, **filters) -> DataFrame:
+def nucleotide_counts(reads: DataFrame, threshold: int = 0, keys: tuple[str, ...] = ("ref_id",), **filters) -> DataFrame:
     """n reads by position, base and quality of at least ``threshold``."""
-    seen = _windows(reads, 1, **filters).select("ref_id", "position", F.col("bases").alias("nuc"), F.element_at("q", 1).alias("q"))
-    return seen.filter(F.col("q") >= threshold).groupBy("ref_id", "position", "nuc", "q").agg(F.count("*").alias("n"))
+    seen = _windows(reads, 1, **filters).select(*keys, "position", F.col("bases").alias("nuc"), F.element_at("q", 1).alias("q"))
+    return seen.filter(F.col("q") >= threshold).groupBy(*keys, "position", "nuc", "q").agg(F.count("*").alias("n"))
 
 
 def _wildcards(codon: Column, kept: list[Column]) -> Column:

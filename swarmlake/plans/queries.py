@@ -135,7 +135,15 @@ def codon_freq_naive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def codon_freq_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(frequency.estimated(pileup.unambiguous(pileup.codon_counts(A.reads(spark, sf_dir), threshold=30))), "freq")
+    found = frequency.estimated(pileup.unambiguous(pileup.codon_counts(A.reads(spark, sf_dir), threshold=30)))
+    return rounded(frequency.at_all_sites(found, A.reference(spark)).drop("residual"), "freq")
+
+
+@query
+def nuc_freq_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base frequencies at every site of each reference."""
+    found = frequency.estimated(pileup.nucleotide_counts(A.reads(spark, sf_dir), threshold=30), list(S.BASES), seen="nuc")
+    return rounded(frequency.at_all_sites(found, A.reference(spark)).drop("residual"), "freq")
 
 
 # Swarms

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     f = F.split("value", "\t")
     lines = spark.read.text(path).filter(~F.col("value").startswith("@"))
     at = lambda i, name, kind="string": f.getItem(i).cast(kind).alias(name)
-    tags = F.map_from_entries(F.transform(F.slice(f, 12, 1000), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 4, 1 << 30).alias("v"))))
+    tags = F.map_from_entries(F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, 4, 1 << 30).alias("v"))))
     qual = F.transform(F.split(f.getItem(10), ""), lambda c: F.ascii(c) - 33)
     return lines.select(
         at(0, "qname"), at(1, "flag", "int"), at(2, "ref_name"), at(3, "pos", "int"), at(4, "mapq", "int"), at(5, "cigar"), at(6, "next_ref_name"),
@@ -81,3 +84,101 @@ def save_swarm(swarm: DataFrame, path: str) -> None:
 def load_swarm(spark: SparkSession, path: str, samples: list[int] | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df if samples is None else df.filter(F.col("sample_id").isin(samples))
+
+
+def listed(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    """path and name of the files of a folder whose name matches; empty files are left out, contents stay unread."""
+    names = spark.read.format("binaryFile").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    return names.filter(F.col("name").rlike(pattern))
+
+
+def aligned_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples that have an alignment in a folder, by file name."""
+    return listed(spark, folder, r"\.bam$").select(F.regexp_replace("name", r"\.bam$", "").alias("sample"), "path")
+
+
+def read_metadata_folder(spark: SparkSession, folder: str, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The CSV files of a folder, each filtered by ``keep``, under each other; columns that a file lacks are null.
+
+    A column whose type differs between files becomes text. Metadata files are few,
+    so their names are known to the driver.
+    """
+    files = sorted(listed(spark, folder, r"(?i)\.csv$").collect(), key=lambda f: f["name"])
+    parts = [keep(read_metadata(spark, f["path"], f["name"])) for f in files]
+    if not parts:
+        raise ValueError(f"no CSV files in {folder}")
+    types = {}
+    for name, kind in (c for p in parts for c in p.dtypes):
+        types.setdefault(name, set()).add(kind)
+    mixed = [name for name, kinds in types.items() if len(kinds) > 1]
+    out = [p.withColumns({c: F.col(c).cast("string") for c in mixed if c in p.columns}) for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """feature, start, end and segment of a CSV with these columns, in the order of the file."""
+    rows = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    named = rows.select(F.col("Feature").alias("feature"), F.col("Start").cast("int").alias("start"), F.col("End").cast("int").alias("end"), F.col("Segment").alias("segment"))
+    return named.withColumn("row_no", F.monotonically_increasing_id())
+
+
+def reference_genomes(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """genome and the sequences of each genome's FASTA file; a name without a file is an error."""
+    found = [read_fasta(spark, f"{folder.rstrip('/')}/{n}.fasta").withColumn("genome", F.lit(n)) for n in names]
+    return reduce(DataFrame.unionByName, found)
+
+
+def metadata_template(spark: SparkSession, folder: str, logs: str, exclude: str | None = None) -> DataFrame:
+    """sample, sample number (behind ``_S`` at its end) and assigned reference of each alignment not excluded by name."""
+    samples = aligned_samples(spark, folder).select("sample")
+    if exclude is not None:
+        samples = samples.filter(~F.col("sample").rlike(exclude))
+    number = F.nullif(F.regexp_extract("sample", r"_S(\d+)$", 1), F.lit("")).cast("int")
+    assigned = assigned_references(spark, logs).groupBy("sample").agg(F.min("reference").alias("reference"))
+    return samples.withColumn("sample_number", number).join(assigned, "sample", "left")
+
+
+def save_swarm_set(path: str, cells: DataFrame, sites: DataFrame, annotations: DataFrame | None = None) -> None:
+    """A swarm as tables: ``cells`` (frequencies), ``sites`` (coverage of each position), and ``annotations`` by sample."""
+    save_swarm(cells, f"{path}/cells")
+    save_swarm(sites, f"{path}/sites")
+    if annotations is not None:
+        annotations.write.mode("overwrite").parquet(f"{path}/annotations")
+
+
+def load_swarm_set(spark: SparkSession, paths: list[str], samples: list[int] | None = None) -> DataFrame:
+    """Cells of some swarms with coverage and the samples' annotations.
+
+    A swarm must have its required columns; samples in several swarms are refused.
+    """
+    out = []
+    for path in paths:
+        cells, sites = load_swarm(spark, f"{path}/cells", samples), load_swarm(spark, f"{path}/sites", samples)
+        for table, required in ((cells, {"sample_id", "ref_id", "position", "freq"}), (sites, {"sample_id", "ref_id", "position", "coverage"})):
+            if lacking := required - set(table.columns):
+                raise ValueError(f"{path} lacks {sorted(lacking)}")
+        joined = cells.join(sites, ["sample_id", "ref_id", "position"], "left")
+        if listed_under(spark, path, "annotations"):
+            joined = joined.join(spark.read.parquet(f"{path}/annotations"), "sample_id", "left")
+        out.append(joined)
+    ids = reduce(DataFrame.unionAll, [c.select("sample_id").distinct() for c in out])
+    if not ids.groupBy("sample_id").count().filter("count > 1").isEmpty():
+        raise ValueError("a sample is in several swarms")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
+
+
+def listed_under(spark: SparkSession, path: str, name: str) -> bool:
+    """Whether a swarm has a table of this name."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return not files.filter(F.col("path").contains(f"/{name}/")).isEmpty()
+
+
+def consensus_codons(sequences: DataFrame, sites: DataFrame) -> DataFrame:
+    """Codon of a consensus at each position, the end filled with N; names and lengths must be those of ``sites`` (ref_name, position)."""
+    length = sites.groupBy("ref_name").agg(F.max("position").alias("length"))
+    met = sequences.select("ref_name", "sequence").join(length, "ref_name", "full")
+    wrong = F.concat(F.lit("consensus and sites differ at "), F.col("ref_name"))
+    sound = F.coalesce(F.length("sequence") == F.col("length"), F.lit(False))
+    checked = met.select("ref_name", F.when(sound, F.col("sequence")).otherwise(F.raise_error(wrong)).alias("sequence"))
+    at = checked.select("ref_name", F.concat("sequence", F.lit("NN")).alias("padded"), F.explode(F.sequence(F.lit(1), F.length("sequence"))).alias("position"))
+    return at.select("ref_name", "position", F.col("padded").substr(F.col("position"), F.lit(3)).alias("consensus"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from swarmlake.functions.sequences import CODONS
@@ -164,3 +165,48 @@ def test_cut_tree():
     d = np.array([[0, 1, 9, 9], [1, 0, 9, 9], [9, 9, 0, 2], [9, 9, 2, 0.0]])
     assert landmarks.cut_tree(landmarks.average_linkage(d), 4, 2) == [0, 0, 2, 2]
     assert landmarks.cut_tree(landmarks.average_linkage(d), 4, 9) == [0, 1, 2, 3]
+
+
+def test_metadata_of_samples(spark):
+    samples = spark.createDataFrame([(1, "WT_a"), (0, "Stop_b")], "place int, sample string")
+    named = metadata.reference_by_pattern(samples, "sample", {"^WT": "WT", "^Stop": "Stop"})
+    assert {r["sample"]: r["reference"] for r in named.collect()} == {"WT_a": "WT", "Stop_b": "Stop"}
+    for patterns in ({"^WT": "WT"}, {"^WT": "WT", "^S": "Stop", "b$": "Other"}):
+        with pytest.raises(Exception, match="not one pattern for sample Stop_b"):
+            metadata.reference_by_pattern(samples, "sample", patterns).collect()
+    doses = spark.createDataFrame([("RBV", 50), ("RBV", 1), (None, 50)], "mutagen string, dose int")
+    level = metadata.level_of(["mutagen", "dose"], {("RBV", 50): "Low", ("RBV", 300): "High"})
+    assert [r["level"] for r in doses.select(level.alias("level")).collect()] == ["Low", None, None]
+    rows = spark.createDataFrame([("Stop_b", None), ("WT_a", 7), ("z", 8)], "sample string, passage int")
+    assert [tuple(r) for r in metadata.in_order_of(samples, rows, "sample").orderBy("place").select("sample", "passage").collect()] == [("Stop_b", None), ("WT_a", 7)]
+    with pytest.raises(Exception, match="no metadata for WT_a"):
+        metadata.in_order_of(samples, rows.filter("sample = 'z'"), "sample").filter("place = 1").collect()
+    metadata.check_same_sites(samples, samples.unionByName(samples), ["sample"])
+    with pytest.raises(ValueError):
+        metadata.check_same_sites(samples, rows, ["sample"])
+
+
+def test_base_frequencies_by_sample_at_all_sites(spark):
+    rows = [(s, 0, 1, b, 30, n) for s, b, n in ((1, "A", 90), (1, "C", 10), (2, "G", 5))]
+    counts = spark.createDataFrame(rows, "sample_id long, ref_id long, position int, nuc string, q int, n long")
+    keys = ("sample_id", "ref_id")
+    found = frequency.estimated(counts, list("ACGT"), keys=keys, seen="nuc")
+    sites = spark.createDataFrame([(s, 0, p) for s in (1, 2) for p in (1, 2)], "sample_id long, ref_id long, position int")
+    got = {(r["sample_id"], r["position"], r["nuc"]): r for r in frequency.at_all_sites(found, sites, keys).collect()}
+    assert set(got) == {(1, 1, "A"), (1, 1, "C"), (1, 2, None), (2, 1, "G"), (2, 2, None)}
+    assert all(r["converged"] for r in got.values()) and got[1, 2, None]["coverage"] == 0 and got[1, 1, "A"]["coverage"] == 100
+    # errors of 1 in 3000 for each other base: the share p seen of C solves p (1 - e) + (1 - p) e / 3 = 0.1
+    e = 1e-3
+    assert abs(got[1, 1, "C"]["freq"] - (0.1 - e / 3) / (1 - 4 * e / 3)) < 1e-3
+
+
+def test_codon_numbers_and_grid(spark):
+    df = spark.createDataFrame([(10, 10, 18), (16, 10, 18)], "p int, s int, e int")
+    number = annotation.codon_number(F.col("p"), F.col("s"), F.col("e"))
+    assert [r["n"] for r in df.select(number.alias("n")).collect()] == [1, 3]
+    with pytest.raises(Exception, match="starts at 11"):
+        df.select(annotation.codon_number(F.col("p") + 1, F.col("s"), F.col("e"))).collect()
+    reference = spark.createDataFrame([(0, i + 1, b) for i, b in enumerate("AAATTTCC")], "ref_id long, position int, base string")
+    features = spark.createDataFrame([("f", 1, 6, 0)], "feature string, start int, end int, row_no long")
+    labels = [r["label"] for r in annotation.variant_grid(reference, features).collect()]
+    assert len(labels) == 128 and "f-K1K" in labels and "f-F2K" in labels

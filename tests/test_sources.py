@@ -3,6 +3,7 @@ import struct
 import zlib
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from swarmlake.functions import reads as R
@@ -112,3 +113,56 @@ def test_streamed_counts_equal_batch(spark, tmp_path):
     assert batch.exceptAll(spark.table("streamed").select(*batch.columns)).count() == 0
     assert spark.table("streamed").count() == batch.count()
     assert spark.table("streamed").agg(F.sum("n")).first() == batch.agg(F.sum("n")).first()
+
+
+def test_sam_tags(spark, tmp_path):
+    spark.dataSource.register(bam.BamDataSource)
+    write_bam(tmp_path / "one.bam", [record()])
+    df = spark.read.format("bam").load(str(tmp_path / "one.bam"))
+    assert df.select(R.sam_line(tags=True).alias("s")).first()["s"] == "\t".join([LINE, *TAGS])
+    many = [f"{a}{b}:i:{ord(a) * ord(b)}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghij" for b in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    (tmp_path / "many.sam").write_text("\t".join([LINE, *many]) + "\n" + LINE + "\n")
+    assert sorted(r["n"] for r in text.read_sam(spark, str(tmp_path / "many.sam")).select(F.size("tags").alias("n")).collect()) == [0, len(many)]
+
+
+def test_folders(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "empty.bam").write_text("")
+    for name in ("s1_S3.bam", "s2_S14.bam", "control.bam", "s1_S3.bam.bai", "x.txt"):
+        (tmp_path / "in" / name).write_text("x")
+    folder = str(tmp_path / "in")
+    assert {r["sample"] for r in text.aligned_samples(spark, folder).collect()} == {"s1_S3", "s2_S14", "control"}
+    (tmp_path / "run.log").write_text('Assigned reference "WT.fasta" to sample "s1_S3".\n')
+    template = text.metadata_template(spark, folder, str(tmp_path / "run.log"), exclude="^control")
+    assert sorted(map(tuple, template.collect())) == [("s1_S3", 3, "WT"), ("s2_S14", 14, None)]
+    (tmp_path / "meta").mkdir()
+    (tmp_path / "meta" / "a.csv").write_text("SampleID,Dose\na,1\nb,2\n")
+    (tmp_path / "meta" / "B.CSV").write_text("SampleID,Dose,Mutagen\nc,high,RBV\n")
+    found = text.read_metadata_folder(spark, str(tmp_path / "meta"), lambda df: df.filter("SampleID <> 'b'"))
+    assert sorted((r["SampleID"], r["Dose"], r["Mutagen"], r["metadata_id"]) for r in found.collect()) == [("a", "1", None, "a.csv"), ("c", "high", "RBV", "B.CSV")]
+    (tmp_path / "f.csv").write_text("Feature,Start,End,Segment\n2A,10, 18,seg\n")
+    assert [tuple(r)[:4] for r in text.read_features(spark, str(tmp_path / "f.csv")).collect()] == [("2A", 10, 18, "seg")]
+    (tmp_path / "WT.fasta").write_text(">seg\nacgta\n")
+    genomes = text.reference_genomes(spark, str(tmp_path), ["WT"])
+    assert [(r["genome"], r["ref_name"], r["sequence"]) for r in genomes.collect()] == [("WT", "seg", "ACGTA")]
+    sites = spark.range(1, 6).selectExpr("'seg' ref_name", "cast(id as int) position")
+    codons = text.consensus_codons(genomes, sites)
+    assert [r["consensus"] for r in codons.orderBy("position").collect()] == ["ACG", "CGT", "GTA", "TAN", "ANN"]
+    with pytest.raises(Exception, match="differ at seg"):
+        text.consensus_codons(genomes, sites.filter("position < 5")).collect()
+
+
+def test_swarm_sets(spark, tmp_path):
+    cells = spark.createDataFrame([(1, 0, 5, "AAA", 0.5), (2, 0, 5, "AAC", 1.0)], "sample_id long, ref_id long, position int, codon string, freq double")
+    sites = spark.createDataFrame([(1, 0, 5, 40), (2, 0, 5, 9)], "sample_id long, ref_id long, position int, coverage long")
+    notes = spark.createDataFrame([(1, "RBV")], "sample_id long, mutagen string")
+    path = lambda name: str(tmp_path / name)
+    text.save_swarm_set(path("a"), cells.filter("sample_id = 1"), sites.filter("sample_id = 1"), notes)
+    text.save_swarm_set(path("b"), cells.filter("sample_id = 2"), sites.filter("sample_id = 2"))
+    found = text.load_swarm_set(spark, [path("a"), path("b")]).select("sample_id", "codon", "freq", "coverage", "mutagen")
+    assert sorted(map(tuple, found.collect())) == [(1, "AAA", 0.5, 40, "RBV"), (2, "AAC", 1.0, 9, None)]
+    with pytest.raises(ValueError, match="several"):
+        text.load_swarm_set(spark, [path("a"), path("a")])
+    text.save_swarm_set(path("c"), cells.drop("freq"), sites)
+    with pytest.raises(ValueError, match="freq"):
+        text.load_swarm_set(spark, [path("c")])
