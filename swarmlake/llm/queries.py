@@ -101,6 +101,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+@query
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import spelling
+
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_boundary_chain": """
 WITH p AS (
