@@ -2,8 +2,8 @@
 
 At one position, the reads' observations and their qualities give the likelihood
 of every codon; the frequencies maximise the mixture's likelihood on the simplex.
-The fixed point of expectation maximisation from a strictly positive start is
-that maximum. One group is a small matrix: equal observations are counted before.
+That problem is convex; Newton's method over an active set finds the maximum. One
+group is a small matrix: equal observations are counted before.
 """
 
 from __future__ import annotations
@@ -15,6 +15,10 @@ from pyspark.sql import DataFrame
 from ..functions.sequences import BASES, CODONS
 
 START = 1e-3  # share of the start that is spread evenly
+WARM = 10  # rounds of expectation maximisation before the first step
+RIDGE = 1e-10
+DUST = 1e-13  # a frequency so small is zero: its state is out until it is taken in again
+TOLERANCE = 1e-7
 
 
 def error_probability(q: np.ndarray) -> np.ndarray:
@@ -30,31 +34,102 @@ def likelihoods(seen: list[str], q: np.ndarray, states: list[str]) -> np.ndarray
     return np.where(equal, 1 - p, p / 3).prod(axis=2)
 
 
-def solve(rcc: np.ndarray, n: np.ndarray, start: np.ndarray, iterations: int = 500, tolerance: float = 1e-9) -> np.ndarray:
-    """Frequencies of the states; those that have sunk to nothing are left out of further rounds."""
-    x = (1 - START) * start + START / len(start)
-    active = np.arange(len(x))
-    for i in range(iterations):
-        part = x[active]
-        new = part * (rcc[active] @ (n / (part @ rcc[active]))) / n.sum()
-        x[active] = new
-        if np.abs(new - part).max() < tolerance:
-            break
-        if i % 10 == 9:
-            active = active[new > 1e-10]
-            x = np.where(np.isin(np.arange(len(x)), active), x, 0)
+def objective(rcc: np.ndarray, n: np.ndarray, x: np.ndarray) -> float:
+    """The mean negative log-likelihood of an observation."""
+    return float(-(n @ np.log(x @ rcc)) / n.sum())
+
+
+def gradient(rcc: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Of the objective: -1 for each state of the maximum, no less for any other."""
+    return -(rcc @ (n / (x @ rcc))) / n.sum()
+
+
+def projected(g: np.ndarray) -> np.ndarray:
+    """A gradient without its part across the simplex."""
+    return g - g.mean()
+
+
+def hessian(rcc: np.ndarray, n: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (rcc * (n / (x @ rcc) ** 2)) @ rcc.T / n.sum()
+
+
+def newton_direction(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The step to the least of the quadratic model on the simplex: the Hessian bordered by the sum's condition."""
+    m = len(g)
+    system = np.ones((m + 1, m + 1))
+    system[:m, :m] = h + RIDGE * np.trace(h) / m * np.eye(m)
+    system[m, m] = 0
+    return np.linalg.solve(system, np.append(-g, 0))[:m]
+
+
+def _without_dust(x: np.ndarray) -> np.ndarray:
+    x = np.where(x > DUST, x, 0)
     return x / x.sum()
 
 
+def solve(rcc: np.ndarray, n: np.ndarray, start: np.ndarray, method: str = "newton", tolerance: float = TOLERANCE, rounds: int | None = None) -> np.ndarray:
+    """The maximum on the simplex by steps over the free states, Newton's or those of the projected gradient (``method``).
+
+    A step ends where a state reaches zero, which is then left out. When the free
+    states are level, the state left out that would lower the objective most is
+    taken in again; if there is none, the maximum is found. The objective falls
+    with each step, so this ends by itself; ``rounds`` is for the slow gradient.
+    """
+    x = (1 - START) * start + START / len(start)
+    for _ in range(WARM):
+        x = x * -gradient(rcc, n, x)
+    x = _without_dust(x)
+    free, stuck, step, done = x > 0, False, 1.0, 0
+    while rounds is None or done < rounds:
+        done += 1
+        g = gradient(rcc, n, x)
+        near = tolerance * np.linalg.norm(g)
+        if stuck or np.abs(g[free] + 1).max() <= near:
+            left_out = np.where(free, 0, g + 1)
+            if left_out.min() >= -near:
+                break
+            free[left_out.argmin()] = True
+        some = np.flatnonzero(free)
+        go = newton_direction(hessian(rcc[some], n, x[some]), g[some]) if method == "newton" else -projected(g[some])
+        wrong = (x[some] <= 0) & (go < 0)
+        if wrong.any():
+            free[some[wrong]] = False
+            if stuck:
+                break
+            continue
+        falls = go < 0
+        border = (x[some][falls] / -go[falls]).min() if falls.any() else np.inf
+        now = objective(rcc, n, x)
+        t = min(1.0 if method == "newton" else 2 * step, border)
+        moved = None
+        while t * np.abs(go).max() > 1e-16:
+            new = x.copy()
+            new[some] = np.maximum(x[some] + t * go, 0)
+            if t == border:
+                new[some[falls][(x[some][falls] / -go[falls]) <= border]] = 0
+            new = _without_dust(new)
+            if objective(rcc, n, new) < now or (method == "newton" and t == 1 and np.abs(gradient(rcc, n, new)[some] + 1).max() < np.abs(g[some] + 1).max() / 2):
+                moved = new
+                break
+            t /= 2
+        if moved is None:
+            if stuck:
+                break
+            stuck = True  # what is left is rounding; a state may still be missing
+            continue
+        x, step, stuck = moved, t, False
+        free &= x > 0
+    return x
+
+
 def residual(rcc: np.ndarray, n: np.ndarray, x: np.ndarray) -> float:
-    """How far the optimality conditions are from met, relative to the gradient."""
-    g = -(rcc @ (n / (x @ rcc)))
-    nu = -g[int(np.argmax(x))]
-    stationary = np.where(x > 1e-9, np.abs(g + nu), np.maximum(-(g + nu), 0))
+    """How far the optimality conditions are from met, relative to the gradient: level over the states in use, no less elsewhere."""
+    g = gradient(rcc, n, x)
+    stationary = np.where(x > 1e-9, np.abs(g + 1), np.maximum(-(g + 1), 0))
     return float(stationary.max() / np.linalg.norm(g))
 
 
-def estimated(counts: DataFrame, states: list[str] | None = None, iterations: int = 500, keys: tuple[str, ...] = ("ref_id",), seen: str = "codon", least: float = 1e-3) -> DataFrame:
+def estimated(counts: DataFrame, states: list[str] | None = None, keys: tuple[str, ...] = ("ref_id",), seen: str = "codon", least: float = 1e-6, method: str = "newton", rounds: int | None = None) -> DataFrame:
     """Frequencies of the states by ``keys`` and position, zeros left out, with coverage, residual and whether that is under ``least``.
 
     ``counts`` has the observation in ``seen`` and its qualities in q1, q2.. or, of single bases, q.
@@ -74,7 +149,7 @@ def estimated(counts: DataFrame, states: list[str] | None = None, iterations: in
         some, x, off = np.array([], dtype=int), start, 0.0
         if start.sum():
             rcc = likelihoods(list(group[seen]), quality, states)
-            x = solve(rcc, n, start / start.sum(), iterations)
+            x = solve(rcc, n, start / start.sum(), method, rounds=rounds)
             some, off = np.flatnonzero(x > 1e-9), residual(rcc, n, x)
         out = pd.DataFrame({seen: np.array([states[i] for i in some], dtype=object), "freq": x[some]})
         for i, k in enumerate((*keys, "position")):

@@ -1,10 +1,17 @@
 """BAM files as a Spark data source: ``spark.read.format("bam").load(path)``.
 
 Register it once with ``spark.dataSource.register(BamDataSource)``. A file is read
-as a stream of compressed blocks, so memory does not grow with it. With the
-options ``ref``, ``start`` and ``end`` (1-based, closed) and a ``.bai`` beside the
-file, only the chunks that may hold such reads are read, one task a chunk;
-without an index the whole file is. Reads that do not overlap are left out.
+as a stream of compressed blocks, so memory does not grow with it, in splits of
+``splitBytes`` compressed bytes, one task each. A split's first record is looked for:
+its first block by headers that lead to each other, the record by fields that fit,
+beginning some blocks before the split; the records from there must arrive at the
+record that the split itself finds, else the file is read from its start to be sure.
+With the options ``ref``, ``start`` and ``end`` (1-based, closed) and a ``.bai`` beside
+the file, only the chunks that may hold such reads are read, one task a chunk; without
+an index the whole file is. Reads that do not overlap are left out.
+
+A file must end with an empty block, and each block's checksum must be right, so a file
+that has been cut anywhere raises an error.
 """
 
 from __future__ import annotations
@@ -26,56 +33,197 @@ SCHEMA = (
 OPS = "MIDNSHP=X"
 LETTERS = "=ACMGRSVTWYHKDBN"
 SCALARS = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
+MAGIC = b"\x1f\x8b\x08\x04"
+HEAD = 18  # bytes of a block's header up to its size
+END = 28  # bytes of an empty block
 LARGEST = 16 << 20
+LARGEST_BLOCK = 1 << 16
+CHAIN = 6  # blocks, or records, that must follow each other
+BACK = 1 << 18  # compressed bytes before a split from which its first record is looked for
+SPLIT = 32 << 20
 BATCH = 5000
-EVERYTHING = (0, 1 << 63)
 
 
 class Blocks:
     """Bytes of a BGZF file from a virtual offset on."""
 
     def __init__(self, handle, offset: int = 0):
-        self.handle, self.within = handle, offset & 0xFFFF
+        self.handle = handle
         handle.seek(offset >> 16)
         self.data, self.at, self.start, self.next = b"", 0, offset >> 16, offset >> 16
-        self._block()
-        self.at = self.within
+        if not self._block() and offset:
+            raise ValueError("no BGZF block at the offset")
+        self.at = offset & 0xFFFF
+        if self.at > len(self.data):
+            raise ValueError("offset beyond its BGZF block")
 
     def _block(self) -> bool:
-        head = self.handle.read(18)
-        if len(head) < 18:
+        head = self.handle.read(HEAD)
+        if not head:
             self.data, self.at, self.start = b"", 0, self.next
             return False
-        if head[:4] != b"\x1f\x8b\x08\x04":
-            raise ValueError("no BGZF block")
-        extra = struct.unpack_from("<H", head, 10)[0]
-        fields = head[12:] + self.handle.read(extra - 6)
-        size, i = None, 0
-        while i < extra:
-            name, length = fields[i : i + 2], struct.unpack_from("<H", fields, i + 2)[0]
-            if name == b"BC":
-                size = struct.unpack_from("<H", fields, i + 4)[0] + 1
-            i += 4 + length
-        packed = self.handle.read(size - 12 - extra)
+        size, before = block_size(head, self.handle)
+        packed = self.handle.read(size - before)
+        if len(packed) != size - before or len(packed) < 8:
+            raise ValueError("BGZF block cut off")
         self.start, self.next = self.next, self.next + size
         self.data, self.at = zlib.decompress(packed[:-8], wbits=-15), 0
+        if struct.unpack("<II", packed[-8:]) != (zlib.crc32(self.data), len(self.data)):
+            raise ValueError("BGZF block with a wrong checksum")
         return True
 
     @property
     def position(self) -> int:
         return self.start << 16 | self.at if self.at < len(self.data) else self.next << 16
 
+    def ready(self) -> bool:
+        """Goes on to the next block that holds bytes, if this one has none left; False at the end."""
+        while self.at == len(self.data):
+            if not self._block():
+                return False
+        return True
+
     def read(self, n: int) -> bytes:
         parts = []
-        while n:
-            if self.at == len(self.data) and not self._block():
-                break
+        while n and self.ready():
             part = self.data[self.at : self.at + n]
             self.at += len(part)
             n -= len(part)
             parts.append(part)
         return b"".join(parts)
 
+    def record(self) -> bytes:
+        """The next record without its length."""
+        head = self.read(4)
+        size = struct.unpack("<i", head)[0] if len(head) == 4 else -1
+        data = self.read(size) if 0 <= size <= LARGEST else b""
+        if len(data) != size:
+            raise ValueError("broken record")
+        return data
+
+
+def block_size(head: bytes, handle) -> tuple[int, int]:
+    """Size of the block that begins with ``head``, and how much of it has been read then."""
+    if len(head) < HEAD:
+        raise ValueError("BGZF block cut off")
+    if head[:4] != MAGIC:
+        raise ValueError("no BGZF block")
+    extra = struct.unpack_from("<H", head, 10)[0]
+    fields, i = head[12:] + handle.read(max(extra - 6, 0)), 0
+    while i + 4 <= min(extra, len(fields)):
+        length = struct.unpack_from("<H", fields, i + 2)[0]
+        if fields[i : i + 2] == b"BC" and length == 2 and i + 6 <= len(fields):
+            return struct.unpack_from("<H", fields, i + 4)[0] + 1, 12 + max(extra, 6)
+        i += 4 + length
+    raise ValueError("no BGZF block")
+
+
+def check_end(handle, size: int) -> None:
+    """Raises unless the file ends with an empty block."""
+    handle.seek(max(size - END, 0))
+    tail = handle.read(END)
+    if len(tail) < END or tail[:4] != MAGIC or tail[12:] != b"BC\2\0\x1b\0\3" + b"\0" * 9:
+        raise ValueError("the file has no end block: it has been cut off")
+
+
+def next_block(handle, at: int, size: int) -> int | None:
+    """Offset of the first block from ``at`` on: its header leads to further ones, or to the end, and its bytes fit."""
+    handle.seek(at)
+    window = handle.read(LARGEST_BLOCK + HEAD)
+    place = window.find(MAGIC)
+    while place >= 0:
+        start = at + place
+        try:
+            follow = start
+            for _ in range(CHAIN):
+                if follow == size:
+                    break
+                handle.seek(follow)
+                follow += block_size(handle.read(HEAD), handle)[0]
+            Blocks(handle, start << 16)
+            return start
+        except (ValueError, zlib.error):
+            place = window.find(MAGIC, place + 1)
+    return None
+
+
+def plausible(data: bytes, refs: list[tuple[str, int]]) -> bool:
+    """Whether the fields of a record (its first bytes, at least 36, with the length) fit each other."""
+    size, ref, pos, bin_mq_nl, flag_nc, l_seq, next_ref, next_pos, _ = struct.unpack_from("<iiiIIiiii", data)
+    l_name, ops = bin_mq_nl & 0xFF, flag_nc & 0xFFFF
+    if not 32 < size <= LARGEST or l_seq < 0 or not l_name or 32 + l_name + 4 * ops + (l_seq + 1) // 2 + l_seq > size:
+        return False
+    for r, p in ((ref, pos), (next_ref, next_pos)):
+        if not -1 <= r < len(refs) or p < -1 or (r >= 0 and p > refs[r][1]):
+            return False
+    name = data[36 : 36 + l_name]
+    return len(name) < l_name or (name[-1] == 0 and all(32 < c < 127 for c in name[:-1]))
+
+
+def find_record(handle, block: int, end: int, refs: list[tuple[str, int]]) -> int | None:
+    """Virtual offset of the first place in the blocks from ``block`` and before ``end`` from which ``CHAIN`` records, or all to the end, fit."""
+    blocks = Blocks(handle, block << 16)
+    while blocks.ready() and blocks.start < end:
+        start, own = blocks.start, blocks.data
+        blocks.at = len(own)
+        after = blocks.read(36 + 255)
+        for at in range(len(own)):
+            some = (own[at : at + 36 + 255] + after)[: 36 + 255]
+            if len(some) >= 36 and plausible(some, refs) and _follows(Blocks(handle, start << 16 | at), refs):
+                return start << 16 | at
+        handle.seek(start)
+        blocks = Blocks(handle, start << 16)
+        blocks.at = len(own)
+    return None
+
+
+def _follows(blocks: Blocks, refs: list[tuple[str, int]]) -> bool:
+    try:
+        for _ in range(CHAIN):
+            if not blocks.ready():
+                return True
+            data = blocks.record()
+            if not plausible(struct.pack("<i", len(data)) + data[: 32 + 255], refs):
+                return False
+            decode_read(data, refs)
+    except (ValueError, struct.error, IndexError, zlib.error):
+        return False
+    return True
+
+
+def first_from(blocks: Blocks, block: int) -> tuple[int | None, int]:
+    """Virtual offset of the first record that begins in ``block`` or later, and how many records before it were followed."""
+    followed = 0
+    while blocks.ready():
+        if blocks.start >= block:
+            return blocks.position, followed
+        blocks.record()
+        followed += 1
+    return None, followed
+
+
+def first_record(handle, begin: int, end: int, size: int, header: int, refs: list[tuple[str, int]], back: int = BACK) -> int | None:
+    """Virtual offset of the first record that begins in a block at ``begin`` or later and before ``end``; ``header`` is that of the file's first."""
+    if begin <= header >> 16:
+        return header
+    block = next_block(handle, begin, size)
+    if block is None or block >= end:
+        return None
+    seen = find_record(handle, block, end, refs)
+    while begin - back > header >> 16:
+        earlier = next_block(handle, begin - back, size)
+        known = find_record(handle, earlier, block, refs) if earlier is not None and earlier < block else None
+        if known is not None:
+            arrived, followed = first_from(Blocks(handle, known), block)
+            inside = arrived if arrived is not None and arrived >> 16 < end else None
+            if followed >= CHAIN:  # far enough to have left what only looks like a record
+                if seen == inside:
+                    return inside
+                break
+        back *= 4
+    arrived, _ = first_from(Blocks(handle, header), block)
+    return arrived if arrived is not None and arrived >> 16 < end else None
+
 
 def read_header(blocks: Blocks) -> tuple[str, list[tuple[str, int]]]:
     if blocks.read(4) != b"BAM\1":
@@ -185,6 +333,7 @@ class BamPartition(InputPartition):
     begin: int
     end: int
     region: tuple[int, int, int] | None
+    split: bool = False  # begin and end are places in the file, else virtual offsets
 
 
 def _open(path: str):
@@ -206,25 +355,26 @@ class BamReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out = []
+        step = int(self.options.get("splitbytes", self.options.get("splitBytes", SPLIT)))
         for path in self._files():
             system, name = _open(path)
+            size = system.get_file_info(name).size
             with system.open_input_file(name) as handle:
+                check_end(handle, size)
                 _, refs = read_header(Blocks(handle))
-            ref = self.options.get("ref")
-            if ref is None:
-                out.append(BamPartition(path, *EVERYTHING, None))
-                continue
-            known = [n for n, _ in refs]
-            if ref not in known:
-                continue
-            region = (known.index(ref), int(self.options.get("start", 1)), int(self.options.get("end", 1 << 29)))
-            beside = next((b for b in (name + ".bai", name.removesuffix(".bam") + ".bai") if system.get_file_info(b).type == fs.FileType.File), None)
-            if beside is None:
-                out.append(BamPartition(path, *EVERYTHING, region))
-                continue
-            with system.open_input_stream(beside) as handle:
-                index = load_index(handle.read())
-            out += [BamPartition(path, a, b, region) for a, b in region_chunks(index, region)]
+            region, ref = None, self.options.get("ref")
+            if ref is not None:
+                known = [n for n, _ in refs]
+                if ref not in known:
+                    continue
+                region = (known.index(ref), int(self.options.get("start", 1)), int(self.options.get("end", 1 << 29)))
+                beside = next((b for b in (name + ".bai", name.removesuffix(".bam") + ".bai") if system.get_file_info(b).type == fs.FileType.File), None)
+                if beside is not None:
+                    with system.open_input_stream(beside) as handle:
+                        index = load_index(handle.read())
+                    out += [BamPartition(path, a, b, region) for a, b in region_chunks(index, region)]
+                    continue
+            out += [BamPartition(path, a, min(a + step, size), region, True) for a in range(0, size, step)]
         return out or [BamPartition("", 0, 0, None)]
 
     def read(self, partition: BamPartition) -> Iterator[pa.RecordBatch]:
@@ -237,17 +387,16 @@ class BamReader(DataSourceReader):
         with system.open_input_file(name) as handle:
             blocks = Blocks(handle)
             _, refs = read_header(blocks)
-            if partition.begin:
-                blocks = Blocks(handle, partition.begin)
+            begin, end = partition.begin, partition.end
+            if partition.split:
+                blocks.ready()
+                begin, end = first_record(handle, begin, end, system.get_file_info(name).size, blocks.position, refs), end << 16
+                if begin is None:
+                    return
+            blocks = Blocks(handle, begin)
             rows = []
-            while blocks.position < partition.end:
-                head = blocks.read(4)
-                if not head:
-                    break
-                size = struct.unpack("<i", head)[0] if len(head) == 4 else -1
-                data = blocks.read(size) if 0 <= size <= LARGEST else b""
-                if len(data) != size:
-                    raise ValueError(f"{partition.path}: broken record")
+            while blocks.ready() and blocks.position < end:
+                data = blocks.record()
                 if partition.region is None or overlaps(data, partition.region):
                     rows.append(decode_read(data, refs))
                 if len(rows) == BATCH:

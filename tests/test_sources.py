@@ -166,3 +166,66 @@ def test_swarm_sets(spark, tmp_path):
     text.save_swarm_set(path("c"), cells.drop("freq"), sites)
     with pytest.raises(ValueError, match="freq"):
         text.load_swarm_set(spark, [path("c")])
+
+
+def many(n):
+    return [record(1000 + 7 * i, f"read{i:04d}", i % 900) for i in range(n)]
+
+
+@pytest.mark.parametrize("cut, step", [(300, 997), (5000, 1500), (64_000, 100)])
+def test_bam_in_splits(spark, tmp_path, cut, step):
+    """One file in many tasks gives the reads of one task."""
+    spark.dataSource.register(bam.BamDataSource)
+    write_bam(tmp_path / "many.bam", many(300), cut)
+    whole = spark.read.format("bam").load(str(tmp_path / "many.bam"))
+    parts = spark.read.format("bam").option("splitBytes", step).load(str(tmp_path / "many.bam"))
+    assert whole.rdd.getNumPartitions() == 1 and parts.rdd.getNumPartitions() > 4
+    names = [r["qname"] for r in parts.select("qname").collect()]
+    assert names == [r["qname"] for r in whole.select("qname").collect()] == [f"read{i:04d}" for i in range(300)]
+
+
+@pytest.mark.parametrize("cut", [77, 300, 2000])
+def test_first_record_of_any_place(tmp_path, cut):
+    """Looked for from a little before, the first record is that of the file's own order."""
+    where = write_bam(tmp_path / "x.bam", many(80), cut)
+    size = (tmp_path / "x.bam").stat().st_size
+    refs = [("TheChrName", 1_000_000)]
+    with open(tmp_path / "x.bam", "rb") as handle:
+        for begin in range(0, size, 131):
+            for back in (200, 1500):
+                inside = [v for v in where[:80] if begin <= v >> 16 < begin + 400]
+                got = bam.first_record(handle, begin, begin + 400, size, where[0], refs, back)
+                assert got == min(inside, default=None) or (begin <= where[0] >> 16 and got == where[0])
+
+
+def test_record_that_holds_a_record(tmp_path):
+    """Bytes like records in the qualities lead to no wrong start."""
+    fake = record(50, "fake") * 3
+    inner = struct.pack("<iiIIiiii", 0, 99, (14 << 8) | 5, 0, len(fake), -1, -1, 0) + b"real\0" + b"\x11" * ((len(fake) + 1) // 2) + fake
+    rows = [struct.pack("<i", len(inner)) + inner] * 40
+    where = write_bam(tmp_path / "f.bam", rows, 700)
+    size = (tmp_path / "f.bam").stat().st_size
+    with open(tmp_path / "f.bam", "rb") as handle:
+        for begin in range(200, size, 250):
+            got = bam.first_record(handle, begin, begin + 250, size, where[0], [("TheChrName", 1_000_000)], 400)
+            assert got == min((v for v in where[:40] if begin <= v >> 16 < begin + 250), default=None)
+
+
+def test_cut_bam_raises(tmp_path):
+    """A file cut anywhere, or with a byte changed in a block, is refused."""
+    write_bam(tmp_path / "x.bam", many(4), 300)
+    data = (tmp_path / "x.bam").read_bytes()
+    assert len(list(read_directly(tmp_path / "x.bam"))) == 4
+    for n in [*range(len(data) - 60, len(data)), *range(0, len(data) - 60, 97)]:
+        (tmp_path / "cut.bam").write_bytes(data[:n])
+        with pytest.raises(ValueError):
+            list(read_directly(tmp_path / "cut.bam"))
+    for n in range(200, len(data) - 28, 41):
+        (tmp_path / "cut.bam").write_bytes(data[:n] + bytes([data[n] ^ 1]) + data[n + 1 :])
+        with pytest.raises((ValueError, zlib.error)):
+            list(read_directly(tmp_path / "cut.bam"))
+
+
+def read_directly(path):
+    reader = bam.BamReader({"path": str(path)})
+    return [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
