@@ -168,9 +168,10 @@ class SuffixFamily:
         self.repeated: list[DataFrame] = []  # fingerprints found twice, by batch
 
     def _array(self, entries: DataFrame) -> DataFrame:
-        """``entries`` in the order of their fingerprints, in as many runs as there are partitions."""
+        """``entries`` in the order of their fingerprints; equal ones by place, so that a frequent one spreads over ranges."""
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return materialize(entries.select("core", "row", "pos").repartition(n, "core").sortWithinPartitions("core"), "suffix-array")
+        order = ["core", "row", "pos"]
+        return materialize(entries.select(*order).repartitionByRange(n, *order).sortWithinPartitions(*order), "suffix-array")
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Takes up a batch of suffixes; gives the fingerprints that it shares with itself or with a level."""
