@@ -2,16 +2,16 @@
 
 A page becomes lines, one for each block, without the elements that say
 themselves what they are (menus, footers, forms, scripts ...). Within a host, pages
-of equal lines are one; the others are sorted by URL path, and each is aligned with
-the nearest page before and after it that is no near copy, by the longest common
-subsequence of its lines. Shared lines go, unless they are headings or stand in
+of equal lines are one; the others are sorted by URL path. Pages of which each is a
+near copy of the one before make a run; each page is aligned with the nearest pages
+of the runs before and after its own, by the longest common subsequence of its lines. Shared lines go, unless they are headings or stand in
 what the page itself marks as its article and most of its text: passages that
 articles have in common are text, not frame. Pages that share all but a tenth of
 their text are copies of an article, not frames around different ones.
 
 Only hashes of lines travel for the alignment. The sort is by range, so a host of
-any size spreads over tasks; the pages on either side of a border between two
-ranges are aligned afterwards, from two rows a range. An alignment takes memory in
+any size spreads over tasks; pages at the start of a range, whose run may have begun
+before it, are aligned afterwards, so the result does not depend on the ranges. An alignment takes memory in
 proportion to the lines, however often they repeat.
 
 Null and empty html gives empty text; a null url is a host of its own with an
@@ -24,13 +24,14 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import slices
@@ -96,7 +97,7 @@ def _removed(name: str, attributes: str, inside: bool) -> bool:
     return bool(words & (MARKED - {"header"} if inside else MARKED))
 
 
-def lines(page: str, forms: bool = False) -> list[Line]:
+def lines(page: str, forms: bool = False, named: bool = True) -> list[Line]:
     """The blocks of a page in order, white space made single, without what is no main text; ``forms`` are text if asked."""
     out: list[Line] = []
     parts: list[str] = []
@@ -150,7 +151,7 @@ def lines(page: str, forms: bool = False) -> list[Line]:
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             raw_until = at = end.end() if end else len(page)
             continue
-        if name not in VOID and not (forms and name == "form") and _removed(name, tag[3], articles > 0):
+        if named and name not in VOID and not (forms and name == "form") and _removed(name, tag[3], articles > 0):
             if not tag[3].rstrip().endswith("/"):
                 skipped, depth, inner = name, 1, 0
             continue
@@ -164,11 +165,11 @@ def lines(page: str, forms: bool = False) -> list[Line]:
     return out
 
 
-def main_lines(page: str) -> list[Line]:
+def main_lines(page: str, named: bool = True) -> list[Line]:
     """The lines of the marked article where it has most of the text, else all; a page that is one form is that form."""
-    found = lines(page) or lines(page, forms=True)
+    found = lines(page, named=named) or lines(page, forms=True)
     inside = [x for x in found if x.inside]
-    if 2 * sum(len(x.text) for x in inside) > sum(len(x.text) for x in found):
+    if named and 2 * sum(len(x.text) for x in inside) > sum(len(x.text) for x in found):
         return inside
     for x in found:
         x.inside = False
@@ -249,14 +250,14 @@ def _host_path(url: str | None) -> tuple[str, str]:
 
 
 SIGNED = "key long, host string, path string, hashes array<long>, chars array<int>, may_go array<boolean>"
-ALIGNED = "key long, cut array<int>, edge int, part int, host string, hashes array<long>, chars array<int>, may_go array<boolean>"
+ALIGNED = "key long, cut array<int>, part int, edge int, host string, hashes array<long>, chars array<int>, may_go array<boolean>"
 
 
-def signed(pages: DataFrame) -> DataFrame:
+def signed(pages: DataFrame, named: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             hosts = [_host_path(u) for u in batch.column("url").to_pylist()]
-            signs = [signature(main_lines(x or "")) for x in batch.column("html").to_pylist()]
+            signs = [signature(main_lines(x or "", named)) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
@@ -272,81 +273,131 @@ def signed(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, SIGNED)
 
 
-def aligned(signs: DataFrame) -> DataFrame:
-    """Lines that each page loses by its neighbours of the same range, and the first and last page of each range."""
+def aligned(signs: DataFrame, descending: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Lines that each page loses by the run of copies before it (after it, if descending), and what is open at ranges' starts.
+
+    In the order of host and path, pages of which each is a copy of the one before make
+    a run; a page is aligned with the nearest page of the run before its own. Only the
+    first run of a range may have begun in an earlier one: its pages stay open. The
+    first, the last and the page before the last run of each range tell what they meet.
+    """
     n = int(signs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = ["host", "path", "key"]
+    order = [F.desc(c) if descending else F.asc(c) for c in ("host", "path", "key")]
+    schema = pa.schema([("key", pa.int64()), ("cut", pa.list_(pa.int32())), ("part", pa.int32()), ("edge", pa.int32()), ("host", pa.string()), ("hashes", pa.list_(pa.int64())), ("chars", pa.list_(pa.int32())), ("may_go", pa.list_(pa.bool_()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, other = TaskContext.get().partitionId(), None, None
-        schema = pa.schema([("key", pa.int64()), ("cut", pa.list_(pa.int32())), ("edge", pa.int32()), ("part", pa.int32()), ("host", pa.string()), ("hashes", pa.list_(pa.int64())), ("chars", pa.list_(pa.int32())), ("may_go", pa.list_(pa.bool_()))])
-
-        def row(r: dict, cut: list[int], edge: int | None) -> dict:
-            whole = {c: r[c] if edge is not None else None for c in ("host", "hashes", "chars", "may_go")}
-            return {"key": r["key"], "cut": sorted(set(cut)), "edge": edge, "part": part} | whole
-
+        part, last, before, unknown = TaskContext.get().partitionId(), None, None, True
+        row = lambda r, cut=None, edge=None: {"key": r["key"], "cut": cut, "part": part, "edge": edge} | ({} if cut else {c: r[c] for c in PAGE})
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                sign = (r["hashes"], r["chars"], r["may_go"])
+                cut = None
                 if last is None:
-                    out.append(row(r, [], 0))
+                    out.append(row(r, edge=FIRST))
+                elif last["host"] != r["host"]:
+                    before, unknown = None, False
                 else:
-                    # the page before, and where that is a copy, the one that it was aligned with
-                    for page in (last, other):
-                        if page is None or page["host"] != r["host"]:
-                            break
-                        found = shared_lines((page["hashes"], page["chars"], page["may_go"]), sign)
-                        if found is not None:
-                            out += [row(x, cut, None) for x, cut in ((page, found[0]), (r, found[1])) if cut]
-                            other = page
-                            break
+                    met = shared_lines(_sign(last), _sign(r))
+                    if met is not None:
+                        before, unknown, cut = last, False, met[1]
+                if unknown:
+                    out.append(row(r, edge=OPEN))
+                elif before is not None:
+                    if cut is None:
+                        cut = (shared_lines(_sign(before), _sign(r)) or ([], []))[1]
+                    if cut:
+                        out.append(row(r, cut))
                 last = r
             yield pa.RecordBatch.from_pylist(out, schema=schema)
         if last is not None:
-            yield pa.RecordBatch.from_pylist([row(last, [], 1)], schema=schema)
+            ends = [row(last, edge=LAST)] + ([row(before, edge=BEFORE)] if before is not None else []) + ([row(last, edge=ONE_RUN)] if unknown else [])
+            yield pa.RecordBatch.from_pylist(ends, schema=schema)
+
+    found = materialize(signs.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, ALIGNED), "aligned-pages")
+    return found.filter("cut is not null").select("key", "cut"), found.filter("edge is not null")
+
+
+FIRST, LAST, BEFORE, ONE_RUN, OPEN = range(5)
+PAGE = ("host", "hashes", "chars", "may_go")
+
 
-    return signs.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, ALIGNED)
+def _sign(r: dict) -> tuple:
+    return r["hashes"], r["chars"], r["may_go"]
 
 
-def borders(edges: DataFrame) -> DataFrame:
-    """The same for the last page of a range and the first of the next: two rows a range in all."""
-    names = ["key", "host", "edge", "hashes", "chars", "may_go"]
-    following = Window.orderBy("part", "edge")
-    pairs = edges.select(*names, *[F.lead(c).over(following).alias(f"next_{c}") for c in names])
-    pairs = pairs.filter("edge = 1 and next_edge = 0 and host = next_host and key <> next_key")
+def met_before(edges: DataFrame) -> DataFrame:
+    """(part, hashes, chars, may_go): the page that a range's first run is aligned with; from four rows a range at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges: dict[int, dict[int, dict]] = {}
+        for batch in batches:
+            for r in batch.to_pylist():
+                ranges.setdefault(r["part"], {})[r["edge"]] = r
+        out, earlier, carried = [], None, None
+        for part in sorted(ranges):
+            own = ranges[part]
+            if earlier is None or earlier[LAST]["host"] != own[FIRST]["host"]:
+                carried = None
+            elif shared_lines(_sign(earlier[LAST]), _sign(own[FIRST])) is not None:
+                carried = earlier[LAST]
+            elif ONE_RUN not in earlier:
+                carried = earlier.get(BEFORE)
+            if carried is not None:
+                out.append({"part": part} | {c: carried[c] for c in PAGE[1:]})
+            earlier = own
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("part", pa.int32()), ("hashes", pa.list_(pa.int64())), ("chars", pa.list_(pa.int32())), ("may_go", pa.list_(pa.bool_()))]))
+
+    return edges.filter(F.col("edge") < OPEN).coalesce(1).mapInArrow(run, "part int, hashes array<long>, chars array<int>, may_go array<boolean>")
+
+
+def opened(edges: DataFrame) -> DataFrame:
+    """Lines that the open pages of each range lose."""
+    carried = materialize(met_before(edges).select("part", *[F.col(c).alias(f"met_{c}") for c in PAGE[1:]]), "met-pages")
+    pairs = edges.filter(F.col("edge") == OPEN).join(carried, "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, cuts = [], []
             for r in batch.to_pylist():
-                found = shared_lines(*((r[p + "hashes"], r[p + "chars"], r[p + "may_go"]) for p in ("", "next_"))) or ([], [])
-                keys += [r["key"], r["next_key"]]
-                cuts += found
+                met = shared_lines((r["met_hashes"], r["met_chars"], r["met_may_go"]), _sign(r))
+                if met is not None and met[1]:
+                    keys.append(r["key"])
+                    cuts.append(met[1])
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cuts, pa.list_(pa.int32()))], ["key", "cut"])
 
     return pairs.mapInArrow(run, "key long, cut array<int>")
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
+def cut_lines(signs: DataFrame) -> DataFrame:
+    """(key, cut): the lines that each page loses by the pages before and after it."""
+    every = []
+    for descending in (False, True):
+        cuts, edges = aligned(signs, descending)
+        every += [cuts, opened(edges)]
+    lost = reduce(DataFrame.unionByName, every)
+    return lost.groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))  # four lists at most
+
+
+def extract(pages: DataFrame, named: bool = True) -> DataFrame:
+    """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
+
+    Without ``named``, no element goes by its name or marks and none is taken for the
+    article: the differencing alone decides.
+    """
     keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("key"))
     # pages of equal lines align alike, so the one of the smallest path stands for all of a host
-    signs = materialize(signed(keyed.select("key", "url", "html")).withColumn("lines", F.xxhash64("host", "hashes", "may_go")), "page-lines")
+    signs = materialize(signed(keyed.select("key", "url", "html"), named).withColumn("lines", F.xxhash64("host", "hashes", "may_go")), "page-lines")
     first = signs.groupBy("lines").agg(F.min(F.struct("path", "host", "hashes", "chars", "may_go")).alias("p"))
-    found = materialize(aligned(first.select(F.col("lines").alias("key"), "p.*")), "aligned-pages")
-    every = found.select("key", "cut").unionByName(borders(found.filter("edge is not null")))
-    cuts = every.filter(F.size("cut") > 0).groupBy(F.col("key").alias("lines")).agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    cuts = cut_lines(materialize(first.select(F.col("lines").alias("key"), "p.*"), "distinct-pages")).withColumnRenamed("key", "lines")
     cuts = materialize(signs.select("key", "lines").distinct().join(cuts, "lines").select("key", "cut"), "shared-lines")
     drop(signs)
-    drop(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             texts = []
             for page, cut in zip(batch.column("html").to_pylist(), batch.column("cut").to_pylist()):
                 gone = set(cut or ())
-                texts.append(" ".join(x.text for i, x in enumerate(main_lines(page or "")) if i not in gone))
+                texts.append(" ".join(x.text for i, x in enumerate(main_lines(page or "", named)) if i not in gone))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
