@@ -9,9 +9,10 @@ ring that the triangle inequality and the bisecting planes between pivots do
 not exclude. Pivots are a bounded sample; every vector is indexed.
 
 Vectors that are null or hold null or non-finite components take no part.
-Shorter vectors are filled up with zeros. Ties go to the smaller vec_id;
-repeated vec_ids are rows of their own, and a query skips its own vec_id. A null
-vec_id is no query and no candidate. Other columns are ignored; an empty table
+Shorter vectors are filled up with zeros. Ties go to the smaller vec_id. Repeated
+vec_ids are rows of their own: each such query has its own k rows, in which a repeated
+candidate stands as often as it is in the table, and a query skips its own row only. A
+null vec_id is no query and no candidate. Other columns are ignored; an empty table
 gives an empty result.
 """
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +37,19 @@ EXACT = 2.0**52
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
-    """vec_id and the components floor(256 x) of the vectors that take part."""
+    """row, a number, vec_id and the components floor(256 x) of the vectors that take part."""
     wide = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256))
     clean = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     took = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(clean, F.lit(False)))
-    return took.select(F.col("vec_id").cast("long").alias("vec_id"), wide.alias("q"))
+    rows = took.select(F.col("vec_id").cast("long").alias("vec_id"), wide.alias("q"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(batch.num_rows)), *batch.columns], ["row", "vec_id", "q"])
+            row += batch.num_rows
+
+    return rows.mapInArrow(number, "row long, vec_id long, q array<long>")
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -85,10 +95,10 @@ def keyed(vectors: DataFrame, index: Index, dim: int) -> DataFrame:
             d = index.distances(_matrix(batch.column("q").to_pylist(), dim))
             pivot = d.argmin(1)
             near = d[np.arange(len(d)), pivot]
-            columns = [batch.column("vec_id"), batch.column("q"), pa.array(pivot, pa.int32()), pa.array(near), pa.array(index.ring(near), pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "q", "pivot", "distance", "ring"])
+            columns = [batch.column("row"), batch.column("vec_id"), batch.column("q"), pa.array(pivot, pa.int32()), pa.array(near), pa.array(index.ring(near), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "vec_id", "q", "pivot", "distance", "ring"])
 
-    return vectors.mapInArrow(run, "vec_id long, q array<long>, pivot int, distance double, ring int")
+    return vectors.mapInArrow(run, "row long, vec_id long, q array<long>, pivot int, distance double, ring int")
 
 
 def bounds(directory: pd.DataFrame, index: Index, q: np.ndarray) -> np.ndarray:
@@ -121,10 +131,10 @@ def visits(queries: DataFrame, directory: pd.DataFrame, index: Index, dim: int,
                     take = ~nearest & (np.isnan(kth)[:, None] | (b >= kth[:, None]))
                 row, ring = np.nonzero(take)
                 cells = directory.iloc[ring]
-                columns = [part.column("query_id").take(pa.array(row)), pa.array(cells["pivot"].to_numpy(), pa.int32()), pa.array(cells["ring"].to_numpy(), pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "pivot", "ring"])
+                columns = [part.column("query").take(pa.array(row)), pa.array(cells["pivot"].to_numpy(), pa.int32()), pa.array(cells["ring"].to_numpy(), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["query", "pivot", "ring"])
 
-    return queries.mapInArrow(run, "query_id long, pivot int, ring int")
+    return queries.mapInArrow(run, "query long, pivot int, ring int")
 
 
 def scored(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, dim: int, k: int) -> DataFrame:
@@ -132,26 +142,26 @@ def scored(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, dim: int, k:
     salts = blocks.select("pivot", "ring", "salt").distinct()
     met = pairs.join(salts, ["pivot", "ring"])
     per_block = met.groupBy("pivot", "ring", "salt").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))
-    asked = met.join(per_block, ["pivot", "ring", "salt"]).join(queries.select("query_id", "q"), "query_id")
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query_id"), F.col("chunks")))
+    asked = met.join(per_block, ["pivot", "ring", "salt"]).join(queries.select("query", "q"), "query")
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")))
     offered = blocks.join(per_block, ["pivot", "ring", "salt"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     key = ["pivot", "ring", "salt", "chunk"]
-    offered = offered.select(*(F.col(c).alias(f"to_{c}") for c in key), "vec_id", F.col("q").alias("to_q"))
+    offered = offered.select(*(F.col(c).alias(f"to_{c}") for c in key), "row", "vec_id", F.col("q").alias("to_q"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+            return pd.DataFrame({"query": [], "vec_id": [], "score": []}).astype("int64")
         right = right.sort_values("vec_id", kind="stable")
-        ids = right["vec_id"].to_numpy()
+        ids, rows = right["vec_id"].to_numpy(), right["row"].to_numpy()
         products = _products(_matrix(left["q"], dim), _matrix(right["to_q"], dim))
         out = []
-        for query, row in zip(left["query_id"].to_numpy(), products):
-            others = np.flatnonzero(ids != query)
+        for query, row in zip(left["query"].to_numpy(), products):
+            others = np.flatnonzero(rows != query)
             best = others[np.argsort(-row[others], kind="stable")[:k]]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": row[best]}))
+            out.append(pd.DataFrame({"query": query, "vec_id": ids[best], "score": row[best]}))
         return pd.concat(out).astype("int64")
 
-    return asked.groupBy(*key).cogroup(offered.groupBy(*(f"to_{c}" for c in key))).applyInPandas(run, "query_id long, vec_id long, score long")
+    return asked.groupBy(*key).cogroup(offered.groupBy(*(f"to_{c}" for c in key))).applyInPandas(run, "query long, vec_id long, score long")
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = 50, pivots: int = PIVOTS) -> DataFrame:
@@ -170,12 +180,11 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, pivots: int = PIVOTS
     directory = rings.toPandas().sort_values(["pivot", "ring"]).reset_index(drop=True)
     salts = spark.createDataFrame(directory[["pivot", "ring"]].assign(salts=-(-directory["n"] // BLOCK))).select(F.col("pivot").cast("int"), F.col("ring").cast("int"), "salts")
     salted = placed.join(F.broadcast(salts), ["pivot", "ring"])
-    blocks = materialize(salted.select("vec_id", "q", "pivot", "ring", F.pmod(F.xxhash64("vec_id"), "salts").cast("int").alias("salt")), "vector-blocks")
-    queries = materialize(base.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), "q"), "queries")
-    once = queries.dropDuplicates(["query_id", "q"])
-    near = materialize(scored(visits(once, directory, index, dim, k, True), once, blocks, dim, k), "near-scores")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    rest = scored(visits(once.join(kth, "query_id", "left"), directory, index, dim, k, False), once, blocks, dim, k)
+    blocks = materialize(salted.select("row", "vec_id", "q", "pivot", "ring", F.pmod(F.xxhash64("row"), "salts").cast("int").alias("salt")), "vector-blocks")
+    queries = materialize(base.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "q"), "queries")
+    near = materialize(scored(visits(queries, directory, index, dim, k, True), queries, blocks, dim, k), "near-scores")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    kth = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query", F.col("score").alias("kth"))
+    rest = scored(visits(queries.join(kth, "query", "left"), directory, index, dim, k, False), queries, blocks, dim, k)
     found = near.unionByName(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    return found.join(queries.select("query", "query_id"), "query").select("query_id", "rank", "vec_id", "score")

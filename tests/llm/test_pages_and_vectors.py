@@ -105,12 +105,52 @@ def test_copies_lose_nothing(spark):
     assert {r["page_id"]: r["text"] for r in main_text.extract(pages(spark, rows)).collect()}[0] == "the same long story on both pages"
 
 
-def test_frames_go_where_no_word_names_them(spark, monkeypatch):
-    """With all lists off, on pages that mark nothing, what neighbours share goes, also around runs of copies."""
+def by_differencing(rows):
+    """The text of each page by the rule of runs, on one sorted list, without names and marks."""
+    signs = {}
+    for i, u, h in rows:
+        found = main_text.main_lines(h or "", False)
+        host, path = main_text._host_path(u)
+        signs.setdefault((host, tuple(x.text for x in found)), []).append((path, i, found))
+    out = {}
+    for host in {k[0] for k in signs}:
+        line_up = sorted((min(p for p, _, _ in some), lines, some) for (h, lines), some in signs.items() if h == host)
+        sign = [main_text.signature(some[0][2]) for _, _, some in line_up]
+        run = [0] * len(sign)
+        for k in range(1, len(sign)):
+            run[k] = run[k - 1] + (main_text.shared_lines(sign[k - 1], sign[k]) is not None)
+        for k, (_, _, some) in enumerate(line_up):
+            near = [max((j for j in range(k) if run[j] == run[k] - 1), default=None), min((j for j in range(k + 1, len(sign)) if run[j] == run[k] + 1), default=None)]
+            gone = {x for j in near if j is not None for x in (main_text.shared_lines(sign[j], sign[k]) or ([], []))[1]}
+            for _, i, found in some:
+                out[i] = " ".join(x.text for n, x in enumerate(found) if n not in gone)
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 9])
+def test_runs_of_copies_over_ranges(spark, partitions):
+    """Runs of near copies, at the head of a host too, lose the same lines however the pages are cut into ranges."""
+    frame = "<div>Menu one two</div><p>Our shop sells all things of the world</p>"
+    body = lambda run, k: " ".join(f"Sentence {j} of run {run}." for j in range(60)) + f" Copy {k}."
+    page = lambda run, k: f"{frame}{''.join(f'<p>{s}.</p>' for s in body(run, k).split('.') if s)}<div>Rights kept</div>"
+    rows = [(10 * run + k, f"http://h{run // 3}/{run:02d}/{k}", page(run, k)) for run in range(7) for k in range(10)]
+    rows += [(900 + k, f"http://h0/00/{k}x", page(0, k)) for k in range(3)] + [(950, "http://one/", page(1, 1))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r["page_id"]: r["text"] for r in main_text.extract(pages(spark, rows), named=False).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == by_differencing(rows)
+    assert sum("Menu" in t for t in got.values()) == 11  # h2 has one run and "one" one page: nothing differs there
+
+
+def test_frames_go_where_no_word_names_them(spark):
+    """With all lists off, what neighbours share goes, also around runs of copies."""
     frame = "<div>Menu one two</div><p>Our shop sells all things of the world, and has done so for years</p>"
     story = lambda i: f"Story {i} " + f"tells of number {i * 7}. " * 3
     rows = [(i, f"http://h/{i:03d}", f"{frame}<p>{story(i // 5)}</p><div>All rights kept</div>") for i in range(40)]
-    texts = {r["page_id"]: r["text"] for r in main_text.extract(pages(spark, rows)).collect()}
+    texts = {r["page_id"]: r["text"] for r in main_text.extract(pages(spark, rows), named=False).collect()}
     assert texts == {i: story(i // 5).strip() for i, _, _ in rows}
 
 
@@ -148,9 +188,9 @@ def brute_top(rows, k=5):
     dim = max((len(v) for _, v in q), default=0)
     q = [(i, np.pad(v, (0, dim - len(v)))) for i, v in q]
     out = []
-    for i, v in q:
+    for own, (i, v) in enumerate(q):
         if i % 50 == 0:
-            best = sorted(((-int(v @ w), j) for j, w in q if j != i))[:k]
+            best = sorted((-int(v @ w), j) for at, (j, w) in enumerate(q) if at != own)[:k]
             out += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
     return sorted(out)
 
@@ -164,4 +204,8 @@ def test_top_k(spark):
     few = [(0, [1.0, 2.0]), (50, [1.0, 2.0]), (51, [0.0, 0.0])]
     df = spark.createDataFrame(few, "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.search(df).collect())) == brute_top(few)
+    again = [(50, [1.0, 2.0]), (50, [2.0, -1.0]), (50, [1.0, 2.0]), (4, [1.0, 1.0]), (4, [1.0, 1.0]), (3, [0.5, 0.5]), (3, [0.5, 0.25]), (100, [0.0, 1.0]), (7, [1.0, 1.0])]
+    df = spark.createDataFrame(again, "vec_id long, embedding array<float>")
+    for pivots in (1, 3, 64):
+        assert sorted(map(tuple, topk.search(df, pivots=pivots).collect())) == brute_top(again)
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
