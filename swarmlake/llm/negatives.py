@@ -43,7 +43,7 @@ EVERY = 100
 BLOCK = 4096  # rows in a block, about
 CHUNK = 4096  # anchors that meet a block in one task, about
 TOGETHER = 512  # of them at once
-SLAB = 8  # components whose products are added up together
+SLAB = 16  # components whose products are added up together
 GROWTH = 16
 STEPS = 4
 FALL = (0.5, 0.35, 0.25, 0.15, 0.0)  # of the product of norms: thresholds for positives
