@@ -8,6 +8,7 @@ by block; groups are plain aggregates.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -65,13 +66,14 @@ def kernel_errors(points: DataFrame, distances: DataFrame, sigmas: list[float])
 CHUNK, BLOCK = 512, 4096  # queries and points that meet in a task, about
 
 
-def _met(queries: DataFrame, points: DataFrame, reduce: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, digits: int = 8) -> DataFrame:
-    """``reduce`` of the squared distances of each chunk of queries to each block of points; infinite to itself."""
+def _met(queries: DataFrame, points: DataFrame, reduced: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, digits: int = 8, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``reduced`` of the squared distances of each chunk of queries to each block of points; infinite to itself."""
     chunks, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, CHUNK), (points, BLOCK)))
     dealt = lambda df, own, n, other, m: df.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), "vec_id", "x", "fitness"
+        F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), "vec_id", "x", "fitness", *extra
     )
     asked, offered = dealt(queries, "chunk", chunks, "block", blocks), dealt(points, "block", blocks, "chunk", chunks)
+    offered = offered.select(*[F.col(c).alias(c) for c in offered.columns])  # columns of its own, if both come from one table
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -79,7 +81,7 @@ def _met(queries: DataFrame, points: DataFrame, reduce: Callable[[np.ndarray, pd
         a, b = (np.stack(df["x"].to_numpy()) for df in (left, right))
         d2 = np.round(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0), digits)
         d2[left["vec_id"].to_numpy()[:, None] == right["vec_id"].to_numpy()] = np.inf
-        return reduce(d2, left, right)
+        return reduced(d2, left, right)
 
     return asked.groupBy("chunk", "block").cogroup(offered.groupBy("chunk", "block")).applyInPandas(run, schema)
 
@@ -113,6 +115,162 @@ def smoothed_by_all(queries: DataFrame, points: DataFrame, sigma: float) -> Data
     return met.join(least, "vec_id").groupBy("vec_id").agg((F.sum(F.col("total") * scale) / F.sum(F.col("weight") * scale)).alias("predicted"))
 
 
+def in_test(split: Column, vec_id: Column, share: float) -> Column:
+    """Whether a point is tested, not trained on, in a split: by a hash, so about ``share`` of the points are."""
+    return F.substring(F.md5(F.concat_ws("-", F.lit("split"), split, vec_id).cast("binary")), 1, 8) < F.lit(f"{int(share * (1 << 32)):08x}")
+
+
+SUMS = "vec_id long, split int, sigma int, low double, nearest long, near_fit double, low2 double, rest double, rest_fit double"
+
+
+def split_sums(points: DataFrame, sigmas: list[float], splits: int, share: float) -> DataFrame:
+    """Of each tested point of each split and each width: the nearest trained point, and the weights of all others.
+
+    Distances are met once, block by block, for all splits and widths. The weights are on
+    the scale of ``low2``, the second least squared distance, so they are exact however
+    far the others are; those of several blocks add up on their common scale.
+    """
+    dealt = points.withColumn("tests", F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda s: in_test(s, F.col("vec_id"), share)))
+
+    def sums(d2: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        tested, trained = np.stack(left["tests"].to_numpy()), ~np.stack(right["tests"].to_numpy())
+        by_id = np.argsort(right["vec_id"].to_numpy(), kind="stable")
+        ids, fit = right["vec_id"].to_numpy()[by_id], right["fitness"].to_numpy()[by_id]
+        out = []
+        for s in range(splits):
+            rows, some = np.flatnonzero(tested[:, s]), np.flatnonzero(trained[by_id, s])
+            d = d2[np.ix_(rows, by_id[some])]
+            if not d.size or not np.isfinite(d).any():
+                continue
+            at = d.argmin(1)
+            low = d[np.arange(len(d)), at].copy()
+            d[np.arange(len(d)), at] = np.inf
+            low2 = d.min(1)
+            scale = np.where(np.isfinite(low2), low2, 0)
+            for k, sigma in enumerate(sigmas):
+                weight = np.exp((scale[:, None] - d) / (2 * sigma * sigma))
+                found = {"vec_id": left["vec_id"].to_numpy()[rows], "split": s, "sigma": k, "low": low, "nearest": ids[some][at], "near_fit": fit[some][at], "low2": low2, "rest": weight.sum(1), "rest_fit": weight @ fit[some]}
+                out.append(pd.DataFrame(found)[np.isfinite(low)])
+        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in SUMS.split(", ")])
+
+    met = materialized(_met(dealt, dealt, sums, SUMS, extra=("tests",)))
+    key = ["vec_id", "split", "sigma"]
+    first = met.groupBy(*key).agg(F.min(F.struct("low", "nearest", "near_fit")).alias("of"))
+    own = F.col("nearest") == F.col("of.nearest")
+    second = F.min(F.when(own, F.col("low2")).otherwise(F.col("low"))).alias("least2")
+    both = met.join(first, key)
+    scales = both.groupBy(*key).agg(second)
+    width = F.element_at(F.array(*[F.lit(2 * s * s) for s in sigmas]), F.col("sigma") + 1)
+    on_scale = lambda d: F.when(d == float("inf"), 0.0).otherwise(F.exp((F.col("least2") - d) / width))
+    rest = F.col("rest") * on_scale(F.col("low2")) + F.when(own, 0.0).otherwise(on_scale(F.col("low")))
+    rest_fit = F.col("rest_fit") * on_scale(F.col("low2")) + F.when(own, 0.0).otherwise(F.col("near_fit") * on_scale(F.col("low")))
+    added = both.join(scales, key).groupBy(*key, "of", "least2").agg(F.sum(rest).alias("rest"), F.sum(rest_fit).alias("rest_fit"))
+    near = F.when(F.col("least2") == float("inf"), 0.0).otherwise(F.exp((F.col("of.low") - F.col("least2")) / width))
+    # all weights on the scale of the nearest, and what is predicted without it
+    return added.select(
+        *key, F.col("of.low").alias("low"), F.col("of.nearest").alias("nearest"), (1 + F.col("rest") * near).alias("weight"),
+        (F.col("of.near_fit") + F.col("rest_fit") * near).alias("total"), F.when(F.col("rest") > 0, F.col("rest_fit") / F.col("rest")).alias("without_nearest"),
+    )
+
+
+def _named(df: DataFrame, sigmas: list[float]) -> DataFrame:
+    return df.withColumn("sigma", F.element_at(F.array(*[F.lit(s) for s in sigmas]), F.col("sigma") + 1))
+
+
+def split_errors(points: DataFrame, sigmas: list[float], splits: int = 100, share: float = 0.1) -> DataFrame:
+    """Mean squared error of each width over repeated random sub-sampling, and whether it is the least (ties: the smaller width)."""
+    found = split_sums(points, sigmas, splits, share).join(points.select("vec_id", "fitness"), "vec_id")
+    error = F.col("total") / F.col("weight") - F.col("fitness")
+    of_split = found.groupBy("split", "sigma").agg(F.avg(error * error).alias("mse"))
+    errors = _named(of_split.groupBy("sigma").agg(F.avg("mse").alias("mse")), sigmas)
+    best = errors.agg(F.min(F.struct("mse", "sigma")).alias("best"))  # one row
+    return errors.join(F.broadcast(best)).select("sigma", "mse", (F.col("sigma") == F.col("best.sigma")).alias("best"))
+
+
+def widths_without_one(points: DataFrame, sigmas: list[float], splits: int = 100, share: float = 0.1) -> DataFrame:
+    """For each point, the width of least error over the splits when that point is left out: vec_id, sigma, mse.
+
+    Left out of the tests, its own error is taken from the mean; left out of the training,
+    its weight is taken from each tested point's sums, or, where it is the nearest and the
+    difference would be rounding, the sums without it are used. A split in which it is the
+    only tested point, or leaves nothing to train on, does not count.
+    """
+    sums = materialized(split_sums(points, sigmas, splits, share))
+    fit = points.select("vec_id", "fitness")
+    error = F.col("total") / F.col("weight") - F.col("fitness")
+    errors = sums.join(fit, "vec_id").select("vec_id", "split", "sigma", (error * error).alias("e"))
+    totals = errors.groupBy("split", "sigma").agg(F.sum("e").alias("sum"), F.count("*").alias("n"))
+    tested = errors.join(totals, ["split", "sigma"]).filter("n > 1").select("vec_id", "split", "sigma", ((F.col("sum") - F.col("e")) / (F.col("n") - 1)).alias("mse"))
+    stats = sums.groupBy("vec_id").agg(F.collect_list(F.struct("split", "sigma", "low", "nearest", "weight", "total", "without_nearest")).alias("stats"))  # splits x widths
+    asked = points.join(stats, "vec_id")
+    flags = F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda s: in_test(s, F.col("vec_id"), share))
+    offered = points.withColumn("stats", F.transform(flags, lambda f: F.struct(f.alias("test"))))
+
+    def taken_out(d2: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        trained = ~np.array([[x["test"] for x in r] for r in right["stats"]], dtype=bool)
+        ids, fit_of = right["vec_id"].to_numpy(), right["fitness"].to_numpy()
+        squares, counts = np.zeros((splits, len(sigmas), len(ids))), np.zeros((splits, len(sigmas), len(ids)), dtype=np.int64)
+        for u, (truth, own) in enumerate(zip(left["fitness"].to_numpy(), left["stats"])):
+            for x in own:
+                s, k = x["split"], x["sigma"]
+                some = np.flatnonzero(trained[:, s])
+                weight = np.exp((x["low"] - d2[u, some]) / (2 * sigmas[k] ** 2))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    predicted = (x["total"] - weight * fit_of[some]) / (x["weight"] - weight)
+                predicted[ids[some] == x["nearest"]] = np.nan if x["without_nearest"] is None else x["without_nearest"]
+                known = np.isfinite(predicted)
+                squares[s, k, some[known]] += (predicted[known] - truth) ** 2
+                counts[s, k, some[known]] += 1
+        s, k, j = np.nonzero(counts)
+        return pd.DataFrame({"vec_id": ids[j], "split": s, "sigma": k, "sum": squares[s, k, j], "n": counts[s, k, j]})
+
+    # both sides carry a column of one name with what their side needs
+    shape = "array<struct<split:int,sigma:int,low:double,nearest:long,weight:double,total:double,without_nearest:double,test:boolean>>"
+    full = lambda df, fields: df.withColumn("stats", F.transform("stats", lambda x: F.struct(*[(x[f] if f in fields else F.lit(None)).alias(f) for f in ("split", "sigma", "low", "nearest", "weight", "total", "without_nearest", "test")])).cast(shape))
+    asked, offered = full(asked, ("split", "sigma", "low", "nearest", "weight", "total", "without_nearest")), full(offered, ("test",))
+    met = _met(asked, offered, taken_out, "vec_id long, split int, sigma int, sum double, n long", extra=("stats",))
+    trained = met.groupBy("vec_id", "split", "sigma").agg((F.sum("sum") / F.sum("n")).alias("mse"))
+    each = tested.unionByName(trained).groupBy("vec_id", "sigma").agg(F.avg("mse").alias("mse"))
+    least = _named(each, sigmas).groupBy("vec_id").agg(F.min(F.struct("mse", "sigma")).alias("m"))
+    return least.select("vec_id", "m.sigma", "m.mse")
+
+
+def categorical_nearest(queries: DataFrame, known: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """The mean fitness of all rows of ``known`` that differ from a query in the fewest ``columns``: key, differing, ties, predicted.
+
+    Rows within r differing columns agree in one of r + 1 groups of columns, so such a
+    group's values name where they meet; r grows until each query has found its nearest,
+    and only those without go on. Equal rows of ``known`` are one, and a query is not
+    compared with its own key. Nulls are values. Rows that agree in no column with any
+    other differ in all: those take the mean of all others.
+    """
+    own = F.struct(*columns)
+    asked = materialized(queries.select(F.col(key), own.alias("x")))
+    rows = materialized(known.groupBy(own.alias("y")).agg(F.sum("fitness").alias("total"), F.count("fitness").alias("n")))
+    mine = known.select(F.col(key).alias("own"), own.alias("own_y"), F.col("fitness").alias("own_fitness")).filter("own is not null and own_fitness is not null")
+    mine = mine.groupBy("own", "own_y").agg(F.sum("own_fitness").alias("own_total"), F.count("*").alias("own_n"))
+    out = []
+    for radius in range(len(columns)):
+        groups = [columns[i :: radius + 1] for i in range(radius + 1)]
+        named = lambda of: F.array(*[F.xxhash64(F.lit(i), *[F.col(of)[c] for c in g]) for i, g in enumerate(groups)])  # noqa: E731, B023
+        left = asked.withColumn("name", F.explode(named("x")))
+        right = rows.withColumn("name", F.explode(named("y")))
+        d = differing([F.col("x")[c] for c in columns], [F.col("y")[c] for c in columns])
+        met = left.join(right, "name").withColumn("d", d).filter(F.col("d") <= radius).dropDuplicates([key, "y"])
+        met = met.join(mine, (F.col(key) == F.col("own")) & F.col("y").eqNullSafe(F.col("own_y")), "left").select(key, "d", "total", "n", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("own_total", "own_n")])
+        sums = met.groupBy(key, "d").agg(F.sum(F.col("total") - F.col("own_total")).alias("total"), F.sum(F.col("n") - F.col("own_n")).alias("n")).filter("n > 0")
+        found = materialized(sums.groupBy(key).agg(F.min(F.struct("d", "total", "n")).alias("m")).select(key, "m.*"))
+        out.append(found)
+        asked = materialized(asked.join(found, key, "left_anti"))
+        if asked.isEmpty():
+            break
+    else:
+        every = rows.agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        rest = asked.join(F.broadcast(every)).join(mine, F.col(key) == F.col("own"), "left")
+        out.append(rest.select(key, F.lit(len(columns)).alias("d"), (F.col("total") - F.coalesce("own_total", F.lit(0.0))).alias("total"), (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("n")).filter("n > 0"))
+    return reduce(DataFrame.unionByName, out).select(key, F.col("d").alias("differing"), F.col("n").alias("ties"), (F.col("total") / F.col("n")).alias("predicted"))
+
+
 def group_means(points: DataFrame, leave_one_out: bool = False) -> DataFrame:
     """Mean fitness of a point's group, without its own if asked; null for a group of one."""
     sums = points.groupBy("label").agg(F.sum("fitness").alias("s"), F.count("fitness").alias("n"))

@@ -16,6 +16,56 @@ def interpolated(t: Column) -> Column:
     return F.when(t == F.col("t"), F.col("v")).otherwise(F.col("v") + (F.col("v2") - F.col("v")) * (t - F.col("t")) / (F.col("t2") - F.col("t")))
 
 
+def _between(a: Column, b: Column, share: Column, wide: bool) -> Column:
+    """``a + (b - a) share``, of numbers or of arrays."""
+    return F.zip_with(a, b, lambda x, y: x + (y - x) * share) if wide else a + (b - a) * share
+
+
+def _wide(series: DataFrame, column: str = "v") -> bool:
+    return dict(series.dtypes)[column].startswith("array")
+
+
+def last_before(marks: DataFrame, asked: DataFrame, ids: list[str], width: float | None = None) -> DataFrame:
+    """``asked`` (ids, t, ..) with ``mark``: the row of ``marks`` (ids, t, ..) of the same ids with the largest t up to the asked one.
+
+    Marks and questions pass together once, in order of time. With ``width`` a series is cut
+    into stretches of so much time, so one of very many rows spreads over tasks: the last
+    mark of each stretch is carried on to those after it. Null ids are ids like others.
+    """
+    own = [c for c in asked.columns if c not in ids]
+    stretch = F.floor(F.col("t") / width) if width else F.lit(0).cast("long")
+    mark = F.struct(*[c for c in marks.columns if c not in ids])
+    m = marks.select(*ids, "t", mark.alias("mark"), F.lit(None).alias("ask"), F.lit(0).alias("asks"))
+    q = asked.select(*ids, "t", F.lit(None).alias("mark"), F.struct(*own).alias("ask"), F.lit(1).alias("asks"))
+    both = m.unionByName(q).withColumn("stretch", stretch)
+    passed = Window.partitionBy(*ids, "stretch").orderBy("t", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.select(*ids, "stretch", "ask", "asks", F.last("mark", ignorenulls=True).over(passed).alias("mark")).filter("asks = 1")
+    if width:
+        ends = both.groupBy(*ids, "stretch").agg(F.max_by("mark", F.when(F.col("asks") == 0, F.col("t"))).alias("end"))
+        earlier = Window.partitionBy(*ids).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.select(*[F.col(c).alias(f"__{c}") for c in (*ids, "stretch")], F.last("end", ignorenulls=True).over(earlier).alias("carried"))
+        same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (*ids, "stretch")]
+        found = found.join(carried, same).withColumn("mark", F.coalesce("mark", "carried"))
+    return found.select(*ids, *[F.col("ask")[c].alias(c) for c in own], "mark")
+
+
+def values_at(series: DataFrame, asked: DataFrame, ids: list[str], clamp: bool = False, width: float | None = None) -> DataFrame:
+    """``asked`` (ids, t, ..) with ``value``: the series' linear interpolation at t, of numbers or arrays.
+
+    Outside a series' times: with ``clamp`` its first or last value, else an error; the
+    same for ids without a series, whose value is null with ``clamp``.
+    """
+    wide = _wide(series)
+    found = last_before(segments(series, ids), asked, ids, width)
+    firsts = series.groupBy(*[F.col(c).alias(f"__{c}") for c in ids]).agg(F.min_by("v", "t").alias("__first"))
+    found = found.join(firsts, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in ids], "left")
+    m, t = F.col("mark"), F.col("t")
+    inside = _between(m["v"], m["v2"], (t - m["t"]) / (m["t2"] - m["t"]), wide)
+    outside = F.raise_error(F.concat(F.lit("no value at "), t.cast("string"))).cast(dict(series.dtypes)["v"])
+    value = F.when(m.isNull(), F.col("__first") if clamp else outside).when(t == m["t"], m["v"]).when(m["t2"].isNull(), m["v"] if clamp else outside).otherwise(inside)
+    return found.select(*asked.columns, value.alias("value"))
+
+
 def at_steps(series: DataFrame, ids: list[str], step: float) -> DataFrame:
     """Values at all whole multiples of ``step`` within each series, by linear interpolation."""
     first, last = F.ceil(F.col("t") / step), F.ceil(F.coalesce("t2", F.col("t")) / step) - 1
@@ -44,9 +94,12 @@ def median_filtered(series: DataFrame, ids: list[str], half: int = 2) -> DataFra
 def distance_curve(series: DataFrame, ids: list[str], kind: str, first: str, second: str) -> DataFrame:
     """Squared distance of two series of each id as quadratics: seg, t_start, t_end and c + b s + a s^2 from t_start.
 
+    ``v`` is a number, or an array: then the quadratics are summed over its dimensions.
     Breakpoints of both are merged by one window over time, so no series meets all
     segments of the other.
     """
+    if not _wide(series):
+        series = series.withColumn("v", F.array("v"))
     w = Window.partitionBy(*ids).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     parts = []
     for name in (first, second):
@@ -59,13 +112,26 @@ def distance_curve(series: DataFrame, ids: list[str], kind: str, first: str, sec
 
     def value(s: str) -> Column:
         t, c = F.col("t"), F.col(s)
-        return F.when(c["t"] == t, c["v"]).otherwise(c["v"] + (c["v2"] - c["v"]) * (t - c["t"]) / (c["t2"] - c["t"]))
+        return F.when(c["t"] == t, c["v"]).otherwise(F.zip_with(c["v"], c["v2"], lambda a, b: a + (b - a) * (t - c["t"]) / (c["t2"] - c["t"])))
 
-    inside = points.filter("x is not null and y is not null").select(*ids, "t", (value("x") - value("y")).alias("p")).filter("p is not null")
+    less = lambda a, b: F.zip_with(a, b, lambda x, y: x - y)
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    inside = points.filter("x is not null and y is not null").select(*ids, "t", less(value("x"), value("y")).alias("p")).filter("p is not null")
     n = Window.partitionBy(*ids).orderBy("t")
     seg = inside.select(*ids, (F.row_number().over(n) - 1).alias("seg"), F.col("t").alias("t_start"), F.lead("t").over(n).alias("t_end"), "p", F.lead("p").over(n).alias("p2"))
-    q = (F.col("p2") - F.col("p")) / (F.col("t_end") - F.col("t_start"))
-    return seg.filter("t_end is not null").select(*ids, "seg", "t_start", "t_end", (F.col("p") * F.col("p")).alias("c"), (2 * F.col("p") * q).alias("b"), (q * q).alias("a"))
+    seg = seg.filter("t_end is not null")
+    q = F.transform(less(F.col("p2"), F.col("p")), lambda d: d / (F.col("t_end") - F.col("t_start")))
+    return seg.withColumn("q", q).select(*ids, "seg", "t_start", "t_end", dot(F.col("p"), F.col("p")).alias("c"), (2 * dot(F.col("p"), F.col("q"))).alias("b"), dot(F.col("q"), F.col("q")).alias("a"))
+
+
+def curve_values(curve: DataFrame, asked: DataFrame, ids: list[str], width: float | None = None) -> DataFrame:
+    """``asked`` (ids, t, ..) with ``distance``: the curve at t; null outside it."""
+    marks = curve.select(*ids, F.col("t_start").alias("t"), "t_end", "c", "b", "a")
+    m = F.col("mark")
+    s = F.col("t") - m["t"]
+    square = m["c"] + s * (m["b"] + s * m["a"])
+    distance = F.when(F.col("t") <= m["t_end"], F.sqrt(F.greatest(square, F.lit(0.0))))
+    return last_before(marks, asked, ids, width).select(*asked.columns, distance.alias("distance"))
 
 
 def curve_equals(curve: DataFrame, ids: list[str], y: float) -> DataFrame:

@@ -59,6 +59,18 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("user_id", "event_type", "t").agg(F.avg("v").alias("v"))
 
 
+def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of ``events`` in two dimensions: the value, and its distance from 50 over ten."""
+    return series(spark, sf_dir).withColumn("v", F.array("v", F.abs(F.col("v") - 50) / 10))
+
+
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as rows of six categories, with their price as fitness."""
+    name = F.split("p_name", " ")
+    x = [F.col("p_brand"), F.col("p_type"), name[0], name[1], (F.col("p_size") % 10).cast("string"), F.floor(F.col("p_size") / 10).cast("string")]
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(f"x{i}") for i, c in enumerate(x)], F.col("p_retailprice").cast("double").alias("fitness"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points with a group and a fitness from ``embeddings``."""
     x = F.transform("embedding", lambda v: F.round(v.cast("double"), 4))

@@ -127,6 +127,44 @@ met AS (
   FROM points a JOIN points b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
 )"""
 
+PATHS = (
+    SERIES
+    + """, paths AS (SELECT user_id, event_type, t, v AS v1, abs(v - 50) / 10 AS v2 FROM series
+), legs AS (
+  SELECT *, lead(t) OVER w AS tn, lead(v1) OVER w AS n1, lead(v2) OVER w AS n2 FROM paths WINDOW w AS (PARTITION BY user_id, event_type ORDER BY t)
+), times AS (SELECT DISTINCT user_id, t FROM paths WHERE event_type IN ('click', 'view')
+), valued AS (
+  SELECT k.user_id, k.t, x.event_type, CASE WHEN x.t = k.t THEN x.v1 ELSE x.v1 + (x.n1 - x.v1) * (k.t - x.t) / (x.tn - x.t) END AS v1,
+         CASE WHEN x.t = k.t THEN x.v2 ELSE x.v2 + (x.n2 - x.v2) * (k.t - x.t) / (x.tn - x.t) END AS v2
+  FROM times k JOIN legs x ON x.user_id = k.user_id AND x.event_type IN ('click', 'view') AND k.t >= x.t AND (k.t < x.tn OR k.t = x.t)
+), gaps AS (
+  SELECT user_id, t, max(v1) FILTER (WHERE event_type = 'click') - max(v1) FILTER (WHERE event_type = 'view') AS p1,
+         max(v2) FILTER (WHERE event_type = 'click') - max(v2) FILTER (WHERE event_type = 'view') AS p2 FROM valued GROUP BY ALL
+), led AS (
+  SELECT user_id, CAST(row_number() OVER w - 1 AS INTEGER) AS seg, t AS t_start, lead(t) OVER w AS t_end, p1, p2, lead(p1) OVER w AS e1, lead(p2) OVER w AS e2
+  FROM gaps WHERE p1 IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY t)
+), sloped AS (SELECT *, (e1 - p1) / (t_end - t_start) AS q1, (e2 - p2) / (t_end - t_start) AS q2 FROM led WHERE t_end IS NOT NULL
+), curve AS (SELECT user_id, seg, t_start, t_end, p1 * p1 + p2 * p2 AS c, 2 * (p1 * q1 + p2 * q2) AS b, q1 * q1 + q2 * q2 AS a FROM sloped)"""
+)
+ALL_PAIRS = """
+met AS (
+  SELECT a.vec_id, b.vec_id AS nearest, a.fitness AS truth, b.fitness AS fitness, round(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 8) AS d2
+  FROM points a JOIN points b ON a.vec_id <> b.vec_id
+)"""
+
+
+def _splits(n: int) -> str:
+    """Pairs of a tested and a trained point by split and width, with the places of the distances."""
+    return f"""widths AS (SELECT CAST(unnest([0.1, 0.2, 0.4, 0.8]) AS DOUBLE) AS sigma
+), dealt AS (SELECT vec_id, s AS split, substr(md5('split-' || s || '-' || vec_id), 1, 8) < '19999999' AS test FROM points, range({n}) r(s)
+), pairs AS (
+  SELECT m.*, u.split, row_number() OVER (PARTITION BY u.split, m.vec_id ORDER BY d2, nearest) AS place
+  FROM met m JOIN dealt u ON u.vec_id = m.vec_id AND u.test JOIN dealt k ON k.vec_id = m.nearest AND k.split = u.split AND NOT k.test
+), scaled AS (
+  SELECT *, min(d2) OVER (PARTITION BY split, vec_id) AS low, min(CASE WHEN place > 1 THEN d2 END) OVER (PARTITION BY split, vec_id) AS low2 FROM pairs
+)"""
+
+
 ORACLE_SQL = {
     "cigar_walk": f"""WITH {READS}
 SELECT ref_id, cigar, op, read_pos, ref_offset, count(*) AS n, CAST(sum(pos + ref_offset) AS BIGINT) AS sum_ref_pos
@@ -332,4 +370,43 @@ UNION ALL SELECT sample_id, reference, "row", round(fitness, 4) FROM rest LEFT J
   FROM lineitem GROUP BY l_returnflag
 )
 SELECT l_returnflag, round(slope, 4) AS slope, round(intercept, 4) AS intercept, x1, x2, round(intercept + slope * x1, 4) AS y1, round(intercept + slope * x2, 4) AS y2 FROM l""",
+    "ts_asked": f"""WITH {SERIES}, clicks AS (SELECT * FROM segments WHERE event_type = 'click'), asked AS (SELECT user_id, t FROM series WHERE event_type = 'view'
+), firsts AS (SELECT user_id, arg_min(v, t) AS first_v FROM clicks GROUP BY user_id)
+SELECT a.user_id, a.t, round(CASE WHEN c.t IS NULL THEN first_v WHEN c.t = a.t OR c.t2 IS NULL THEN c.v ELSE c.v + (c.v2 - c.v) * ((a.t - c.t) / (c.t2 - c.t)) END, 6) AS value
+FROM asked a ASOF LEFT JOIN clicks c ON a.user_id = c.user_id AND a.t >= c.t LEFT JOIN firsts f ON f.user_id = a.user_id""",
+    "path_curve": f"WITH {PATHS} SELECT user_id, seg, t_start, t_end, round(c, 6) AS c, round(b, 6) AS b, round(a, 6) AS a FROM curve",
+    "curve_at": f"""WITH {PATHS}, asked AS (SELECT user_id, t FROM series WHERE event_type = 'purchase')
+SELECT a.user_id, a.t, round(CASE WHEN a.t <= t_end THEN sqrt(greatest(c + (a.t - t_start) * (b + (a.t - t_start) * a), CAST(0 AS DOUBLE))) END, 6) AS distance
+FROM asked a ASOF LEFT JOIN curve k ON a.user_id = k.user_id AND a.t >= k.t_start""".replace("(b + (a.t - t_start) * a)", "(b + (a.t - t_start) * k.a)"),
+    "kernel_width_splits": f"""WITH {POINTS}, {ALL_PAIRS}, {_splits(8)}, predicted AS (
+  SELECT split, sigma, vec_id, any_value(truth) AS truth, sum(exp((low - d2) / (2 * sigma * sigma)) * fitness) / sum(exp((low - d2) / (2 * sigma * sigma))) AS f
+  FROM scaled, widths GROUP BY split, sigma, vec_id
+), of_split AS (SELECT split, sigma, avg(power(f - truth, 2)) AS mse FROM predicted GROUP BY split, sigma
+), errors AS (SELECT sigma, avg(mse) AS mse FROM of_split GROUP BY sigma)
+SELECT sigma, round(mse, 6) AS mse, sigma = (SELECT arg_min(sigma, mse) FROM errors) AS best FROM errors""",
+    "kernel_width_without_one": f"""WITH {POINTS}, {ALL_PAIRS}, {_splits(4)}, weighted AS (
+  SELECT *, exp((low - d2) / (2 * sigma * sigma)) AS w, CASE WHEN place > 1 THEN exp((low2 - d2) / (2 * sigma * sigma)) ELSE 0 END AS w2 FROM scaled, widths
+), summed AS (
+  SELECT *, sum(w) OVER g AS ws, sum(w * fitness) OVER g AS wf, sum(w2) OVER g AS ws2, sum(w2 * fitness) OVER g AS wf2
+  FROM weighted WINDOW g AS (PARTITION BY split, sigma, vec_id)
+), trained AS (
+  SELECT nearest AS vec_id, split, sigma, avg(power(CASE WHEN place = 1 THEN CASE WHEN ws2 > 0 THEN wf2 / ws2 END ELSE (wf - w * fitness) / (ws - w) END - truth, 2)) AS mse
+  FROM summed GROUP BY nearest, split, sigma
+), own AS (SELECT DISTINCT split, sigma, vec_id, power(wf / ws - truth, 2) AS e FROM summed
+), tested AS (
+  SELECT vec_id, split, sigma, (sum(e) OVER g - e) / (count(*) OVER g - 1) AS mse, count(*) OVER g AS n FROM own WINDOW g AS (PARTITION BY split, sigma)
+), each AS (
+  SELECT vec_id, sigma, avg(mse) AS mse FROM (SELECT vec_id, split, sigma, mse FROM trained UNION ALL SELECT vec_id, split, sigma, mse FROM tested WHERE n > 1) GROUP BY vec_id, sigma
+)
+SELECT vec_id, arg_min(sigma, mse) AS sigma, round(min(mse), 6) AS mse FROM each GROUP BY vec_id""",
+    "loo_nn_predict": f"""WITH {POINTS}, {ALL_PAIRS}
+SELECT vec_id, nearest, round(d2, 6) AS d2, round(fitness, 6) AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, nearest) AS r FROM met) WHERE r = 1""",
+    "loo_gks_predict": f"""WITH {POINTS}, {ALL_PAIRS}, w AS (SELECT vec_id, fitness, exp((min(d2) OVER (PARTITION BY vec_id) - d2) / (2 * CAST(0.2 AS DOUBLE) * 0.2)) AS w FROM met)
+SELECT vec_id, round(sum(w * fitness) / sum(w), 6) AS predicted FROM w GROUP BY vec_id""",
+    "categorical_nn": """WITH x AS (
+  SELECT p_partkey, p_retailprice AS fitness, [p_brand, p_type, string_split(p_name, ' ')[1], string_split(p_name, ' ')[2], CAST(p_size % 10 AS VARCHAR), CAST(CAST(floor(p_size / 10) AS BIGINT) AS VARCHAR)] AS x FROM part
+), d AS (
+  SELECT a.p_partkey, b.fitness, len(list_filter(list_zip(a.x, b.x), lambda z: z[1] IS DISTINCT FROM z[2])) AS d FROM x a JOIN x b ON a.p_partkey <> b.p_partkey
+), near AS (SELECT *, min(d) OVER (PARTITION BY p_partkey) AS least FROM d)
+SELECT p_partkey, CAST(least AS INTEGER) AS differing, count(*) AS ties, round(avg(fitness), 6) AS predicted FROM near WHERE d = least GROUP BY p_partkey, least""",
 }

@@ -285,6 +285,37 @@ def ts_median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.median_filtered(A.series(spark, sf_dir), IDS), "v")
 
 
+STRETCH = 7 * 86400.0
+
+
+def _of(series_: DataFrame, event_type: str) -> DataFrame:
+    return series_.filter(F.col("event_type") == event_type).drop("event_type")
+
+
+@query
+def ts_asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's clicks at the times of the views, clamped."""
+    values, asked = _of(A.series(spark, sf_dir), "click"), _of(A.series(spark, sf_dir), "view").select("user_id", "t")
+    return rounded(series.values_at(values, asked, ["user_id"], clamp=True, width=STRETCH), "value")
+
+
+def _path_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.distance_curve(A.paths(spark, sf_dir), ["user_id"], "event_type", "click", "view")
+
+
+@query
+def path_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance curve of two paths in two dimensions."""
+    return rounded(_path_curve(spark, sf_dir), "c", "b", "a")
+
+
+@query
+def curve_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of two paths at the times of a third series."""
+    asked = _of(A.series(spark, sf_dir), "purchase").select("user_id", "t")
+    return rounded(series.curve_values(_path_curve(spark, sf_dir), asked, ["user_id"], STRETCH), "distance")
+
+
 def _curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.distance_curve(A.series(spark, sf_dir), ["user_id"], "event_type", "click", "view")
 
@@ -346,6 +377,42 @@ def kernel_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.kernel_errors(A.points(spark, sf_dir), _distances(spark, sf_dir), [0.05, 0.1, 0.2, 0.4, 0.8]), "mse", digits=5)
 
 
+SIGMAS = [0.1, 0.2, 0.4, 0.8]
+
+
+@query
+def kernel_width_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error of each width over random splits of all points."""
+    return rounded(models.split_errors(A.points(spark, sf_dir), SIGMAS, splits=8), "mse")
+
+
+@query
+def kernel_width_without_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best width for each point when it is left out."""
+    return rounded(models.widths_without_one(A.points(spark, sf_dir), SIGMAS, splits=4), "mse")
+
+
+@query
+def loo_nn_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point from its nearest other one."""
+    points = A.points(spark, sf_dir)
+    return rounded(models.nearest_of_all(points, points), "d2", "predicted")
+
+
+@query
+def loo_gks_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point from all others by the kernel."""
+    points = A.points(spark, sf_dir)
+    return rounded(models.smoothed_by_all(points, points, 0.2), "predicted")
+
+
+@query
+def categorical_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part's price from the parts that differ least from it."""
+    parts = A.categories(spark, sf_dir)
+    return rounded(models.categorical_nearest(parts, parts, [f"x{i}" for i in range(6)], "p_partkey"), "predicted")
+
+
 @query
 def group_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.group_means(A.points(spark, sf_dir)), "predicted")
