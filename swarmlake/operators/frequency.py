@@ -108,7 +108,9 @@ def solve(rcc: np.ndarray, n: np.ndarray, start: np.ndarray, method: str = "newt
             if t == border:
                 new[some[falls][(x[some][falls] / -go[falls]) <= border]] = 0
             new = _without_dust(new)
-            if objective(rcc, n, new) < now or (method == "newton" and t == 1 and np.abs(gradient(rcc, n, new)[some] + 1).max() < np.abs(g[some] + 1).max() / 2):
+            # a step to the border so short that the objective cannot tell it takes a state out nevertheless
+            short = t == border and abs(t * (g[some] @ go)) < 1e-12 * max(1.0, abs(now))
+            if short or objective(rcc, n, new) < now or (method == "newton" and t == 1 and np.abs(gradient(rcc, n, new)[some] + 1).max() < np.abs(g[some] + 1).max() / 2):
                 moved = new
                 break
             t /= 2
