@@ -12,9 +12,15 @@ not similar end there; only texts with a partner left send their shingles, and t
 the first shard alone of those where the two meet. A shard of over ``SHARD`` texts is named more closely, by
 one more of a text's smallest hashes (sets of fewer hashes are never similar to
 others); one that ``CUTS`` hashes leave too large is cut in chunks, every two of
-which meet. So texts that share a frequent passage and no more part company, while
-in a shard that is cut similar texts meet if they share as many of their smallest
-hashes as its name has.
+which meet. So texts that share a frequent passage and no more part company.
+
+That finds nearly all links, but by chance and by the radius not all. What is missed is
+found exactly: of two similar sets, ordered by the frequency of their hashes (in
+``SLOTS`` counters over all texts; any order that is one for all texts is exact), the
+rarest fifths hold a common hash. So all texts are named by each hash of theirs, and
+names under which texts of different classes stand are looked at again: by size, by
+how many hashes can follow in both, by the bucket counts, and by the sets themselves.
+Names whose texts are in one class already, which are nearly all, end as one row.
 
 Texts of equal sets are one text in all this, so copies cost a row each. Texts
 without words are equal. Every row is judged for itself: null and repeated doc_ids
@@ -47,6 +53,7 @@ CUTS = 3
 RADIUS = 22
 SHARD = 2048
 SPREAD = 128
+SLOTS = 1 << 16
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -74,12 +81,21 @@ def simhash(shingles: np.ndarray) -> int:
 
 
 def sketched(rows: DataFrame, width: int = WIDTH) -> DataFrame:
-    """row, doc_id, what tells its set from others, its SimHash, its smallest hashes, its shingles' number and their counts by bucket."""
+    """row, doc_id, what tells its set from others, its SimHash, its smallest hashes, its shingles' number and their counts by bucket.
+
+    One more row a task, of a negative number, has the counts of all its hashes by slot in ``spread``.
+    """
+
+    columns = ["row", "doc_id", "same", "fp", "names", "size", "spread"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = np.zeros(SLOTS, dtype=np.int64)
         for batch in slices(batches, "text", 4 << 20):
             same, fp, names, size, spread = [], [], [], [], []
             for found in shingle_sets(batch.column("text"), width):
+                slots += np.bincount((found % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS) if len(found) > SLOTS // 8 else 0
+                if len(found) <= SLOTS // 8:
+                    np.add.at(slots, (found % np.uint64(SLOTS)).astype(np.int64), 1)
                 same.append(int(mixed(found, found[::-1]).sum(dtype=np.uint64)) ^ len(found))
                 fp.append(simhash(found))
                 names.append(found[:NAMES].view(np.int64).tolist())
@@ -87,7 +103,9 @@ def sketched(rows: DataFrame, width: int = WIDTH) -> DataFrame:
                 size.append(len(low))
                 spread.append(np.minimum(np.bincount((low % SPREAD).astype(np.int64), minlength=SPREAD), 255).astype(np.uint8).tobytes())
             signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), signed(same), signed(fp), pa.array(names, pa.list_(pa.int64())), pa.array(size, pa.int64()), pa.array(spread, pa.binary())], ["row", "doc_id", "same", "fp", "names", "size", "spread"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), signed(same), signed(fp), pa.array(names, pa.list_(pa.int64())), pa.array(size, pa.int64()), pa.array(spread, pa.binary())], columns)
+        nothing = pa.array([None], pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([-1 - TaskContext.get().partitionId()]), nothing, nothing, nothing, pa.array([None], pa.list_(pa.int64())), nothing, pa.array([slots.tobytes()], pa.binary())], columns)
 
     return rows.mapInArrow(run, "row long, doc_id long, same long, fp long, names array<long>, size long, spread binary")
 
@@ -183,6 +201,116 @@ def links(near: DataFrame, sets: DataFrame, least: float = LEAST, radius: int =
     return _sorted(near.join(sets, "rep").select("name", "low", "high", "rep", "fp", "shingles")).mapInArrow(run, "a long, b long")
 
 
+def slot_counts(rows: DataFrame) -> np.ndarray:
+    """The sum of the tasks' counts by slot: SLOTS numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column("spread").to_pylist():
+                n = np.frombuffer(packed, dtype=np.int64)
+                some = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["slot", "n"])
+
+    found = rows.select("spread").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(SLOTS, dtype=np.int64)
+    out[found["slot"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefixes(texts: DataFrame, counts: np.ndarray, width: int = WIDTH, least: float = LEAST) -> DataFrame:
+    """(token, rep, at, size): the rarest hashes of each text, as many as must hold one that any similar text has among its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 4 << 20):
+            tokens, sizes, taken = [], [], []
+            for found in shingle_sets(batch.column("text"), width):
+                n = len(found)
+                k = n - int(np.ceil(least * n - 1e-9)) + 1 if n else 0
+                order = np.lexsort((found, counts[(found % np.uint64(SLOTS)).astype(np.int64)]))[:k]
+                tokens.append(found[order])
+                sizes.append(n)
+                taken.append(k)
+            at = np.concatenate([np.arange(k) for k in taken]) if taken else np.empty(0)
+            token = np.concatenate(tokens).view(np.int64) if tokens else np.empty(0, dtype=np.int64)
+            rep = np.repeat(batch.column("row").to_numpy(), taken)
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(rep), pa.array(at.astype(np.int32)), pa.array(np.repeat(sizes, taken).astype(np.int32))], ["token", "rep", "at", "size"])
+
+    return texts.mapInArrow(run, "token long, rep long, at int, size int")
+
+
+def may_pair(least: float, size: np.ndarray, at: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of ``others`` whose sizes are near enough to i's, and with enough hashes after the common one, were it their first."""
+    n, m = size[i], size[others]
+    need = np.ceil(least / (1 + least) * (n + m) - 1e-9)
+    can = np.minimum(n - at[i], m - at[others])
+    return others[(np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9) & (can >= need)]
+
+
+def crossing(tokens: DataFrame, labels: DataFrame, sketches: DataFrame, least: float = LEAST, shard: int = SHARD) -> DataFrame | None:
+    """(name, low, high, rep, label, at, size, step, fresh): rows of names that stand for texts of several classes, which may be similar.
+
+    Texts of about a size share a name: ``step`` is the size on the scale of ``least``, and
+    a text is also a guest at the next step.
+    """
+    node = labels.select(F.col("node").alias("of"), F.col("label"))
+    named = materialize(tokens.join(node, F.col("rep") == F.col("of"), "left").select("token", "rep", "at", "size", F.coalesce("label", "rep").alias("label")), "named-texts")
+    step = F.floor(F.log("size") / (-np.log(least) * 1.0001)).cast("int")
+    both = named.groupBy("token").agg(F.min("label").alias("first"), F.max("label").alias("last")).filter("first < last").select("token")
+    mixed = named.join(both, "token").withColumn("own", step).withColumn("step", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    mixed = mixed.select(F.xxhash64("token", "step").alias("name"), "rep", "label", "at", "size", "step", (F.col("own") == F.col("step")).alias("fresh"))
+    mixed = materialize(mixed, "mixed-names")
+    drop(named)
+    if mixed.isEmpty():
+        return None
+    counts = mixed.groupBy("name").agg(F.count("*").alias("n"), F.min("label").alias("first"), F.max("label").alias("last"), F.max("fresh").alias("some"))
+    counts = counts.filter("first < last and some").select("name", "n")
+    placed = chunk_pairs(mixed.join(counts, "name"), "n", "rep", shard)
+    placed = placed.join(sketches.select(F.col("row").alias("of"), F.col("size").alias("low_size"), "spread"), F.col("rep") == F.col("of"))
+    keys = ["name", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *key, rep, label, at, size, step, fresh, low_size, spread in runs(batches, 3):
+            near = np.zeros(len(rep), dtype=bool)
+            buckets = np.frombuffer(b"".join(spread), dtype=np.uint8).reshape(-1, SPREAD)
+            for start, end in groups(key):
+                cut = slice(start, end)
+                labelled, new = label[cut], fresh[cut]
+                for i in range(1, end - start):
+                    others = np.flatnonzero((labelled[:i] != labelled[i]) & (new[:i] | new[i]) & ~(near[start : start + i] & near[start + i]))
+                    others = may_pair(least, size[cut], at[cut], i, others)
+                    if len(others):
+                        for j in may_reach(least, low_size[cut], buckets[cut], i, others):
+                            near[start + i] = near[start + j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in (*key, rep, label, at, size, step, fresh)], [*keys, "rep", "label", "at", "size", "step", "fresh"])
+
+    found = _sorted(placed.select(*keys, "rep", "label", "at", "size", "step", "fresh", "low_size", "spread")).mapInArrow(run, "name long, low int, high int, rep long, label long, at int, size int, step int, fresh boolean")
+    return materialize(found, "crossing")
+
+
+def cross_links(near: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
+    """Edges (a, b) between similar texts of different classes, which span what they join."""
+    keys = ["name", "low", "high"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for *key, rep, label, at, size, fresh, data in runs(batches, 3):
+            a, b = [], []
+            for start, end in groups(key):
+                shingles = [np.frombuffer(x, dtype=np.uint32) for x in data[start:end]]
+                cut = slice(start, end)
+                names, number = np.unique(label[cut], return_inverse=True)
+                forest, new = Forest(len(names)), fresh[cut]
+                for i in range(1, end - start):
+                    others = np.flatnonzero((number[:i] != number[i]) & (new[:i] | new[i]))
+                    for j in may_pair(least, size[cut], at[cut], i, others).tolist():
+                        if forest.root(number[i]) != forest.root(number[j]) and similarity(shingles[i], shingles[j]) >= least:
+                            forest.join(number[i], number[j])
+                            a.append(rep[start + i])
+                            b.append(rep[start + j])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _sorted(near.join(sets, "rep").select(*keys, "rep", "label", "at", "size", "fresh", "shingles")).mapInArrow(run, "a long, b long")
+
+
 def bitmaps(ids: DataFrame) -> DataFrame:
     """The numbers ``row`` as (bucket, bits): one bit a number, 32,768 numbers a bucket."""
     dealt = ids.select("row", F.bitmap_bucket_number("row").alias("bucket")).repartition("bucket")
@@ -215,25 +343,43 @@ def keep_one(docs: DataFrame, width: int = WIDTH, least: float = LEAST) -> DataF
     rows = materialize(plain.mapInArrow(number, schema), "numbered")
     of = lambda c: F.col(names[docs.columns.index(c)])
     texts = rows.select("row", of("doc_id").cast("long").alias("doc_id"), of("text").alias("text"))
-    sketches = materialize(sketched(texts, width), "sketches")
+    every = materialize(sketched(texts, width), "sketches")
+    sketches, counts = every.filter("row >= 0"), slot_counts(every.filter("row < 0"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     classes = materialize(sketches.groupBy("same").agg(F.min(order).alias("first"), F.min(F.struct("row", "fp", "names")).alias("of")).select("first", "of.row", "of.fp", "of.names"), "texts")
 
+    def sets_of(near: DataFrame) -> DataFrame:
+        def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, "text", 4 << 20):
+                found = [_low(x).astype(np.uint32).tobytes() for x in shingle_sets(batch.column("text"), width)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.binary())], ["rep", "shingles"])
+
+        asked = bitmaps(near.select(F.col("rep").alias("row")))
+        out = materialize(chosen(texts.select("row", "text"), asked).mapInArrow(shingles, "rep long, shingles binary"), "sets")
+        drop(asked)
+        return out
+
     placed = shards(classes.select(F.col("row").alias("rep"), "fp", "names"))
     near = materialize(neighbours(described(placed, sketches), least), "neighbours")
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
-            found = [_low(x).astype(np.uint32).tobytes() for x in shingle_sets(batch.column("text"), width)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(found, pa.binary())], ["rep", "shingles"])
-
-    asked = bitmaps(near.select(F.col("rep").alias("row")))
-    sets = materialize(chosen(texts.select("row", "text"), asked).mapInArrow(shingles, "rep long, shingles binary"), "sets")
-    drop(asked)
-    drop(sketches)
-    labels = components(links(near, sets, least))
+    sets = sets_of(near)
+    edges = materialize(links(near, sets, least), "links")
     drop(sets)
     drop(near)
+    labels = components(edges)
+    one_each = bitmaps(classes.select("row"))
+    tokens = prefixes(chosen(texts.select("row", "text"), one_each), counts, width, least)
+    missed = crossing(tokens, labels, sketches, least)
+    drop(one_each)
+    if missed is not None and not missed.isEmpty():
+        sets = sets_of(missed)
+        more = materialize(cross_links(missed, sets, least), "links")
+        drop(sets)
+        if not more.isEmpty():
+            drop(labels)
+            labels = components(edges.unionByName(more))
+        drop(more)
+    drop(edges)
+    drop(every)
     met = classes.join(labels, F.col("row") == F.col("node"), "left")
     stays = met.groupBy(F.coalesce("label", "row").alias("label")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("row"))
     kept = bitmaps(stays)
