@@ -409,4 +409,8 @@ SELECT vec_id, round(sum(w * fitness) / sum(w), 6) AS predicted FROM w GROUP BY
   SELECT a.p_partkey, b.fitness, len(list_filter(list_zip(a.x, b.x), lambda z: z[1] IS DISTINCT FROM z[2])) AS d FROM x a JOIN x b ON a.p_partkey <> b.p_partkey
 ), near AS (SELECT *, min(d) OVER (PARTITION BY p_partkey) AS least FROM d)
 SELECT p_partkey, CAST(least AS INTEGER) AS differing, count(*) AS ties, round(avg(fitness), 6) AS predicted FROM near WHERE d = least GROUP BY p_partkey, least""",
+    "knn_samples": f"""WITH {POINTS}, {ALL_PAIRS}, near AS (
+  SELECT vec_id AS i, nearest AS j, sqrt(d2) AS d, rank() OVER (PARTITION BY vec_id ORDER BY d2) AS r FROM met
+), some AS (SELECT i, j, d FROM near WHERE r <= 5)
+SELECT i, j, round(min(d), 6) AS d FROM (SELECT * FROM some UNION ALL SELECT j, i, d FROM some) GROUP BY i, j""",
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..functions import sequences as S
-from ..operators import annotation, consensus, frequency, landmarks, metadata, mixture, models, pileup, series, swarm
+from ..operators import annotation, consensus, frequency, landmarks, manifold, metadata, mixture, models, pileup, series, swarm
 from . import adapters as A
 
 QUERIES = {}
@@ -470,6 +470,30 @@ def kruskal_isomap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landmarks.placed_among(A.points(spark, sf_dir), at, x).select("vec_id", "label", F.col("place")[0].alias("x"), F.col("place")[1].alias("y"), F.lit(stress).alias("stress"))
 
 
+@query
+def knn_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of the five nearest neighbours of every point."""
+    return rounded(manifold.nearest_graph(manifold.Cells(manifold.nodes(A.points(spark, sf_dir))), 5), "d")
+
+
+@query
+def landmark_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shortest paths from every point to twelve landmarks over that graph, made connected."""
+    rows = manifold.nodes(A.points(spark, sf_dir))
+    cells = manifold.Cells(rows)
+    sources = [r["node"] for r in manifold.far_apart(rows, 12)]
+    found = manifold.paths(manifold.connected(manifold.nearest_graph(cells, 5), cells), rows, sources)
+    named = F.arrays_zip(F.array(*[F.lit(s) for s in sources]).alias("landmark"), F.col("d"))
+    return rounded(found.select("node", F.explode(named).alias("p")).select("p.landmark", "node", "p.d"), "d")
+
+
+@query
+def isomap_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every point in two dimensions by its paths over the graph of all points."""
+    placed = manifold.isomap(A.points(spark, sf_dir), 5)
+    return placed.select("vec_id", "label", F.col("place")[0].alias("x"), F.col("place")[1].alias("y"))
+
+
 @query
 def cluster_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every point with the cluster of its label, of three by average linkage, named by its smallest label."""
