@@ -6,7 +6,10 @@ one call of linear algebra. Points are placed against the landmarks afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -159,19 +162,24 @@ def isotonic(y: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(n, v) for v, n in blocks]) if blocks else np.empty(0)
 
 
-def nonmetric_scaling(d: np.ndarray, x: np.ndarray, rounds: int = 1000, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Points whose distances keep the order of ``d``: isotonic fit and majorisation in turn; with the stress."""
+def nonmetric_scaling(d: np.ndarray, x: np.ndarray, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Points whose distances keep the order of ``d``: isotonic fit and majorisation in turn; with the stress.
+
+    Equal distances in ``d`` are in the order of those of the points, so no order among
+    them is asked for. The stress never rises; the rounds end when it falls by no more
+    than ``tolerance`` of itself.
+    """
     i, j = np.triu_indices(len(d), 1)
-    order = np.argsort(d[i, j], kind="stable")
     before = np.inf
-    for _ in range(rounds):
+    while True:
         x = x - x.mean(axis=0)
         x /= np.sqrt((x * x).sum(axis=1).mean())
         now = np.sqrt(((x[i] - x[j]) ** 2).sum(axis=1))
+        order = np.lexsort((now, d[i, j]))
         fit = np.empty_like(now)
         fit[order] = isotonic(now[order])
         stress = float(np.sqrt(((now - fit) ** 2).sum() / (now**2).sum()))
-        if before - stress < tolerance * max(stress, 1e-12):
+        if before - stress <= tolerance * max(stress, 1e-12):
             break
         before = stress
         b = np.zeros_like(d, dtype=float)
@@ -184,13 +192,25 @@ def nonmetric_scaling(d: np.ndarray, x: np.ndarray, rounds: int = 1000, toleranc
 
 
 def covariance(points: DataFrame, column: str = "x") -> np.ndarray:
-    """Covariance of the components, summed by Spark; as large as the dimension squared."""
-    at = points.select(F.posexplode(column).alias("i", "v"), F.col(column).alias("row"))
-    cross = at.select("i", "v", F.posexplode("row").alias("j", "w")).groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("s"), F.sum("v").alias("si"), F.sum("w").alias("sj"), F.count("*").alias("n"))
-    rows = cross.toPandas()
-    out = np.zeros((rows["i"].max() + 1,) * 2)
-    out[rows["i"], rows["j"]] = (rows["s"] - rows["si"] * rows["sj"] / rows["n"]) / (rows["n"] - 1)
-    return out
+    """Covariance of the components: each task adds up its points' products, one row of dimension squared numbers each."""
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total, cross = 0, None, None
+        for df in frames:
+            if len(df):
+                x = np.stack(df[column].to_numpy())
+                n, total, cross = n + len(x), x.sum(0) + (0 if total is None else total), x.T @ x + (0 if cross is None else cross)
+        if n:
+            yield pd.DataFrame({"i": np.arange(len(total)), "n": n, "total": total, "cross": list(cross)})
+
+    parts = points.select(column).filter(F.col(column).isNotNull()).mapInPandas(added, "i int, n long, total double, cross array<double>")
+    at = parts.select("i", "n", "total", F.posexplode("cross").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("total").alias("total"), F.sum("n").alias("n"))
+    rows = at.toPandas()
+    size = int(rows["i"].max()) + 1
+    cross, total, n = np.zeros((size, size)), np.zeros(size), int(rows["n"].iloc[0])
+    cross[rows["i"], rows["j"]] = rows["v"]
+    total[rows["i"]] = rows["total"]
+    return (cross - np.outer(total, total) / n) / (n - 1)
 
 
 def talus(eigenvalues: np.ndarray) -> np.ndarray:

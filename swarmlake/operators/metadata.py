@@ -52,9 +52,9 @@ def level_of(columns: list[str], levels: dict[tuple, str]) -> Column:
 
 
 def in_order_of(ids: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
-    """The first metadata row of each row of ``ids``, whose columns say the order; an id without one is an error."""
+    """The first metadata row, by the order of its values, of each row of ``ids``, whose columns say the order; an id without one is an error."""
     rest = [c for c in metadata.columns if c not in ids.columns]
-    first = metadata.groupBy(key).agg(F.first(F.struct(F.lit(True).alias("there"), *rest)).alias("first"))
+    first = metadata.groupBy(key).agg(F.min(F.struct(F.lit(True).alias("there"), *rest)).alias("first"))
     wrong = F.concat(F.lit("no metadata for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
     found = ids.join(first, key, "left").withColumn("first", F.when(F.col("first").isNotNull(), F.col("first")).otherwise(F.raise_error(wrong)))
     return found.select(*ids.columns, *[F.col(f"first.{c}").alias(c) for c in rest])

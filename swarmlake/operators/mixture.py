@@ -34,11 +34,11 @@ def trimmed_frequencies(swarm: DataFrame, differ: DataFrame) -> DataFrame:
     return kept.groupBy("sample_id", "class", "first").agg(F.avg("f").alias("f"), F.count("*").alias("n"))
 
 
-def on_simplex(a: np.ndarray, y: np.ndarray, rounds: int = 5000) -> np.ndarray:
+def on_simplex(a: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Least squares over non-negative weights that sum to one, by projected gradients."""
     x = np.full(a.shape[1], 1 / a.shape[1])
     step = 1 / max(np.linalg.eigvalsh(a.T @ a).max(), 1e-12)
-    for _ in range(rounds):
+    while True:  # every step lowers the squares, so steps vanish
         z = x - step * (a.T @ (a @ x - y))
         u = np.sort(z)[::-1]
         k = np.flatnonzero(u - (np.cumsum(u) - 1) / np.arange(1, len(u) + 1) > 0)[-1]

@@ -7,7 +7,7 @@ by block; groups are plain aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -115,6 +115,51 @@ def smoothed_by_all(queries: DataFrame, points: DataFrame, sigma: float) -> Data
     return met.join(least, "vec_id").groupBy("vec_id").agg((F.sum(F.col("total") * scale) / F.sum(F.col("weight") * scale)).alias("predicted"))
 
 
+SHEET = "x double, y double, low double, weight double, total double, near double"
+
+
+def landscape(points: DataFrame, xs: list[float], ys: list[float], sigma: float, transparency: float = 0.05) -> DataFrame:
+    """Kernel fitness ``z`` at each place (x, y) of a grid, ``alpha`` and ``cover``, the share of it to be shown.
+
+    ``points`` are (x, y, fitness). ``alpha`` is log10 of the summed weights of all
+    points, of a width of ``transparency`` times the grid's shorter side: the grid ends
+    where it falls. A task adds up its points for all places, on the scale of the nearest,
+    and sends one row a place; rows of several tasks add up on their common scale. A point
+    that cannot weigh in any digit beside the nearest so far is left out.
+    """
+    narrow = transparency * min(max(xs) - min(xs), max(ys) - min(ys))
+    places = np.array([(x, y) for x in xs for y in ys], dtype=float)
+    cut = 80.0 * max(sigma, narrow) ** 2  # beyond the least squared distance: weights under e-40
+
+    def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        low = np.full(len(places), np.inf)
+        sums = np.zeros((3, len(places)))  # weights, weighted fitness, narrow weights
+        for df in frames:
+            for a in range(0, len(df), 1024):
+                some = df.iloc[a : a + 1024]
+                at, fitness = some[["x", "y"]].to_numpy(dtype=float), some["fitness"].to_numpy(dtype=float)
+                d = (places[:, None, 0] - at[:, 0]) ** 2 + (places[:, None, 1] - at[:, 1]) ** 2
+                new = np.minimum(low, d.min(1))
+                reach = np.flatnonzero((d - new[:, None] <= cut).any(axis=0))
+                with np.errstate(invalid="ignore"):
+                    scale = [np.where(np.isfinite(low), np.exp((new - low) / (2 * s * s)), 0) for s in (sigma, narrow)]
+                wide, close = (np.exp((new[:, None] - d[:, reach]) / (2 * s * s)) for s in (sigma, narrow))
+                sums = np.stack([sums[0] * scale[0] + wide.sum(1), sums[1] * scale[0] + wide @ fitness[reach], sums[2] * scale[1] + close.sum(1)])
+                low = new
+        if np.isfinite(low).all():
+            yield pd.DataFrame({"x": places[:, 0], "y": places[:, 1], "low": low, "weight": sums[0], "total": sums[1], "near": sums[2]})
+
+    known = points.select("x", "y", "fitness").filter("x is not null and y is not null and fitness is not null")
+    parts = materialized(known.mapInPandas(added, SHEET))
+    least = parts.groupBy(F.col("x").alias("gx"), F.col("y").alias("gy")).agg(F.min("low").alias("least"))
+    met = parts.join(least, (F.col("x") == F.col("gx")) & (F.col("y") == F.col("gy")))
+    on = lambda s: F.exp((F.col("least") - F.col("low")) / (2 * s * s))
+    sheet = met.groupBy("x", "y", "least").agg(*[F.sum(F.col(c) * on(s)).alias(c) for c, s in (("weight", sigma), ("total", sigma), ("near", narrow))])
+    alpha = (F.log("near") - F.col("least") / (2 * narrow * narrow)) / float(np.log(10.0))
+    shown = sheet.select("x", "y", (F.col("total") / F.col("weight")).alias("z"), alpha.alias("alpha"))
+    return shown.withColumn("cover", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("alpha") + 1.5)))
+
+
 def in_test(split: Column, vec_id: Column, share: float) -> Column:
     """Whether a point is tested, not trained on, in a split: by a hash, so about ``share`` of the points are."""
     return F.substring(F.md5(F.concat_ws("-", F.lit("split"), split, vec_id).cast("binary")), 1, 8) < F.lit(f"{int(share * (1 << 32)):08x}")

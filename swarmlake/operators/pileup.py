@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.reads import ALIGNED, chunks, cigar_elements, read_filter
+from ..plans.tables import materialized
 
 
 def walk(reads: DataFrame) -> DataFrame:
@@ -57,8 +58,10 @@ def unambiguous(counts: DataFrame, keys: tuple[str, ...] = ("ref_id",)) -> DataF
     """Observations that agree, in their unmasked bases, with some complete codon at their position.
 
     A masked base is a wildcard: each complete codon offers its eight patterns, and
-    an equality join replaces the comparison of all with all.
+    an equality join replaces the comparison of all with all. The counts are written
+    once, as both sides need them.
     """
+    counts = materialized(counts)
     complete = counts.filter("q1 > 0 and q2 > 0 and q3 > 0").select(*keys, "position", "codon").distinct()
     patterns = [_wildcards(F.col("codon"), [F.lit(bool(m & b)) for b in (4, 2, 1)]) for m in range(1, 8)]
     offered = complete.select(*keys, "position", F.explode(F.array(*patterns)).alias("pattern")).distinct()

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialized
+
 SITE = ("ref_id", "position")
 
 
@@ -56,6 +58,7 @@ def _moments(values: DataFrame, n_samples: int, column: str) -> DataFrame:
 
 def centred(values: DataFrame, n_samples: int, column: str = "freq") -> DataFrame:
     """Less the mean of its variable over samples."""
+    values = materialized(values)  # once for the means and for what they are taken from
     moments = _moments(values, n_samples, column).drop("sd")
     return values.join(moments, [*SITE, "codon"]).withColumn("centred", F.col(column) - F.col("mean")).drop("mean")
 
@@ -72,6 +75,16 @@ def covered_samples(coverage: DataFrame, least: float = 1000.0) -> DataFrame:
     return coverage.groupBy("sample_id").agg(F.avg("coverage").alias("mean_coverage")).filter(F.col("mean_coverage") >= least)
 
 
+def by_strand(counts: DataFrame, keys: tuple[str, ...]) -> list[DataFrame]:
+    """Frequencies over both strands, the forward and the reverse one, from complete counts with a column ``reverse``: one pileup for all."""
+    sums = [F.sum("n"), F.sum(F.when(~F.col("reverse"), F.col("n"))), F.sum(F.when(F.col("reverse"), F.col("n")))]
+    names = ("both", "f", "r")
+    counted = counts.filter("q1 > 0 and q2 > 0 and q3 > 0").groupBy(*keys, "position", "codon").agg(*[s.alias(n) for s, n in zip(sums, names)])
+    site = Window.partitionBy(*keys, "position")
+    shares = materialized(counted.select(*keys, "position", "codon", *[(F.col(n) / F.sum(n).over(site)).alias(n) for n in names]))
+    return [shares.filter(F.col(n).isNotNull()).select(*keys, "position", "codon", F.col(n).alias("freq")) for n in names]
+
+
 def detection_limit(both: DataFrame, forward: DataFrame, reverse: DataFrame, run: Column, threshold: float = 1.5, low: float = -6.0, high: float = 1.0, precision: float = 1e-3) -> DataFrame:
     """Smallest pseudo frequency at which the strands of each codon agree within ``threshold``.
 

@@ -411,6 +411,50 @@ SELECT vec_id, round(sum(w * fitness) / sum(w), 6) AS predicted FROM w GROUP BY
 SELECT p_partkey, CAST(least AS INTEGER) AS differing, count(*) AS ties, round(avg(fitness), 6) AS predicted FROM near WHERE d = least GROUP BY p_partkey, least""",
     "knn_samples": f"""WITH {POINTS}, {ALL_PAIRS}, near AS (
   SELECT vec_id AS i, nearest AS j, sqrt(d2) AS d, rank() OVER (PARTITION BY vec_id ORDER BY d2) AS r FROM met
-), some AS (SELECT i, j, d FROM near WHERE r <= 5)
-SELECT i, j, round(min(d), 6) AS d FROM (SELECT * FROM some UNION ALL SELECT j, i, d FROM some) GROUP BY i, j""",
+), close AS (SELECT i, j, d FROM near WHERE r <= 5)
+SELECT i, j, round(min(d), 6) AS d FROM (SELECT * FROM close UNION ALL SELECT j, i, d FROM close) GROUP BY i, j""",
+    "landscape": f"""WITH {POINTS}, grid AS (SELECT a / CAST(25 AS DOUBLE) - 1 AS x, b / CAST(25 AS DOUBLE) - 1 AS y FROM range(50) s(a), range(50) t(b)
+), d AS (
+  SELECT g.x, g.y, p.fitness, power(g.x - p.x[2], 2) + power(g.y - p.x[3], 2) AS d2 FROM grid g, points p
+), l AS (SELECT *, min(d2) OVER (PARTITION BY x, y) AS low FROM d
+), s AS (
+  SELECT x, y, any_value(low) AS low, sum(exp((low - d2) / (2 * CAST(0.1 AS DOUBLE) * 0.1)) * fitness) / sum(exp((low - d2) / (2 * CAST(0.1 AS DOUBLE) * 0.1))) AS z,
+         sum(exp((low - d2) / (2 * power(CAST(0.05 AS DOUBLE) * 1.96, 2)))) AS near FROM l GROUP BY x, y
+), a AS (SELECT x, y, z, (ln(near) - low / (2 * power(CAST(0.05 AS DOUBLE) * 1.96, 2))) / ln(10) AS alpha FROM s)
+SELECT x, y, round(z, 6) AS z, round(alpha, 6) AS alpha, round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), alpha + 1.5)), 6) AS cover FROM a""",
+    "weighted_edit": """WITH RECURSIVE dp(p_partkey, a, b, i, r) AS (
+  SELECT p_partkey, p_type, p_brand, 0, list_transform(range(0, length(p_brand) + 1), lambda j: CAST(10 * j AS DOUBLE)) FROM part
+  UNION ALL
+  SELECT p_partkey, a, b, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: c[k] + 10 * (j - k))))
+  FROM (
+    SELECT *, list_transform(range(1, length(b) + 2), lambda k: CASE WHEN k = 1 THEN CAST(10 * (i + 1) AS DOUBLE)
+      ELSE least(r[k] + 10, r[k - 1] + CASE WHEN substr(b, k - 1, 1) = substr(a, i + 1, 1) THEN 0 ELSE 1 END) END) AS c
+    FROM dp WHERE i < length(a)
+  )
+)
+SELECT p_partkey, r[length(b) + 1] AS cost FROM dp WHERE i = length(a)""",
+    "consensus_sequence": f"""WITH RECURSIVE {READS}, {REFERENCE}, c AS (SELECT ref_id, pos + ref_offset AS p, seq, op, len, read_pos FROM good JOIN elements USING (cigar)
+), b AS (SELECT *, unnest(range(0, len)) AS i FROM c WHERE op IN ('M', '=', 'X')
+), e AS (
+  SELECT ref_id, p + i AS position, 'base' AS kind, substr(seq, CAST(read_pos + i AS BIGINT), 1) AS value FROM b WHERE substr(seq, CAST(read_pos + i AS BIGINT), 1) <> 'N'
+  UNION ALL SELECT ref_id, p + i, 'next', '' FROM b WHERE i < len - 1
+  UNION ALL SELECT ref_id, p - 1, 'ins', substr(seq, read_pos, len) FROM c WHERE op = 'I'
+  UNION ALL SELECT ref_id, p - 1, 'del', CAST(len AS VARCHAR) FROM c WHERE op = 'D'
+), n AS (SELECT ref_id, position, kind, value, count(*) AS n FROM e WHERE position >= 1 GROUP BY ALL
+), best AS (
+  SELECT ref_id, position, kind, value, n FROM (SELECT *, row_number() OVER (PARTITION BY ref_id, position, kind ORDER BY n DESC, CASE WHEN kind = 'base' THEN ascii(value) WHEN kind = 'ins' THEN length(value)
+    WHEN kind = 'del' THEN CAST(value AS INTEGER) ELSE 0 END, translate(value, 'ACGTN', 'tgcan') DESC) AS r FROM n) WHERE r = 1
+), sites AS (
+  SELECT ref.ref_id, ref.position, coalesce(k.value, base) AS base, coalesce(i.n, 0) AS n_ins, i.value AS ins, coalesce(d.n, 0) AS n_del, CAST(d.value AS INTEGER) AS del, coalesce(x.n, 0) AS n_next
+  FROM ref LEFT JOIN best k ON k.ref_id = ref.ref_id AND k.position = ref.position AND k.kind = 'base' LEFT JOIN best i ON i.ref_id = ref.ref_id AND i.position = ref.position AND i.kind = 'ins'
+  LEFT JOIN best d ON d.ref_id = ref.ref_id AND d.position = ref.position AND d.kind = 'del' LEFT JOIN best x ON x.ref_id = ref.ref_id AND x.position = ref.position AND x.kind = 'next'
+), fired AS (SELECT *, greatest(n_ins, n_del) >= greatest(n_next + 1, 1) AS fires FROM sites
+), scan(ref_id, place, skip, sequence) AS (
+  SELECT ref_id, 0, 0, '' FROM (SELECT DISTINCT ref_id FROM ref)
+  UNION ALL
+  SELECT s.ref_id, s.place + 1, CASE WHEN skip > 0 THEN skip - 1 WHEN fires AND n_ins <= n_del THEN del ELSE 0 END,
+         CASE WHEN skip > 0 THEN sequence ELSE sequence || base || CASE WHEN fires AND n_ins > n_del THEN ins ELSE '' END END
+  FROM scan s JOIN fired f ON f.ref_id = s.ref_id AND f.position = s.place + 1
+)
+SELECT ref_id, sequence FROM scan WHERE place = 544""",
 }

@@ -194,7 +194,9 @@ def variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lod(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return swarm.detection_limit(*[_swarm(spark, sf_dir, s) for s in ("both", "forward", "reverse")], run=F.col("sample_id") % 2)
+    reads = A.reads(spark, sf_dir).withColumn("reverse", F.col("flag").bitwiseAND(16) > 0)
+    counts = pileup.codon_counts(reads, threshold=30, keys=("sample_id", "ref_id", "reverse"))
+    return swarm.detection_limit(*swarm.by_strand(counts, ("sample_id", "ref_id")), run=F.col("sample_id") % 2)
 
 
 @query
@@ -413,6 +415,14 @@ def categorical_nn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.categorical_nearest(parts, parts, [f"x{i}" for i in range(6)], "p_partkey"), "predicted")
 
 
+@query
+def landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitness over a grid of 50 by 50 places of the first two components, and how well points cover each."""
+    plane = A.points(spark, sf_dir).select(F.col("x")[1].alias("x"), F.col("x")[2].alias("y"), "fitness")
+    side = [k / 25 - 1.0 for k in range(50)]
+    return rounded(models.landscape(plane, side, side, 0.1), "z", "alpha", "cover")
+
+
 @query
 def group_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.group_means(A.points(spark, sf_dir)), "predicted")

@@ -137,6 +137,44 @@ def test_distance_curve(spark):
     assert series.bifurcations(curve, ["id"], 9.0).first()["t"] is None
 
 
+def test_values_at_asked_times(spark):
+    """On, between and outside marks, with stretches in which there is none, for arrays and unknown ids."""
+    s = spark.createDataFrame([(1, 0.0, [0.0, 1.0]), (1, 10.0, [5.0, 1.0]), (1, 11.0, [6.0, 3.0]), (2, 5.0, [7.0, 7.0]), (None, 0.0, [1.0, 1.0])], "id int, t double, v array<double>")
+    asked = spark.createDataFrame([(1, -3.0, "a"), (1, 0.0, "b"), (1, 4.0, "c"), (1, 10.5, "d"), (1, 11.0, "e"), (1, 99.0, "f"), (2, 1.0, "g"), (2, 9.0, "h"), (3, 1.0, "i"), (None, 1.0, "j"), (1, 4.0, "c")], "id int, t double, name string")
+    want = {"a": [0, 1], "b": [0, 1], "c": [2, 1], "d": [5.5, 2], "e": [6, 3], "f": [6, 3], "g": [7, 7], "h": [7, 7], "i": None, "j": [1, 1]}
+    for width in (None, 2.0):
+        rows = series.values_at(s, asked, ["id"], clamp=True, width=width).collect()
+        assert len(rows) == 11 and {r["name"]: r["value"] for r in rows} == want
+    inside = asked.filter("name in ('b', 'c', 'd', 'e')")
+    assert {r["name"]: r["value"] for r in series.values_at(s, inside, ["id"]).collect()} == {k: want[k] for k in "bcde"}
+    for name in "afgi":
+        with pytest.raises(Exception, match="no value at"):
+            series.values_at(s, asked.filter(F.col("name") == name), ["id"]).collect()
+
+
+def test_curve_in_two_dimensions(spark):
+    rows = [(1, "x", 0.0, [0.0, 0.0]), (1, "x", 4.0, [4.0, 0.0]), (1, "y", 0.0, [0.0, 0.0]), (1, "y", 4.0, [0.0, 3.0])]
+    curve = series.distance_curve(spark.createDataFrame(rows, "id int, kind string, t double, v array<double>"), ["id"], "kind", "x", "y")
+    assert [(r["c"], r["b"], r["a"]) for r in curve.collect()] == [(0, 0, 1 + 9 / 16)]
+    asked = spark.createDataFrame([(1, t) for t in (-1.0, 0.0, 2.0, 4.0, 4.5)], "id int, t double")
+    assert [r["distance"] for r in series.curve_values(curve, asked, ["id"]).orderBy("t").collect()] == [None, 0, 2.5, 5, None]
+
+
+def test_nearest_of_categories(spark):
+    rows = [(1, "a", "b", None, 1.0), (2, "a", "b", None, 3.0), (3, "a", "c", None, 5.0), (4, "x", "y", "z", 7.0), (5, "a", "c", "q", 9.0)]
+    df = spark.createDataFrame(rows, "id long, p string, q string, r string, fitness double")
+    got = {r["id"]: (r["differing"], r["ties"], r["predicted"]) for r in models.categorical_nearest(df, df, ["p", "q", "r"], "id").collect()}
+    assert got == {1: (0, 1, 3.0), 2: (0, 1, 1.0), 3: (1, 3, 13 / 3), 4: (3, 4, 4.5), 5: (1, 1, 5.0)}
+
+
+def test_equal_distances_may_take_any_order():
+    """Scaling a square by its ranks leaves no stress: its four sides are equal, and so are its diagonals."""
+    x = np.array([[0, 0], [1, 0.1], [1, 1], [0, 1.05]])
+    d = np.array([[0, 1, 2, 1], [1, 0, 1, 2], [2, 1, 0, 1], [1, 2, 1, 0]], dtype=float)
+    _, stress = landmarks.nonmetric_scaling(d, x)
+    assert stress < 1e-3
+
+
 def test_linear_algebra():
     assert landmarks.isotonic(np.array([3.0, 1.0, 2.0])).tolist() == [2, 2, 2]
     d = np.array([[0, 1, 4], [1, 0, 6], [4, 6, 0]], dtype=float)
@@ -252,7 +290,7 @@ def test_codon_numbers_and_grid(spark):
     number = annotation.codon_number(F.col("p"), F.col("s"), F.col("e"))
     assert [r["n"] for r in df.select(number.alias("n")).collect()] == [1, 3]
     with pytest.raises(Exception, match="starts at 11"):
-        df.limit(1).select(annotation.codon_number(F.col("p") + 1, F.col("s"), F.col("e"))).collect()
+        df.filter("p = 10").select(annotation.codon_number(F.col("p") + 1, F.col("s"), F.col("e"))).collect()
     reference = spark.createDataFrame([(0, i + 1, b) for i, b in enumerate("AAATTTCC")], "ref_id long, position int, base string")
     features = spark.createDataFrame([("f", 1, 6, 0)], "feature string, start int, end int, row_no long")
     labels = [r["label"] for r in annotation.variant_grid(reference, features).collect()]
