@@ -138,8 +138,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(a) + len(b) - common)
 
 
-def _sorted(rows: DataFrame) -> DataFrame:
-    keys = ["name", "low", "high"]
+def _sorted(rows: DataFrame, keys: tuple[str, ...] = ("name", "low", "high")) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
 
 
@@ -247,7 +246,7 @@ def may_pair(least: float, size: np.ndarray, at: np.ndarray, i: int, others: np.
 
 
 def crossing(tokens: DataFrame, labels: DataFrame, sketches: DataFrame, least: float = LEAST, shard: int = SHARD) -> DataFrame | None:
-    """(name, low, high, rep, label, at, size, step, fresh): rows of names that stand for texts of several classes, which may be similar.
+    """(name, rep, label): texts of several classes under names, which may be similar to another there; each pair meets under one name.
 
     Texts of about a size share a name: ``step`` is the size on the scale of ``least``, and
     a text is also a guest at the next step.
@@ -269,7 +268,7 @@ def crossing(tokens: DataFrame, labels: DataFrame, sketches: DataFrame, least: f
     keys = ["name", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *key, rep, label, at, size, step, fresh, low_size, spread in runs(batches, 3):
+        for *key, rep, label, at, size, fresh, low_size, spread in runs(batches, 3):
             near = np.zeros(len(rep), dtype=bool)
             buckets = np.frombuffer(b"".join(spread), dtype=np.uint8).reshape(-1, SPREAD)
             for start, end in groups(key):
@@ -281,34 +280,62 @@ def crossing(tokens: DataFrame, labels: DataFrame, sketches: DataFrame, least: f
                     if len(others):
                         for j in may_reach(least, low_size[cut], buckets[cut], i, others):
                             near[start + i] = near[start + j] = True
-            yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in (*key, rep, label, at, size, step, fresh)], [*keys, "rep", "label", "at", "size", "step", "fresh"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[near]) for c in (*key, rep, label)], [*keys, "rep", "label"])
+
+    found = _sorted(placed.select(*keys, "rep", "label", "at", "size", "fresh", "low_size", "spread")).mapInArrow(run, "name long, low int, high int, rep long, label long")
+    found = materialize(found.select(F.xxhash64(*keys).alias("name"), "rep", "label"), "crossing")
+    drop(mixed)
+    once = materialize(met_once(found, sketches, least), "crossing")
+    drop(found)
+    return once
+
+
+def met_once(near: DataFrame, sketches: DataFrame, least: float = LEAST) -> DataFrame:
+    """Those rows (name, rep, label) that have to meet another under this name: a pair meets under the smallest name of both."""
+    homes = near.groupBy(F.col("rep").alias("of")).agg(F.collect_set("name").alias("homes"))  # as many as a text has rare hashes
+    bounds = sketches.select(F.col("row").alias("at_row"), "size", "spread")
+    placed = near.join(homes, F.col("rep") == F.col("of")).join(bounds, F.col("rep") == F.col("at_row")).select("name", "rep", "label", "size", "spread", "homes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, rep, label, size, spread, homes_of in runs(batches, 1):
+            kept = np.zeros(len(rep), dtype=bool)
+            buckets = np.frombuffer(b"".join(spread), dtype=np.uint8).reshape(-1, SPREAD)
+            for start, end in groups([name]):
+                cut, own = slice(start, end), [set(h) for h in homes_of[start:end]]
+                for i in range(1, end - start):
+                    others = np.flatnonzero((label[cut][:i] != label[start + i]) & ~(kept[start : start + i] & kept[start + i]))
+                    n, m = size[start + i], size[cut][others]
+                    others = others[np.minimum(n, m) >= least * np.maximum(n, m) - 1e-9]
+                    if len(others):
+                        for j in may_reach(least, size[cut], buckets[cut], i, others):
+                            if not (kept[start + i] and kept[start + j]) and min(own[i] & own[j]) == name[start]:
+                                kept[start + i] = kept[start + j] = True
+            yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (name, rep, label)], ["name", "rep", "label"])
 
-    found = _sorted(placed.select(*keys, "rep", "label", "at", "size", "step", "fresh", "low_size", "spread")).mapInArrow(run, "name long, low int, high int, rep long, label long, at int, size int, step int, fresh boolean")
-    return materialize(found, "crossing")
+    return _sorted(placed, ("name",)).mapInArrow(run, "name long, rep long, label long")
 
 
 def cross_links(near: DataFrame, sets: DataFrame, least: float = LEAST) -> DataFrame:
     """Edges (a, b) between similar texts of different classes, which span what they join."""
-    keys = ["name", "low", "high"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for *key, rep, label, at, size, fresh, data in runs(batches, 3):
+        for name, rep, label, data in runs(batches, 1):
             a, b = [], []
-            for start, end in groups(key):
+            for start, end in groups([name]):
                 shingles = [np.frombuffer(x, dtype=np.uint32) for x in data[start:end]]
-                cut = slice(start, end)
-                names, number = np.unique(label[cut], return_inverse=True)
-                forest, new = Forest(len(names)), fresh[cut]
+                size = np.array([len(x) for x in shingles])
+                classes, number = np.unique(label[start:end], return_inverse=True)
+                forest = Forest(len(classes))
                 for i in range(1, end - start):
-                    others = np.flatnonzero((number[:i] != number[i]) & (new[:i] | new[i]))
-                    for j in may_pair(least, size[cut], at[cut], i, others).tolist():
+                    fits = np.minimum(size[:i], size[i]) >= least * np.maximum(size[:i], size[i]) - 1e-9
+                    for j in np.flatnonzero((number[:i] != number[i]) & fits).tolist():
                         if forest.root(number[i]) != forest.root(number[j]) and similarity(shingles[i], shingles[j]) >= least:
                             forest.join(number[i], number[j])
                             a.append(rep[start + i])
                             b.append(rep[start + j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return _sorted(near.join(sets, "rep").select(*keys, "rep", "label", "at", "size", "fresh", "shingles")).mapInArrow(run, "a long, b long")
+    return _sorted(near.join(sets, "rep").select("name", "rep", "label", "shingles"), ("name",)).mapInArrow(run, "a long, b long")
 
 
 def bitmaps(ids: DataFrame) -> DataFrame:
