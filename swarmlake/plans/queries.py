@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..functions import sequences as S
-from ..operators import annotation, consensus, frequency, landmarks, manifold, metadata, mixture, models, pileup, series, swarm
+from ..operators import annotation, consensus, decomposition, frequency, landmarks, manifold, metadata, mixture, models, pileup, series, swarm
 from . import adapters as A
 
 QUERIES = {}
@@ -525,6 +525,19 @@ def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.select("vec_id", on(axes[0]).alias("first"), on(axes[1]).alias("second"))
 
 
+@query
+def sparse_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all points in two components of bounded L1 norm."""
+    found, _ = decomposition.sparse_components(A.points(spark, sf_dir), 2, 6.0, 1e-4)
+    return found.select("vec_id", F.round(F.col("u")[0], 6).alias("first"), F.round(F.col("u")[1], 6).alias("second"))
+
+
+@query
+def submatrix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of two axes in the squares of the points that vary most over their components."""
+    return rounded(spark.createDataFrame(decomposition.submatrix_scores(A.points(spark, sf_dir), [k / 10 for k in range(10)], 2)), "score", "singular")
+
+
 @query
 def hclust(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, d = landmarks.to_matrix(landmarks.distances(_landmarks(spark, sf_dir)))
