@@ -11,9 +11,10 @@ BIN = 64
 
 
 def codon_starts(features: DataFrame) -> DataFrame:
-    """First positions of each feature's codons, with their number."""
+    """First positions of each feature's codons, with their number, which goes on over the ranges of a feature."""
     at = features.filter("end >= start").withColumn("position", F.explode(F.expr("sequence(start, end, 3)")))
-    return at.select("feature", "position", ((F.col("position") - F.col("start")) / 3 + 1).cast("int").alias("codon_no"))
+    before = F.col("codons_before") if "codons_before" in features.columns else F.lit(0)
+    return at.select("feature", "position", ((F.col("position") - F.col("start")) / 3 + 1 + before).cast("int").alias("codon_no"))
 
 
 def feature_at(positions: DataFrame, features: DataFrame) -> DataFrame:

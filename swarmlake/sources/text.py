@@ -116,10 +116,19 @@ def read_metadata_folder(spark: SparkSession, folder: str, keep: Callable[[DataF
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """feature, start, end and segment of a CSV with these columns, in the order of the file."""
-    rows = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    named = rows.select(F.col("Feature").alias("feature"), F.col("Start").cast("int").alias("start"), F.col("End").cast("int").alias("end"), F.col("Segment").alias("segment"))
-    return named.withColumn("row_no", F.monotonically_increasing_id())
+    """feature, start, end, segment, row_no and codons_before of a CSV with these columns, in the order of the file.
+
+    Start and End may be lists by commas: such a feature has a row for each of its ranges,
+    and ``codons_before`` counts the codons of those before. The file is read as one piece,
+    since tables of features are small and their order counts.
+    """
+    rows = spark.read.csv(path, header=True, multiLine=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    whole = lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x).cast("int"))
+    named = rows.select(F.col("Feature").alias("feature"), whole("Start").alias("starts"), whole("End").alias("ends"), F.col("Segment").alias("segment"), F.monotonically_increasing_id().alias("row_no"))
+    codons = F.zip_with("starts", "ends", lambda a, b: F.greatest(F.floor((b - a) / 3) + 1, F.lit(0)))
+    each = named.withColumn("codons", codons).select("*", F.posexplode(F.arrays_zip("starts", "ends")).alias("piece", "r"))
+    before = F.aggregate(F.slice("codons", F.lit(1), F.col("piece")), F.lit(0).cast("long"), lambda n, x: n + x)
+    return each.select("feature", F.col("r.starts").alias("start"), F.col("r.ends").alias("end"), "segment", "row_no", before.cast("int").alias("codons_before"))
 
 
 def reference_genomes(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from swarmlake.functions import reads as R
-from swarmlake.operators import pileup
+from swarmlake.operators import annotation, pileup
 from swarmlake.plans import adapters
 from swarmlake.sources import bam, text
 from swarmlake.streaming import pileup as streaming
@@ -229,3 +229,11 @@ def test_cut_bam_raises(tmp_path):
 def read_directly(path):
     reader = bam.BamReader({"path": str(path)})
     return [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+
+
+def test_features_of_several_ranges(spark, tmp_path):
+    (tmp_path / "f.csv").write_text('Feature,Start,End,Segment\nspliced,"1,20","6,28",s1\nplain,4,9,s2\n')
+    features = text.read_features(spark, str(tmp_path / "f.csv"))
+    assert [tuple(r) for r in features.select("feature", "start", "end", "segment").orderBy("row_no", "start").collect()] == [("spliced", 1, 6, "s1"), ("spliced", 20, 28, "s1"), ("plain", 4, 9, "s2")]
+    got = sorted((r["feature"], r["codon_no"], r["position"]) for r in annotation.codon_starts(features).collect())
+    assert got == [("plain", 1, 4), ("plain", 2, 7), ("spliced", 1, 1), ("spliced", 2, 4), ("spliced", 3, 20), ("spliced", 4, 23), ("spliced", 5, 26)]
