@@ -1,4 +1,12 @@
-"""Training corpus from ``documents``: classifier, rules, near-duplicates, packing."""
+"""Training corpus from ``documents``: classifier, rules, near-duplicates, packing.
+
+Null and empty texts are texts without words: the base rule takes them out. Null and
+repeated doc_ids and repeated rows are rows like others in all stages; of equal texts one
+stays, the row with the smallest doc_id (null last). Columns beside those of ``documents``
+are carried along whatever their names; an empty table stays empty. A stage called by
+itself leaves Arrow batches of 1000 rows set in the session, as its result is lazy;
+``run`` puts the session's own value back.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +17,12 @@ from swarmlake.llm.queries import table, tokenizer_path
 from swarmlake.llm.scratch import materialize
 
 
+ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def _bounded(spark: SparkSession) -> None:
     """Rows here are whole texts with all their columns, so fewer of them go to a worker at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set(ROWS_A_BATCH, "1000")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +62,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    before = spark.conf.get(ROWS_A_BATCH)
+    try:
+        docs = table(spark, sf_dir, "documents")
+        for name, stage in STAGES[:-1]:
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        spark.conf.set(ROWS_A_BATCH, before)
