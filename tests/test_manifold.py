@@ -27,12 +27,12 @@ def as_matrix(edges, n):
     return out
 
 
-@pytest.mark.parametrize("k, block", [(1, 4096), (4, 11)])
+@pytest.mark.parametrize("k, block", [(2, 4096), (4, 11)])
 def test_nearest_graph_against_all_pairs(spark, monkeypatch, k, block):
     monkeypatch.setattr(manifold, "BLOCK", block)
     monkeypatch.setattr(manifold, "CHUNK", block)
     rng = np.random.default_rng(3)
-    x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(50, 3)) + 30, np.round(rng.normal(size=(30, 3)) * 2)])
+    x = np.concatenate([rng.normal(size=(30, 3)), rng.normal(size=(25, 3)) + 30, np.round(rng.normal(size=(15, 3)) * 2)])
     x = np.unique(x, axis=0)
     cells = manifold.Cells(manifold.nodes(points(spark, x)), 9)
     edges = manifold.nearest_graph(cells, k)
