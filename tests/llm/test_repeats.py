@@ -63,14 +63,14 @@ def test_many_texts_share_a_passage(spark, docs):
     rng = random.Random(3)
     passage = words(rng, 900)
     rows = [(k, words(rng, rng.randrange(40, 200)) + passage[rng.randrange(0, 200) : 900 - rng.randrange(0, 200)] + words(rng, rng.randrange(0, 200))) for k in range(60)]
-    assert found(repeats.removed(docs(rows), batches=3)) == brute(rows)
+    assert found(repeats.removed(docs(rows), batches=2)) == brute(rows)
 
 
 def test_empty_and_edge_texts(spark, docs, edge):
-    assert repeats.removed(docs([])).count() == 0
+    assert repeats.removed(docs([]), batches=1).count() == 0
     short = [(i, t) for i, t in edge if len(t or "") < 9000]
-    assert found(repeats.removed(docs(short))) == brute(short)
-    got = {r["doc_id"]: r for r in repeats.removed(docs(edge)).collect() if r["doc_id"] in (9, 10)}
+    assert found(repeats.removed(docs(short), batches=2)) == brute(short)
+    got = {r["doc_id"]: r for r in repeats.removed(docs(edge), batches=1).collect() if r["doc_id"] in (9, 10)}
     assert got[9]["n_removed"] == got[9]["n_bytes"] == 24 * 6000 and got[10]["n_removed"] == 9000
 
 
