@@ -55,15 +55,16 @@ def aligned_length(elements: Column) -> Column:
 
 
 def chunks(elements: Column, pos: Column) -> Column:
-    """Each CIGAR element with the 1-based read and reference positions where it starts."""
+    """Each CIGAR element with the 1-based read and reference positions where it starts, in one pass."""
+    done = F.array().cast("array<struct<op:string,len:int,read_pos:int,ref_pos:int>>")
+    start = F.struct(F.lit(1).alias("read_pos"), pos.cast("int").alias("ref_pos"), done.alias("done"))
 
-    def placed(e: Column, i: Column) -> Column:
-        before = F.slice(elements, F.lit(1), i)
-        return F.struct(
-            e["op"].alias("op"), e["len"].alias("len"), (_length(before, ON_READ) + 1).alias("read_pos"), (_length(before, ON_REFERENCE) + pos).alias("ref_pos")
-        )
+    def step(s: Column, e: Column) -> Column:
+        here = F.struct(e["op"].alias("op"), e["len"].alias("len"), s["read_pos"].alias("read_pos"), s["ref_pos"].alias("ref_pos"))
+        after = lambda p, ops: (s[p] + F.when(e["op"].isin(*ops), e["len"]).otherwise(0)).alias(p)
+        return F.struct(after("read_pos", ON_READ), after("ref_pos", ON_REFERENCE), F.concat(s["done"], F.array(here)).alias("done"))
 
-    return F.transform(elements, placed)
+    return F.aggregate(elements, start, step, lambda s: s["done"])
 
 
 def error_probability(q: Column) -> Column:

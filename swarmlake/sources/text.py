@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -33,12 +33,26 @@ def tag_int(name: str) -> Column:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """file, seq_idx, ref_name and the sequence in capitals, in the order of each file."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    parts = files.select("file", F.posexplode(F.split("value", "(?m)^>")).alias("seq_idx", "record")).filter("seq_idx > 0")
+    """file, seq_idx, ref_name and the sequence in capitals; seq_idx is the record's number in its file, from 1.
+
+    Files are cut where lines start a record, so many tasks read a large one. The number
+    of a record is that of the records in the splits before, and before it in its own.
+    What stands before the first record is left out.
+    """
+    m = F.col("_metadata")
+    split = [m["file_path"].alias("path"), m["file_block_start"].alias("split")]
+    pieces = spark.read.text(path, lineSep="\n>").select(*split, m["file_name"].alias("file"), F.monotonically_increasing_id().alias("id"), "value")
+    begins = (F.col("split") == 0) & F.min_by(F.startswith("value", F.lit(">")), "id")
+    splits = pieces.groupBy("path", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"), begins.alias("begins"))
+    in_file = Window.partitionBy("path")
+    earlier = F.coalesce(F.sum("n").over(in_file.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counted = splits.select("path", "split", "first", earlier.alias("earlier"), F.max("begins").over(in_file).cast("int").alias("shift"))
+    placed = pieces.join(counted, ["path", "split"]).withColumn("seq_idx", (F.col("earlier") + F.col("id") - F.col("first") + F.col("shift")).cast("int")).filter("seq_idx > 0")
+    head = (F.col("split") == 0) & (F.col("id") == F.col("first")) & (F.col("shift") == 1)
+    record = F.when(head, F.substring("value", 2, (1 << 31) - 1)).otherwise(F.col("value"))
     name = F.regexp_extract("record", r"^([^\r\n]*)", 1)
     body = F.upper(F.regexp_replace(F.regexp_extract("record", r"(?s)^[^\r\n]*(.*)$", 1), r"\s+", ""))
-    return parts.select("file", "seq_idx", F.trim(name).alias("ref_name"), body.alias("sequence"))
+    return placed.withColumn("record", record).select("file", "seq_idx", F.trim(name).alias("ref_name"), body.alias("sequence"))
 
 
 def write_fasta(sequences: DataFrame, path: str) -> None:

@@ -80,6 +80,26 @@ def test_bam_regions(spark, tmp_path):
     assert spark.read.format("bam").load(str(tmp_path)).count() == 4
 
 
+def test_fasta_in_splits(spark, tmp_path):
+    """Records of all lengths, a split at every few bytes: the same records and numbers as of the whole file."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    long = [(f"r{i} > x", "ACGTN"[i % 5] * (i * 7 % 90)) for i in range(40)]
+    lines = lambda s: "".join(s[i : i + 20].lower() + "\r\n" for i in range(0, len(s), 20))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.fasta").write_bytes("".join(f">{n}\r\n{lines(s)}" for n, s in long).encode())
+    (tmp_path / "in" / "b.fasta").write_text("no record\n>one\nac\n>\n\n>>two\nGT")
+    (tmp_path / "in" / "c.fasta").write_text("")
+    try:
+        for size in (7, 64, 1 << 20):
+            for k in kept:
+                spark.conf.set(k, size)
+            rows = sorted(tuple(r) for r in text.read_fasta(spark, str(tmp_path / "in")).collect())
+            assert rows == [("a.fasta", i, n, s) for i, (n, s) in enumerate(long, 1)] + [("b.fasta", 1, "one", "AC"), ("b.fasta", 2, "", ""), ("b.fasta", 3, ">two", "GT")]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_fasta(spark, tmp_path):
     (tmp_path / "a.fasta").write_text(">CVB3 x\nacgt\nACGT\n>two\nGG\n")
     df = text.read_fasta(spark, str(tmp_path / "a.fasta"))
