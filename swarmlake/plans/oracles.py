@@ -457,4 +457,29 @@ SELECT p_partkey, r[length(b) + 1] AS cost FROM dp WHERE i = length(a)""",
   FROM scan s JOIN fired f ON f.ref_id = s.ref_id AND f.position = s.place + 1
 )
 SELECT ref_id, sequence FROM scan WHERE place = 544""",
+    "read_errors": f"""WITH {READS}, b AS (SELECT *, unnest(range(1, 33)) AS i FROM reads
+), e AS (SELECT sample_id, ref_id, least(power(10, -((instr('0123456789abcdef', substr(qhex, i, 1)) - 1) * 2 + 10) / CAST(10 AS DOUBLE)), 0.75) AS p FROM b)
+SELECT sample_id, ref_id, CAST(count(*) // 32 AS BIGINT) AS n_reads, round(sum(p) / (count(*) // 32), 6) AS errors FROM e GROUP BY 1, 2""",
+    "sam_round_trip": f"""WITH {READS}
+SELECT concat_ws('-', 'r', sample_id, seq) AS qname, CAST(flag AS INTEGER) AS flag, 'ref' || ref_id AS ref_name, pos, mapq, cigar, '*' AS next_ref_name, seq,
+  CAST(list_sum(list_transform(range(1, 33), lambda i: (instr('0123456789abcdef', substr(qhex, i, 1)) - 1) * 2 + 10)) AS BIGINT) AS qualities, CAST(mapq % 7 AS BIGINT) AS nm, 's' || sample_id AS rg
+FROM reads""",
+    "fasta_round_trip": """SELECT 'part' || p_partkey || ' ' || p_name AS ref_name, translate(repeat(md5(CAST(p_partkey AS VARCHAR)), 3), '0123456789abcdef', 'ACGTACGTACGTACGT') AS sequence FROM part""",
+    "swarm_round_trip": f"""WITH {CODONS}, c AS (SELECT sample_id, ref_id, position, codon, count(*) AS n FROM masked WHERE q1 > 0 AND q2 > 0 AND q3 > 0 GROUP BY ALL
+), s AS (SELECT *, CAST(sum(n) OVER (PARTITION BY sample_id, ref_id, position) AS BIGINT) AS coverage FROM c)
+SELECT sample_id, ref_id, position, codon, round(n / CAST(coverage AS DOUBLE), 6) AS freq, coverage, 'sample ' || sample_id AS note FROM s""",
+    "variant_grid": f"""WITH {CODONS}, {REFERENCE}, {REF_CODONS}, {CODE}, {FEATURES}, m AS (
+  SELECT p AS position, feature, start_, row_number() OVER (PARTITION BY p ORDER BY end_ - start_, row_no) AS r
+  FROM range(1, 545) t(p) JOIN features ON p BETWEEN start_ AND end_
+)
+SELECT k.ref_id, k.position, b.codon, feature || '-' || coalesce(a.aa, '?') || CAST((k.position - start_) // 3 + 1 AS VARCHAR) || b.aa AS label
+FROM ref_codons k JOIN m ON m.position = k.position AND r = 1 AND (k.position - start_) % 3 = 0 LEFT JOIN code a ON a.codon = k.ref_codon CROSS JOIN code b""",
+    "isotonic_price": """WITH r AS (
+  SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, round(l_extendedprice * 100) AS y, row_number() OVER w AS i, sum(round(l_extendedprice * 100)) OVER (w ROWS UNBOUNDED PRECEDING) AS s
+  FROM lineitem WINDOW w AS (PARTITION BY l_suppkey, l_returnflag ORDER BY l_quantity, round(l_extendedprice * 100), l_orderkey, l_linenumber)
+), m AS (
+  SELECT l_suppkey, l_returnflag, a.i AS a, b.i AS b, (b.s - a.s + a.y) / (b.i - a.i + 1) AS mean FROM r a JOIN r b USING (l_suppkey, l_returnflag) WHERE a.i <= b.i
+), low AS (SELECT l_suppkey, l_returnflag, b AS i, min(mean) OVER (PARTITION BY l_suppkey, l_returnflag, a ORDER BY b DESC) AS low FROM m
+), f AS (SELECT l_suppkey, l_returnflag, i, max(low) AS fit FROM low GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, fit FROM r JOIN f USING (l_suppkey, l_returnflag, i)""",
 }

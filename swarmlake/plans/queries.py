@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..functions import sequences as S
-from ..operators import annotation, consensus, decomposition, frequency, landmarks, manifold, metadata, mixture, models, pileup, series, swarm
+from ..operators import annotation, consensus, decomposition, frequency, isotonic, landmarks, manifold, metadata, mixture, models, pileup, series, swarm
+from ..sources import text
 from . import adapters as A
+from .tables import materialized, new_path
 
 QUERIES = {}
 
@@ -146,6 +148,56 @@ def nuc_freq_ml(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(frequency.at_all_sites(found, A.reference(spark)).drop("residual"), "freq")
 
 
+# Files
+
+
+@query
+def read_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors to expect in the reads of each sample and reference, by their qualities."""
+    errors = F.aggregate(F.transform("qual", R.error_probability), F.lit(0.0), lambda s, p: s + p)
+    found = A.reads(spark, sf_dir).groupBy("sample_id", "ref_id").agg(F.count("*").alias("n_reads"), F.avg(errors).alias("errors"))
+    return rounded(found, "errors")
+
+
+@query
+def sam_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reads as SAM text with two tags, and read again."""
+    lit = lambda v, c: F.lit(v).alias(c)
+    tags = F.create_map(F.lit("NM"), F.concat(F.lit("i:"), F.col("mapq") % 7), F.lit("RG"), F.concat(F.lit("Z:s"), "sample_id"))
+    lines = A.reads(spark, sf_dir).select(
+        F.concat_ws("-", F.lit("r"), "sample_id", "seq").alias("qname"), "flag", "ref_id", F.concat(F.lit("ref"), "ref_id").alias("ref_name"), "pos", "mapq", "cigar",
+        lit(-1, "next_ref_id"), lit("", "next_ref_name"), lit(0, "next_pos"), lit(0, "tlen"), "seq", "qual", tags.alias("tags"),
+    )
+    path = new_path(spark)
+    lines.select(R.sam_line(tags=True)).write.text(path)
+    q = F.aggregate("qual", F.lit(0).cast("long"), lambda s, v: s + v)
+    return text.read_sam(spark, path).select("qname", "flag", "ref_name", "pos", "mapq", "cigar", "next_ref_name", "seq", q.alias("qualities"), text.tag_int("NM").alias("nm"), text.tag_value("RG", "Z").alias("rg"))
+
+
+@query
+def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence for each part, as FASTA files in order, and read again."""
+    key = F.col("p_partkey").cast("string")
+    bases = F.translate(F.repeat(F.md5(key.cast("binary")), 3), "0123456789abcdef", "acgt" * 4)
+    path = new_path(spark)
+    text.write_fasta(A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq_idx"), F.concat(F.lit("part"), key, F.lit(" "), "p_name").alias("ref_name"), bases.alias("sequence")), path, one_file=False)
+    return text.read_fasta(spark, path).select("ref_name", "sequence")
+
+
+@query
+def swarm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequencies, complete codons at each site and a note for each sample, saved as a set and loaded, with the same sites."""
+    keys = ["sample_id", "ref_id", "position"]
+    cells = materialized(pileup.naive_frequencies(pileup.codon_counts(A.reads(spark, sf_dir), threshold=30, keys=("sample_id", "ref_id")), ("sample_id", "ref_id")))
+    sites = cells.groupBy(*keys).agg(F.sum("n").alias("coverage"))
+    notes = cells.select("sample_id").distinct().withColumn("note", F.concat(F.lit("sample "), "sample_id"))
+    path = new_path(spark)
+    text.save_swarm_set(path, cells.drop("n"), sites, notes)
+    loaded = text.load_swarm_set(spark, [path])
+    metadata.check_same_sites(loaded, sites, keys)
+    return rounded(loaded.select(F.col("sample_id").cast("long").alias("sample_id"), "ref_id", "position", "codon", "freq", "coverage", "note"), "freq")
+
+
 # Swarms
 
 
@@ -241,6 +293,12 @@ def variant_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return annotation.variant_labels(variants, A.features(spark, sf_dir), A.reference(spark))
 
 
+@query
+def variant_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of all codons at all positions of the references that start a codon of a feature."""
+    return annotation.variant_grid(A.reference(spark), A.features(spark, sf_dir))
+
+
 @query
 def codon_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
     codons = A.reads(spark, sf_dir).select("ref_id", F.explode(S.sequence_codons(F.col("seq"))).alias("codon"))
@@ -552,6 +610,13 @@ def talus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(landmarks.talus(values), 1)], "k int, drop double")
 
 
+@query
+def isotonic_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price in cents of each line as it never falls with quantity, by supplier and flag."""
+    lines = A.table(spark, sf_dir, "lineitem").withColumn("cents", F.round(F.col("l_extendedprice") * 100))
+    return isotonic.isotonic(lines, ["l_suppkey", "l_returnflag"], "l_quantity", "cents").select("l_orderkey", "l_linenumber", "fit")
+
+
 # Metadata
 
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}  # folders of local sessions, by application
 
 
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` and read back; a local session without it gets a folder of its own."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A new name under ``spark.checkpoint.dir``; a local session without it gets a folder of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
@@ -22,6 +21,11 @@ def materialized(df: DataFrame) -> DataFrame:
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
         root = _LOCAL[app]
-    path = f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` written to a new path and read back."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -55,10 +55,10 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return placed.withColumn("record", record).select("file", "seq_idx", F.trim(name).alias("ref_name"), body.alias("sequence"))
 
 
-def write_fasta(sequences: DataFrame, path: str) -> None:
-    """One line of sequence for each record, in the order of seq_idx; references are few."""
+def write_fasta(sequences: DataFrame, path: str, one_file: bool = True) -> None:
+    """One line of sequence for each record, in the order of seq_idx; in one file, or in files whose names go on in that order."""
     records = sequences.orderBy("seq_idx").select(F.concat(F.lit(">"), "ref_name", F.lit("\n"), "sequence").alias("value"))
-    records.coalesce(1).write.text(path)
+    (records.coalesce(1) if one_file else records).write.text(path)
 
 
 def read_metadata(spark: SparkSession, path: str, name: str) -> DataFrame:

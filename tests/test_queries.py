@@ -8,7 +8,7 @@ from swarmlake.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
-SOME = ["codon_counts_unambiguous", "read_coverage", "consensus_counts", "lod", "variant_labels", "bifurcation", "curve_mean", "gks_predict", "nn_samples", "gks_samples", "kmer_docs", "shortest_paths", "fitness_join", "ts_asked", "path_curve", "curve_at", "kernel_width_splits", "kernel_width_without_one", "categorical_nn", "landscape", "consensus_sequence", "weighted_edit", "knn_samples", "center"]
+SOME = ["codon_counts_unambiguous", "read_coverage", "consensus_counts", "lod", "variant_labels", "bifurcation", "curve_mean", "gks_predict", "nn_samples", "gks_samples", "kmer_docs", "shortest_paths", "fitness_join", "ts_asked", "path_curve", "curve_at", "kernel_width_splits", "kernel_width_without_one", "categorical_nn", "landscape", "consensus_sequence", "weighted_edit", "knn_samples", "center", "read_errors", "sam_round_trip", "fasta_round_trip", "swarm_round_trip", "variant_grid", "isotonic_price"]
 
 
 @pytest.mark.parametrize("name", SOME)
