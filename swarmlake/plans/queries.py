@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..functions import sequences as S
-from ..operators import annotation, consensus, decomposition, frequency, isotonic, landmarks, manifold, metadata, mixture, models, pileup, series, swarm
+from ..operators import annotation, clustering, consensus, decomposition, frequency, isotonic, landmarks, manifold, metadata, mixture, models, pileup, series, swarm
 from ..sources import text
 from . import adapters as A
 from .tables import materialized, new_path
@@ -598,8 +598,16 @@ def submatrix_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def hclust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, d = landmarks.to_matrix(landmarks.distances(_landmarks(spark, sf_dir)))
-    return spark.createDataFrame([(i, *m) for i, m in enumerate(landmarks.average_linkage(d), 1)], "step int, a int, b int, size int, dist double")
+    """Merges of the labels' centres by average linkage."""
+    return clustering.average_linkage(landmarks.distances(_landmarks(spark, sf_dir)))
+
+
+@query
+def hclust_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges of the part types of all brands by the mean size, price and name length of their parts."""
+    parts = A.table(spark, sf_dir, "part").withColumn("name", F.concat_ws("-", "p_brand", "p_type"))
+    means = parts.groupBy("name").agg(F.avg("p_size").alias("size"), F.avg(F.col("p_retailprice") / 100).alias("price"), F.avg(F.length("p_name")).alias("letters"))
+    return rounded(clustering.average_linkage(landmarks.distances(means.select("name", F.array("size", "price", "letters").alias("x")))), "dist")
 
 
 @query
