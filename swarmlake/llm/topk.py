@@ -113,22 +113,21 @@ def bounds(directory: pd.DataFrame, index: Index, q: np.ndarray) -> np.ndarray:
 
 
 def visits(queries: DataFrame, directory: pd.DataFrame, index: Index, dim: int, k: int, first: bool) -> DataFrame:
-    """Rings that each query looks into: at first the nearest that hold k others, then all that may beat its k-th score."""
+    """Rings that each query looks into: at first the nearest that hold k others, then all that may reach its k-th score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 b = bounds(directory, index, _matrix(part.column("q").to_pylist(), dim))
-                order = np.argsort(-b, axis=1, kind="stable")
-                held = np.cumsum(directory["n"].to_numpy()[order], axis=1)
-                nearest = np.zeros(b.shape, dtype=bool)
-                np.put_along_axis(nearest, order, np.concatenate([np.zeros((len(b), 1)), held[:, :-1]], axis=1) <= k, axis=1)
                 if first:
-                    take = nearest
+                    order = np.argsort(-b, axis=1, kind="stable")
+                    held = np.cumsum(directory["n"].to_numpy()[order], axis=1)
+                    take = np.zeros(b.shape, dtype=bool)
+                    np.put_along_axis(take, order, np.concatenate([np.zeros((len(b), 1)), held[:, :-1]], axis=1) <= k, axis=1)
                 else:
                     kth = part.column("kth").to_numpy(zero_copy_only=False).astype(float)
-                    take = ~nearest & (np.isnan(kth)[:, None] | (b >= kth[:, None]))
+                    take = np.isnan(kth)[:, None] | (b >= kth[:, None])
                 row, ring = np.nonzero(take)
                 cells = directory.iloc[ring]
                 columns = [part.column("query").take(pa.array(row)), pa.array(cells["pivot"].to_numpy(), pa.int32()), pa.array(cells["ring"].to_numpy(), pa.int32())]
@@ -143,7 +142,8 @@ def scored(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, dim: int, k:
     met = pairs.join(salts, ["pivot", "ring"])
     per_block = met.groupBy("pivot", "ring", "salt").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("chunks"))
     asked = met.join(per_block, ["pivot", "ring", "salt"]).join(queries.select("query", "q"), "query")
-    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")))
+    # of the type that the other side has: a cogroup deals both sides by the hashes of their own types
+    asked = asked.withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int"))
     offered = blocks.join(per_block, ["pivot", "ring", "salt"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     key = ["pivot", "ring", "salt", "chunk"]
     offered = offered.select(*(F.col(c).alias(f"to_{c}") for c in key), "row", "vec_id", F.col("q").alias("to_q"))
@@ -182,9 +182,12 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, pivots: int = PIVOTS
     salted = placed.join(F.broadcast(salts), ["pivot", "ring"])
     blocks = materialize(salted.select("row", "vec_id", "q", "pivot", "ring", F.pmod(F.xxhash64("row"), "salts").cast("int").alias("salt")), "vector-blocks")
     queries = materialize(base.filter(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"), "q"), "queries")
-    near = materialize(scored(visits(queries, directory, index, dim, k, True), queries, blocks, dim, k), "near-scores")
+    seen = materialize(visits(queries, directory, index, dim, k, True), "first-visits")
+    near = materialize(scored(seen, queries, blocks, dim, k), "near-scores")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     kth = near.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select("query", F.col("score").alias("kth"))
-    rest = scored(visits(queries.join(kth, "query", "left"), directory, index, dim, k, False), queries, blocks, dim, k)
+    # by what was written: bounds computed again, in other batches, may round to another order
+    unseen = visits(queries.join(kth, "query", "left"), directory, index, dim, k, False).join(seen, ["query", "pivot", "ring"], "left_anti")
+    rest = scored(unseen, queries, blocks, dim, k)
     found = near.unionByName(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return found.join(queries.select("query", "query_id"), "query").select("query_id", "rank", "vec_id", "score")

@@ -209,3 +209,19 @@ def test_top_k(spark):
     for pivots in (1, 3, 64):
         assert sorted(map(tuple, topk.search(df, pivots=pivots).collect())) == brute_top(again)
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_top_k_over_many_partitions(spark, monkeypatch):
+    """Queries and blocks meet, and each row once, where no partitions are put together and blocks are salted and asked in chunks."""
+    monkeypatch.setattr(topk, "BLOCK", 10)
+    monkeypatch.setattr(topk, "QUERIES", 3)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(600)] + [(1000 + i, [0.5] * 8) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        assert sorted(map(tuple, topk.search(df, pivots=16).collect())) == brute_top(rows)
+    finally:
+        spark.conf.set(name, before)
