@@ -16,10 +16,11 @@ a spanning forest of the links that it finds, not all pairs; components of the
 forests are those of the links.
 
 Null, empty and blank texts have fingerprint zero, linked like any other. Rows
-without a doc_id link nothing and have no component. Repeated doc_ids and texts
-are rows of their own: links are between fingerprints, and a repeated doc_id is
-in the component of each of its texts. Other columns are ignored; an empty table
-gives an empty result.
+without a doc_id link nothing and have no component; with ``unnamed`` they link as
+all others, and theirs is the smallest doc_id that they reach, null where there is
+none. Repeated doc_ids and texts are rows of their own: links are between
+fingerprints, and a repeated doc_id is in the component of each of its texts. Other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -224,10 +225,11 @@ def links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFr
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fp and component_id of every document."""
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, unnamed: bool = False) -> DataFrame:
+    """doc_id, fp and component_id of every document; ``unnamed`` ones, without a doc_id, link if asked for."""
     table = materialize(fingerprinted(docs), "fingerprints")
-    points = materialize(table.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
+    named = table if unnamed else table.filter("doc_id is not null")
+    points = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     labels = components(links(points, radius))
     linked = materialize(points.join(labels, F.col("fp") == F.col("node")).select("fp", "least", "label"), "linked")
     firsts = linked.groupBy("label").agg(F.min("least").alias("first"))
@@ -236,5 +238,5 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes = materialize(of_linked.unionByName(points.join(linked, "fp", "left_anti").select(F.col("fp").alias("of"), F.col("least").alias("first"))), "classes")
     drop(points)
     drop(linked)
-    own = F.when(F.col("doc_id").isNotNull(), F.col("first"))
+    own = F.col("first") if unnamed else F.when(F.col("doc_id").isNotNull(), F.col("first"))
     return table.join(classes, F.col("fp") == F.col("of"), "left").select("doc_id", "fp", own.alias("component_id"))

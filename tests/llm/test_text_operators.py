@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from swarmlake.llm import backoff, batches, components, importance, quality_rules, simhash, similar
+from swarmlake.llm import backoff, batches, components, importance, quality_rules, queries, simhash, similar
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -99,6 +99,23 @@ def test_repeated_doc_ids_join_no_texts(docs):
     assert got == Counter([(5, 5), (7, 5), (7, 7), (9, 7), (7, 7)])
 
 
+def test_unnamed_documents_link(spark, tmp_path):
+    """The query gives a row without a doc_id the smallest one that it reaches, and links go through it."""
+    words = [f"w{i}" for i in range(400)]
+
+    def text(seed):
+        return " ".join(w if i != 5 * seed else f"z{seed}" for i, w in enumerate(words))
+
+    texts = {s: brute_fingerprint(text(s)) for s in range(1, 60)}
+    far = lambda a, b: (texts[a] ^ texts[b]).bit_count()
+    a, b, c = next((a, b, c) for b in texts for a in texts for c in texts if far(a, b) <= 3 and far(b, c) <= 3 and far(a, c) > 3)
+    rows = [(9, text(a)), (None, text(b)), (4, text(c)), (None, text(b)), (7, "red green blue white"), (None, "one two three four"), (3, None), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Counter(map(tuple, queries.QUERIES["op2_simhash_bk_trees"](spark, str(tmp_path)).collect()))
+    names = [4, 4, 4, 4, 7, None, 3, 3]
+    assert got == Counter((i, f"{brute_fingerprint(t):016x}", n) for (i, t), n in zip(rows, names))
+
+
 def shingles(t, width=5):
     w = WORD.findall(lower(t))
     return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
