@@ -8,7 +8,7 @@ A text is cut where a space or newline follows a character that is no white
 space, and where a sign follows a letter. The vocabulary's split pattern always
 ends a match there, whatever stands around it, so the ids of the parts, joined,
 are the ids of the text. Words return, so each worker keeps the ids of parts it has met and hands only
-new ones to the library.
+new ones to the library. Where their number reaches a limit, those of the texts at hand stay.
 """
 
 from __future__ import annotations
@@ -57,7 +57,7 @@ class PartEncoder:
     def _forget(self) -> None:
         # A key that starts with the mark stands for the rest of it, one that starts with a
         # newline for itself, any other key for a space and itself.
-        self.slot: dict[str, int] = {}
+        self.keys = pa.array([], pa.string())  # a part's slot is its place here
         self.ids = np.empty(1 << 20, dtype=np.uint16 if len(self.token_bytes) <= 1 << 16 else np.uint32)
         self.first = np.zeros(1 << 16, dtype=np.int64)
         self.used = 0
@@ -66,8 +66,8 @@ class PartEncoder:
     def _text(key: str) -> str:
         return key[1:] if key[:1] == _MARK else key if key[:1] == "\n" else " " + key
 
-    def _store(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, m = len(self.slot), len(keys)
+    def _store(self, keys: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, m = len(self.keys), len(keys)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while n + m + 1 > len(self.first):
@@ -75,34 +75,47 @@ class PartEncoder:
         self.ids[self.used : self.used + len(ids)] = ids
         self.first[n + 1 : n + m + 1] = self.used + np.cumsum(sizes)
         self.used += len(ids)
-        self.slot.update(zip(keys, range(n, n + m)))
+        self.keys = pa.concat_arrays([self.keys, keys])
 
     def _gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sizes = self.first[slots + 1] - self.first[slots]
         return self.ids[ragged(self.first[slots], sizes)], sizes
 
-    def _learn(self, keys: list[str]) -> None:
-        """Encodes new parts: those with white space first and none last go in strings of many, the others alone."""
-        chained, alone = [], []
-        for key in keys:
-            (chained if key and key[0] != _MARK and not key[-1].isspace() else alone).append(key)
+    def _learn(self, keys: list[str]) -> np.ndarray:
+        """Slots of new parts, encoded: those with white space first and none last go in strings of many, the others alone."""
+        own = [bool(k) and k[0] != _MARK and not k[-1].isspace() for k in keys]
+        order = np.argsort(~np.array(own, dtype=bool), kind="stable")
+        chained, alone = [k for k, o in zip(keys, own) if o], [k for k, o in zip(keys, own) if not o]
+        slots = np.empty(len(keys), dtype=np.int64)
+        slots[order] = len(self.keys) + np.arange(len(keys))
+        all_ids, all_sizes = [], []
         for i in range(0, len(chained), 2000):
-            some = chained[i : i + 2000]
-            texts = [self._text(k) for k in some]
+            texts = [self._text(k) for k in chained[i : i + 2000]]
             ids = np.array(self.library.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids, dtype=np.int64)
-            ends = np.cumsum([len(t.encode()) for t in texts])
+            ends = np.cumsum(pc.binary_length(pa.array(texts, pa.string())).to_numpy())
             stops = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
-            self._store(some, ids, np.diff(stops, prepend=0))
+            all_ids.append(ids)
+            all_sizes.append(np.diff(stops, prepend=0))
         for i in range(0, len(alone), 2000):
-            some = alone[i : i + 2000]
-            found = [e.ids for e in self.library.encode_batch_fast([self._text(k) for k in some], add_special_tokens=False)]
-            self._store(some, np.array([x for f in found for x in f], dtype=np.int64), np.array([len(f) for f in found]))
-
-    def _slots(self, keys: list[str]) -> np.ndarray:
-        new = [k for k in dict.fromkeys(keys) if k not in self.slot]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.slot.__getitem__, keys), dtype=np.int64, count=len(keys))
+            found = [e.ids for e in self.library.encode_batch_fast([self._text(k) for k in alone[i : i + 2000]], add_special_tokens=False)]
+            all_ids.append(np.array([x for f in found for x in f], dtype=np.int64))
+            all_sizes.append(np.array([len(f) for f in found]))
+        self._store(pa.array(chained + alone, pa.string()), np.concatenate(all_ids), np.concatenate(all_sizes))
+        return slots
+
+    def _slots(self, keys: pa.Array) -> np.ndarray:
+        """Slots of different parts; they hold until the next call."""
+        slots = pc.fill_null(pc.index_in(keys, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = slots < 0
+        if new.any():
+            fresh = keys.filter(pa.array(new)).to_pylist()
+            if len(self.keys) + len(fresh) > self.limit:
+                kept, (ids, sizes) = keys.filter(pa.array(~new)), self._gather(slots[~new])
+                self._forget()
+                self._store(kept, ids, sizes)
+                slots[~new] = np.arange(len(kept))
+            slots[new] = self._learn(fresh)
+        return slots
 
     def _simple(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         marked = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), _SIGN, rf"\1 {_MARK}\2")
@@ -110,20 +123,18 @@ class PartEncoder:
         flat, at = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         at = at - at[0]
         coded = flat.dictionary_encode()
-        keys = coded.dictionary.to_pylist()
-        firsts = [_MARK + x for x in flat.take(pa.array(at[:-1])).to_pylist()]
-        if len(self.slot) + len(keys) + len(firsts) > self.limit:
-            self._forget()
-        slots = self._slots(keys)[coded.indices.to_numpy()]
-        slots[at[:-1]] = self._slots(firsts)
+        firsts = pc.binary_join_element_wise(_MARK, flat.take(pa.array(at[:-1])), "").dictionary_encode()
+        known = self._slots(pa.concat_arrays([coded.dictionary, firsts.dictionary]))
+        slots = known[coded.indices.to_numpy()]
+        slots[at[:-1]] = known[len(coded.dictionary) + firsts.indices.to_numpy()]
         ids, sizes = self._gather(slots)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ids, np.diff(ends[at])
 
     def _general(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts = [[_MARK + p for p in _CUT.split(t)] for t in texts]
-        keys = [k for p in parts for k in p]
-        ids, sizes = self._gather(self._slots(keys))
+        keys = pa.array([k for p in parts for k in p], pa.string()).dictionary_encode()
+        ids, sizes = self._gather(self._slots(keys.dictionary)[keys.indices.to_numpy()])
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ids, np.diff(ends[np.concatenate([[0], np.cumsum([len(p) for p in parts])])])
 

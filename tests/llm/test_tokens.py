@@ -30,6 +30,21 @@ def test_part_encoder(tokenizers_at):
         assert [ids[e - k : e].tolist() for e, k in zip(ends, n)] == [whole(t) for t in some]
 
 
+def test_parts_that_return_are_kept(tokenizers_at, monkeypatch):
+    """Over the limit, parts of the texts at hand stay known, so only new ones go to the library; ids are the same."""
+    path = tokenizers_at.path("byte_bpe_50k.json")
+    encoder, learned = PartEncoder(path, limit=60), []
+    plain = encoder.library
+    monkeypatch.setattr(encoder, "_learn", lambda keys, learn=encoder._learn: (learned.extend(keys), learn(keys))[1])
+    often = " ".join(f"common{i}" for i in range(30))
+    for k in range(6):
+        texts = [often + "".join(f" rare{k}x{i}" for i in range(20)), "", f"first{k} common3\ncommon4, it's"]
+        ids, counts = encoder.encode(pa.array(texts))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+    assert learned.count("common7") == 1 and learned.count("rare0x3") == 1
+
+
 def test_other_tokenizers_are_refused(tokenizers_at, tmp_path):
     import json
 
