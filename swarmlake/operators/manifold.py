@@ -1,8 +1,8 @@
 """Neighbour graphs, shortest paths and isomap over all points (vec_id, x).
 
-Points are keyed by the nearest of a bounded sample of pivots. A point meets those of
-its own cell first, which bounds its k-th distance; then it meets only cells that the
-triangle inequality and the planes between pivots do not exclude. So the graph is exact.
+Points are ordered by the nearest of a bounded sample of pivots and packed in that order, so
+a packed row holds points that are near each other where any are. A row meets all others but
+those that the triangle inequality excludes (``pairs``). So the graph is exact.
 Paths are counted from landmarks, which are points far from each other, to all points at
 once; a bounded matrix of landmarks is scaled, and all points are placed by their paths.
 
@@ -11,19 +11,20 @@ Equal points are one node, named by the smallest vec_id. Null points take no par
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.tables import materialized
+from ..plans.tables import dropped, materialized
+from . import pairs
 from .landmarks import _weighted, classical_scaling
 from .models import squared_distance
 
 PIVOTS = 64
-BLOCK, CHUNK = 4096, 2048  # points that meet in a task, about
+BLOCK, CHUNK = 2048, 8192  # points in a packed row, and in a task that orders and packs them, about
 DIGITS = 8  # of squared distances
 
 
@@ -33,60 +34,27 @@ def nodes(points: DataFrame) -> DataFrame:
 
 
 class Cells:
-    """Pivots, and the points of each one's cell."""
+    """Points in the order of their nearest pivots: ``rows`` (node, x, cell, away), and packed."""
 
     def __init__(self, rows: DataFrame, n: int = PIVOTS):
-        sample = rows.orderBy(F.xxhash64("node"), "node").limit(n).collect()  # the pivots, a bounded sample
-        self.pivots = pivots = np.array([r["x"] for r in sample], dtype=float)
+        plain = materialized(rows.select("node", "x"))
+        sample = plain.orderBy(F.xxhash64("node"), "node").limit(n).collect()  # the pivots, a bounded sample
+        pivots = np.array([r["x"] for r in sample], dtype=float)
 
         def keyed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for df in frames:
                 d = to_pivots(df["x"], pivots)
                 yield df.assign(cell=d.argmin(1), away=d.min(1))
 
-        keys = materialized(rows.mapInPandas(keyed, "node long, x array<double>, cell int, away double"))
-        sizes = keys.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("reach"))
-        self.known = sizes.toPandas().set_index("cell").reindex(range(len(pivots))).fillna({"n": 0, "reach": -np.inf})  # one row a pivot
-        salts = F.array(*[F.lit(int(max(1, -(-n // BLOCK)))) for n in self.known["n"]])
-        self.rows = keys
-        self.blocks = keys.select("cell", F.pmod(F.xxhash64("node"), F.element_at(salts, F.col("cell") + 1)).cast("int").alias("salt"), F.col("node").alias("other"), F.col("x").alias("y"))
-        self.salts = salts
+        self.rows = materialized(plain.mapInPandas(keyed, "node long, x array<double>, cell int, away double"))
+        self.size = self.rows.count()
+        dropped(plain)
+        self.packed = self.in_order(self.rows, {})
 
-    def visits(self, bounded: DataFrame, own: bool) -> DataFrame:
-        """(node, x, cell): the own cell of each point, or all others that may hold one within ``bound`` (null: any)."""
-        pivots, reach, n = self.pivots, self.known["reach"].to_numpy(), self.known["n"].to_numpy()
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for df in frames:
-                d = to_pivots(df["x"], pivots)
-                bound = df["bound"].fillna(np.inf).to_numpy()[:, None] * (1 + 1e-9) + 1e-6
-                gap = np.maximum(d - reach, (d - d.min(1, keepdims=True)) / 2)
-                mine = np.arange(len(pivots)) == df["cell"].to_numpy()[:, None]
-                i, cell = np.nonzero(mine if own else ~mine & (n > 0) & (gap <= bound))
-                yield pd.DataFrame({"node": df["node"].to_numpy()[i], "x": df["x"].to_numpy()[i], "cell": cell.astype(np.int32)})
-
-        return bounded.select("node", "x", "cell", "bound").mapInPandas(run, "node long, x array<double>, cell int")
-
-    def met(self, asked: DataFrame, reduced: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
-        """``reduced`` of the distances between ``asked`` (node, x, cell, ..) and the blocks of those cells; infinite to itself."""
-        salt = F.explode(F.sequence(F.lit(0), F.element_at(self.salts, F.col("cell") + 1) - 1))
-        dealt = asked.select("cell", salt.alias("salt"), "node", "x", *extra)
-        chunks = dealt.groupBy("cell", "salt").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-        left = dealt.join(chunks, ["cell", "salt"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("chunks")
-        names = chunks.select(F.col("cell").alias("to_cell"), F.col("salt").alias("to_salt"), "chunks")
-        right = self.blocks.join(names, (F.col("cell") == F.col("to_cell")) & (F.col("salt") == F.col("to_salt"))).drop("cell", "salt")
-        right = right.withColumn("to_chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-
-        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if not len(a) or not len(b):
-                return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-            p, q = np.stack(a["x"].to_numpy()), np.stack(b["y"].to_numpy())
-            d2 = np.round(np.maximum((p * p).sum(1)[:, None] + (q * q).sum(1) - 2 * p @ q.T, 0), DIGITS)
-            d = np.sqrt(d2)
-            d[a["node"].to_numpy()[:, None] == b["other"].to_numpy()] = np.inf
-            return reduced(d, a, b)
-
-        return left.groupBy("cell", "salt", "chunk").cogroup(right.groupBy("to_cell", "to_salt", "to_chunk")).applyInPandas(run, schema)
+    def in_order(self, rows: DataFrame, fields: dict[str, str]) -> DataFrame:
+        """Some of the rows, with other columns, packed in order."""
+        ordered = rows.repartitionByRange(max(1, self.size // CHUNK), "cell", "away").sortWithinPartitions("cell", "away")
+        return pairs.packed(ordered, fields, "node", BLOCK)
 
 
 def to_pivots(x: pd.Series, pivots: np.ndarray) -> np.ndarray:
@@ -96,21 +64,12 @@ def to_pivots(x: pd.Series, pivots: np.ndarray) -> np.ndarray:
 
 def nearest_graph(cells: Cells, k: int) -> DataFrame:
     """Edges (i, j, d) from each node to its k nearest, ties included, made symmetric."""
-
-    def best(d: np.ndarray, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-        i, j = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
-        return pd.DataFrame({"i": a["node"].to_numpy()[i], "j": b["other"].to_numpy()[j], "d": d[i, j]})
-
-    schema = "i long, j long, d double"
-    own = materialized(cells.met(cells.visits(cells.rows.withColumn("bound", F.lit(None).cast("double")), True), best, schema))
-    # the k-th least distance so far, from k rows and ties of each block of the own cell
-    bounded = cells.rows.join(_kth(own, k).withColumnRenamed("i", "of"), F.col("node") == F.col("of"), "left")
-    far = cells.met(cells.visits(bounded, False), best, schema)
-    both = materialized(own.unionByName(far))
+    both = pairs.met(cells.packed, cells.packed, ({}, {}), lambda left: pairs.KNearest(left, k), "i long, j long, d double")
     kept = both.join(_kth(both, k).withColumnRenamed("i", "of"), F.col("i") == F.col("of"), "left").filter(F.col("bound").isNull() | (F.col("d") <= F.col("bound"))).select("i", "j", "d")
     turned = kept.select(F.col("j").alias("i"), F.col("i").alias("j"), "d")
-    return materialized(kept.unionByName(turned).groupBy("i", "j").agg(F.min("d").alias("d")))
+    edges = materialized(kept.unionByName(turned).groupBy("i", "j").agg(F.min("d").alias("d")))
+    dropped(both)
+    return edges
 
 
 def _kth(edges: DataFrame, k: int) -> DataFrame:
@@ -135,31 +94,24 @@ def components(edges: DataFrame, rows: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame, cells: Cells) -> DataFrame:
     """Adds the shortest edge from each component but the largest to any other, until there is one."""
+    fields, given = {"label": "<i8"}, edges
     while True:
         labels = components(edges, cells.rows)
         sizes = labels.groupBy("label").agg(F.count("*").alias("n"))
         largest = sizes.orderBy(F.desc("n"), "label").first()
         if largest is None or sizes.limit(2).count() < 2:
             return edges
-        named = labels.select(F.col("node").alias("of"), "label")
-        asked = cells.rows.join(named.filter(F.col("label") != largest["label"]), F.col("node") == F.col("of"))
-        asked = asked.select("node", "x", F.explode(F.sequence(F.lit(0), F.lit(len(cells.pivots) - 1))).alias("cell"), "label")
-        others = Cells.__new__(Cells)
-        others.__dict__.update(cells.__dict__)
-        others.blocks = cells.blocks.join(named.withColumnRenamed("label", "to_label"), F.col("other") == F.col("of")).drop("of")
-
-        def nearest(d: np.ndarray, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            d = np.where(a["label"].to_numpy()[:, None] == b["to_label"].to_numpy(), np.inf, d)
-            at = d.argmin(1)
-            low = d[np.arange(len(d)), at]
-            found = pd.DataFrame({"label": a["label"].to_numpy(), "i": a["node"].to_numpy(), "j": b["other"].to_numpy()[at], "d": low})
-            return found[np.isfinite(low)]
-
-        met = others.met(asked, nearest, "label long, i long, j long, d double", extra=("label",))
-        new = met.groupBy("label").agg(F.min(F.struct("d", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))).alias("e")).select("e.a", "e.b", "e.d")
+        named = cells.rows.join(labels.select(F.col("node").alias("of"), "label"), F.col("node") == F.col("of")).drop("of")
+        offered = cells.in_order(named, fields)
+        asked = cells.in_order(named.filter(F.col("label") != largest["label"]), fields)
+        met = pairs.met(asked, offered, (fields, fields), lambda left: pairs.Nearest(left, apart="label"), "vec_id long, nearest long, d2 double")
+        found = met.join(labels, F.col("vec_id") == F.col("node"))
+        new = found.groupBy("label").agg(F.min(F.struct(F.sqrt("d2").alias("d"), F.least("vec_id", "nearest").alias("a"), F.greatest("vec_id", "nearest").alias("b"))).alias("e")).select("e.a", "e.b", "e.d")
         new = materialized(new.distinct())
         both = new.select(F.col("a").alias("i"), F.col("b").alias("j"), "d").unionByName(new.select(F.col("b").alias("i"), F.col("a").alias("j"), "d"))
-        edges = materialized(edges.unionByName(both).groupBy("i", "j").agg(F.min("d").alias("d")))
+        more = materialized(edges.unionByName(both).groupBy("i", "j").agg(F.min("d").alias("d")))
+        dropped(labels, offered, asked, met, new, *([] if edges is given else [edges]))
+        edges = more
 
 
 def far_apart(rows: DataFrame, n: int) -> list:
