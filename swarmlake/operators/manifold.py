@@ -12,6 +12,7 @@ Equal points are one node, named by the smallest vec_id. Null points take no par
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,7 @@ from .models import squared_distance
 
 PIVOTS = 64
 BLOCK, CHUNK = 2048, 8192  # points in a packed row, and in a task that orders and packs them, about
+EDGES = 1 << 21  # edges whose lengths from all landmarks are in a shuffle at once, about
 DIGITS = 8  # of squared distances
 
 
@@ -80,16 +82,18 @@ def _kth(edges: DataFrame, k: int) -> DataFrame:
 
 def components(edges: DataFrame, rows: DataFrame) -> DataFrame:
     """node and label, the smallest node that it is connected with."""
-    labels = materialized(rows.select("node", F.col("node").alias("label")))
+    before = materialized(rows.select("node", F.col("node").alias("label")))
     while True:
+        labels = before.select("node", "label")
         known = labels.select(F.col("node").alias("of"), F.col("label").alias("near"))
         seen = edges.join(known, F.col("i") == F.col("of")).groupBy("j").agg(F.min("near").alias("near"))
         hooked = materialized(labels.join(seen, F.col("node") == F.col("j"), "left").select("node", "label", F.least("label", "near").alias("new")))
         up = hooked.select(F.col("node").alias("parent"), F.col("new").alias("up"))
         after = materialized(hooked.join(up, F.col("new") == F.col("parent")).select("node", F.col("up").alias("label"), (F.col("up") != F.col("label")).alias("moved")))
-        labels = after.select("node", "label")
+        dropped(before, hooked)
         if after.filter("moved").isEmpty():
-            return labels
+            return after.select("node", "label")
+        before = after
 
 
 def connected(edges: DataFrame, cells: Cells) -> DataFrame:
@@ -128,16 +132,26 @@ def far_apart(rows: DataFrame, n: int) -> list:
 
 
 def paths(edges: DataFrame, rows: DataFrame, sources: list[int]) -> DataFrame:
-    """node and d, its shortest paths to all ``sources``, infinite where there is none: rounds of joins until nothing gets shorter."""
+    """node and d, its shortest paths to all ``sources``, infinite where there is none: rounds of joins until nothing gets shorter.
+
+    Steps along edges are taken in turns, by their ends, so that the lengths on their way
+    are no more than those of ``EDGES`` edges or so.
+    """
     state = materialized(rows.select("node", F.array(*[F.when(F.col("node") == s, 0.0).otherwise(float("inf")) for s in sources]).alias("d"), F.col("node").isin(*sources).alias("moved")))
     places = range(len(sources))
+    turns = max(1, -(-edges.count() // EDGES))
     while True:
         active = state.filter("moved").select(F.col("node").alias("of"), F.col("d").alias("from"))
-        step = edges.join(active, F.col("i") == F.col("of"))
-        shorter = step.groupBy("j").agg(F.array(*[F.min(F.col("from")[k] + F.col("d")) for k in places]).alias("by"))
-        least = F.when(F.col("by").isNull(), F.col("d")).otherwise(F.zip_with("d", "by", lambda a, b: F.least(a, b)))
-        after = state.join(shorter, F.col("node") == F.col("j"), "left").select("node", "d", least.alias("new"))
-        state = materialized(after.select("node", F.col("new").alias("d"), (F.col("new") != F.col("d")).alias("moved")))
+        parts = []
+        for turn in range(turns):
+            here = lambda c: F.pmod(F.xxhash64(c), F.lit(turns)) == turn  # noqa: E731, B023
+            step = edges.filter(here("j")).join(active, F.col("i") == F.col("of"))
+            shorter = step.groupBy("j").agg(F.array(*[F.min(F.col("from")[k] + F.col("d")) for k in places]).alias("by"))
+            least = F.when(F.col("by").isNull(), F.col("d")).otherwise(F.zip_with("d", "by", lambda a, b: F.least(a, b)))
+            after = state.filter(here("node")).join(shorter, F.col("node") == F.col("j"), "left").select("node", "d", least.alias("new"))
+            parts.append(materialized(after.select("node", F.col("new").alias("d"), (F.col("new") != F.col("d")).alias("moved"))))
+        dropped(state)
+        state = reduce(DataFrame.unionByName, parts)
         if state.filter("moved").isEmpty():
             return state.select("node", "d")
 

@@ -547,10 +547,9 @@ def knn_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def landmark_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest paths from every point to twelve landmarks over that graph, made connected."""
-    rows = manifold.nodes(A.points(spark, sf_dir))
-    cells = manifold.Cells(rows)
-    sources = [r["node"] for r in manifold.far_apart(rows, 12)]
-    found = manifold.paths(manifold.connected(manifold.nearest_graph(cells, 5), cells), rows, sources)
+    cells = manifold.Cells(manifold.nodes(A.points(spark, sf_dir)))
+    sources = [r["node"] for r in manifold.far_apart(cells.rows, 12)]
+    found = manifold.paths(manifold.connected(manifold.nearest_graph(cells, 5), cells), cells.rows, sources)
     named = F.arrays_zip(F.array(*[F.lit(s) for s in sources]).alias("landmark"), F.col("d"))
     return rounded(found.select("node", F.explode(named).alias("p")).select("p.landmark", "node", "p.d"), "d")
 
