@@ -162,16 +162,25 @@ def isomap(points: DataFrame, k: int, dimensions: int = 2, landmarks: int = 12)
     Scaling the landmarks gives the axes; every point lies where the squares of its
     paths to them put it, landmarks themselves included.
     """
-    rows = materialized(nodes(points))
-    cells = Cells(rows)
+    cells = Cells(nodes(points))
+    rows = cells.rows
     edges = connected(nearest_graph(cells, k), cells)
     sources = [r["node"] for r in far_apart(rows, landmarks)]
     reached = paths(edges, rows, sources)
+    dropped(edges, cells.packed)
     of = {r["node"]: r["d"] for r in reached.filter(F.col("node").isin(*sources)).collect()}  # one row a landmark
     between = np.array([of[s] for s in sources])
     x = classical_scaling((between + between.T) / 2, dimensions)
     mean = (between * between).mean(axis=0)
     beyond: Column = F.zip_with("d", F.array(*[F.lit(float(m)) for m in mean]), lambda p, m: p * p - m)
     placed = reached.select(F.col("node").alias("of"), _weighted(beyond, -np.linalg.pinv(x) / 2).alias("place"))
-    named = rows.select("node", F.col("x").alias("at"))
-    return points.join(named, F.col("x") == F.col("at")).join(placed, F.col("node") == F.col("of")).drop("at", "of", "node")
+    named = rows.select("node", *[h.alias(f"is_{i}") for i, h in enumerate(_hashes())])
+    placed = materialized(named.join(placed, F.col("node") == F.col("of")).select("is_0", "is_1", "place"))
+    dropped(rows, reached)
+    hashed = points.select("*", *[h.alias(f"at_{i}") for i, h in enumerate(_hashes())]).filter("x is not null")
+    return hashed.join(placed, (F.col("at_0") == F.col("is_0")) & (F.col("at_1") == F.col("is_1"))).drop("at_0", "at_1", "is_0", "is_1")
+
+
+def _hashes() -> tuple[Column, Column]:
+    """Two hashes of 64 bits, by which equal points meet; points that differ share both less than once in 2^127 pairs."""
+    return F.xxhash64("x"), F.xxhash64(F.lit("twice"), "x")
