@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import materialized
+from . import pairs
 
 
 def squared_distance(x: Column, y: Column) -> Column:
@@ -63,6 +64,7 @@ def kernel_errors(points: DataFrame, distances: DataFrame, sigmas: list[float])
     return each.groupBy("sigma").agg(F.avg(error * error).alias("mse"))
 
 
+FITNESS = {"fitness": "<f8"}
 CHUNK, BLOCK = 512, 4096  # queries and points that meet in a task, about
 
 
@@ -165,57 +167,112 @@ def in_test(split: Column, vec_id: Column, share: float) -> Column:
     return F.substring(F.md5(F.concat_ws("-", F.lit("split"), split, vec_id).cast("binary")), 1, 8) < F.lit(f"{int(share * (1 << 32)):08x}")
 
 
-SUMS = "vec_id long, split int, sigma int, low double, nearest long, near_fit double, low2 double, rest double, rest_fit double"
+def powers(e: np.ndarray, widths: list[float]) -> Iterator[tuple[int, np.ndarray]]:
+    """The place of each width and exp(e / width), the widest first, in an array that the next one may use; a quarter of a width takes a fourth power."""
+    order = sorted(range(len(widths)), key=lambda k: -widths[k])
+    w = None
+    for before, k in zip([None, *order], order):
+        if before is not None and widths[before] == 4 * widths[k]:
+            w *= w
+            w *= w
+        else:
+            w = np.exp(e / widths[k])
+        yield k, w
 
 
-def split_sums(points: DataFrame, sigmas: list[float], splits: int, share: float) -> DataFrame:
-    """Of each tested point of each split and each width: the nearest trained point, and the weights of all others.
+class SplitSums:
+    """Of each tested point of each split: the nearest trained point, and for each width the weights of all others.
 
-    Distances are met once, block by block, for all splits and widths. The weights are on
-    the scale of ``low2``, the second least squared distance, so they are exact however
-    far the others are; those of several blocks add up on their common scale.
+    The weights are on the scale of ``low2``, the second least squared distance so far,
+    so they are exact however far the others are.
     """
-    dealt = points.withColumn("tests", F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda s: in_test(s, F.col("vec_id"), share)))
 
-    def sums(d2: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        tested, trained = np.stack(left["tests"].to_numpy()), ~np.stack(right["tests"].to_numpy())
-        by_id = np.argsort(right["vec_id"].to_numpy(), kind="stable")
-        ids, fit = right["vec_id"].to_numpy()[by_id], right["fitness"].to_numpy()[by_id]
-        out = []
-        for s in range(splits):
-            rows, some = np.flatnonzero(tested[:, s]), np.flatnonzero(trained[by_id, s])
-            d = d2[np.ix_(rows, by_id[some])]
-            if not d.size or not np.isfinite(d).any():
+    def __init__(self, left: pairs.Block, sigmas: list[float]):
+        self.left, self.widths = left, [2 * s * s for s in sigmas]
+        self.rows = [np.flatnonzero(tests) for tests in left.of["tests"].T]
+        make = lambda n: {"low": np.full(n, np.inf), "nearest": np.zeros(n, dtype=np.int64), "near_fit": np.zeros(n), "low2": np.full(n, np.inf)}
+        self.of = [make(len(r)) | {c: np.zeros((len(r), len(sigmas))) for c in ("rest", "rest_fit")} for r in self.rows]
+
+    def add(self, right: pairs.Block) -> None:
+        untrained = np.where(right.of["tests"].T > 0, np.inf, 0.0)
+        shared = np.isin(self.left.ids, right.ids)
+        for t in pairs.tiles(len(self.left.ids)):
+            cuts = [np.searchsorted(r, (t.start, t.stop)) for r in self.rows]
+            asked = np.unique(np.concatenate([r[a:b] for r, (a, b) in zip(self.rows, cuts)]))
+            if not len(asked):
                 continue
-            at = d.argmin(1)
-            low = d[np.arange(len(d)), at].copy()
-            d[np.arange(len(d)), at] = np.inf
-            low2 = d.min(1)
-            scale = np.where(np.isfinite(low2), low2, 0)
-            for k, sigma in enumerate(sigmas):
-                weight = np.exp((scale[:, None] - d) / (2 * sigma * sigma))
-                found = {"vec_id": left["vec_id"].to_numpy()[rows], "split": s, "sigma": k, "low": low, "nearest": ids[some][at], "near_fit": fit[some][at], "low2": low2, "rest": weight.sum(1), "rest_fit": weight @ fit[some]}
-                out.append(pd.DataFrame(found)[np.isfinite(low)])
-        return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in SUMS.split(", ")])
-
-    met = materialized(_met(dealt, dealt, sums, SUMS, extra=("tests",)))
-    key = ["vec_id", "split", "sigma"]
-    first = met.groupBy(*key).agg(F.min(F.struct("low", "nearest", "near_fit")).alias("of"))
-    own = F.col("nearest") == F.col("of.nearest")
-    second = F.min(F.when(own, F.col("low2")).otherwise(F.col("low"))).alias("least2")
-    both = met.join(first, key)
-    scales = both.groupBy(*key).agg(second)
-    width = F.element_at(F.array(*[F.lit(2 * s * s) for s in sigmas]), F.col("sigma") + 1)
-    on_scale = lambda d: F.when(d == float("inf"), 0.0).otherwise(F.exp((F.col("least2") - d) / width))
-    rest = F.col("rest") * on_scale(F.col("low2")) + F.when(own, 0.0).otherwise(on_scale(F.col("low")))
-    rest_fit = F.col("rest_fit") * on_scale(F.col("low2")) + F.when(own, 0.0).otherwise(F.col("near_fit") * on_scale(F.col("low")))
-    added = both.join(scales, key).groupBy(*key, "of", "least2").agg(F.sum(rest).alias("rest"), F.sum(rest_fit).alias("rest_fit"))
-    near = F.when(F.col("least2") == float("inf"), 0.0).otherwise(F.exp((F.col("of.low") - F.col("least2")) / width))
-    # all weights on the scale of the nearest, and what is predicted without it
-    return added.select(
-        *key, F.col("of.low").alias("low"), F.col("of.nearest").alias("nearest"), (1 + F.col("rest") * near).alias("weight"),
-        (F.col("of.near_fit") + F.col("rest_fit") * near).alias("total"), F.when(F.col("rest") > 0, F.col("rest_fit") / F.col("rest")).alias("without_nearest"),
-    )
+            d = np.round(pairs.squared(self.left, asked, right), pairs.DIGITS)
+            if shared[asked].any():
+                d[self.left.ids[asked, None] == right.ids] = np.inf
+            for s, (a, b) in enumerate(cuts):
+                if b > a:
+                    self._merge(self.of[s], slice(a, b), d[np.searchsorted(asked, self.rows[s][a:b])] + untrained[s], right)
+
+    def _merge(self, of: dict[str, np.ndarray], at: slice, d: np.ndarray, right: pairs.Block) -> None:
+        fitness, each = right.of["fitness"][:, 0], np.arange(len(d))
+        j = d.argmin(1)
+        low, near, fit = d[each, j].copy(), right.ids[j], fitness[j]
+        d[each, j] = np.inf
+        low2 = d.min(1)
+        closer = (low < of["low"][at]) | ((low == of["low"][at]) & (near < of["nearest"][at]))
+        # the farther one of the two nearest goes to the rest
+        other, other_fit = np.where(closer, of["low"][at], low), np.where(closer, of["near_fit"][at], fit)
+        new2 = np.minimum(np.minimum(of["low2"][at], low2), other)
+        np.subtract(np.where(np.isfinite(low2), low2, 0)[:, None], d, out=d)
+        both = np.stack([np.ones(len(fitness)), fitness], axis=1)
+        for k, w in powers(d, self.widths):
+            rest = w @ both
+            old, new, one = (pairs.decay(new2, x, self.widths[k]) for x in (of["low2"][at], low2, other))
+            of["rest"][at, k] = of["rest"][at, k] * old + rest[:, 0] * new + one
+            of["rest_fit"][at, k] = of["rest_fit"][at, k] * old + rest[:, 1] * new + one * other_fit
+        of["low2"][at] = new2
+        for name, value in (("low", low), ("nearest", near), ("near_fit", fit)):
+            of[name][at] = np.where(closer, value, of[name][at])
+
+    def found(self) -> dict[str, np.ndarray]:
+        some = [np.isfinite(of["low"]) for of in self.of]
+        columns = {"vec_id": [self.left.ids[r] for r in self.rows], "split": [np.full(len(r), s, dtype=np.int32) for s, r in enumerate(self.rows)], "truth": [self.left.of["fitness"][r, 0] for r in self.rows]}
+        columns |= {c: [of[c] for of in self.of] for c in self.of[0]}
+        return {c: np.concatenate([x[k] for x, k in zip(v, some)]) for c, v in columns.items()}
+
+
+TESTED = FITNESS | {"tests": "u1"}
+SUMS = "vec_id long, split int, truth double, low double, nearest long, near_fit double, low2 double, rest array<double>, rest_fit array<double>"
+
+
+def _dealt(points: DataFrame, splits: int, share: float) -> DataFrame:
+    """Packed points with a flag for each split in which they are tested."""
+    flags = F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda s: in_test(s, F.col("vec_id"), share).cast("byte"))
+    return pairs.packed(points.withColumn("tests", flags), TESTED)
+
+
+def split_sums(dealt: DataFrame, sigmas: list[float]) -> DataFrame:
+    """A row for each tested point and split: vec_id, split, truth, low and nearest, and arrays, a value a width.
+
+    ``weight`` and ``total`` are the sums of all weights, and of weighted fitness, on the scale of the
+    nearest trained point; ``without_nearest`` is what is predicted without that point.
+    """
+    met = pairs.met(dealt, dealt, (TESTED, TESTED), lambda left: SplitSums(left, sigmas), SUMS)
+    parts = met.groupBy("vec_id", "split").agg(F.first("truth").alias("truth"), F.collect_list(F.struct("low", "nearest", "near_fit", "low2", "rest", "rest_fit")).alias("parts"))
+    first = parts.withColumn("of", F.array_min("parts"))
+    own = lambda p: p["nearest"] == F.col("of.nearest")
+    first = first.withColumn("least2", F.array_min(F.transform("parts", lambda p: F.when(own(p), p["low2"]).otherwise(p["low"]))))
+    weights, totals, without = [], [], []
+    for k, sigma in enumerate(sigmas):
+        on_scale = lambda d, width=2 * sigma * sigma: F.when(d == float("inf"), 0.0).otherwise(F.exp((F.col("least2") - d) / width))
+        rest = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["rest"][k] * on_scale(p["low2"]) + F.when(own(p), 0.0).otherwise(on_scale(p["low"])))  # noqa: B023
+        rest_fit = F.aggregate("parts", F.lit(0.0), lambda s, p: s + p["rest_fit"][k] * on_scale(p["low2"]) + F.when(own(p), 0.0).otherwise(p["near_fit"] * on_scale(p["low"])))  # noqa: B023
+        near = F.when(F.col("least2") == float("inf"), 0.0).otherwise(F.exp((F.col("of.low") - F.col("least2")) / (2 * sigma * sigma)))
+        weights.append(1 + rest * near)
+        totals.append(F.col("of.near_fit") + rest_fit * near)
+        without.append(F.when(rest > 0, rest_fit / rest))
+    return first.select("vec_id", "split", "truth", F.col("of.low").alias("low"), F.col("of.nearest").alias("nearest"), F.array(*weights).alias("weight"), F.array(*totals).alias("total"), F.array(*without).alias("without_nearest"))
+
+
+def _errors(sums: DataFrame, sigmas: list[float]) -> DataFrame:
+    """vec_id, split, sigma (its place) and e, the squared error, of each tested point."""
+    error = lambda k: F.col("total")[k] / F.col("weight")[k] - F.col("truth")
+    return sums.select("vec_id", "split", F.posexplode(F.array(*[error(k) * error(k) for k in range(len(sigmas))])).alias("sigma", "e"))
 
 
 def _named(df: DataFrame, sigmas: list[float]) -> DataFrame:
@@ -224,14 +281,48 @@ def _named(df: DataFrame, sigmas: list[float]) -> DataFrame:
 
 def split_errors(points: DataFrame, sigmas: list[float], splits: int = 100, share: float = 0.1) -> DataFrame:
     """Mean squared error of each width over repeated random sub-sampling, and whether it is the least (ties: the smaller width)."""
-    found = split_sums(points, sigmas, splits, share).join(points.select("vec_id", "fitness"), "vec_id")
-    error = F.col("total") / F.col("weight") - F.col("fitness")
-    of_split = found.groupBy("split", "sigma").agg(F.avg(error * error).alias("mse"))
-    errors = _named(of_split.groupBy("sigma").agg(F.avg("mse").alias("mse")), sigmas)
+    of_split = _errors(split_sums(_dealt(points, splits, share), sigmas), sigmas).groupBy("split", "sigma").agg(F.avg("e").alias("mse"))
+    errors = materialized(_named(of_split.groupBy("sigma").agg(F.avg("mse").alias("mse")), sigmas))  # one row a width
     best = errors.agg(F.min(F.struct("mse", "sigma")).alias("best"))  # one row
     return errors.join(F.broadcast(best)).select("sigma", "mse", (F.col("sigma") == F.col("best.sigma")).alias("best"))
 
 
+class TakenOut:
+    """For each point, split in which it is trained on, and width: the squared errors of the tested points without it."""
+
+    def __init__(self, left: pairs.Block, sigmas: list[float]):
+        self.left, self.widths = left, [2 * s * s for s in sigmas]
+        shape = (*left.of["tests"].shape, len(sigmas))
+        self.sums, self.counts = np.zeros(shape), np.zeros(shape, dtype=np.int64)
+
+    def add(self, right: pairs.Block) -> None:
+        truth, splits, n = right.of["truth"][:, 0], self.sums.shape[1], len(self.widths)
+        weights, totals, without = (right.of[c].reshape(-1, splits, n) for c in ("weight", "total", "without_nearest"))
+        for t in pairs.tiles(len(self.left.ids)):
+            d = np.round(pairs.squared(self.left, t, right), pairs.DIGITS)
+            for s in range(splits):
+                u = np.flatnonzero(np.isfinite(right.of["low"][:, s]))
+                j = np.flatnonzero(self.left.of["tests"][t, s] == 0)
+                if not len(u) or not len(j):
+                    continue
+                at, fitness = j + t.start, self.left.of["fitness"][j + t.start]
+                e = right.of["low"][u, s] - d[np.ix_(j, u)]
+                nearest = np.nonzero(self.left.ids[at, None] == right.of["nearest"][u, s])
+                for k, w in powers(e, self.widths):
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        predicted = (totals[u, s, k] - w * fitness) / (weights[u, s, k] - w)
+                    predicted[nearest] = without[u, s, k][nearest[1]]
+                    predicted -= truth[u]
+                    predicted *= predicted
+                    known = np.isfinite(predicted)
+                    self.sums[at, s, k] += np.where(known, predicted, 0).sum(1)
+                    self.counts[at, s, k] += known.sum(1)
+
+    def found(self) -> dict[str, np.ndarray]:
+        n = len(self.left.ids)
+        return {"vec_id": self.left.ids, "sums": self.sums.reshape(n, -1), "counts": self.counts.reshape(n, -1)}
+
+
 def widths_without_one(points: DataFrame, sigmas: list[float], splits: int = 100, share: float = 0.1) -> DataFrame:
     """For each point, the width of least error over the splits when that point is left out: vec_id, sigma, mse.
 
@@ -240,43 +331,31 @@ def widths_without_one(points: DataFrame, sigmas: list[float], splits: int = 100
     difference would be rounding, the sums without it are used. A split in which it is the
     only tested point, or leaves nothing to train on, does not count.
     """
-    sums = materialized(split_sums(points, sigmas, splits, share))
-    fit = points.select("vec_id", "fitness")
-    error = F.col("total") / F.col("weight") - F.col("fitness")
-    errors = sums.join(fit, "vec_id").select("vec_id", "split", "sigma", (error * error).alias("e"))
-    totals = errors.groupBy("split", "sigma").agg(F.sum("e").alias("sum"), F.count("*").alias("n"))
-    tested = errors.join(totals, ["split", "sigma"]).filter("n > 1").select("vec_id", "split", "sigma", ((F.col("sum") - F.col("e")) / (F.col("n") - 1)).alias("mse"))
-    stats = sums.groupBy("vec_id").agg(F.collect_list(F.struct("split", "sigma", "low", "nearest", "weight", "total", "without_nearest")).alias("stats"))  # splits x widths
-    asked = points.join(stats, "vec_id")
-    flags = F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), lambda s: in_test(s, F.col("vec_id"), share))
-    offered = points.withColumn("stats", F.transform(flags, lambda f: F.struct(f.alias("test"))))
-
-    def taken_out(d2: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        trained = ~np.array([[x["test"] for x in r] for r in right["stats"]], dtype=bool)
-        ids, fit_of = right["vec_id"].to_numpy(), right["fitness"].to_numpy()
-        squares, counts = np.zeros((splits, len(sigmas), len(ids))), np.zeros((splits, len(sigmas), len(ids)), dtype=np.int64)
-        for u, (truth, own) in enumerate(zip(left["fitness"].to_numpy(), left["stats"])):
-            for x in own:
-                s, k = x["split"], x["sigma"]
-                some = np.flatnonzero(trained[:, s])
-                weight = np.exp((x["low"] - d2[u, some]) / (2 * sigmas[k] ** 2))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    predicted = (x["total"] - weight * fit_of[some]) / (x["weight"] - weight)
-                predicted[ids[some] == x["nearest"]] = np.nan if x["without_nearest"] is None else x["without_nearest"]
-                known = np.isfinite(predicted)
-                squares[s, k, some[known]] += (predicted[known] - truth) ** 2
-                counts[s, k, some[known]] += 1
-        s, k, j = np.nonzero(counts)
-        return pd.DataFrame({"vec_id": ids[j], "split": s, "sigma": k, "sum": squares[s, k, j], "n": counts[s, k, j]})
-
-    # both sides carry a column of one name with what their side needs
-    shape = "array<struct<split:int,sigma:int,low:double,nearest:long,weight:double,total:double,without_nearest:double,test:boolean>>"
-    full = lambda df, fields: df.withColumn("stats", F.transform("stats", lambda x: F.struct(*[(x[f] if f in fields else F.lit(None)).alias(f) for f in ("split", "sigma", "low", "nearest", "weight", "total", "without_nearest", "test")])).cast(shape))
-    asked, offered = full(asked, ("split", "sigma", "low", "nearest", "weight", "total", "without_nearest")), full(offered, ("test",))
-    met = _met(asked, offered, taken_out, "vec_id long, split int, sigma int, sum double, n long", extra=("stats",))
-    trained = met.groupBy("vec_id", "split", "sigma").agg((F.sum("sum") / F.sum("n")).alias("mse"))
-    each = tested.unionByName(trained).groupBy("vec_id", "sigma").agg(F.avg("mse").alias("mse"))
-    least = _named(each, sigmas).groupBy("vec_id").agg(F.min(F.struct("mse", "sigma")).alias("m"))
+    dealt = _dealt(points, splits, share)
+    sums = materialized(split_sums(dealt, sigmas))
+    errors = _errors(sums, sigmas)
+    totals = errors.groupBy("split", "sigma").agg(F.sum("e").alias("sum"), F.count("*").alias("n"))  # splits x widths
+    tested = errors.join(F.broadcast(totals), ["split", "sigma"]).filter("n > 1").select("vec_id", "split", "sigma", ((F.col("sum") - F.col("e")) / (F.col("n") - 1)).alias("mse"))
+    # the sums of each tested point, a value a split (and width); no number where it is not tested
+    of_split = sums.groupBy("vec_id").agg(F.first("truth").alias("truth"), F.map_from_entries(F.collect_list(F.struct("split", F.struct("low", "nearest", "weight", "total", "without_nearest")))).alias("of"))
+    each = lambda f: F.transform(F.sequence(F.lit(0), F.lit(splits - 1)), f)
+    none = F.array(*[F.lit(None).cast("double")] * len(sigmas))
+    at = lambda c, other: each(lambda s: F.coalesce(F.try_element_at("of", s)[c], other))
+    stats = of_split.select(
+        "vec_id", "truth", each(lambda s: F.try_element_at("of", s)["low"]).alias("low"), at("nearest", F.lit(0)).alias("nearest"),
+        *[F.flatten(at(c, none)).alias(c) for c in ("weight", "total", "without_nearest")],
+    )
+    fields = {"truth": "<f8", "low": "<f8", "nearest": "<i8", "weight": "<f8", "total": "<f8", "without_nearest": "<f8"}
+    asked = pairs.packed(points.select("vec_id", "x").join(stats, "vec_id"), fields)
+    met = pairs.met(dealt, asked, (TESTED, fields), lambda left: TakenOut(left, sigmas), "vec_id long, sums array<double>, counts array<long>")
+    n = splits * len(sigmas)
+    added = met.groupBy("vec_id").agg(F.collect_list(F.arrays_zip("sums", "counts")).alias("parts"))
+    total = lambda k, c: F.aggregate("parts", F.lit(0).cast("double" if c == "sums" else "long"), lambda s, p: s + p[k][c])
+    means = F.array(*[F.when(total(k, "counts") > 0, total(k, "sums") / total(k, "counts")) for k in range(n)])
+    trained = added.select("vec_id", F.posexplode(means).alias("place", "mse")).filter("mse is not null")
+    trained = trained.select("vec_id", F.expr(f"cast(place div {len(sigmas)} as int)").alias("split"), (F.col("place") % len(sigmas)).alias("sigma"), "mse")
+    mean = tested.unionByName(trained).groupBy("vec_id", "sigma").agg(F.avg("mse").alias("mse"))
+    least = _named(mean, sigmas).groupBy("vec_id").agg(F.min(F.struct("mse", "sigma")).alias("m"))
     return least.select("vec_id", "m.sigma", "m.mse")
 
 
