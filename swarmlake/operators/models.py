@@ -65,6 +65,13 @@ def kernel_errors(points: DataFrame, distances: DataFrame, sigmas: list[float])
 
 
 FITNESS = {"fitness": "<f8"}
+
+
+def _both(queries: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    offered = pairs.packed(points, FITNESS)
+    return offered if queries is points else pairs.packed(queries, FITNESS), offered
+
+
 CHUNK, BLOCK = 512, 4096  # queries and points that meet in a task, about
 
 
@@ -103,18 +110,12 @@ def nearest_of_all(queries: DataFrame, points: DataFrame) -> DataFrame:
 
 
 def smoothed_by_all(queries: DataFrame, points: DataFrame, sigma: float) -> DataFrame:
-    """Gaussian weights of all other points; blocks add up on the scale of the nearest."""
-
-    def sums(d2: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        low = d2.min(1)
-        weight = np.exp((np.where(np.isfinite(low), low, 0)[:, None] - d2) / (2 * sigma * sigma))
-        found = pd.DataFrame({"vec_id": left["vec_id"].to_numpy(), "low": low, "weight": weight.sum(1), "total": weight @ right["fitness"].to_numpy()})
-        return found[np.isfinite(low)]
-
-    met = materialized(_met(queries, points, sums, "vec_id long, low double, weight double, total double"))
-    least = met.groupBy("vec_id").agg(F.min("low").alias("least"))
-    scale = F.exp((F.col("least") - F.col("low")) / (2 * sigma * sigma))
-    return met.join(least, "vec_id").groupBy("vec_id").agg((F.sum(F.col("total") * scale) / F.sum(F.col("weight") * scale)).alias("predicted"))
+    """Gaussian weights of all other points; parts of them add up on the scale of the nearest."""
+    met = pairs.met(*_both(queries, points), (FITNESS, FITNESS), lambda left: pairs.Smoothed(left, sigma), "vec_id long, low double, weight double, total double")
+    found = met.groupBy("vec_id").agg(F.min("low").alias("least"), F.collect_list(F.struct("low", "weight", "total")).alias("parts"))
+    scale = lambda p: F.exp((F.col("least") - p["low"]) / (2 * sigma * sigma))
+    total = lambda f: F.aggregate("parts", F.lit(0.0), lambda s, p: s + p[f] * scale(p))
+    return found.select("vec_id", (total("total") / total("weight")).alias("predicted"))
 
 
 SHEET = "x double, y double, low double, weight double, total double, near double"
