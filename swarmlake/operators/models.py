@@ -7,7 +7,7 @@ by block; groups are plain aggregates.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -72,40 +72,9 @@ def _both(queries: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     return offered if queries is points else pairs.packed(queries, FITNESS), offered
 
 
-CHUNK, BLOCK = 512, 4096  # queries and points that meet in a task, about
-
-
-def _met(queries: DataFrame, points: DataFrame, reduced: Callable[[np.ndarray, pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, digits: int = 8, extra: tuple[str, ...] = ()) -> DataFrame:
-    """``reduced`` of the squared distances of each chunk of queries to each block of points; infinite to itself."""
-    chunks, blocks = (max(1, -(-df.count() // size)) for df, size in ((queries, CHUNK), (points, BLOCK)))
-    dealt = lambda df, own, n, other, m: df.select(
-        F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other), "vec_id", "x", "fitness", *extra
-    )
-    asked, offered = dealt(queries, "chunk", chunks, "block", blocks), dealt(points, "block", blocks, "chunk", chunks)
-    offered = offered.select(*[F.col(c).alias(c) for c in offered.columns])  # columns of its own, if both come from one table
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
-        a, b = (np.stack(df["x"].to_numpy()) for df in (left, right))
-        d2 = np.round(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0), digits)
-        d2[left["vec_id"].to_numpy()[:, None] == right["vec_id"].to_numpy()] = np.inf
-        return reduced(d2, left, right)
-
-    return asked.groupBy("chunk", "block").cogroup(offered.groupBy("chunk", "block")).applyInPandas(run, schema)
-
-
 def nearest_of_all(queries: DataFrame, points: DataFrame) -> DataFrame:
     """The nearest other point of each query and its fitness; ties of the squared distance, to 8 digits: the smallest id."""
-
-    def best(d2: np.ndarray, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        order = np.argsort(right["vec_id"].to_numpy(), kind="stable")
-        at = order[d2[:, order].argmin(1)]
-        low = d2[np.arange(len(d2)), at]
-        found = pd.DataFrame({"vec_id": left["vec_id"].to_numpy(), "nearest": right["vec_id"].to_numpy()[at], "d2": low, "predicted": right["fitness"].to_numpy()[at]})
-        return found[np.isfinite(low)]
-
-    met = _met(queries, points, best, "vec_id long, nearest long, d2 double, predicted double")
+    met = pairs.met(*_both(queries, points), (FITNESS, FITNESS), lambda left: pairs.Nearest(left, also="fitness"), "vec_id long, nearest long, d2 double, predicted double")
     return met.groupBy("vec_id").agg(F.min(F.struct("d2", "nearest", "predicted")).alias("n")).select("vec_id", "n.nearest", "n.d2", "n.predicted")
 
 
